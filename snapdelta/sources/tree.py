@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,9 +15,9 @@ PRUNED = ("node_modules", "dist", "target", ".git")
 def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("ts", "tsx")) -> DataFrame:
     """(file, content) of the source files under a folder, on any file system that Spark reads."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(root)
-    path = F.col("path")
+    path, below = F.col("path"), re.sub(r"^[a-z]+:/*(?=/)", "", root.rstrip("/"))
     kept = rows.where(~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, PRUNED))))
-    return kept.select(F.regexp_replace(path, "^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "").alias("file"), F.decode("content", "UTF-8").alias("content"))
+    return kept.select(F.regexp_replace(path, "^.*?" + re.escape(below) + "/", "").alias("file"), F.decode("content", "UTF-8").alias("content"))
 
 
 def lines_of(files: DataFrame, key: str = "file", content: str = "content") -> DataFrame:

@@ -1,6 +1,6 @@
 """Operator 8: document quality by a classifier and by the site it comes from (hierarchical empirical Bayes).
 
-Two naive Bayes heads (low quality, toxic) over telling words and text shapes give each document's evidence.
+Two classifier heads (low quality, toxic) over telling words and text shapes give each document's evidence.
 Evidence is summed by host and by path; a host's rate is shrunk toward the global rate, a path's toward its
 host's, each with a strength estimated from the spread between sites. The posterior of a document is its own
 evidence moved by the odds of its site."""
@@ -8,10 +8,12 @@ evidence moved by the odds of its site."""
 from __future__ import annotations
 
 import math
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,21 +24,34 @@ from .common import materialise
 _SYMBOLS = re.compile(r"[^\w\s]{2,}")
 
 
+class _Shapes(dict):
+    """Words to (word without punctuation in lower case, loud, full of symbols, without a letter or digit)."""
+
+    def __missing__(self, w: str) -> tuple[str, bool, bool, bool]:
+        if len(self) >= 1 << 19:
+            self.clear()
+        got = self[w] = (w.strip(".,;:!?\"'()").lower(), w.isupper(), bool(_SYMBOLS.search(w)), not any(c.isalnum() for c in w))
+        return got
+
+
+_SHAPES = _Shapes()
+
+
 def features(text: str | None) -> set[str]:
-    """Words in lower case, and shapes: how varied, how loud, how full of symbols."""
+    """Words in lower case, and shapes: how varied, how loud, how full of symbols, how repetitive."""
     raw = text.split() if text else []
-    words = [w.strip(".,;:!?\"'()").lower() for w in raw]
     n = len(raw)
     if not n:
         return {"#empty"}
-    out = set(words)
-    tenth = lambda x: int(10 * x / n)
+    out, loud, marks, bare = set(), 0, 0, 0
+    for w, c in Counter(raw).items():
+        word, l_, m, b = _SHAPES[w]
+        out.add(word)
+        loud, marks, bare = loud + c * l_, marks + c * m, bare + c * b
+    varied, tenth = len(out), lambda x: 10 * x // n
     size = "s" if n < 50 else "m" if n < 500 else "l"
-    out.add(f"#varied{size}{tenth(len(out))}")
-    out.add(f"#loud{tenth(sum(w.isupper() for w in raw))}")
-    out.add(f"#marks{tenth(sum(bool(_SYMBOLS.search(w)) for w in raw))}")
-    out.add(f"#bare{tenth(sum(not any(c.isalnum() for c in w) for w in raw))}")
-    out.add(f"#runs{tenth(sum(a == b for a, b in zip(words, words[1:])))}")
+    runs = sum(map(operator.eq, raw, raw[1:]))
+    out.update((f"#varied{size}{tenth(varied)}", f"#loud{tenth(loud)}", f"#marks{tenth(marks)}", f"#bare{tenth(bare)}", f"#runs{tenth(runs)}"))
     return out
 
 
@@ -55,31 +70,61 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["feature", "n", "low", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, most_features: int = 20_000, least: int = 5, z: float = 4.5) -> dict:
-    """Both heads, from at most ``most_rows`` labelled rows (the smallest hashes of the id; rows whose label
-    is null count as good) and at most ``most_features`` features that occur in ``least`` documents and whose
-    rates differ by ``z`` standard errors or more. Without labels, evidence is even and nothing is rejected."""
-    sample = labels.select(F.col(id_col).alias("_id"), "quality", "toxic").orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
+def _chosen(names: list[dict]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [[[at[w] for w in f & at.keys()] for at in names] for f in map(features, batch.column("text").to_pylist())]
+            cols = [pa.array([x[h] for x in ids], pa.list_(pa.int32())) for h in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, batch.column("quality"), batch.column("toxic")], ["low", "toxic_f", "quality", "toxic"])
+
+    return run
+
+
+def _weights(rows: list, y: np.ndarray, n: int, penalty: float, steps: int) -> np.ndarray:
+    """Logistic regression on presence of features, the last weight being the constant: accelerated gradient steps."""
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(rows) else np.empty(0, np.int64)
+    w = v = np.zeros(n + 1)
+    for _ in range(steps):
+        u = w + 0.9 * v
+        score = np.bincount(at, u[col], minlength=len(rows)) + u[-1]
+        off = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y
+        grad = np.append(np.bincount(col, off[at], minlength=n) + penalty * u[:-1], off.sum()) / len(y)
+        v = 0.9 * v - 2.0 * grad
+        w = w + v
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 10_000, most_features: int = 300, least: int = 4, z: float = 4.5, penalty: float = 0.1, steps: int = 400) -> dict:
+    """Both heads, from at most ``most_rows`` labelled rows (the smallest hashes of the id; a null label counts as
+    good). A head looks at no more than ``most_features`` features that occur in ``least`` of these rows and whose
+    bad rates differ most, by ``z`` standard errors at least; its weights are a penalised logistic regression.
+    Without labels, evidence is even and nothing is rejected."""
+    sample = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("long"), F.col("toxic").cast("long")).orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id").select("text", "quality", "toxic")
+    rows = materialise(rows, "sample")
     seen = rows.mapInArrow(_seen, "feature string, n long, low long, toxic long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", "low", "toxic")))
     seen = materialise(seen, "features")
     total = seen.where("feature = '#all'").first()
     model: dict = {"prior": [], "heads": []}
     if total is None:
         return model
+    names: list[dict] = []
     for head in ("low", "toxic"):
         n, bad = total["n"], total[head]
+        rate = bad / n
         if not 0 < bad < n:
-            model["prior"].append(-20.0 if not bad else 20.0)
-            model["heads"].append({})
+            names.append({})
             continue
-        rate = bad / n
-        gap = (F.col(head) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-        telling = seen.where((F.col("feature") != "#all") & (F.col("n") >= least)).withColumn("z", gap).where(F.abs("z") >= z)
-        best = telling.orderBy(F.desc(F.abs("z")), "feature").limit(most_features).collect()
-        weight = {r["feature"]: math.log((r[head] + 0.5) / (bad + 1)) - math.log((r["n"] - r[head] + 0.5) / (n - bad + 1)) for r in best}
-        model["prior"].append(math.log(rate / (1 - rate)))
-        model["heads"].append({f: w for f, w in weight.items()})
+        gap = F.abs(F.col(head) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
+        telling = seen.where((F.col("feature") != "#all") & (F.col("n") >= least)).withColumn("z", gap).where(F.col("z") >= z)
+        best = telling.orderBy(F.desc("z"), "feature").limit(most_features).collect()
+        names.append({r["feature"]: i for i, r in enumerate(best)})
+    data = rows.mapInArrow(_chosen(names), "low array<int>, toxic_f array<int>, quality long, toxic long").toPandas()
+    for at, column, y in zip(names, ("low", "toxic_f"), ((data.quality == 0).to_numpy(float), (data.toxic == 1).to_numpy(float))):
+        w = _weights(list(data[column]), y, len(at), penalty, steps)
+        model["prior"].append(float(w[-1]))
+        model["heads"].append({f: float(w[i]) for f, i in at.items()})
     return model
 
 
@@ -122,12 +167,15 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     sent = spark.sparkContext.broadcast(model)
-    own = docs if keep_columns else docs.select(id_col, text_col, *dict.fromkeys((host, path)))
+    sites_of = list(dict.fromkeys((host, path)))
+    narrow = docs.select(text_col, id_col, *sites_of)
     extra = T.StructField("_evidence", T.DoubleType())
-    schema = T.StructType([*own.schema.fields, extra])
-    scored = own.mapInArrow(_score(sent, own.columns.index(text_col)), schema)
-    narrow = docs.select(text_col, *dict.fromkeys((host, path)))
-    rows = narrow.mapInArrow(_score(sent, 0), T.StructType([*narrow.schema.fields, extra]))
+    rows = narrow.mapInArrow(_score(sent, 0), T.StructType([*narrow.schema.fields, extra])).drop(text_col)
+    rows = materialise(rows, "evidence")
+    if keep_columns:  # reading the texts again is cheaper than moving them to their scores
+        scored = docs.mapInArrow(_score(sent, docs.columns.index(text_col)), T.StructType([*docs.schema.fields, extra]))
+    else:
+        scored = rows
     paths = materialise(rows.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.count("*").alias("n"), F.sum("_evidence").alias("s")), "sites")
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     whole = hosts.agg(F.sum("n"), F.sum("s")).first()

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 _MEMO = 1 << 19
@@ -94,6 +96,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) < math.ceil(share * most_docs / n))
     langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     counts = rows.mapInArrow(_counts, "lang string, n long, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
+    counts = materialise(counts, "grams")
     total = counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("by_lang"))
     got = []
     for order in range(LONGEST + 1):

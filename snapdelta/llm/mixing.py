@@ -16,51 +16,71 @@ def token_count(text: Column) -> Column:
 
 def topic(text: Column) -> Column:
     """A coarse content class from fixed cues (the first that holds)."""
+    low = F.lower(text)
+    says = lambda *cues: F.lit(False) if not cues else F.contains(low, F.lit(cues[0])) | says(*cues[1:])
     return (
         F.when(text.isNull() | (F.trim(text) == ""), "none")
-        .when(text.rlike(r"(?i)licen[cs]ed? |all rights reserved|copyright"), "legal")
-        .when(text.rlike(r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z]"), "contact")
+        .when(says("licensed", "all rights reserved", "copyright"), "legal")
+        .when(F.contains(text, F.lit("@")) & text.rlike(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[A-Za-z]"), "contact")
         .when(F.length(text) < 1000, "short")
         .when(F.length(text) < 5000, "article")
         .otherwise("long")
     )
 
 
-def targets(cells: DataFrame, dims: list[str], alpha: float) -> dict[str, DataFrame]:
-    """Target shares of each value of each dimension: its share of tokens to the power ``alpha``, made to sum to 1.
-    At 1 the mix stays, at 0 all values weigh alike."""
-    out = {}
-    for d in dims:
-        share = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0").withColumn("t", F.pow("t", F.lit(alpha)))
-        whole = share.agg(F.sum("t").alias("whole"))
-        out[d] = share.crossJoin(F.broadcast(whole)).select(F.col(d), (F.col("t") / F.col("whole")).alias("target"))  # one row
-    return out
-
-
-def rake(cells: DataFrame, goals: dict[str, DataFrame], *, rounds: int = 25, tolerance: float = 1e-6) -> DataFrame:
-    """``cells`` (dims, tokens) with ``weight``: tokens scaled until the sums by each dimension meet the goals.
-
-    Each step is a sum by one dimension and a join of its factors. Cells of no tokens weigh 0; values without a
-    goal weigh 0; null is a value like any other."""
-    whole = cells.agg(F.sum("tokens")).first()[0] or 0
-    now = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(whole, 1))))
-    for r in range(rounds):
-        for d, goal in goals.items():
-            margin = now.groupBy(F.col(d).alias("_d")).agg(F.sum("weight").alias("_m"))
-            factor = margin.join(goal.withColumnRenamed(d, "_g"), F.col("_d").eqNullSafe(F.col("_g")), "left").select("_d", F.when(F.col("_m") > 0, F.coalesce("target", F.lit(0.0)) / F.col("_m")).otherwise(0.0).alias("_f"))
-            now = now.join(factor, now[d].eqNullSafe(factor["_d"])).select(*cells.columns, (F.col("weight") * F.col("_f")).alias("weight"))
-        now = materialise(now, "rake")
-        worst = 0.0
-        for d, goal in goals.items():
-            margin = now.groupBy(F.col(d).alias("_d")).agg(F.sum("weight").alias("_m"))
-            off = margin.join(goal.withColumnRenamed(d, "_g"), F.col("_d").eqNullSafe(F.col("_g"))).agg(F.max(F.abs(F.col("_m") - F.col("target")))).first()[0]
-            worst = max(worst, off or 0.0)
-        if worst < tolerance:
+def shares(tokens: dict, alpha: float) -> dict:
+    """Target shares: shares of tokens to the power ``alpha``, made to sum to 1. At 1 the mix stays, at 0 all
+    values weigh alike; values without tokens weigh nothing."""
+    powered = {k: float(v) ** alpha if v else 0.0 for k, v in tokens.items()}
+    whole = sum(powered.values())
+    return {k: v / whole if whole else 0.0 for k, v in powered.items()}
+
+
+def _factor(of: dict, key: Column) -> Column:
+    """The factor of a value, null being a value too."""
+    named = {k: v for k, v in of.items() if k is not None}
+    known = F.create_map(*(F.lit(x) for kv in named.items() for x in kv)) if named else None
+    got = F.lit(0.0) if known is None else F.coalesce(F.try_element_at(known, key), F.lit(0.0))
+    return F.when(key.isNull(), F.lit(float(of.get(None, 0.0)))).otherwise(got)
+
+
+def rake(cells: DataFrame, alpha: float, *, rounds: int = 60, tolerance: float = 1e-7) -> DataFrame:
+    """``cells`` (_s, _l, _t, tokens) with ``weight``: tokens scaled until the sums by each dimension meet their
+    targets (iterative proportional fitting).
+
+    Sources may be many: a source's cells are one row, and its factor is worked out in that row, so that the
+    source step moves no data. Languages and topics are few by nature: each round sums the weights by
+    language and topic, one small aggregation, from which both their factors follow."""
+    packed = cells.groupBy("_s").agg(F.collect_list(F.struct("_l", "_t", "tokens")).alias("own"), F.sum("tokens").cast("double").alias("all"))
+    packed = materialise(packed, "cells")
+    powered = F.when(F.col("all") > 0, F.pow("all", F.lit(float(alpha)))).otherwise(0.0)
+    whole = packed.agg(F.sum(powered)).first()[0] or 1.0
+    by_lang = {r[0]: r[1] for r in cells.groupBy("_l").agg(F.sum("tokens")).collect()}
+    by_topic = {r[0]: r[1] for r in cells.groupBy("_t").agg(F.sum("tokens")).collect()}
+    goal_l, goal_t = shares(by_lang, alpha), shares(by_topic, alpha)
+    f_l, f_t = dict.fromkeys(goal_l, 1.0), dict.fromkeys(goal_t, 1.0)
+
+    def weighed() -> DataFrame:
+        scaled = packed.withColumn("own", F.transform("own", lambda c: c.withField("w", c["tokens"] * _factor(f_l, c["_l"]) * _factor(f_t, c["_t"]))))
+        scaled = scaled.withColumn("z", F.aggregate("own", F.lit(0.0), lambda a, c: a + c["w"]))
+        each = scaled.select("_s", (powered / F.lit(float(whole))).alias("goal"), "z", F.explode("own").alias("c"))
+        weight = F.when(F.col("z") > 0, F.col("c.w") * F.col("goal") / F.col("z")).otherwise(0.0)
+        return each.select("_s", "c._l", "c._t", "c.tokens", weight.alias("weight"))
+
+    for _ in range(rounds):
+        m = {(r["_l"], r["_t"]): r["w"] for r in weighed().groupBy("_l", "_t").agg(F.sum("weight").alias("w")).collect()}
+        sum_l = {x: sum(w for (a, _), w in m.items() if a == x) for x in goal_l}
+        sum_t = {x: sum(w for (_, b), w in m.items() if b == x) for x in goal_t}
+        if max([0.0, *(abs(sum_l[x] - goal_l[x]) for x in goal_l), *(abs(sum_t[x] - goal_t[x]) for x in goal_t)]) < tolerance:
             break
-    return now
+        step = {x: goal_l[x] / sum_l[x] if sum_l[x] > 0 else 0.0 for x in goal_l}
+        after = {x: sum(w * step[a] for (a, b), w in m.items() if b == x) for x in goal_t}
+        f_l = {x: f_l[x] * step[x] for x in f_l}
+        f_t = {x: f_t[x] * (goal_t[x] / after[x] if after[x] > 0 else 0.0) for x in f_t}
+    return weighed()
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source: str = "source", lang: str = "lang", alpha: float = 0.7, share: float = 0.8, seed: int = 9, rounds: int = 25) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source: str = "source", lang: str = "lang", alpha: float = 0.7, share: float = 0.8, seed: int = 9, rounds: int = 60) -> DataFrame:
     """All columns of ``docs`` and ``_topic``, ``_tokens``, ``_weight``, ``_p``, ``_take`` for each row.
 
     Token weights by source, language and topic are raked to the targets. A row is taken with chance
@@ -73,7 +93,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     own = docs.withColumn("_topic", topic(t)).withColumn("_tokens", token_count(t))
     narrow = docs.select(F.col(source).alias("_s"), F.col(lang).alias("_l"), topic(t).alias("_t"), token_count(t).alias("_n"))
     cells = materialise(narrow.groupBy("_s", "_l", "_t").agg(F.sum("_n").alias("tokens")), "cells")
-    raked = rake(cells, targets(cells, ["_s", "_l", "_t"], alpha), rounds=rounds)
+    raked = materialise(rake(cells, alpha, rounds=rounds), "raked")
     raked = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
     whole, fit = cells.agg(F.sum("tokens")).first()[0] or 0, 1.0
     c = share * whole

@@ -9,9 +9,9 @@ from .common import materialise
 
 
 def token_count(text: Column) -> Column:
-    """Tokens of a text: runs between single white space characters, at least one for a text that is not empty."""
+    """Tokens of a text: runs between single white space characters, at least one for a text that is not blank."""
     spaces = F.length(text) - F.length(F.translate(text, " \t\n\r", ""))
-    return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(spaces + 1).cast("long")
+    return F.when(text.isNull() | (F.trim(text) == ""), F.lit(0)).otherwise(spaces + 1).cast("long")
 
 
 def topic(text: Column) -> Column:
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     ``_p`` = min(1, c * weight / tokens) of its cell; c is such that the tokens expected are ``share`` of all (a
     cell that would need more than it has gives all). The draw is the hash of the id, so it can be repeated;
     ``_weight`` / _p corrects what the bound of 1 leaves. Null sources and languages are values of their own.
-    Null and empty texts have no tokens and are not taken, and rows of null id draw by the hash of null.
+    Null and blank texts have no tokens and are not taken, and rows of null id draw by the hash of null.
     Repeated rows are drawn alike. An empty table gives an empty result."""
     t = F.col(text_col)
     own = docs.withColumn("_topic", topic(t)).withColumn("_tokens", token_count(t))
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         if fit <= c * (1 + 1e-9):
             break
         c = fit
-    raked = raked.select("_s", "_l", "_t", F.col("weight").alias("_weight"), F.coalesce(F.least(F.lit(1.0), F.col("ratio") * F.lit(float(c))), F.lit(0.0)).alias("_p"))
+    raked = raked.select("_s", "_l", "_t", F.col("weight").alias("_weight"), F.when(F.col("ratio").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("ratio") * F.lit(float(c)))).alias("_p"))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     joined = own.join(raked, own[source].eqNullSafe(raked["_s"]) & own[lang].eqNullSafe(raked["_l"]) & (own["_topic"] == raked["_t"]), "left")
     return joined.select(*(own[c] for c in own.columns), "_weight", "_p", (draw < F.col("_p")).alias("_take"))

@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from snapdelta.llm.common import connected_components
 from snapdelta.llm.line_dedup import line_dedup
 from snapdelta.llm.ngram_join import ngram_jaccard, one_of_each
@@ -102,7 +104,8 @@ def test_components(spark):
     assert connected_components(edges.limit(0)).collect() == []
 
 
-def test_lines_match_brute_force(spark):
+@pytest.mark.parametrize("k", [1, 5])
+def test_lines_match_brute_force(spark, k):
     r = random.Random(3)
     vocab = [f"w{i}" for i in range(60)]
     lines = [" ".join(r.choice(vocab) for _ in range(r.choice([2, 5, 9, 30, 120]))) for _ in range(60)]
@@ -116,8 +119,8 @@ def test_lines_match_brute_force(spark):
             own.append(" ".join(w))
         rows.append((i * 7 % 80, "\n".join(own)))
     flat = sorted((i, no, t) for i, x in rows for no, t in enumerate(x.split("\n")) if len(t.split()) >= 5)
-    gone = {flat[j][:2] for _, j in links([frozenset(t.split()) for _, _, t in flat], 4, 5)}
-    got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    gone = {flat[j][:2] for _, j in links([shingles(t, k) for _, _, t in flat], 4, 5)}
+    got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=k).collect()}
     for i, text in rows:
         keep = [t for no, t in enumerate(text.split("\n")) if (i, no) not in gone]
         assert got[i] == ("\n".join(keep), len(text.split("\n")) - len(keep))

@@ -13,7 +13,8 @@ one set for each line). The join then runs in four Spark steps:
    No true link is lost. A list longer than ``SHORT`` links its entries to a few leaders instead of to
    each other (triangle inequality), so a list of g entries gives O(g) rows, never g^2.
 3. Components of the candidate rows are families. Each class goes to its family's task once; families
-   larger than a block are dealt out as pairs of blocks.
+   larger than a block are dealt out as pairs of blocks. Texts without a member are passed over by a Bloom
+   filter of fixed size, so that only members' sets are shuffled.
 4. ``_verify``: in a family, the overlaps of a set with all others are derived from those of the most
    similar set already answered, by the posting lists of the tokens in which the two differ.
 
@@ -23,6 +24,8 @@ Token hashes are 64 bits wide: a pair of sets is misjudged with a chance of abou
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,11 @@ SHORT = 24
 BLOCK_SETS, BLOCK_TOKENS = 1024, 2_000_000
 #: A unit's place is its text's id and, in so many bits, its number.
 UNIT_BITS = 22
+#: Size of the filter that lets only members' texts be read again. Beyond its reach more texts are; none is lost.
+FILTER_BITS = 1 << 24
 _VOCAB = 1 << 20
-_SUB = 2000
+#: Words of one vectorised step.
+_WORDS = 500_000
 
 Splitter = Callable[[bytes], Iterable[list[bytes]]]
 
@@ -62,59 +68,79 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Hasher:
-    """Words to 64-bit hashes, with a bounded memo."""
-
-    def __init__(self, k: int):
-        self.k, self.memo = k, {}
-
-    def token_set(self, words: list[bytes]) -> np.ndarray:
-        """Sorted distinct hashes of the k-word shingles; of the whole sequence if it is shorter."""
-        if not words:
-            return np.empty(0, np.uint64)
-        memo = self.memo
-        if len(memo) > _VOCAB:
-            memo.clear()
-        try:
-            h = np.array([memo[w] for w in words], np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in memo:
-                    memo[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.array([memo[w] for w in words], np.uint64)
-        k = self.k
-        if len(h) < k:
-            k, seed = len(h), np.uint64(len(h))
-        else:
-            seed = np.uint64(0)
-        out = h[: len(h) - k + 1] + seed
-        for i in range(1, k):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-        out = _mix(out)
-        out.sort()
-        keep = np.ones(len(out), bool)
-        np.not_equal(out[1:], out[:-1], out=keep[1:])
-        return out[keep]
-
-
-def _sid(a: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(a.tobytes()) >> 1
-
-
-def _sets(batch: pa.RecordBatch, split: Splitter, hasher: _Hasher, least: int):
-    """(row, unit number, set) of each unit of a batch whose columns are id, text."""
-    for row, text in enumerate(batch.column("text")):
-        text = text.as_py()
-        if text is None:
+class _Memo(dict):
+    """Words to 64-bit hashes."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+class Sets(NamedTuple):
+    """Token sets of some units, one after the other, each in order: where a unit stands, and what it holds."""
+
+    row: np.ndarray
+    no: np.ndarray
+    n: np.ndarray
+    sid: np.ndarray
+    tok: np.ndarray
+
+
+def _token_sets(units: list[list[bytes]], rows: list[int], nos: list[int], memo: _Memo, k: int) -> Sets:
+    """Distinct hashes of the k-word shingles of each unit; of the whole sequence where it is shorter."""
+    if len(memo) > _VOCAB:
+        memo.clear()
+    c = np.array([len(u) for u in units], np.int64)
+    h = np.fromiter(map(memo.__getitem__, chain.from_iterable(units)), np.uint64, int(c.sum()))
+    start = np.concatenate([[0], np.cumsum(c)])[:-1]
+    at = np.repeat(np.arange(len(units)), np.maximum(c - k + 1, 0))
+    first = np.arange(len(at)) + np.repeat(start - np.concatenate([[0], np.cumsum(np.maximum(c - k + 1, 0))[:-1]]), np.maximum(c - k + 1, 0))
+
+    def gram(first: np.ndarray, length: int, seed: int) -> np.ndarray:
+        out = h[first] + np.uint64(seed)
+        for i in range(1, length):
+            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[first + i])
+        return _mix(out)
+
+    toks, owners = [gram(first, k, 0)], [at]
+    for length in range(1, k):
+        if len(few := np.flatnonzero(c == length)):
+            toks.append(gram(start[few], length, length)), owners.append(few)
+    tok, at = np.concatenate(toks), np.concatenate(owners)
+    order = np.argsort(tok)
+    order = order[np.argsort(at[order].astype(np.uint16), kind="stable")]
+    tok, at = tok[order], at[order]
+    keep = np.ones(len(tok), bool)
+    keep[1:] = (tok[1:] != tok[:-1]) | (at[1:] != at[:-1])
+    tok, at = tok[keep], at[keep]
+    n = np.bincount(at, minlength=len(units))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(tok ^ np.uint64(0xD6E8FEB86659FD93)))])  # wraps around
+    ends = np.cumsum(n)
+    sid = (_mix(sums[ends] - sums[ends - n] + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+    return Sets(np.array(rows, np.int64), np.array(nos, np.int64), n, sid, tok)
+
+
+def _sets(texts: pa.Array, split: Splitter, memo: _Memo, k: int, least: int, wanted=None) -> Iterator[Sets]:
+    """The sets of all units of some texts that have ``least`` words; ``wanted`` chooses units by row and count."""
+    units, rows, nos, words = [], [], [], 0
+    for row, text in enumerate(texts):
+        if (text := text.as_py()) is None:
             continue
-        for no, words in enumerate(split(text.encode("utf-8", "surrogatepass"))):
-            if len(words) >= least:
-                yield row, no, hasher.token_set(words)
+        own = list(split(text.encode("utf-8", "surrogatepass")))
+        for no in range(len(own)) if wanted is None else wanted(row, len(own)):
+            if len(own[no]) >= least:
+                units.append(own[no]), rows.append(row), nos.append(no)
+                words += len(own[no])
+                if words > _WORDS or len(units) >= 1 << 16:
+                    yield _token_sets(units, rows, nos, memo, k)
+                    units, rows, nos, words = [], [], [], 0
+    if units:
+        yield _token_sets(units, rows, nos, memo, k)
 
 
 def _unit_rows(k: int, split: Splitter, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, n_held = _Hasher(k), [], 0
+        memo, held, n_held = _Memo(), [], 0
 
         def counts() -> pa.RecordBatch:
             v, n = np.unique(np.concatenate(held), return_counts=True)
@@ -126,16 +152,14 @@ def _unit_rows(k: int, split: Splitter, least: int):
             return pa.RecordBatch.from_arrays([none, none, pa.array(n), pa.array(v.view(np.int64))], ["id", "unit", "n", "sid"])
 
         for batch in batches:
-            rows, units, ns, sids = [], [], [], []
-            for row, no, s in _sets(batch, split, hasher, least):
-                rows.append(row), units.append(no), ns.append(len(s)), sids.append(_sid(s))
-                held.append(s)
-                n_held += len(s)
-            ids = batch.column("id").take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(units, pa.int64()), pa.array(ns, pa.int64()), pa.array(sids, pa.int64())], ["id", "unit", "n", "sid"])
-            if n_held > 4_000_000:
-                yield counts()
-                held, n_held = [], 0
+            for s in _sets(batch.column("text"), split, memo, k, least):
+                ids = batch.column("id").take(pa.array(s.row))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(s.no), pa.array(s.n), pa.array(s.sid)], ["id", "unit", "n", "sid"])
+                held.append(s.tok)
+                n_held += len(s.tok)
+                if n_held > 4_000_000:
+                    yield counts()
+                    held, n_held = [], 0
         if held:
             yield counts()
 
@@ -153,26 +177,20 @@ def _parts(n: np.ndarray, part: int) -> np.ndarray:
 
 def _index_rows(k: int, split: Splitter, least: int, num: int, den: int, part: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher(k)
+        memo = _Memo()
         heavy_h, heavy_c = heavy.value
         for batch in batches:
-            sets = []
-            for _, _, s in _sets(batch, split, hasher, least):
-                if len(s):
-                    sets.append(s)
-                if len(sets) >= _SUB * (1 if k > 1 else 8):
-                    yield from emit(sets, heavy_h, heavy_c)
-                    sets = []
-            if sets:
-                yield from emit(sets, heavy_h, heavy_c)
-
-    def emit(sets: list[np.ndarray], heavy_h: np.ndarray, heavy_c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = np.array([len(s) for s in sets], np.int64)
-        sid = np.array([_sid(s) for s in sets], np.int64)
-        _, first = np.unique(sid, return_index=True)  # copies within a batch need one entry
-        if len(first) < len(sets):
-            sets, n, sid = [sets[i] for i in first], n[first], sid[first]
-        tok, unit = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+            for s in _sets(batch.column("text"), split, memo, k, least):
+                yield from emit(s, heavy_h, heavy_c)
+
+    def emit(s: Sets, heavy_h: np.ndarray, heavy_c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.zeros(len(s.n), bool)
+        first[np.unique(s.sid, return_index=True)[1]] = True  # copies within a batch need one entry
+        first &= s.n > 0
+        tok, n, sid = s.tok[np.repeat(first, s.n)], s.n[first], s.sid[first]
+        if not len(n):
+            return
+        unit = np.repeat(np.arange(len(n)), n)
         rare = np.zeros(len(tok), np.uint64)
         if len(heavy_h):
             at = np.minimum(np.searchsorted(heavy_h, tok), len(heavy_h) - 1)
@@ -198,12 +216,10 @@ def _index_rows(k: int, split: Splitter, least: int, num: int, den: int, part: i
         start = np.concatenate([[0], np.cumsum(size)])[:-1]
         pos = np.arange(len(tok)) - start[seg]
         full = size > 0
-        bits = np.zeros((2, base[-1]), np.uint64)
-        bit = np.uint64(1) << (tok & np.uint64(63))
-        upper = (tok >> np.uint64(6)) & np.uint64(1) == 1
-        for w, mask in enumerate((~upper, upper)):
-            bits[w, full] = np.bitwise_xor.reduceat(np.where(mask, bit, np.uint64(0)), start[full])
-        keep = pos <= apart[seg]
+        bits = np.zeros(base[-1], np.uint64)
+        bits[full] = np.bitwise_xor.reduceat(np.uint64(1) << (tok & np.uint64(63)), start[full])
+        # a whole set lacks at most (1 - t) of its tokens in its partner
+        keep = pos <= np.where(parts[owner] == 1, np.minimum(apart, n[owner] - (n[owner] * num + den - 1) // den), apart)[seg]
         tok, seg, pos = tok[keep], seg[keep], pos[keep]
         key = _mix(tok + parts[owner[seg]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         bare = np.flatnonzero((parts[owner] > 1) & (size <= 2 * apart))  # parts too small to share a token
@@ -213,8 +229,8 @@ def _index_rows(k: int, split: Splitter, least: int, num: int, den: int, part: i
             seg, pos = np.concatenate([seg, bare]), np.concatenate([pos, np.zeros(len(bare), np.int64)])
         own = owner[seg]
         meta = (n[own] << 24) | (apart[seg] << 12) | pos
-        cols = [key.view(np.int64), sid[own], bits[0][seg].view(np.int64), bits[1][seg].view(np.int64), meta]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "sid", "b0", "b1", "meta"])
+        cols = [key.view(np.int64), sid[own], bits[seg].view(np.int64), meta]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "sid", "bits", "meta"])
 
     return run
 
@@ -241,17 +257,45 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def _hamming(a0, a1, b0, b1) -> np.ndarray:
-    return np.bitwise_count(a0 ^ b0).astype(np.int64) + np.bitwise_count(a1 ^ b1)  # unsigned: it counts in absolute values
+def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).astype(np.int64)  # of unsigned words: of signed ones it counts absolute values
+
+
+class _Forest:
+    """Keeps a task's links to those that join what it had not joined before (bounded; starts anew when full)."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.up: dict[int, int] = {}
+        self.most = most
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def new(self, pairs: np.ndarray) -> list[tuple[int, int]]:
+        if len(self.up) > self.most:
+            self.up.clear()
+        out = []
+        for x, y in zip(*pairs.tolist()):
+            a, b = self.find(x), self.find(y)
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                self.up.setdefault(min(a, b), min(a, b))
+                out.append((x, y))
+        return out
 
 
 def _list_links(num: int, den: int):
-    """Links within the index lists of a sorted partition, as pairs of set ids."""
+    """Links within the index lists of a sorted partition, as pairs of set ids that span what it links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
         for t in _by_key(batches, ("key",)):
-            key, sid, b0, b1, meta = (t.column(c).to_numpy() for c in ("key", "sid", "b0", "b1", "meta"))
-            b0, b1 = b0.view(np.uint64), b1.view(np.uint64)
+            key, sid, bits, meta = (t.column(c).to_numpy() for c in ("key", "sid", "bits", "meta"))
+            bits = bits.view(np.uint64)
             n, apart, pos = meta >> 24, (meta >> 12) & 4095, meta & 4095
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             length = np.diff(np.concatenate([edge, [len(key)]]))
@@ -264,17 +308,18 @@ def _list_links(num: int, den: int):
                 j = i + step
                 ok = (n[i] * den >= n[j] * num) & (pos[i] + pos[j] <= apart[i]) & (sid[i] != sid[j])
                 i, j = i[ok], j[ok]
-                ok = _hamming(b0[i], b1[i], b0[j], b1[j]) <= apart[i]
+                ok = _hamming(bits[i], bits[j]) <= apart[i]
                 out.append(np.stack([sid[i[ok]], sid[j[ok]]]))
             for s, g in zip(edge[length > SHORT], length[length > SHORT]):
-                out.append(_leaders(sid[s : s + g], b0[s : s + g], b1[s : s + g], n[s : s + g], apart[s : s + g], num, den))
-            pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                out.append(_leaders(sid[s : s + g], bits[s : s + g], n[s : s + g], apart[s : s + g], num, den))
+            pairs = forest.new(np.unique(np.concatenate(out, axis=1), axis=1)) if out else []
+            a, b = zip(*pairs) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _leaders(sid, b0, b1, n, apart, num, den) -> np.ndarray:
+def _leaders(sid, bits, n, apart, num, den) -> np.ndarray:
     """Entries come by size. Each is linked to all leaders within reach, and leads where none is near.
 
     If x is near a leader (similar in size, distance at most its own bound) and y links with x, then y is
@@ -285,7 +330,7 @@ def _leaders(sid, b0, b1, n, apart, num, den) -> np.ndarray:
         size = n[lead]
         lo, hi = np.searchsorted(n, [size * num * num // (den * den), size * den * den // (num * num) + 2])
         rest = slice(lo, hi)
-        dist = _hamming(b0[rest], b1[rest], b0[lead], b1[lead])
+        dist = _hamming(bits[rest], bits[lead])
         reach = sid[rest][dist <= apart[rest] + apart[rest] * den // num + 2]
         reach = reach[reach != sid[lead]]
         pairs.append(np.stack([np.full(len(reach), sid[lead]), reach]))
@@ -296,23 +341,48 @@ def _leaders(sid, b0, b1, n, apart, num, den) -> np.ndarray:
     return np.concatenate(pairs, axis=1)
 
 
-def _member_sets(k: int, split: Splitter, least: int):
-    """Rows (id, text, units [(unit, sid, fam, blocks)]) to (fam, sid, blocks, rank, copies, tokens)."""
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """Two bits of the filter for each key."""
+    h = _mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+    return np.stack([h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)]).astype(np.int64)
+
+
+def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of members to the words of a Bloom filter that they set, for their texts and for themselves."""
+    for batch in batches:
+        place = batch.column("rank").to_numpy()
+        bit = np.unique(np.concatenate([_slots(place >> UNIT_BITS).ravel(), _slots(~place).ravel()]))
+        word, at = bit >> 5, bit & 31
+        edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(word[edge]), pa.array(np.add.reduceat(1 << at, edge) if len(edge) else edge)], ["word", "bits"])
+
+
+def _filter(member: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over the members' texts and places, in words of 32 bits."""
+    rows = member.select("rank").mapInArrow(_filter_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = np.zeros(FILTER_BITS // 32, np.uint32)
+    words[rows.word.to_numpy(np.int64)] = rows.bits.to_numpy(np.int64).astype(np.uint32)
+    return words
+
+
+def _member_sets(k: int, split: Splitter, least: int, passing):
+    """Texts to (rank, sid, tokens) of the units that the filter lets pass."""
+
+    def on(keys: np.ndarray) -> np.ndarray:
+        at = _slots(keys)
+        return ((passing.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher(k)
+        memo = _Memo()
         for batch in batches:
-            by_row = [{(u["unit"], u["sid"]): u for u in units} for units in batch.column("units").to_pylist()]
-            cols = {c: [] for c in ("fam", "sid", "nb", "rank", "copies", "tokens")}
-            for row, no, s in _sets(batch.select(["id", "text"]), split, hasher, least):
-                if u := by_row[row].get((no, _sid(s))):
-                    for c in ("fam", "sid", "nb", "rank", "copies"):
-                        cols[c].append(u[c])
-                    cols["tokens"].append(s.tobytes())
-                if len(cols["fam"]) >= _SUB:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(cols[c], pa.int64()) for c in list(cols)[:-1]), pa.array(cols["tokens"], pa.binary())], list(cols))
-                    cols = {c: [] for c in cols}
-            yield pa.RecordBatch.from_arrays([*(pa.array(cols[c], pa.int64()) for c in list(cols)[:-1]), pa.array(cols["tokens"], pa.binary())], list(cols))
+            batch = batch.filter(pa.array(on(batch.column("id").to_numpy())))
+            place = batch.column("id").to_numpy() << UNIT_BITS
+            wanted = lambda row, n, place=place: np.flatnonzero(on(~(place[row] + np.arange(n)))).tolist()
+            for s in _sets(batch.column("text"), split, memo, k, least, wanted):
+                ends = np.cumsum(s.n) * 8
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                tokens = pa.BinaryArray.from_buffers(pa.binary(), len(s.n), [None, offsets.buffers()[1], pa.py_buffer(s.tok.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(place[s.row] + s.no), pa.array(s.sid), tokens], ["rank", "sid", "tokens"])
 
     return run
 
@@ -419,7 +489,7 @@ def similarity_classes(docs: DataFrame, *, split: Splitter, k: int, num: int, de
     level = np.minimum(np.log2(np.maximum(top.n.to_numpy(np.float64), 1)) + 1, 31).astype(np.uint64)
     heavy = spark.sparkContext.broadcast((h[order], level[order]))
 
-    index = docs.mapInArrow(_index_rows(k, split, least, num, den, part, heavy), "key long, sid long, b0 long, b1 long, meta long")
+    index = docs.mapInArrow(_index_rows(k, split, least, num, den, part, heavy), "key long, sid long, bits long, meta long")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     lists = index.repartition(width, "key").sortWithinPartitions("key", "meta")
     pairs = lists.mapInArrow(_list_links(num, den), "a long, b long")
@@ -430,13 +500,8 @@ def similarity_classes(docs: DataFrame, *, split: Splitter, k: int, num: int, de
     member = whole.join(family.select(F.col("node").alias("sid"), F.col("label").alias("fam")), "sid")
     size = member.groupBy("fam").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).cast("long").alias("nb"))
     member = materialise(member.join(size, "fam"), "members")
-    wanted = (
-        member.withColumn("id", F.shiftright("rank", UNIT_BITS))
-        .withColumn("unit", F.col("rank").bitwiseAND(F.lit((1 << UNIT_BITS) - 1)))
-        .groupBy("id")
-        .agg(F.collect_list(F.struct("unit", "sid", "fam", "nb", "rank", "copies")).alias("units"))
-    )
-    sets = docs.join(wanted, "id").mapInArrow(_member_sets(k, split, least), "fam long, sid long, nb long, rank long, copies long, tokens binary")
+    passing = spark.sparkContext.broadcast(_filter(member))
+    sets = docs.mapInArrow(_member_sets(k, split, least, passing), "rank long, sid long, tokens binary").join(member, ["sid", "rank"])
     own = F.pmod(F.xxhash64("sid"), F.col("nb")).alias("own")
     dealt = sets.select("fam", "sid", "rank", "copies", "tokens", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
     dealt = dealt.select("fam", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "own", "rank", "copies", "tokens")

@@ -131,3 +131,10 @@ def agreement(pairs: DataFrame, a: DataFrame, b: DataFrame, least: float = 0.5)
     agreed = x.join(close, "flow_a").join(y, ["flow_b", "hunk_id"]).select("hunk_id").distinct().agg(F.count("*").alias("agreed"))
     total = a.select("hunk_id").union(b.select("hunk_id")).distinct().agg(F.count("*").alias("total"))
     return agreed.crossJoin(total).select("agreed", "total", F.when(F.col("total") == 0, 1.0).otherwise(F.round(F.col("agreed") / F.col("total"), 6)).alias("agreement"))  # one row each
+
+
+def orphans(pairs: DataFrame, paired: DataFrame, flows_a: DataFrame) -> DataFrame:
+    """Flows of one side left without a partner, and the most similar flow of the other side (ties: the last name)."""
+    alone = flows_a.select(F.col("flow").alias("flow_a")).distinct().join(paired.select("flow_a"), "flow_a", "left_anti")
+    best = pairs.groupBy("flow_a").agg(F.max(F.struct("jaccard", "flow_b")).alias("m")).select("flow_a", F.col("m.flow_b").alias("nearest"), F.col("m.jaccard").alias("jaccard"))
+    return alone.join(best, "flow_a", "left")

@@ -72,3 +72,23 @@ def snapshot_hash(rows: DataFrame, keys: list[str], row: Column, buckets: int =
     by = h.groupBy(*keys, F.pmod(part, F.lit(buckets)).alias("b")).agg(F.sum(F.conv(F.substring("h", 9, 12), 16, 10).cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
     text = F.concat_ws(":", F.col("b").cast("string"), F.col("n").cast("string"), F.col("s").cast("string"))
     return by.groupBy(*keys).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", text.alias("t")))), lambda x: x["t"]), "\n"), 256).alias("sha"))
+
+
+def baseline_status(wanted: DataFrame, stored: DataFrame, keys: list[str], now: str, days: int = 60) -> DataFrame:
+    """Whether a stored baseline of each wanted key is fresh, stale (older than ``days`` at ``now``) or missing."""
+    last = stored.groupBy(*keys).agg(F.max("modified_at").alias("modified_at"))
+    limit = F.to_timestamp(F.lit(now)) - F.make_dt_interval(days=F.lit(days))
+    status = F.when(F.col("modified_at").isNull(), "missing").when(F.col("modified_at").cast("timestamp") < limit, "stale").otherwise("fresh")
+    return wanted.select(*keys).distinct().join(last, keys, "left").select(*keys, status.alias("status"))
+
+
+def edited_notes(notes: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """(note_id, anchor, text, created_at) after additions (blank ones are refused) and removals by id."""
+    clean = added.withColumn("text", F.trim("text")).where("text <> ''")
+    new = clean.select(hash_of(F.col("anchor"), F.col("text"), F.col("created_at")).alias("note_id"), "anchor", "text", "created_at")
+    return notes.select("note_id", "anchor", "text", "created_at").union(new).join(removed.select("note_id"), "note_id", "left_anti")
+
+
+def as_document(rows: DataFrame, keys: list[str], name: str = "json") -> DataFrame:
+    """Rows as JSON texts, null fields left out."""
+    return rows.select(*keys, F.to_json(F.struct(*[c for c in rows.columns])).alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import cost, evidence, flows, graph, hunks, resolve, review, state
+from ..operators import cost, evidence, flows, graph, hunks, resolve, review, state, transcripts
 from ..operators.diff import keyed_diff, paired, row_classes
 from ..session import ship_package
 from ..sources import reports, tree
@@ -852,8 +852,131 @@ def q_breaker(t: Tables) -> DataFrame:
     return progress.breaker_batch(_calls(t))
 
 
+def _edited_lines(t: Tables) -> DataFrame:
+    """Each document against itself with a word more in every third line."""
+    lines = t.lines().withColumn("doc", F.substring("file", 2, 20).cast("long"))
+    head = lines.withColumn("content", F.when(F.col("line") % 3 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content")))
+    return resolve.line_diff(lines, head, "doc")
+
+
 @query()
 def q_line_diff(t: Tables) -> DataFrame:
-    lines = t.lines().withColumn("doc", F.substring("file", 2, 20).cast("long"))
-    b, h = lines.where("doc % 2 = 0").withColumn("pair", F.expr("doc div 2")), lines.where("doc % 2 = 1").withColumn("pair", F.expr("doc div 2"))
-    return resolve.line_diff(b, h, "pair").groupBy("pair", "op").agg(F.count("*").alias("n"))
+    return _edited_lines(t).groupBy("doc", "op").agg(F.count("*").alias("n"))
+
+
+@query()
+def q_word_pairs(t: Tables) -> DataFrame:
+    return transcripts.word_pairs(_edited_lines(t), "doc").select("doc", "block", "k", "ratio")
+
+
+@query()
+def q_orphans(t: Tables) -> DataFrame:
+    pairs = flows.jaccard_pairs(t.flows_a(), t.flows_b())
+    return flows.orphans(pairs, flows.greedy_pairs(pairs), t.flows_a())
+
+
+# ---- recorded model output, sessions, rendering ---------------------------------------------------------------------
+
+
+@query("", """SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1) THEN NULL WHEN toxic = 1 THEN 'unrelated' ELSE 'delivers' END AS verdict, CASE WHEN doc_id % 5 IN (0, 1) THEN NULL ELSE 'low' END AS strength, CASE WHEN doc_id % 5 IN (0, 1) THEN NULL WHEN doc_id % 2 = 0 THEN doc_id ELSE -1 END AS claim_index,
+CASE doc_id % 5 WHEN 0 THEN 'NOT_A_VERDICT' WHEN 1 THEN 'UNKNOWN_VERDICT' END AS error FROM labels""")
+def q_verdict_parse(t: Tables) -> DataFrame:
+    d = F.col("doc_id")
+    v = F.when(d % 5 == 1, "great").when(F.col("toxic") == 1, "unrelated").otherwise("delivers")
+    text = F.when(d % 5 == 0, "I think so").otherwise(F.to_json(F.struct(v.alias("verdict"), F.when(d % 2 == 0, d).alias("claim_index"))))
+    return transcripts.verdicts(t.labels.select("doc_id", text.alias("text"))).select("doc_id", "verdict", "strength", "claim_index", "error")
+
+
+@query("", "SELECT page_id, CAST(0 AS BIGINT) AS claim_index, url AS statement, CASE WHEN page_id % 2 = 0 THEN 'test' ELSE 'observation' END AS evidence_type FROM pages")
+def q_intent_claims(t: Tables) -> DataFrame:
+    claim = lambda s, e: F.struct(s.alias("statement"), e.alias("evidence_type"))
+    kind = F.when(F.col("page_id") % 2 == 0, "test").otherwise("rumour")
+    text = F.to_json(F.struct(F.array(claim(F.lit("  "), kind), claim(F.col("url"), kind)).alias("claims")))
+    return transcripts.intent_claims(t.pages.select("page_id", text.alias("text")), "page_id").select("page_id", big("claim_index", "claim_index"), "statement", "evidence_type")
+
+
+@query("", "SELECT p_partkey, tool, entity FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'get_entity' WHEN 1 THEN 'neighbors' ELSE 'list_entities' END AS tool, unnest(CASE p_partkey % 3 WHEN 0 THEN [p_name] ELSE list_distinct([p_name, p_brand]) END) AS entity, p_partkey % 7 AS bad FROM part) WHERE bad <> 1 OR tool = 'get_entity'")
+def q_touched_entities(t: Tables) -> DataFrame:
+    p = F.col("p_partkey")
+    both = F.array(F.struct(F.col("p_name").alias("name")), F.struct(F.col("p_brand").alias("name")))
+    tool = F.when(p % 3 == 0, "get_entity").when(p % 3 == 1, "neighbors").otherwise("list_entities")
+    result = F.when(p % 7 == 1, "{broken").when(p % 3 == 1, F.to_json(F.struct(both.alias("nodes")))).otherwise(F.to_json(both))
+    return transcripts.touched_entities(t.part.select("p_partkey", tool.alias("tool"), F.col("p_name").alias("argument"), result.alias("result")), "p_partkey")
+
+
+@query("", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'because ' || role ELSE text END AS content, CASE WHEN turn % 3 = 0 THEN '{}' ELSE '{\"a\": 1}' END AS arguments, CAST(CASE WHEN turn % 2 = 0 THEN 0 ELSE length(text) END AS BIGINT) AS tokens FROM conversations")
+def q_responses(t: Tables) -> DataFrame:
+    n = F.col("turn")
+    rows = t.conversations.select("conv_id", "turn", F.when(n % 2 == 0, " ").otherwise(F.col("text")).alias("content"), F.concat(F.lit("because "), "role").alias("reasoning"), F.lit(0).alias("tool_calls"), F.when(n % 3 == 0, "oops").otherwise('{"a": 1}').alias("arguments"), F.when(n % 2 == 1, F.length("text")).alias("tokens"))
+    return transcripts.responses(rows).select("conv_id", "turn", "content", "arguments", big("tokens", "tokens"))
+
+
+@query("", "SELECT conv_id, count(*) AS turns, CAST(sum(n) AS BIGINT) AS tokens, max(turn_no) >= 4 AS at_limit FROM (SELECT conv_id, length(text) AS n, row_number() OVER w AS turn_no, coalesce(sum(CASE WHEN length(text) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role)) WHERE stops = 0 AND turn_no <= 4 GROUP BY conv_id")
+def q_probe_session(t: Tables) -> DataFrame:
+    got = transcripts.until_first_stop(t.conversations, "conv_id", ["turn", "role"], F.length("text") % 3 == 0, 4)
+    return got.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).cast("long").alias("tokens"), F.bool_or("at_limit").alias("at_limit"))
+
+
+@query("", "SELECT user_id, run, events FROM (SELECT user_id, CAST(run AS BIGINT) AS run, count(*) AS events, min(sec) AS f, max(sec) AS l FROM (SELECT *, sum(moved) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS run FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AND row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) > 1 THEN 0 ELSE 1 END AS moved FROM events)) GROUP BY user_id, run) WHERE l - f > 3600")
+def q_stuck(t: Tables) -> DataFrame:
+    e = t.events.select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("current"))
+    return transcripts.stuck(e, "user_id", 3600).select("user_id", big("run", "run"), "events")
+
+
+@query("flows_a", "SELECT flow, 'Review ' || count(DISTINCT hunk_id) || ' hunks of ' || flow || '; at most 40 calls.' AS prompt FROM flows_a GROUP BY flow")
+def q_prompt(t: Tables) -> DataFrame:
+    by = t.flows_a().groupBy("flow").agg(F.countDistinct("hunk_id").alias("n"))
+    return by.select("flow", transcripts.render("Review {{hunk_count}} hunks of {{flow}}; at most {{max_tool_calls}} calls.", {"hunk_count": F.col("n"), "flow": F.col("flow"), "max_tool_calls": F.lit(40)}).alias("prompt"))
+
+
+@query("flows_a", "SELECT flow, flow || ':' || chr(10) || string_agg('- ' || hunk_id || ' ' || signature, chr(10) ORDER BY hunk_id) AS text FROM flows_a GROUP BY flow")
+def q_flow_text(t: Tables) -> DataFrame:
+    return transcripts.rendered_flows(t.flows_a().select("flow", "hunk_id", F.col("signature").alias("label")))
+
+
+@query("", "SELECT p_partkey, arg_max(v, length(prefix)) AS value FROM (SELECT p_partkey, p_type || '-' || p_size AS model FROM part) LEFT JOIN (SELECT DISTINCT substr(p_type, 1, 3) AS prefix, 1 AS v FROM part WHERE p_type < 'N' UNION ALL SELECT DISTINCT p_type || '-1', 2 FROM part) d ON starts_with(model, prefix) GROUP BY p_partkey")
+def q_model_defaults(t: Tables) -> DataFrame:
+    models = t.part.select("p_partkey", F.concat("p_type", F.lit("-"), F.col("p_size").cast("string")).alias("model"))
+    defaults = t.part.where("p_type < 'N'").select(F.substring("p_type", 1, 3).alias("prefix"), F.lit(1).alias("value")).distinct().union(t.part.select(F.concat("p_type", F.lit("-1")), F.lit(2)).distinct())
+    return transcripts.by_longest_prefix(models, defaults, "model").select("p_partkey", "value")
+
+
+@query("", """SELECT a.p_partkey AS a_id, b.s_suppkey AS b_id, greatest(a.f, b.f) AS "from", least(a.t, b.t) AS "to" FROM (SELECT p_partkey, p_size % 5 AS key, p_partkey * 3 AS f, p_partkey * 3 + p_size AS t FROM part) a JOIN (SELECT s_suppkey, s_suppkey % 5 AS key, s_suppkey * 11 AS f, s_suppkey * 11 + 90 AS t FROM supplier) b ON a.key = b.key AND a.f < b.t AND b.f < a.t WHERE a.t > a.f""")
+def q_span_overlaps(t: Tables) -> DataFrame:
+    p, s = F.col("p_partkey"), F.col("s_suppkey")
+    a = t.part.select((F.col("p_size") % 5).cast("long").alias("key"), p.alias("a_id"), (p * 3).alias("a_from"), (p * 3 + F.col("p_size")).alias("a_to"))
+    b = t.supplier.select((s % 5).alias("key"), s.alias("b_id"), (s * 11).alias("b_from"), (s * 11 + 90).alias("b_to"))
+    return transcripts.overlaps(a, b, "key").select("a_id", "b_id", "from", "to")
+
+
+@query("", "SELECT c_custkey, CASE WHEN m IS NULL THEN 'missing' WHEN m < TIMESTAMP '2000-06-01 00:00:00' - INTERVAL 60 DAY THEN 'stale' ELSE 'fresh' END AS status FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS m FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def q_baseline_status(t: Tables) -> DataFrame:
+    stored = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("modified_at"))
+    return state.baseline_status(t.customer, stored, ["c_custkey"], "2000-06-01 00:00:00")
+
+
+@query("", "SELECT sha256(url || '|' || 'note ' || page_id || '|' || page_id) AS note_id, 'note ' || page_id AS text FROM pages WHERE page_id % 4 <> 0 AND page_id % 5 <> 0")
+def q_notes_edit(t: Tables) -> DataFrame:
+    p = F.col("page_id")
+    rows = t.pages.select(F.col("url").alias("anchor"), F.when(p % 4 == 0, "  ").otherwise(F.concat(F.lit(" note "), p.cast("string"), F.lit(" "))).alias("text"), p.cast("string").alias("created_at"))
+    none = rows.limit(0).select(F.lit("").alias("note_id"), "anchor", "text", "created_at")
+    gone = t.pages.where(p % 5 == 0).select(state.hash_of(F.col("url"), F.concat(F.lit("note "), p.cast("string")), p).alias("note_id"))
+    return state.edited_notes(none, rows, gone).select("note_id", "text")
+
+
+@query("", "SELECT doc_id, CAST(length(substr(text, 1, 200)) - length(replace(substr(text, 1, 200), chr(10), '')) + 1 AS BIGINT) AS line FROM documents")
+def q_line_of_offset(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", big(tx.line_of(F.col("text"), F.lit(200)), "line"))
+
+
+@query("nodes_head", "SELECT name, node_id FROM nodes_head WHERE contains(lower(name), 'ring') OR contains(lower(file), 'ring') ORDER BY name, node_id LIMIT 30")
+def q_palette_search(t: Tables) -> DataFrame:
+    hit = F.contains(F.lower("name"), F.lit("ring")) | F.contains(F.lower("file"), F.lit("ring"))
+    return t.nodes("head").where(hit).orderBy("name", "node_id").limit(30).select("name", "node_id")
+
+
+@query("analyses", "SELECT id, CASE WHEN id % 2 = 0 THEN 2 ELSE 3 END AS fields, status FROM analyses")
+def q_document_json(t: Tables) -> DataFrame:
+    rows = t.analyses().select("id", "status", F.when(F.col("id") % 2 == 1, F.col("message")).alias("message"))
+    text = state.as_document(rows, ["id"])
+    return text.select("id", F.size(F.json_object_keys("json")).alias("fields"), F.get_json_object("json", "$.status").alias("status"))

@@ -49,43 +49,58 @@ class Model:
         count: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
         for lang, n, gram, c in rows:
             count[n].setdefault(gram, np.zeros(len(langs)))[at[lang]] += c
-        self.known = []
+        tables = []
         for table in count:
             total = sum(table.values(), np.zeros(len(langs)))
-            self.known.append({g: np.log(c + 0.5) - np.log(total + 0.5 * (len(table) + 1)) for g, c in table.items()})
-        self.memo: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        got = self.known[0].get(w)
+            tables.append({g: np.log(c + 0.5) - np.log(total + 0.5 * (len(table) + 1)) for g, c in table.items()})
+        self.words = tables[0]
+        grams = [(g, v) for t in tables[1:] for g, v in t.items()]
+        self.gram_row = {g: i for i, (g, _) in enumerate(grams)}
+        self.gram_table = np.array([v for _, v in grams]).reshape(len(grams), len(langs))
+
+    def score(self, w: str) -> np.ndarray:
+        """A known word's log frequencies; else the mean of the longest known n-grams at its characters."""
+        got = self.words.get(w)
         if got is not None:
             return got
-        got = self.memo.get(w)
-        if got is None:
-            marked, parts, i = f"^{w}$", [], 0
-            while i < len(marked):
-                for n in range(min(LONGEST, len(marked) - i), 0, -1):
-                    hit = self.known[n].get(marked[i : i + n])
-                    if hit is not None:
-                        parts.append(hit)
-                        break
-                i += 1
-            got = sum(parts) / len(parts) if parts else np.zeros(len(self.langs))
-            if len(self.memo) >= _MEMO:
-                self.memo.clear()
-            self.memo[w] = got
-        return got
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(WORD.findall(text.lower())) if text else {}
+        marked, rows = f"^{w}$", []
+        for i in range(len(marked)):
+            for n in range(min(LONGEST, len(marked) - i), 0, -1):
+                row = self.gram_row.get(marked[i : i + n])
+                if row is not None:
+                    rows.append(row)
+                    break
+        return self.gram_table[rows].mean(axis=0) if rows else np.zeros(len(self.langs))
+
+    def predict(self, text: str | None, seen: _Rows) -> tuple[str, float]:
+        words = WORD.findall(text.lower()) if text else []
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
-        score = np.zeros(len(self.langs))
-        for w, c in words.items():
-            score += c * self.word(w)
+        score = seen.total(words)
         best = int(score.argmax())
         return self.langs[best], float(1 / np.exp(np.maximum(score - score[best], -700)).sum())
 
 
+class _Rows(dict):
+    """Words to rows of a table of their scores, which starts anew when it is full."""
+
+    def __init__(self, model: Model):
+        self.model, self.table = model, np.zeros((1024, len(model.langs)))
+
+    def __missing__(self, w: str) -> int:
+        at = self[w] = len(self)
+        if at >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[at] = self.model.score(w)
+        return at
+
+    def total(self, words: list[str]) -> np.ndarray:
+        if len(self) > _MEMO:
+            self.clear()
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.table[rows].sum(axis=0)
+
+
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most_docs: int = 20_000, most_words: int = 60_000, most_grams: int = 20_000) -> Model:
     """Learn from rows with a language. The sample is bounded: about ``most_docs`` rows chosen by the hash of
     their text, and the most frequent ``most_words`` words and ``most_grams`` n-grams of each length."""
@@ -108,8 +123,9 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
+        seen = _Rows(m)
         for batch in batches:
-            found = [m.predict(t.as_py()) for t in batch.column("text")]
+            found = [m.predict(t.as_py(), seen) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["id", "lang_pred", "score"])
 
     return run

@@ -7,39 +7,48 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .simjoin import UNIT_BITS, line_lists, similarity_classes
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        out, count = [], []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist()):
-            lines = None if text is None else text.split("\n")
-            count.append(0 if lines is None else len(lines))
-            if gone and lines is not None:
-                gone = set(gone)
-                text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-            out.append(text)
-        batch = batch.set_column(at, "text", pa.array(out, pa.string()))
-        yield batch.append_column("n_lines", pa.array(count, pa.int64()))
+def _rebuild(at: int):
+    """Texts without their gone lines; the two columns after them give the gone lines and take the counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, count, less = [], [], []
+            for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                lines = [] if text is None else text.split("\n")
+                gone = set(gone or ())
+                out.append(text if text is None or not gone else "\n".join([x for i, x in enumerate(lines) if i not in gone]))
+                count.append(len(lines)), less.append(len(gone))
+            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
+            cols[at] = pa.array(out, pa.string())
+            names = [*batch.schema.names[:-1], "_n_lines", "_n_removed"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(less, pa.int64())], names)
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, least: int = 5) -> DataFrame:
-    """(id, text, n_lines, n_removed): each text without the lines that match an earlier one.
+    return run
 
-    A line is a run between newlines, its tokens the distinct words of it (ASCII letters in lower case).
+
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, least: int = 5, keep_columns: bool = False) -> DataFrame:
+    """(id, text, n_lines, n_removed): each text without the lines that match an earlier one. With ``keep_columns``
+    all columns of ``docs`` come back, and the counts as _n_lines and _n_removed.
+
+    A line is a run between newlines, its tokens the distinct ``shingle``-word shingles of it (ASCII letters in
+    lower case; with 1 the words themselves).
     Lines match at a Jaccard similarity of num/den or more; the earlier is the one of the smaller id,
     then of the smaller line number. Lines of fewer than ``least`` words are structure (blank lines,
     bullets, braces): they neither go nor make others go. A null text stays null with no lines; an empty
     one has one line and keeps it. Of rows repeated with one id, none makes the other's lines go. Rows of
-    null id come back as they are. Other columns are ignored."""
+    null id come back as they are."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units, classes = similarity_classes(base.where("id is not null"), split=line_lists, k=1, num=num, den=den, part=48, least=least)
+    units, classes = similarity_classes(base.where("id is not null"), split=line_lists, k=shingle, num=num, den=den, part=64, least=least)
     place = F.col("id") * F.lit(1 << UNIT_BITS) + F.col("unit")
     first = classes.select("sid", F.least("rank0", "first").alias("before"))
-    gone = units.join(first, "sid").where(place > F.col("before")).groupBy("id").agg(F.collect_set("unit").alias("_gone"))
-    whole = base.join(gone, "id", "left")
-    out = whole.mapInArrow(_rebuild, "id long, text string, _gone array<long>, n_lines long")
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    gone = units.join(first, "sid").where(place > F.col("before")).groupBy(F.col("id").alias("_gone_id")).agg(F.collect_set("unit").alias("_gone"))
+    own = docs if keep_columns else docs.select(id_col, text_col)
+    whole = own.join(gone, own[id_col] == gone["_gone_id"], "left").select(*(own[c] for c in own.columns), "_gone")
+    counts = [T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())]
+    out = whole.mapInArrow(_rebuild(own.columns.index(text_col)), T.StructType([*own.schema.fields, *counts]))
+    return out if keep_columns else out.withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})

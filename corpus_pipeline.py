@@ -20,11 +20,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: lines that match an earlier one go; a document left without any text by that goes too."""
     ship_package(spark)
-    lines = line_dedup.line_dedup(docs).where(~((F.col("n_removed") > 0) & (F.trim(F.col("text")) == ""))).withColumnsRenamed({"doc_id": "_id", "text": "_text"})
-    rest = docs.drop("text")
-    out = rest.join(lines, rest["doc_id"].eqNullSafe(lines["_id"]))
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)}
-    return out.select(*(new.get(c, rest[c] if c in rest.columns else F.lit(None)).alias(c) for c in docs.columns))
+    lines = line_dedup.line_dedup(docs, keep_columns=True).where(~F.coalesce((F.col("_n_removed") > 0) & (F.trim("text") == ""), F.lit(False)))
+    return lines.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .simjoin import UNIT_BITS, line_lists, similarity_classes
+from .simjoin import UNIT_BITS, similarity_classes
 
 
 def _rebuild(at: int):
@@ -43,7 +43,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     one has one line and keeps it. Of rows repeated with one id, none makes the other's lines go. Rows of
     null id come back as they are."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units, classes = similarity_classes(base.where("id is not null"), split=line_lists, k=shingle, num=num, den=den, part=64, least=least)
+    units, classes = similarity_classes(base.where("id is not null"), lines=True, k=shingle, num=num, den=den, part=128, least=least)
     place = F.col("id") * F.lit(1 << UNIT_BITS) + F.col("unit")
     first = classes.select("sid", F.least("rank0", "first").alias("before"))
     gone = units.join(first, "sid").where(place > F.col("before")).groupBy(F.col("id").alias("_gone_id")).agg(F.collect_set("unit").alias("_gone"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simjoin import UNIT_BITS, similarity_classes, word_lists
+from .simjoin import UNIT_BITS, similarity_classes
 
 
 def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -19,7 +19,7 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     component. Other columns of ``docs`` are ignored, whatever their names."""
     part = 96 if 10 * num >= 9 * den else 48
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units, classes = similarity_classes(base.where("id is not null"), split=word_lists, k=shingle, num=num, den=den, part=part)
+    units, classes = similarity_classes(base.where("id is not null"), lines=False, k=shingle, num=num, den=den, part=part)
     root = classes.groupBy("label").agg(F.min("rank0").alias("r"))
     of_set = classes.join(root, "label").select("sid", F.shiftright("r", UNIT_BITS).alias("component_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
     found = units.join(of_set, "sid", "left").select(

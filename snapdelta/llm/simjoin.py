@@ -1,7 +1,6 @@
 """Exact Jaccard join of token sets, with set-relation skipping.
 
-The caller gives texts and a splitter that turns one text into units (a document's shingle set, or
-one set for each line). The join then runs in four Spark steps:
+A unit is a text, or each line of it; its set holds the hashes of its k-word shingles. The join then runs in four Spark steps:
 
 1. ``unit_table``: size and identity (a 64-bit hash of the sorted set) of every unit, and counts of the
    frequent tokens. Equal sets are one class from here on, so exact copies cost nothing more.
@@ -18,18 +17,17 @@ one set for each line). The join then runs in four Spark steps:
 4. ``_verify``: in a family, the overlaps of a set with all others are derived from those of the most
    similar set already answered, by the posting lists of the tokens in which the two differ.
 
-Token hashes are 64 bits wide: a pair of sets is misjudged with a chance of about n^2/2^64.
+Token hashes are 48 bits wide: a pair of sets of n tokens is misjudged with a chance of about n^2/2^48.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,22 +43,11 @@ BLOCK_SETS, BLOCK_TOKENS = 1024, 2_000_000
 UNIT_BITS = 22
 #: Size of the filter that lets only members' texts be read again. Beyond its reach more texts are; none is lost.
 FILTER_BITS = 1 << 24
-_VOCAB = 1 << 20
-#: Words of one vectorised step.
-_WORDS = 500_000
-
-Splitter = Callable[[bytes], Iterable[list[bytes]]]
-
-
-def word_lists(text: bytes) -> Iterable[list[bytes]]:
-    """One unit: all words of the text, ASCII letters in lower case."""
-    return (text.lower().split(),)
-
-
-def line_lists(text: bytes) -> Iterable[list[bytes]]:
-    """One unit for each line."""
-    return (line.split() for line in text.lower().split(b"\n"))
-
+#: Width of a token's hash.
+TOKEN_BITS = 48
+_TOKEN = np.uint64((1 << TOKEN_BITS) - 1)
+#: Bytes and units of one vectorised step (a longer text is a step of its own).
+_BYTES, _UNITS = 1_000_000, 1 << 16
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -68,14 +55,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Memo(dict):
-    """Words to 64-bit hashes."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 class Sets(NamedTuple):
     """Token sets of some units, one after the other, each in order: where a unit stands, and what it holds."""
 
@@ -86,61 +65,100 @@ class Sets(NamedTuple):
     tok: np.ndarray
 
 
-def _token_sets(units: list[list[bytes]], rows: list[int], nos: list[int], memo: _Memo, k: int) -> Sets:
-    """Distinct hashes of the k-word shingles of each unit; of the whole sequence where it is shorter."""
-    if len(memo) > _VOCAB:
-        memo.clear()
-    c = np.array([len(u) for u in units], np.int64)
-    h = np.fromiter(map(memo.__getitem__, chain.from_iterable(units)), np.uint64, int(c.sum()))
-    start = np.concatenate([[0], np.cumsum(c)])[:-1]
-    at = np.repeat(np.arange(len(units)), np.maximum(c - k + 1, 0))
-    first = np.arange(len(at)) + np.repeat(start - np.concatenate([[0], np.cumsum(np.maximum(c - k + 1, 0))[:-1]]), np.maximum(c - k + 1, 0))
+# Word hashes come from the bytes themselves: random values of the bytes times powers of an odd number, summed
+# over the word modulo 2^64 and freed of the word's place, then mixed.
+_POWER = 0x9E3779B97F4A7C15
+_VALUE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+_VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]  # ASCII letters in lower case
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % (1 << 64), np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _words(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, line) of each word of some texts, in order; lines are counted from 0 within a text."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    lo, n = offsets[0], offsets[-1] - offsets[0]
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[lo : lo + n]
+    first = (offsets - lo)[:-1]
+    edge = np.zeros(n + 1, bool)  # where a text begins or the last ends
+    edge[first] = True
+    edge[n] = True
+    space = _SPACE[data]
+    before = np.concatenate([[True], space[:-1]]) | edge[:-1]
+    after = np.concatenate([space[1:], [True]]) | edge[1:]
+    start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUE[data] * _powers(_POWER, n))])
+    h = _mix((sums[end] - sums[start]) * _powers(pow(_POWER, -1, 1 << 64), n)[start] + (end - start).astype(np.uint64))
+    row = np.searchsorted(first, start, "right") - 1
+    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    return h, row, breaks[start] - breaks[first[row]]
+
+
+def _token_sets(h: np.ndarray, c: np.ndarray, rows: np.ndarray, nos: np.ndarray, k: int) -> Sets:
+    """Distinct hashes of the k-word shingles of units of c words each; of the whole sequence where it is shorter."""
+    start = np.cumsum(c) - c
+    m = np.maximum(c - k + 1, 0)
+    at = np.repeat(np.arange(len(c)), m)
+    first = np.arange(len(at)) + np.repeat(start - (np.cumsum(m) - m), m)
 
     def gram(first: np.ndarray, length: int, seed: int) -> np.ndarray:
         out = h[first] + np.uint64(seed)
         for i in range(1, length):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[first + i])
+            out = _mix(out * np.uint64(_POWER) + h[first + i])
         return _mix(out)
 
     toks, owners = [gram(first, k, 0)], [at]
     for length in range(1, k):
         if len(few := np.flatnonzero(c == length)):
             toks.append(gram(start[few], length, length)), owners.append(few)
-    tok, at = np.concatenate(toks), np.concatenate(owners)
-    order = np.argsort(tok)
-    order = order[np.argsort(at[order].astype(np.uint16), kind="stable")]
-    tok, at = tok[order], at[order]
-    keep = np.ones(len(tok), bool)
-    keep[1:] = (tok[1:] != tok[:-1]) | (at[1:] != at[:-1])
-    tok, at = tok[keep], at[keep]
-    n = np.bincount(at, minlength=len(units))
+    # one sort of unit number and token in one word; units of a step are fewer than 2^16
+    key = np.sort((np.concatenate(owners).astype(np.uint64) << np.uint64(TOKEN_BITS)) | (np.concatenate(toks) & _TOKEN))
+    keep = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=keep[1:])
+    key = key[keep]
+    tok, at = key & _TOKEN, (key >> np.uint64(TOKEN_BITS)).astype(np.int64)
+    n = np.bincount(at, minlength=len(c))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(tok ^ np.uint64(0xD6E8FEB86659FD93)))])  # wraps around
     ends = np.cumsum(n)
     sid = (_mix(sums[ends] - sums[ends - n] + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-    return Sets(np.array(rows, np.int64), np.array(nos, np.int64), n, sid, tok)
-
-
-def _sets(texts: pa.Array, split: Splitter, memo: _Memo, k: int, least: int, wanted=None) -> Iterator[Sets]:
-    """The sets of all units of some texts that have ``least`` words; ``wanted`` chooses units by row and count."""
-    units, rows, nos, words = [], [], [], 0
-    for row, text in enumerate(texts):
-        if (text := text.as_py()) is None:
-            continue
-        own = list(split(text.encode("utf-8", "surrogatepass")))
-        for no in range(len(own)) if wanted is None else wanted(row, len(own)):
-            if len(own[no]) >= least:
-                units.append(own[no]), rows.append(row), nos.append(no)
-                words += len(own[no])
-                if words > _WORDS or len(units) >= 1 << 16:
-                    yield _token_sets(units, rows, nos, memo, k)
-                    units, rows, nos, words = [], [], [], 0
-    if units:
-        yield _token_sets(units, rows, nos, memo, k)
-
-
-def _unit_rows(k: int, split: Splitter, least: int):
+    return Sets(rows, nos, n, sid, tok)
+
+
+def _sets(texts: pa.StringArray, lines: bool, k: int, least: int, wanted=None) -> Iterator[Sets]:
+    """The sets of all units of some texts that have ``least`` words; ``wanted`` chooses units by row and number."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    step = np.cumsum(size) // _BYTES
+    cut = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]])) if len(step) else []
+    for lo, hi in zip(cut, [*cut[1:], len(texts)]):
+        part = texts.slice(lo, hi - lo)
+        h, row, line = _words(part)
+        if lines:
+            edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (line[1:] != line[:-1])])) if len(h) else np.empty(0, np.int64)
+            rows, nos, c = row[edge], line[edge], np.diff(np.concatenate([edge, [len(h)]]))
+        else:
+            rows = np.flatnonzero(part.is_valid().to_numpy(zero_copy_only=False))
+            nos, c = np.zeros(len(rows), np.int64), np.bincount(row, minlength=len(part))[rows]
+        use = c >= max(least, 1) if lines else c >= least
+        if wanted is not None:
+            use &= wanted(rows + lo, nos)
+        h, rows, nos, c = h[np.repeat(use, c)], rows[use] + lo, nos[use], c[use]
+        ends = np.cumsum(c)
+        for i in range(0, len(c), _UNITS):
+            j = min(i + _UNITS, len(c))
+            yield _token_sets(h[ends[i] - c[i] : ends[j - 1]], c[i:j], rows[i:j], nos[i:j], k)
+
+
+def _unit_rows(k: int, lines: bool, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, n_held = _Memo(), [], 0
+        held, n_held = [], 0
 
         def counts() -> pa.RecordBatch:
             v, n = np.unique(np.concatenate(held), return_counts=True)
@@ -152,12 +170,12 @@ def _unit_rows(k: int, split: Splitter, least: int):
             return pa.RecordBatch.from_arrays([none, none, pa.array(n), pa.array(v.view(np.int64))], ["id", "unit", "n", "sid"])
 
         for batch in batches:
-            for s in _sets(batch.column("text"), split, memo, k, least):
+            for s in _sets(batch.column("text"), lines, k, least):
                 ids = batch.column("id").take(pa.array(s.row))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(s.no), pa.array(s.n), pa.array(s.sid)], ["id", "unit", "n", "sid"])
                 held.append(s.tok)
                 n_held += len(s.tok)
-                if n_held > 4_000_000:
+                if n_held > 2_000_000:
                     yield counts()
                     held, n_held = [], 0
         if held:
@@ -175,15 +193,16 @@ def _parts(n: np.ndarray, part: int) -> np.ndarray:
     return (1 << np.ceil(np.log2(np.maximum(n / part, 1))).astype(np.int64)).astype(np.int64)
 
 
-def _index_rows(k: int, split: Splitter, least: int, num: int, den: int, part: int, heavy):
+def _index_rows(k: int, lines: bool, least: int, num: int, den: int, part: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo()
         heavy_h, heavy_c = heavy.value
+        near = np.zeros(1 << 22, bool)  # leading bits of frequent tokens: the search is for few
+        near[(heavy_h >> np.uint64(TOKEN_BITS - 22)).astype(np.int64)] = True
         for batch in batches:
-            for s in _sets(batch.column("text"), split, memo, k, least):
-                yield from emit(s, heavy_h, heavy_c)
+            for s in _sets(batch.column("text"), lines, k, least):
+                yield from emit(s, heavy_h, heavy_c, near)
 
-    def emit(s: Sets, heavy_h: np.ndarray, heavy_c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(s: Sets, heavy_h: np.ndarray, heavy_c: np.ndarray, near: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.zeros(len(s.n), bool)
         first[np.unique(s.sid, return_index=True)[1]] = True  # copies within a batch need one entry
         first &= s.n > 0
@@ -192,10 +211,11 @@ def _index_rows(k: int, split: Splitter, least: int, num: int, den: int, part: i
             return
         unit = np.repeat(np.arange(len(n)), n)
         rare = np.zeros(len(tok), np.uint64)
-        if len(heavy_h):
-            at = np.minimum(np.searchsorted(heavy_h, tok), len(heavy_h) - 1)
-            hit = heavy_h[at] == tok
-            rare[hit] = heavy_c[at[hit]]
+        maybe = np.flatnonzero(near[(tok >> np.uint64(TOKEN_BITS - 22)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(heavy_h, tok[maybe]), len(heavy_h) - 1)
+            hit = heavy_h[at] == tok[maybe]
+            rare[maybe[hit]] = heavy_c[at[hit]]
         k_own, k_low = _parts(n, part), _parts((n * num + den - 1) // den, part)
         yield from one(tok, unit, rare, n, sid, k_own, np.ones(len(n), bool))
         if (low := k_low != k_own).any():
@@ -211,7 +231,7 @@ def _index_rows(k: int, split: Splitter, least: int, num: int, den: int, part: i
         owner = np.repeat(np.arange(len(n)), parts)
         size = np.bincount(seg, minlength=base[-1])
         apart = most_apart(n, num, den)[owner] // parts[owner]
-        order = np.argsort((seg.astype(np.uint64) << np.uint64(40)) | (rare << np.uint64(35)) | (tok >> np.uint64(29)), kind="stable")
+        order = np.argsort((seg << 5) | rare.astype(np.int64), kind="stable")  # tokens of a unit come in order already
         tok, seg = tok[order], seg[order]
         start = np.concatenate([[0], np.cumsum(size)])[:-1]
         pos = np.arange(len(tok)) - start[seg]
@@ -365,7 +385,7 @@ def _filter(member: DataFrame) -> np.ndarray:
     return words
 
 
-def _member_sets(k: int, split: Splitter, least: int, passing):
+def _member_sets(k: int, lines: bool, least: int, passing):
     """Texts to (rank, sid, tokens) of the units that the filter lets pass."""
 
     def on(keys: np.ndarray) -> np.ndarray:
@@ -373,12 +393,11 @@ def _member_sets(k: int, split: Splitter, least: int, passing):
         return ((passing.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo()
         for batch in batches:
             batch = batch.filter(pa.array(on(batch.column("id").to_numpy())))
             place = batch.column("id").to_numpy() << UNIT_BITS
-            wanted = lambda row, n, place=place: np.flatnonzero(on(~(place[row] + np.arange(n)))).tolist()
-            for s in _sets(batch.column("text"), split, memo, k, least, wanted):
+            wanted = lambda row, no, place=place: on(~(place[row] + no))
+            for s in _sets(batch.column("text"), lines, k, least, wanted):
                 ends = np.cumsum(s.n) * 8
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 tokens = pa.BinaryArray.from_buffers(pa.binary(), len(s.n), [None, offsets.buffers()[1], pa.py_buffer(s.tok.tobytes())])
@@ -471,7 +490,7 @@ def _verify(num: int, den: int):
     return run
 
 
-def similarity_classes(docs: DataFrame, *, split: Splitter, k: int, num: int, den: int, part: int, least: int = 0) -> tuple[DataFrame, DataFrame]:
+def similarity_classes(docs: DataFrame, *, lines: bool, k: int, num: int, den: int, part: int, least: int = 0) -> tuple[DataFrame, DataFrame]:
     """Join all units of ``docs(id, text)`` at Jaccard >= num/den.
 
     Returns two written tables: units (id, unit, n, sid) with one row for each unit of at least
@@ -481,7 +500,7 @@ def similarity_classes(docs: DataFrame, *, split: Splitter, k: int, num: int, de
     Null texts have no units. Ids are whole numbers below 2^40 in size; a text has at most 2^22 units."""
     spark = docs.sparkSession
     docs = docs.select("id", "text")
-    seen = materialise(docs.mapInArrow(_unit_rows(k, split, least), "id long, unit long, n long, sid long"), "units")
+    seen = materialise(docs.mapInArrow(_unit_rows(k, lines, least), "id long, unit long, n long, sid long"), "units")
     units = seen.where("unit is not null")
     top = seen.where("unit is null").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(TOP_TOKENS).toPandas()
     h = top.sid.to_numpy(np.int64).view(np.uint64)
@@ -489,7 +508,7 @@ def similarity_classes(docs: DataFrame, *, split: Splitter, k: int, num: int, de
     level = np.minimum(np.log2(np.maximum(top.n.to_numpy(np.float64), 1)) + 1, 31).astype(np.uint64)
     heavy = spark.sparkContext.broadcast((h[order], level[order]))
 
-    index = docs.mapInArrow(_index_rows(k, split, least, num, den, part, heavy), "key long, sid long, bits long, meta long")
+    index = docs.mapInArrow(_index_rows(k, lines, least, num, den, part, heavy), "key long, sid long, bits long, meta long")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     lists = index.repartition(width, "key").sortWithinPartitions("key", "meta")
     pairs = lists.mapInArrow(_list_links(num, den), "a long, b long")
@@ -501,7 +520,7 @@ def similarity_classes(docs: DataFrame, *, split: Splitter, k: int, num: int, de
     size = member.groupBy("fam").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).cast("long").alias("nb"))
     member = materialise(member.join(size, "fam"), "members")
     passing = spark.sparkContext.broadcast(_filter(member))
-    sets = docs.mapInArrow(_member_sets(k, split, least, passing), "rank long, sid long, tokens binary").join(member, ["sid", "rank"])
+    sets = docs.mapInArrow(_member_sets(k, lines, least, passing), "rank long, sid long, tokens binary").join(member, ["sid", "rank"])
     own = F.pmod(F.xxhash64("sid"), F.col("nb")).alias("own")
     dealt = sets.select("fam", "sid", "rank", "copies", "tokens", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
     dealt = dealt.select("fam", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "own", "rank", "copies", "tokens")

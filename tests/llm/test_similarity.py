@@ -36,7 +36,7 @@ def texts(seed, n=160, words=60):
         for _ in range(r.choice([0, 0, 1, 2, 5]) * len(w) // 60):
             w[r.randrange(len(w))] = r.choice(vocab)
         out.append(" ".join(w))
-    return [*out, "", "  \n ", "Same Words", "same words", " ".join(r.choice(vocab) for _ in range(6000))]
+    return [*out, "", "  \n ", "Same Words", "same words", "É é\x0bx\x1cy tab\tsep\x0cform \u3000 z", "É é x\x1cy tab sep form \u3000 Z", " ".join(r.choice(vocab) for _ in range(6000))]
 
 
 def expected(ids, sets, num, den):

@@ -31,15 +31,15 @@ def _rebuild(at: int):
     return run
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, least: int = 5, keep_columns: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, num: int = 4, den: int = 5, least: int = 5, keep_columns: bool = False) -> DataFrame:
     """(id, text, n_lines, n_removed): each text without the lines that match an earlier one. With ``keep_columns``
     all columns of ``docs`` come back, and the counts as _n_lines and _n_removed.
 
-    A line is a run between newlines, its tokens the distinct ``shingle``-word shingles of it (ASCII letters in
-    lower case; with 1 the words themselves).
+    A line is a run between newlines, its tokens the distinct words of it (ASCII letters in lower case), or with
+    ``shingle`` above 1 its shingles of so many words.
     Lines match at a Jaccard similarity of num/den or more; the earlier is the one of the smaller id,
-    then of the smaller line number. Lines of fewer than ``least`` words are structure (blank lines,
-    bullets, braces): they neither go nor make others go. A null text stays null with no lines; an empty
+    then of the smaller line number. Lines of fewer than ``least`` words neither go nor make
+    others go; with 1 these are the blank lines only, as in the registered queries. A null text stays null with no lines; an empty
     one has one line and keeps it. Of rows repeated with one id, none makes the other's lines go. Rows of
     null id come back as they are."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -34,7 +34,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"), shingle=1, least=1)
 
 
 def op6_rotated_codes_search(spark: SparkSession, sf_dir: str) -> DataFrame:

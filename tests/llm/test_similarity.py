@@ -132,3 +132,17 @@ def test_lines_edge_cases(spark):
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup(df).collect()}
     assert got == {1: (None, 0, 0), 2: ("", 1, 0), 3: (f"{row}\n", 3, 1), 4: ("", 1, 1), None: (row, 1, 0)}
     assert line_dedup(df.limit(0)).collect() == []
+
+
+def test_registered_line_queries_use_words_and_short_lines(spark, tmp_path):
+    """One changed inner word of ten, and repeats of one to four words: both go, blank lines stay."""
+    import corpus_pipeline
+    from snapdelta.llm.queries import op5_line_dedup
+
+    a, b = "a b c d e f g h i j k l", "a b c d e X g h i j k l"
+    rows = [(1, f"{a}\nread more\n\n}}"), (2, f"{b}\n\nRead More\n}}\nown line"), (3, "read less")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: f"{a}\nread more\n\n}}", 2: "\nown line", 3: "read less"}
+    assert {r.doc_id: r.text for r in op5_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()} == want

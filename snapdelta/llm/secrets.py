@@ -22,7 +22,9 @@ KINDS = ("assign", "access", "hex", "random")
 #: Strings that may be random: what keys and tokens are made of.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 # Known digests and identifiers: hexadecimal digests, UUIDs, numbers, and words joined by - _ / (slugs, paths).
-KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+)(?:[-_/=+]+(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+))*)")
+DIGEST = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+RUN = re.compile(r"[A-Za-z0-9]+")
+WORD = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+")
 
 
 def _encoding(path: str) -> tiktoken.Encoding:
@@ -41,13 +43,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
 
 
+def known(s: str) -> bool:
+    """Whether a candidate is a known digest or identifier. Runs are tried one by one: linear in any case."""
+    return bool(DIGEST.fullmatch(s)) or all(WORD.fullmatch(x) for x in RUN.findall(s))
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding: tiktoken.Encoding, most: float) -> list[tuple[int, int, int]]:
     """Spans of strings that take many tokens for their length: letters with digits, no known digest or
     identifier, not touching a fixed span."""
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s) or KNOWN.fullmatch(s):
+        if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s) or known(s):
             continue
         a, b = m.span()
         if any(x < b and a < y for x, _, y in taken):

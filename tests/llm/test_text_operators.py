@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import public_tokenizers
 import pytest
@@ -58,6 +61,20 @@ def test_secrets(spark):
     assert [got[i].spans for i in (5, 6, 7)] == ["", "", ""]
 
 
+LONG_RULES = """
+from snapdelta.llm import secrets
+class OneToken:
+    encode_ordinary = staticmethod(lambda s: [0])
+for part in ("-", "=", "ab-", "A_"):
+    assert secrets.random_spans(part * 4000 + "v2", [], OneToken, 2.0) == []
+"""
+
+
+def test_long_rule_before_letter_and_digit_ends():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", LONG_RULES], check=True, timeout=60, cwd=root)
+
+
 def test_language(spark):
     en, de = "the house and the garden with a tree", "das haus und der garten mit einem baum"
     train = spark.createDataFrame([(i, [en, de][i % 2], ["en", "de"][i % 2]) for i in range(40)] + [(99, "x", None), (98, None, "en")], "doc_id long, text string, lang string")

@@ -449,7 +449,8 @@ def _answers(sets: list[np.ndarray], num: int, den: int, cross: np.ndarray | Non
 
 def _verify(num: int, den: int):
     """Families (or pairs of their blocks) to (sid, label, links, first): the smallest set id linked
-    within the block, the number of linked units, and the smallest rank among them."""
+    within the block, the number of linked units, and the smallest rank among them. A set that repeated
+    rows give more than once comes back once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_key(batches, ("fam", "i", "j")):
@@ -457,11 +458,12 @@ def _verify(num: int, den: int):
             tokens = t.column("tokens")
             edge = np.flatnonzero(np.concatenate([[True], (fam[1:] != fam[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
             label, links, first = sid.copy(), np.zeros(len(sid), np.int64), np.full(len(sid), np.iinfo(np.int64).max)
+            once = np.ones(len(sid), bool)
             for s, e in zip(edge, [*edge[1:], len(sid)]):
                 if e - s < 2:
                     continue
-                at = np.arange(s, e)  # by sid; a repeated row gives the same set again
-                at = at[np.concatenate([[True], sid[s + 1 : e] != sid[s : e - 1]])]
+                once[s + 1 : e] = sid[s + 1 : e] != sid[s : e - 1]
+                at = s + np.flatnonzero(once[s:e])  # by sid; a repeated row gives the same set again
                 sets = [np.frombuffer(tokens[int(x)].as_py(), np.uint64) for x in at]
                 at = at[by_size := np.argsort([len(x) for x in sets], kind="stable")]
                 root = np.arange(len(at))
@@ -485,7 +487,7 @@ def _verify(num: int, den: int):
                 low = np.full(len(at), np.iinfo(np.int64).max)
                 np.minimum.at(low, top, sid[at])
                 label[at] = low[top]
-            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(label), pa.array(links), pa.array(first)], ["sid", "label", "links", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[once]) for c in (sid, label, links, first)], ["sid", "label", "links", "first"])
 
     return run
 

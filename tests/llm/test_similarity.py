@@ -98,6 +98,22 @@ def test_join_nulls_repeats_and_other_columns(spark):
     assert sorted((str(r.doc_id) for r in kept.collect())) == ["1", "1", "3", "None"]
 
 
+def test_join_of_repeated_rows_with_near_partners(spark, monkeypatch):
+    from snapdelta.llm import simjoin
+
+    words = [f"w{i}" for i in range(40)]
+    near = " ".join([*words[:-1], "x"])
+    df = spark.createDataFrame([(3, " ".join(words)), (5, near), (5, near), (8, "alone")], "doc_id long, text string")
+    for sets in (simjoin.BLOCK_SETS, 1):
+        monkeypatch.setattr(simjoin, "BLOCK_SETS", sets)
+        joined = ngram_jaccard(df, shingle=3, num=9, den=10).collect()
+        assert sorted((r.doc_id, r.component_id) for r in joined) == [(3, 3), (5, 3), (5, 3), (8, 8)]
+        both = ngram_jaccard(df.union(df), shingle=3, num=9, den=10).collect()
+        assert sorted((r.doc_id, r.component_id) for r in both) == [(3, 3)] * 2 + [(5, 3)] * 4 + [(8, 8)] * 2
+    kept = one_of_each(df, ngram_jaccard(df, shingle=3, num=9, den=10))
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 8]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (None, 4), (7, 3)], "a long, b long")
     assert {(r.node, r.label) for r in connected_components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 1), (9, 8), (8, 8)}

@@ -23,6 +23,7 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 # Known digests and identifiers: hexadecimal digests, UUIDs, numbers, and words joined by - _ / (slugs, paths).
 DIGEST = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
 RUN = re.compile(r"[A-Za-z0-9]+")
 WORD = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+")
 
@@ -48,19 +49,49 @@ def known(s: str) -> bool:
     return bool(DIGEST.fullmatch(s)) or all(WORD.fullmatch(x) for x in RUN.findall(s))
 
 
+def _mixed(s: str) -> bool:
+    """Whether letters come with digits, or a run mixes cases otherwise than by a capital first letter."""
+    letters = any(c.isalpha() for c in s)
+    return letters and (any(c.isdigit() for c in s) or not all(WORD.fullmatch(x) for x in RUN.findall(s)))
+
+
+def _pieces(s: str) -> Iterator[tuple[int, int]]:
+    """What lies between the readable words and the identifiers of a candidate, and each run of 16 in it."""
+    breaks = [m.span() for m in UUID.finditer(s)]
+    breaks += [m.span() for m in RUN.finditer(s) if DIGEST.fullmatch(m[0]) or len(m[0]) > 2 and WORD.fullmatch(m[0])]
+    at = 0
+    for a, b in [*sorted(breaks), (len(s), len(s))]:
+        runs = [(at + m.start(), at + m.end()) for m in RUN.finditer(s[at:a])] if a - at >= 16 else []
+        if runs and runs[-1][1] - runs[0][0] >= 16:
+            yield runs[0][0], runs[-1][1]
+            if len(runs) > 1:
+                yield from (r for r in runs if r[1] - r[0] >= 16)
+        at = max(at, b)
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding: tiktoken.Encoding, most: float) -> list[tuple[int, int, int]]:
-    """Spans of strings that take many tokens for their length: letters with digits, no known digest or
-    identifier, not touching a fixed span."""
+    """Spans of strings that take many tokens for their length: letters with digits or in mixed case, no known
+    digest or identifier, not touching a fixed span. A candidate that does not pass whole is tried in pieces."""
     out = []
+
+    def passes(a: int, b: int) -> bool:
+        s = text[a:b]
+        if not _mixed(s) or known(s) or any(x < b and a < y for x, _, y in taken):
+            return False
+        return len(s) <= most * len(encoding.encode_ordinary(s))
+
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s) or known(s):
-            continue
         a, b = m.span()
-        if any(x < b and a < y for x, _, y in taken):
+        if known(m[0]):
             continue
-        if len(s) <= most * len(encoding.encode_ordinary(s)):
+        if passes(a, b):
             out.append((a, 3, b))
+            continue
+        end = a
+        for x, y in _pieces(m[0]):
+            if a + x >= end and passes(a + x, a + y):  # runs of a piece that passed are in it
+                out.append((a + x, 3, a + y))
+                end = a + y
     return out
 
 
@@ -94,8 +125,9 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Spans are kind:start:end in code points, end exclusive, by start and then in the order of KINDS. The
     fixed patterns match leftmost and without overlap within a kind; too short matches go. ``random`` spans
     have at most ``most`` characters a token under the vocabulary file ``vocabulary`` (a path that each
-    worker can read) and hold letters and digits; digests of known lengths, UUIDs, numbers and joined words
-    are left out, and so is what a fixed span covers. A null text counts as empty: no spans. Repeated rows
+    worker can read) and hold letters with digits or in mixed case; where a whole string has more, what lies
+    between its readable words, and each run between separators, is tried by itself. Digests of known lengths,
+    UUIDs, numbers and joined words are left out, and so is what a fixed span covers. A null text counts as empty: no spans. Repeated rows
     come back as often as given; other columns are ignored."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()

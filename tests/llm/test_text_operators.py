@@ -61,6 +61,20 @@ def test_secrets(spark):
     assert [got[i].spans for i in (5, 6, 7)] == ["", "", ""]
 
 
+def test_random_strings_without_digits_and_behind_words():
+    encoding = secrets._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    r = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    find = lambda s: [s[a:b] for a, _, b in secrets.random_spans(s, [], encoding, 2.0)]
+    keys = ["".join(r.choice(letters) for _ in range(32)) for _ in range(200)]
+    assert sum(find(k) == [k] for k in keys) >= 190
+    for before in ("/static/downloads/attachments/", "Authorization-Bearer-", "customer_access_credential="):
+        keys = ["".join(r.choice(letters + "0123456789") for _ in range(20)) for _ in range(200)]
+        assert sum(any(x.endswith(k) for x in find(before + k)) for k in keys) >= 180
+    plain = ["getElementByIdentifierFromDocument", "/objects/123e4567-e89b-12d3-a456-426614174000/content", "/static/d41d8cd98f00b204E9800998ECF8427E/attachments", "some-long_Slug-NAME-2024/readable"]
+    assert [find(s) for s in plain] == [[], [], [], []]
+
+
 LONG_RULES = """
 from snapdelta.llm import secrets
 class OneToken:

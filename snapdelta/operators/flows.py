@@ -106,22 +106,25 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, group: str = "flow", item: str = "
     return shared.select("flow_a", "flow_b", "shared", (F.col("na") - F.col("shared")).alias("a_only"), (F.col("nb") - F.col("shared")).alias("b_only"), F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))
 
 
-def greedy_pairs(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def greedy_pairs(pairs: DataFrame) -> DataFrame:
     """One-to-one pairing of flows by similarity: each round pairs flows that are each other's best (by jaccard,
     then names) among those left. Rounds end when no pair is left; mutual best pairs of a total order are those
-    that a greedy walk over all pairs by that order takes."""
-    left = pairs.select("flow_a", "flow_b", "jaccard")
-    out = None
-    for _ in range(rounds):
+    that a greedy walk over all pairs by that order takes. The best pair of all is one, so each round takes some."""
+    left = pairs.select("flow_a", "flow_b", "jaccard").where("flow_a is not null and flow_b is not null")
+    out, parts = None, 0
+    while True:
         order = F.struct(-F.col("jaccard"), "flow_a", "flow_b")
         best_a = left.groupBy("flow_a").agg(F.min(order).alias("m")).select("m.flow_a", "m.flow_b")
         best_b = left.groupBy("flow_b").agg(F.min(order).alias("m")).select("m.flow_a", "m.flow_b")
         mutual = written(left.join(best_a, ["flow_a", "flow_b"], "left_semi").join(best_b, ["flow_a", "flow_b"], "left_semi"), "pairs")
-        out = mutual if out is None else out.union(mutual)
+        out, parts = (mutual, 1) if out is None else (out.union(mutual), parts + 1)
         left = written(left.join(mutual, "flow_a", "left_anti").join(mutual.select("flow_b"), "flow_b", "left_anti"), "left")
         if left.limit(1).count() == 0:
-            break
-    return out
+            return out
+        if mutual.limit(1).count() == 0:
+            raise RuntimeError("pairs are left but none was taken")
+        if parts >= 32:  # few tables to read in the plan, however many rounds
+            out, parts = written(out, "pairs"), 1
 
 
 def agreement(pairs: DataFrame, a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:

@@ -41,7 +41,7 @@ def passages_found(passages: DataFrame, docs: DataFrame, width: int = 16) -> Dat
     """(item_id, doc_id) where a document holds a passage word for word.
 
     A passage's first words are hashed and met with the word runs of the same length, the passage itself is then
-    looked for. Shorter passages are looked for by their first word."""
+    looked for. Passages of one or two words are met by their first characters in the same way."""
     lead = F.split(F.trim("text"), r"\s+")
     p = passages.select("item_id", F.col("text").alias("passage"), F.least(F.size(lead), F.lit(width)).alias("k"), F.xxhash64(F.slice(lead, 1, width)).alias("h"))
     sizes = [r[0] for r in p.select("k").distinct().collect()]  # at most ``width`` values
@@ -58,10 +58,18 @@ def passages_found(passages: DataFrame, docs: DataFrame, width: int = 16) -> Dat
     if runs is not None:
         pairs = runs.join(F.broadcast(tail) if tail.count() <= 100_000 else tail, ["k", "h"]).select("item_id", "passage", "doc_id").distinct()
         found = pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
-    short = [(r["item_id"], r["passage"]) for r in p.where("k <= 2").limit(1000).collect()]
-    for item, passage in short:
-        one = docs.where(F.contains("text", F.lit(passage))).select(F.lit(item).alias("item_id"), "doc_id")
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    short = p.where("k <= 2 and passage is not null").select("item_id", "passage", F.slice(chars("passage"), 1, 8).alias("lead"))
+    short = short.select("item_id", "passage", F.size("lead").alias("k"), F.xxhash64("lead").alias("h"))
+    letters = docs.where("text is not null").select("doc_id", chars("text").alias("c"))
+    for k in [r[0] for r in short.select("k").distinct().collect()]:  # 0 to 8
+        starts = f"sequence(1, size(c) - {k - 1})" if k else "array(1)"
+        one = letters.where(F.size("c") >= k).select("doc_id", F.explode(F.array_distinct(F.expr(f"transform({starts}, i -> xxhash64(slice(c, i, {k})))"))).alias("h"))
+        pairs = one.join(short.where(F.col("k") == k), "h").select("item_id", "passage", "doc_id").distinct()
+        one = pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
         found = one if found is None else found.union(one)
+    if found is None:
+        return p.select("item_id").crossJoin(docs.select("doc_id")).limit(0)
     return found.distinct()
 
 

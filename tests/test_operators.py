@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from snapdelta.functions import text as tx
-from snapdelta.operators import cost, diff, evidence, flows, graph, hunks, review, state
+from snapdelta.operators import cost, diff, evidence, flows, graph, hunks, resolve, review, state
 from snapdelta.sources import reports, tree
 from snapdelta.streaming import progress
 
@@ -216,3 +216,20 @@ def test_breaker_rules():
     assert s[2] == 300.0
     s, _ = progress.breaker_step(s, True, s[3])
     assert s == ("closed", 0, 20.0, 0.0)
+
+
+def test_pairing_goes_on_until_no_pair_is_left(spark):
+    n = 52  # ties along a chain: one mutual best pair a round
+    chain = [(f"a{i:03}", f"b{j:03}", 0.5) for i in range(n) for j in (i, i + 1)]
+    df = spark.createDataFrame([*chain, (None, "b000", 0.9)], "flow_a string, flow_b string, jaccard double").coalesce(1)
+    assert sorted((r.flow_a, r.flow_b) for r in flows.greedy_pairs(df).collect()) == [(f"a{i:03}", f"b{i:03}") for i in range(n)]
+
+
+def test_all_short_passages_are_found(spark):
+    n = 1200
+    items = [(i, f"key{i} é{i}" if i % 2 else f"word{i}.") for i in range(n)] + [(n, "z"), (n + 1, None), (n + 2, "")]
+    texts = [(i, f"x{t}y") for i, t in items[:n]] + [(n, None), (n + 1, "zebra 😀 z"), (n + 2, "")]
+    want = {(i, d) for i, t in items for d, x in texts if t is not None and x is not None and t in x}
+    got = resolve.passages_found(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(got) == len(want) and {(r.item_id, r.doc_id) for r in got} == want
+    assert resolve.passages_found(spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")).collect() == []

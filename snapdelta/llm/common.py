@@ -1,23 +1,41 @@
-"""Shared pieces of the training-data operators: reliable materialisation and connected components."""
+"""Shared pieces of the training-data operators: reliable materialisation, connected components, a Bloom filter."""
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .token_sets import mix
+
+#: Size of a Bloom filter. Beyond its reach it lets more rows pass; none is lost.
+FILTER_BITS = 1 << 24
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A cluster names it in spark.checkpoint.dir; only where that
-    is unset (tests, a laptop) a folder under the warehouse is used."""
+    """The folder all executors share, which a cluster names in spark.checkpoint.dir. Only a local master may leave
+    it unset (tests, a laptop): then a folder under the warehouse is used."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), "_shared")
     return named.rstrip("/")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores before it as it takes to clash with none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
@@ -53,3 +71,33 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select("v", "v").distinct())
+
+
+def bloom_slots(ids: np.ndarray, units: np.ndarray | None = None) -> np.ndarray:
+    """Two bits of the filter for each id, or for each id and unit."""
+    h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+    if units is not None:
+        h = mix(h + mix(units.astype(np.uint64) + np.uint64(1)))
+    return np.stack([h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)]).astype(np.int64)
+
+
+def passes_bloom(words: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return ((words[slots >> 5] >> (slots & 31).astype(np.uint32)) & 1).all(axis=0)
+
+
+def bloom_filter(rows: DataFrame, *columns: str) -> np.ndarray:
+    """A Bloom filter of fixed size over an id column, and over the id and a unit column if that is given too; in
+    words of 32 bits."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in columns]
+            bit = np.unique(np.concatenate([bloom_slots(*cols[: i + 1]).ravel() for i in range(len(cols))]))
+            word, at = bit >> 5, bit & 31
+            edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word[edge]), pa.array(np.add.reduceat(1 << at, edge) if len(edge) else edge)], ["word", "bits"])
+
+    found = rows.select(*columns).mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = np.zeros(FILTER_BITS // 32, np.uint32)
+    words[found.word.to_numpy(np.int64)] = found.bits.to_numpy(np.int64).astype(np.uint32)
+    return words

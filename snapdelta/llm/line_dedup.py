@@ -1,19 +1,301 @@
-"""Operator 5: near-duplicate lines by an exact set-similarity join; later matches go."""
+"""Operator 5: near-duplicate lines by an exact set-similarity join; later matches go.
+
+1. Each line gets its size and the hash of its token set; equal sets are one class from here on.
+2. Prefix index: a set's tokens are ordered by rarity. Two sets of n and m tokens with Jaccard >= t differ in at
+   most D = (n + m)(1 - t)/(1 + t) tokens, so they share one of the rarest few, at positions that add up to at
+   most D. Sets of more than ``PART`` tokens are cut into parts by token hash; in one part both differ by D/k at
+   most. Within the list of a token, entries are passed over by length, by position and by the Hamming distance
+   of parity bitmaps (a lower bound of the difference). A token of more than ``COMMON`` lines has no list: two
+   sets whose rarest shared token is common also share the next one, within one place more, and meet in the list
+   of both. No true link is lost.
+3. In a list longer than ``SHORT`` a line does not name all its candidates: ``FEW`` that are surely near are
+   enough, else ``MANY``. It is noted down as cut short, and if no candidate turns out to match, it alone is
+   taken through its lists again, without a limit.
+4. Candidates are verified on the token sets, the nearest of each line first, the others only where that fails:
+   one earlier match is enough for a line to go.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .simjoin import UNIT_BITS, similarity_classes
+from .common import bloom_filter, bloom_slots, free_name, materialise, passes_bloom
+from .token_sets import TOKEN_BITS, Sets, hamming, heavy_tokens, levels_of, mix, most_apart, parts_of, sets, unit_rows
+
+#: Tokens of a part of a long line's set.
+PART = 64
+#: Tokens of more lines than 2^COMMON_LEVEL have no lists of their own.
+COMMON_LEVEL = 12
+#: Lists up to this length give all their candidates.
+SHORT = 32
+#: Candidates that a line names in a longer list: of those surely near, and of others.
+FEW, MANY = 4, 64
+#: Entries of a long list that are compared in one step.
+_ROWS, _COLUMNS = 256, 4096
+
+
+def _entries(num: int, den: int, least: int, heavy):
+    """Texts to index entries (key, sid, id, bits, meta); meta packs the set's size, the log of its number of
+    parts, and the token's position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for s in sets(batch.column("text"), True, 1, least):
+                yield from emit(s, ids[s.row])
+
+    def emit(s: Sets, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        use = np.zeros(len(s.n), bool)
+        use[np.unique(s.sid, return_index=True)[1]] = True  # copies within a batch need one entry
+        use &= most_apart(s.n, num, den) > 0  # smaller sets match equal ones only
+        tok, n, sid, ids = s.tok[np.repeat(use, s.n)], s.n[use], s.sid[use], ids[use]
+        if not len(n):
+            return
+        unit = np.repeat(np.arange(len(n)), n)
+        level = levels_of(tok, *heavy.value)
+        own, low = parts_of(n, PART), parts_of((n * num + den - 1) // den, PART)
+        yield one(tok, unit, level, n, sid, ids, own)
+        if (on := low != own).any():  # a smaller partner may be cut into fewer parts
+            at = on[unit]
+            yield one(tok[at], (np.cumsum(on) - 1)[unit[at]], level[at], n[on], sid[on], ids[on], low[on])
+
+    def one(tok, unit, level, n, sid, ids, parts) -> pa.RecordBatch:
+        base = np.concatenate([[0], np.cumsum(parts)])
+        seg = base[unit] + ((tok >> np.uint64(17)).astype(np.int64) & (parts[unit] - 1))
+        owner = np.repeat(np.arange(len(n)), parts)
+        size = np.bincount(seg, minlength=base[-1])
+        order = np.argsort((seg << 5) | level, kind="stable")  # tokens of a unit come in order already
+        tok, seg, level = tok[order], seg[order], level[order]
+        start = np.concatenate([[0], np.cumsum(size)])[:-1]
+        pos = np.arange(len(tok)) - start[seg]
+        full = size > 0
+        bits = np.zeros(base[-1], np.uint64)
+        bits[full] = np.bitwise_xor.reduceat(np.uint64(1) << (tok & np.uint64(63)), start[full])
+        apart = most_apart(n, num, den)[owner] // parts[owner]
+        # a whole set lacks at most (1 - t) of its tokens in its partner
+        last = np.where(parts[owner] == 1, np.minimum(apart, n[owner] - (n[owner] * num + den - 1) // den), apart)[seg]
+        scheme = mix(parts[owner[seg]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        common = level > COMMON_LEVEL
+        at = np.flatnonzero((pos <= last) & ~common)
+        keys, segs, places = [mix(tok[at] + scheme[at])], [seg[at]], [pos[at]]
+        some = np.flatnonzero((pos <= last + 1) & common)
+        for step in range(1, len(some)):  # pairs of common tokens of one part
+            a, b = some[:-step], some[step:]
+            same = seg[a] == seg[b]
+            if not same.any():
+                break
+            a, b = a[same], b[same]
+            keys.append(mix(mix(tok[a] + scheme[a]) + tok[b])), segs.append(seg[a]), places.append(pos[b] - 1)
+        bare = np.flatnonzero((parts[owner] > 1) & (size <= 2 * apart + 2))  # parts too small to share tokens
+        if len(bare):
+            which = (bare - base[owner[bare]]).astype(np.uint64)
+            band = np.floor(np.log(n[owner[bare]]) / np.log(1.001 * den / num)).astype(np.int64)
+            for b in (band, band - 1):  # sizes of a link are in one band or in neighbouring ones
+                keys.append(mix(mix(which + np.uint64(77)) + mix(b.astype(np.uint64)) + parts[owner[bare]].astype(np.uint64)))
+                segs.append(bare), places.append(np.zeros(len(bare), np.int64))
+        key, seg, pos = map(np.concatenate, (keys, segs, places))
+        at = owner[seg]
+        meta = (n[at] << 24) | (np.log2(parts[at]).astype(np.int64) << 16) | np.minimum(pos, 65535)
+        cols = [key.view(np.int64), sid[at], ids[at], bits[seg].view(np.int64), meta]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "sid", "id", "bits", "meta"])
+
+    return run
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of a sorted partition, cut where the key changes; a list that spans batches comes whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        if held and held[-1].column("key")[held[-1].num_rows - 1].as_py() != key[0]:
+            yield _columns(held)
+            held = []
+        change = np.flatnonzero(key[1:] != key[:-1])
+        if len(change):
+            yield _columns([*held, batch.slice(0, int(change[-1]) + 1)])
+            held = []
+        held.append(batch.slice(int(change[-1]) + 1 if len(change) else 0))
+    if held:
+        yield _columns(held)
+
+
+def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    t = pa.Table.from_batches(batches)
+    return {c: t.column(c).to_numpy() for c in t.column_names}
+
+
+def _candidates(num: int, den: int, again: bool):
+    """Lists to pairs (a, b, far) of set ids, a < b, with the distance of their bitmaps; (a, a) notes that a was
+    cut short. ``again`` is the second time: long lists only, and only for entries that ask."""
+
+    def bound(n, m, logp):
+        return ((n + m) * (den - num) // (den + num)) >> logp
+
+    def long(c: dict[str, np.ndarray], few: int, many: int) -> Iterator[np.ndarray]:
+        _, at = np.unique(c["sid"], return_index=True)
+        at = at[np.argsort(c["id"][at], kind="stable")]
+        sid, bits, n, logp, pos = (c[x][at] for x in ("sid", "bits", "n", "logp", "pos"))
+        asks = c["ask"][at] if again else np.ones(len(at), bool)
+        for lo in range(0, len(at), _ROWS):
+            rows = lo + np.flatnonzero(asks[lo : lo + _ROWS])
+            for left in range(0, min(lo + _ROWS, len(at)), _COLUMNS):
+                if not len(rows):
+                    break
+                cols = np.arange(left, min(left + _COLUMNS, rows[-1]))
+                r = rows[:, None]
+                most = bound(n[r], n[cols], logp[r])
+                far = hamming(bits[r], bits[cols])
+                ok = (far <= most) & (pos[r] + pos[cols] <= most) & (cols < r) & (n[r] * den >= n[cols] * num) & (n[cols] * den >= n[r] * num)
+                i, j = np.nonzero(ok)
+                far, sure = far[i, j], 2 * far[i, j] <= most[i, j]
+                by = np.lexsort((far, i))
+                i, j, far, sure = i[by], j[by], far[by], sure[by]
+                all_, near = np.bincount(i, minlength=len(rows)), np.bincount(i, sure, minlength=len(rows))
+                most_named = np.where(near >= few, few, many)
+                named = np.arange(len(i)) - (np.cumsum(all_) - all_)[i] < most_named[i]
+                yield np.stack([sid[rows[i[named]]], sid[cols[j[named]]], far[named]])
+                done = (near >= few) | (all_ >= many)
+                short = sid[rows[done & ((all_ > most_named) | (cols[-1:].max(initial=-1) + 1 < rows))]]
+                yield np.stack([short, short, np.zeros_like(short)])
+                rows = rows[~done]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _lists(batches):
+            key, meta = c["key"], c.pop("meta")
+            c |= {"bits": c["bits"].view(np.uint64), "n": meta >> 24, "logp": (meta >> 16) & 255, "pos": meta & 65535}
+            sid, n, pos, bits, logp = (c[x] for x in ("sid", "n", "pos", "bits", "logp"))
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            length = np.diff(np.concatenate([edge, [len(key)]]))
+            out = []
+            if not again:
+                i = np.flatnonzero(np.repeat((length > 1) & (length <= SHORT), length))
+                for step in range(1, SHORT):
+                    i = i[i + step < len(key)]
+                    i = i[(key[i + step] == key[i]) & (n[i] * den >= n[i + step] * num)]  # entries come by size
+                    if not len(i):
+                        break
+                    j = i + step
+                    most = bound(n[i], n[j], logp[i])
+                    ok = (pos[i] + pos[j] <= most) & (sid[i] != sid[j])
+                    x, y, most = i[ok], j[ok], most[ok]
+                    far = hamming(bits[x], bits[y])
+                    ok = far <= most
+                    out.append(np.stack([sid[x[ok]], sid[y[ok]], far[ok]]))
+            for s, g in zip(edge[length > SHORT], length[length > SHORT]):
+                part = {k: v[s : s + g] for k, v in c.items()}
+                out += long(part, *((len(key), len(key)) if again else (FEW, MANY)))
+            found = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
+            found[:2].sort(axis=0)
+            if found.shape[1]:
+                found = found[:, np.lexsort(found[::-1])]
+                found = found[:, np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(axis=0)])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "far"])
+
+    return run
+
+
+def _member_sets(least: int, passing):
+    """Texts to (id, unit, sid, tokens) of the lines that the filter lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(passes_bloom(passing.value, bloom_slots(batch.column("id").to_numpy()))))
+            ids = batch.column("id").to_numpy()
+            wanted = lambda row, no, ids=ids: passes_bloom(passing.value, bloom_slots(ids[row], no))
+            for s in sets(batch.column("text"), True, 1, least, wanted):
+                offsets = pa.array(np.concatenate([[0], np.cumsum(s.n) * 8]).astype(np.int32))
+                tokens = pa.BinaryArray.from_buffers(pa.binary(), len(s.n), [None, offsets.buffers()[1], pa.py_buffer(s.tok.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s.row]), pa.array(s.no), pa.array(s.sid), tokens], ["id", "unit", "sid", "tokens"])
+
+    return run
+
+
+def _matching(num: int, den: int):
+    """Rows (x, y, tx, ty) of lines and their token sets to the x and y that match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                keys, sizes = [], []
+                for c in ("tx", "ty"):
+                    tokens = part.column(c).to_pylist()
+                    n = np.array([len(t) // 8 for t in tokens], np.int64)
+                    row = np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(TOKEN_BITS)
+                    keys.append(row | np.frombuffer(b"".join(tokens), np.uint64)), sizes.append(n)
+                at = np.searchsorted(keys[0], keys[1])
+                hit = keys[0][np.minimum(at, len(keys[0]) - 1)] == keys[1] if len(keys[0]) else np.zeros(len(keys[1]), bool)
+                both = np.bincount((keys[1][hit] >> np.uint64(TOKEN_BITS)).astype(np.int64), minlength=part.num_rows)
+                yield part.select(["x", "y"]).filter(pa.array(den * both >= num * (sizes[0] + sizes[1] - both)))
+
+    return run
+
+
+def _place(id_: str, unit: str) -> Column:
+    """Ids of 64 bits and line numbers as one number in their order."""
+    return F.col(id_).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col(unit).cast("decimal(10,0)")
+
+
+def later_matches(docs: DataFrame, num: int, den: int, least: int) -> DataFrame:
+    """(id, unit) of the lines of ``docs(id, text)`` that match an earlier one."""
+    spark = docs.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    seen = materialise(docs.mapInArrow(unit_rows(1, True, least), "id long, unit long, n long, sid long"), "lines")
+    units = seen.where("unit is not null")
+    heavy = spark.sparkContext.broadcast(heavy_tokens(seen.where("unit is null")))
+    whole = units.groupBy("sid").agg(F.min(_place("id", "unit")).alias("place"), F.count("*").alias("copies"))
+    whole = materialise(whole, "classes")
+    index = docs.mapInArrow(_entries(num, den, least, heavy), "key long, sid long, id long, bits long, meta long")
+
+    def candidates(index: DataFrame, again: bool) -> DataFrame:
+        lists = index.repartition(width, "key").sortWithinPartitions("key", "meta")
+        return lists.mapInArrow(_candidates(num, den, again), "a long, b long, far long").groupBy("a", "b").agg(F.min("far").alias("far"))
+
+    def matched(pairs: DataFrame) -> DataFrame:
+        """The later sid of each pair that matches, once."""
+        node = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        unit = F.pmod("place", F.lit(1 << 31).cast("decimal(10,0)"))
+        id_ = ((F.col("place") - unit) / F.lit(1 << 31).cast("decimal(10,0)")).cast("long")
+        member = materialise(node.join(whole, "sid").select("sid", "place", id_.alias("id"), unit.cast("long").alias("unit")), "members")
+        passing = spark.sparkContext.broadcast(bloom_filter(member, "id", "unit"))
+        of_sets = docs.mapInArrow(_member_sets(least, passing), "id long, unit long, sid long, tokens binary")
+        of_sets = materialise(of_sets.join(member.select("sid", "id", "unit"), ["sid", "id", "unit"]).select("sid", "tokens"), "sets")
+        a, b = (member.select(F.col("sid").alias(c), F.col("place").alias(f"p{c}")) for c in "ab")
+        later = F.col("pa") > F.col("pb")
+        todo = pairs.join(a, "a").join(b, "b").select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("y"), "far")
+        todo = materialise(todo, "pairs")
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            of = lambda c: of_sets.select(F.col("sid").alias(c), F.col("tokens").alias(f"t{c}"))
+            met = pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "tx", "ty")
+            return met.mapInArrow(_matching(num, den), "x long, y long").select(F.col("x").alias("sid")).distinct()
+
+        nearest = todo.groupBy("x").agg(F.min_by("y", "far").alias("y"))
+        first = materialise(verified(nearest), "matched")
+        rest = todo.join(first, F.col("x") == F.col("sid"), "left_anti").join(nearest, ["x", "y"], "left_anti")
+        return first.union(materialise(verified(rest), "matched"))
+
+    pairs = materialise(candidates(index, False), "candidates")
+    gone = matched(pairs.where("a <> b"))
+    asking = pairs.where("a = b").select(F.col("a").alias("sid")).join(gone, "sid", "left_anti")
+    asking = materialise(asking.withColumn("ask", F.lit(True)), "asking")
+    if asking.limit(1).count():
+        more = index.join(asking, "sid", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        gone = gone.union(matched(materialise(candidates(more, True), "candidates").where("a <> b"))).distinct()
+    doomed = whole.join(gone.withColumn("matched", F.lit(True)), "sid", "left").where("matched or copies > 1")
+    return units.join(doomed, "sid").where(F.col("matched") | (_place("id", "unit") > F.col("place"))).select("id", "unit").distinct()
 
 
 def _rebuild(at: int):
-    """Texts without their gone lines; the two columns after them give the gone lines and take the counts."""
+    """Texts without their gone lines; the last column gives the gone lines and makes way for the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -31,24 +313,26 @@ def _rebuild(at: int):
     return run
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, num: int = 4, den: int = 5, least: int = 5, keep_columns: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, least: int = 1, keep_columns: bool = False) -> DataFrame:
     """(id, text, n_lines, n_removed): each text without the lines that match an earlier one. With ``keep_columns``
-    all columns of ``docs`` come back, and the counts as _n_lines and _n_removed.
-
-    A line is a run between newlines, its tokens the distinct words of it (ASCII letters in lower case), or with
-    ``shingle`` above 1 its shingles of so many words.
-    Lines match at a Jaccard similarity of num/den or more; the earlier is the one of the smaller id,
-    then of the smaller line number. Lines of fewer than ``least`` words neither go nor make
-    others go; with 1 these are the blank lines only, as in the registered queries. A null text stays null with no lines; an empty
-    one has one line and keeps it. Of rows repeated with one id, none makes the other's lines go. Rows of
-    null id come back as they are."""
+    all columns of ``docs`` come back, and the counts as _n_lines and _n_removed (in place of columns of these
+    names that ``docs`` has).
+
+    A line is a run between newlines, its tokens the distinct words of it (runs of other than ASCII white space,
+    ASCII letters in lower case). Lines match at a Jaccard similarity of num/den or more; the earlier is the one
+    of the smaller id, then of the smaller line number. Lines of fewer than ``least`` words (by default the blank
+    ones) neither go nor make others go. Ids are whole numbers of up to 64 bits. A null text stays null with no
+    lines; an empty one has one line and keeps it. Of rows repeated with one id, none makes the other's lines go,
+    but lines that match within the row or an earlier id go in all of them. Rows of null id come back as they
+    are. An empty table gives an empty result. Token hashes have 48 bits and set hashes 63: a pair of sets of n
+    tokens is misjudged with a chance of about n^2/2^48, and two unequal sets of m are taken as equal with a
+    chance of about m^2/2^64 in all."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units, classes = similarity_classes(base.where("id is not null"), lines=True, k=shingle, num=num, den=den, part=128, least=least)
-    place = F.col("id") * F.lit(1 << UNIT_BITS) + F.col("unit")
-    first = classes.select("sid", F.least("rank0", "first").alias("before"))
-    gone = units.join(first, "sid").where(place > F.col("before")).groupBy(F.col("id").alias("_gone_id")).agg(F.collect_set("unit").alias("_gone"))
-    own = docs if keep_columns else docs.select(id_col, text_col)
-    whole = own.join(gone, own[id_col] == gone["_gone_id"], "left").select(*(own[c] for c in own.columns), "_gone")
+    gone = later_matches(base.where("id is not null"), num, den, max(least, 1))
+    own = docs.drop("_n_lines", "_n_removed") if keep_columns else docs.select(id_col, text_col)
+    key, numbers = (free_name(x, own.columns) for x in ("gone_id", "gone_lines"))
+    gone = gone.groupBy(F.col("id").alias(key)).agg(F.collect_set("unit").alias(numbers))
+    whole = own.join(gone, own[id_col] == gone[key], "left").drop(key)
     counts = [T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())]
     out = whole.mapInArrow(_rebuild(own.columns.index(text_col)), T.StructType([*own.schema.fields, *counts]))
     return out if keep_columns else out.withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simjoin import UNIT_BITS, similarity_classes
+from .simjoin import similarity_classes
 
 
 def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -16,12 +16,13 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     one shingle. component_id is the smallest id reachable by links; n_links counts the texts that a text
     links with, equal ones included. Null, empty and blank texts have no shingles, no links, and their own
     id. Repeated rows come back as often as they are given; a row of null id comes back with null
-    component. Other columns of ``docs`` are ignored, whatever their names."""
+    component. Ids are whole numbers of up to 64 bits. An empty table gives an empty result. Other columns of
+    ``docs`` are ignored, whatever their names."""
     part = 96 if 10 * num >= 9 * den else 48
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units, classes = similarity_classes(base.where("id is not null"), lines=False, k=shingle, num=num, den=den, part=part)
-    root = classes.groupBy("label").agg(F.min("rank0").alias("r"))
-    of_set = classes.join(root, "label").select("sid", F.shiftright("r", UNIT_BITS).alias("component_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    units, classes = similarity_classes(base.where("id is not null"), k=shingle, num=num, den=den, part=part)
+    root = classes.groupBy("label").agg(F.min("id0").alias("component_id"))
+    of_set = classes.join(root, "label").select("sid", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     found = units.join(of_set, "sid", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )

@@ -1,16 +1,16 @@
-"""Exact Jaccard join of token sets, with set-relation skipping.
-
-A unit is a text, or each line of it; its set holds the hashes of its k-word shingles. The join then runs in four Spark steps:
-
-1. ``unit_table``: size and identity (a 64-bit hash of the sorted set) of every unit, and counts of the
-   frequent tokens. Equal sets are one class from here on, so exact copies cost nothing more.
-2. ``candidates``: an inverted index. Two sets with Jaccard >= t differ in at most
-   D = (nx + ny)(1 - t)/(1 + t) tokens. A set is cut by token hash into k parts of about ``part`` tokens;
-   in at least one part both differ by at most D/k, and there they share one of the D/k + 1 rarest
-   tokens, at positions that add up to at most D/k. Lists are sorted by set size; entries are skipped by
-   size, by position and by the Hamming distance of parity bitmaps (a lower bound of the difference).
-   No true link is lost. A list longer than ``SHORT`` links its entries to a few leaders instead of to
-   each other (triangle inequality), so a list of g entries gives O(g) rows, never g^2.
+"""Exact Jaccard join of texts by their token sets, with set-relation skipping.
+
+A text's set holds the hashes of its k-word shingles. The join runs in four Spark steps:
+
+1. Size and identity (a hash of the sorted set) of every text, and counts of the frequent tokens. Equal sets are
+   one class from here on, so exact copies cost nothing more.
+2. An inverted index. Two sets with Jaccard >= t differ in at most D = (nx + ny)(1 - t)/(1 + t) tokens. A set is
+   cut by token hash into k parts of about ``part`` tokens; in at least one part both differ by at most D/k, and
+   there they share one of the D/k + 1 rarest tokens, at positions that add up to at most D/k. A list is cut into
+   blocks by position, and a block meets only those blocks whose positions leave room; within blocks, entries are
+   skipped by size and by the Hamming distance of parity bitmaps (a lower bound of the difference). No true link
+   is lost. What a list gives are links that span its candidates, O(g) of g entries, never g^2. A list longer than
+   ``LONG`` links its entries to a few leaders instead of to each other (triangle inequality).
 3. Components of the candidate rows are families. Each class goes to its family's task once; families
    larger than a block are dealt out as pairs of blocks. Texts without a member are passed over by a Bloom
    filter of fixed size, so that only members' sets are shuffled.
@@ -23,186 +23,28 @@ Token hashes are 48 bits wide: a pair of sets of n tokens is misjudged with a ch
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import bloom_filter, bloom_slots, connected_components, materialise, passes_bloom
+from .token_sets import Sets, hamming, heavy_tokens, levels_of, mix, most_apart, parts_of, sets, unit_rows
 
-#: Frequent tokens kept for the rarity order (a bounded broadcast; only speed depends on it).
-TOP_TOKENS = 1 << 17
-#: Index lists up to this length compare all neighbours; longer ones use leaders.
-SHORT = 24
+#: Index lists up to ``SHORT`` compare all neighbours at once, up to ``LONG`` block by block; longer ones use leaders.
+SHORT, LONG = 24, 512
 #: Most sets, and most tokens, of one block of a family.
-BLOCK_SETS, BLOCK_TOKENS = 1024, 2_000_000
-#: A unit's place is its text's id and, in so many bits, its number.
-UNIT_BITS = 22
-#: Size of the filter that lets only members' texts be read again. Beyond its reach more texts are; none is lost.
-FILTER_BITS = 1 << 24
-#: Width of a token's hash.
-TOKEN_BITS = 48
-_TOKEN = np.uint64((1 << TOKEN_BITS) - 1)
-#: Bytes and units of one vectorised step (a longer text is a step of its own).
-_BYTES, _UNITS = 1_000_000, 1 << 16
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class Sets(NamedTuple):
-    """Token sets of some units, one after the other, each in order: where a unit stands, and what it holds."""
-
-    row: np.ndarray
-    no: np.ndarray
-    n: np.ndarray
-    sid: np.ndarray
-    tok: np.ndarray
-
-
-# Word hashes come from the bytes themselves: random values of the bytes times powers of an odd number, summed
-# over the word modulo 2^64 and freed of the word's place, then mixed.
-_POWER = 0x9E3779B97F4A7C15
-_VALUE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-_VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]  # ASCII letters in lower case
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base % (1 << 64), np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def _words(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, line) of each word of some texts, in order; lines are counted from 0 within a text."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    lo, n = offsets[0], offsets[-1] - offsets[0]
-    if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[lo : lo + n]
-    first = (offsets - lo)[:-1]
-    edge = np.zeros(n + 1, bool)  # where a text begins or the last ends
-    edge[first] = True
-    edge[n] = True
-    space = _SPACE[data]
-    before = np.concatenate([[True], space[:-1]]) | edge[:-1]
-    after = np.concatenate([space[1:], [True]]) | edge[1:]
-    start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUE[data] * _powers(_POWER, n))])
-    h = _mix((sums[end] - sums[start]) * _powers(pow(_POWER, -1, 1 << 64), n)[start] + (end - start).astype(np.uint64))
-    row = np.searchsorted(first, start, "right") - 1
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    return h, row, breaks[start] - breaks[first[row]]
-
-
-def _token_sets(h: np.ndarray, c: np.ndarray, rows: np.ndarray, nos: np.ndarray, k: int) -> Sets:
-    """Distinct hashes of the k-word shingles of units of c words each; of the whole sequence where it is shorter."""
-    start = np.cumsum(c) - c
-    m = np.maximum(c - k + 1, 0)
-    at = np.repeat(np.arange(len(c)), m)
-    first = np.arange(len(at)) + np.repeat(start - (np.cumsum(m) - m), m)
-
-    def gram(first: np.ndarray, length: int, seed: int) -> np.ndarray:
-        out = h[first] + np.uint64(seed)
-        for i in range(1, length):
-            out = _mix(out * np.uint64(_POWER) + h[first + i])
-        return _mix(out)
-
-    toks, owners = [gram(first, k, 0)], [at]
-    for length in range(1, k):
-        if len(few := np.flatnonzero(c == length)):
-            toks.append(gram(start[few], length, length)), owners.append(few)
-    # one sort of unit number and token in one word; units of a step are fewer than 2^16
-    key = np.sort((np.concatenate(owners).astype(np.uint64) << np.uint64(TOKEN_BITS)) | (np.concatenate(toks) & _TOKEN))
-    keep = np.ones(len(key), bool)
-    np.not_equal(key[1:], key[:-1], out=keep[1:])
-    key = key[keep]
-    tok, at = key & _TOKEN, (key >> np.uint64(TOKEN_BITS)).astype(np.int64)
-    n = np.bincount(at, minlength=len(c))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(tok ^ np.uint64(0xD6E8FEB86659FD93)))])  # wraps around
-    ends = np.cumsum(n)
-    sid = (_mix(sums[ends] - sums[ends - n] + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-    return Sets(rows, nos, n, sid, tok)
-
-
-def _sets(texts: pa.StringArray, lines: bool, k: int, least: int, wanted=None) -> Iterator[Sets]:
-    """The sets of all units of some texts that have ``least`` words; ``wanted`` chooses units by row and number."""
-    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    step = np.cumsum(size) // _BYTES
-    cut = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]])) if len(step) else []
-    for lo, hi in zip(cut, [*cut[1:], len(texts)]):
-        part = texts.slice(lo, hi - lo)
-        h, row, line = _words(part)
-        if lines:
-            edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (line[1:] != line[:-1])])) if len(h) else np.empty(0, np.int64)
-            rows, nos, c = row[edge], line[edge], np.diff(np.concatenate([edge, [len(h)]]))
-        else:
-            rows = np.flatnonzero(part.is_valid().to_numpy(zero_copy_only=False))
-            nos, c = np.zeros(len(rows), np.int64), np.bincount(row, minlength=len(part))[rows]
-        use = c >= max(least, 1) if lines else c >= least
-        if wanted is not None:
-            use &= wanted(rows + lo, nos)
-        h, rows, nos, c = h[np.repeat(use, c)], rows[use] + lo, nos[use], c[use]
-        ends = np.cumsum(c)
-        for i in range(0, len(c), _UNITS):
-            j = min(i + _UNITS, len(c))
-            yield _token_sets(h[ends[i] - c[i] : ends[j - 1]], c[i:j], rows[i:j], nos[i:j], k)
-
-
-def _unit_rows(k: int, lines: bool, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
-
-        def counts() -> pa.RecordBatch:
-            v, n = np.unique(np.concatenate(held), return_counts=True)
-            v, n = v[n > 1], n[n > 1]
-            if len(v) > TOP_TOKENS:
-                at = np.argpartition(n, -TOP_TOKENS)[-TOP_TOKENS:]
-                v, n = v[at], n[at]
-            none = pa.nulls(len(v), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(n), pa.array(v.view(np.int64))], ["id", "unit", "n", "sid"])
-
-        for batch in batches:
-            for s in _sets(batch.column("text"), lines, k, least):
-                ids = batch.column("id").take(pa.array(s.row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(s.no), pa.array(s.n), pa.array(s.sid)], ["id", "unit", "n", "sid"])
-                held.append(s.tok)
-                n_held += len(s.tok)
-                if n_held > 2_000_000:
-                    yield counts()
-                    held, n_held = [], 0
-        if held:
-            yield counts()
-
-    return run
-
-
-def most_apart(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The most tokens in which a set of n and one at least as similar as num/den can differ."""
-    return ((n + n * den // num) * (den - num)) // (den + num)
+BLOCK_SETS, BLOCK_TOKENS = 512, 250_000
 
 
-def _parts(n: np.ndarray, part: int) -> np.ndarray:
-    return (1 << np.ceil(np.log2(np.maximum(n / part, 1))).astype(np.int64)).astype(np.int64)
-
-
-def _index_rows(k: int, lines: bool, least: int, num: int, den: int, part: int, heavy):
+def _index_rows(k: int, num: int, den: int, part: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy_h, heavy_c = heavy.value
-        near = np.zeros(1 << 22, bool)  # leading bits of frequent tokens: the search is for few
-        near[(heavy_h >> np.uint64(TOKEN_BITS - 22)).astype(np.int64)] = True
         for batch in batches:
-            for s in _sets(batch.column("text"), lines, k, least):
-                yield from emit(s, heavy_h, heavy_c, near)
+            for s in sets(batch.column("text"), False, k, 0):
+                yield from emit(s)
 
-    def emit(s: Sets, heavy_h: np.ndarray, heavy_c: np.ndarray, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(s: Sets) -> Iterator[pa.RecordBatch]:
         first = np.zeros(len(s.n), bool)
         first[np.unique(s.sid, return_index=True)[1]] = True  # copies within a batch need one entry
         first &= s.n > 0
@@ -210,13 +52,8 @@ def _index_rows(k: int, lines: bool, least: int, num: int, den: int, part: int,
         if not len(n):
             return
         unit = np.repeat(np.arange(len(n)), n)
-        rare = np.zeros(len(tok), np.uint64)
-        maybe = np.flatnonzero(near[(tok >> np.uint64(TOKEN_BITS - 22)).astype(np.int64)])
-        if len(maybe):
-            at = np.minimum(np.searchsorted(heavy_h, tok[maybe]), len(heavy_h) - 1)
-            hit = heavy_h[at] == tok[maybe]
-            rare[maybe[hit]] = heavy_c[at[hit]]
-        k_own, k_low = _parts(n, part), _parts((n * num + den - 1) // den, part)
+        rare = levels_of(tok, *heavy.value)
+        k_own, k_low = parts_of(n, part), parts_of((n * num + den - 1) // den, part)
         yield from one(tok, unit, rare, n, sid, k_own, np.ones(len(n), bool))
         if (low := k_low != k_own).any():
             yield from one(tok, unit, rare, n, sid, k_low, low)
@@ -231,7 +68,7 @@ def _index_rows(k: int, lines: bool, least: int, num: int, den: int, part: int,
         owner = np.repeat(np.arange(len(n)), parts)
         size = np.bincount(seg, minlength=base[-1])
         apart = most_apart(n, num, den)[owner] // parts[owner]
-        order = np.argsort((seg << 5) | rare.astype(np.int64), kind="stable")  # tokens of a unit come in order already
+        order = np.argsort((seg << 5) | rare, kind="stable")  # tokens of a unit come in order already
         tok, seg = tok[order], seg[order]
         start = np.concatenate([[0], np.cumsum(size)])[:-1]
         pos = np.arange(len(tok)) - start[seg]
@@ -241,11 +78,11 @@ def _index_rows(k: int, lines: bool, least: int, num: int, den: int, part: int,
         # a whole set lacks at most (1 - t) of its tokens in its partner
         keep = pos <= np.where(parts[owner] == 1, np.minimum(apart, n[owner] - (n[owner] * num + den - 1) // den), apart)[seg]
         tok, seg, pos = tok[keep], seg[keep], pos[keep]
-        key = _mix(tok + parts[owner[seg]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = mix(tok + parts[owner[seg]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         bare = np.flatnonzero((parts[owner] > 1) & (size <= 2 * apart))  # parts too small to share a token
         if len(bare):
             which = (bare - base[owner[bare]]).astype(np.uint64)
-            key = np.concatenate([key, _mix(_mix(which + np.uint64(77)) + parts[owner[bare]].astype(np.uint64))])
+            key = np.concatenate([key, mix(mix(which + np.uint64(77)) + parts[owner[bare]].astype(np.uint64))])
             seg, pos = np.concatenate([seg, bare]), np.concatenate([pos, np.zeros(len(bare), np.int64)])
         own = owner[seg]
         meta = (n[own] << 24) | (apart[seg] << 12) | pos
@@ -277,10 +114,6 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int64)  # of unsigned words: of signed ones it counts absolute values
-
-
 class _Forest:
     """Keeps a task's links to those that join what it had not joined before (bounded; starts anew when full)."""
 
@@ -328,10 +161,14 @@ def _list_links(num: int, den: int):
                 j = i + step
                 ok = (n[i] * den >= n[j] * num) & (pos[i] + pos[j] <= apart[i]) & (sid[i] != sid[j])
                 i, j = i[ok], j[ok]
-                ok = _hamming(bits[i], bits[j]) <= apart[i]
+                ok = hamming(bits[i], bits[j]) <= apart[i]
                 out.append(np.stack([sid[i[ok]], sid[j[ok]]]))
             for s, g in zip(edge[length > SHORT], length[length > SHORT]):
-                out.append(_leaders(sid[s : s + g], bits[s : s + g], n[s : s + g], apart[s : s + g], num, den))
+                of = slice(s, s + g)
+                if g <= LONG:
+                    out += _blocks(sid[of], bits[of], n[of], apart[of], pos[of], num, den)
+                else:
+                    out.append(_leaders(sid[of], bits[of], n[of], apart[of], num, den))
             pairs = forest.new(np.unique(np.concatenate(out, axis=1), axis=1)) if out else []
             a, b = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -339,6 +176,26 @@ def _list_links(num: int, den: int):
     return run
 
 
+def _blocks(sid, bits, n, apart, pos, num, den) -> Iterator[np.ndarray]:
+    """Entries come by size. A block holds those of one position; blocks whose positions add up to more than any
+    entry may be apart are skipped, and of the others each entry meets those of fitting size."""
+    blocks = {p: np.flatnonzero(pos == p) for p in np.unique(pos).tolist()}
+    most = int(apart.max())
+    for p, own in blocks.items():
+        for q, other in blocks.items():
+            if q < p or p + q > most:
+                continue
+            lo, hi = np.searchsorted(n[other], [-(-n[own] * num // den), n[own] * den // num + 1])
+            width = hi - lo
+            i = np.repeat(own, width)
+            j = other[np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(lo, width)]
+            least = np.minimum(apart[i], apart[j])
+            ok = (p + q <= least) & (sid[i] != sid[j])
+            i, j, least = i[ok], j[ok], least[ok]
+            ok = hamming(bits[i], bits[j]) <= least
+            yield np.stack([sid[i[ok]], sid[j[ok]]])
+
+
 def _leaders(sid, bits, n, apart, num, den) -> np.ndarray:
     """Entries come by size. Each is linked to all leaders within reach, and leads where none is near.
 
@@ -350,7 +207,7 @@ def _leaders(sid, bits, n, apart, num, den) -> np.ndarray:
         size = n[lead]
         lo, hi = np.searchsorted(n, [size * num * num // (den * den), size * den * den // (num * num) + 2])
         rest = slice(lo, hi)
-        dist = _hamming(bits[rest], bits[lead])
+        dist = hamming(bits[rest], bits[lead])
         reach = sid[rest][dist <= apart[rest] + apart[rest] * den // num + 2]
         reach = reach[reach != sid[lead]]
         pairs.append(np.stack([np.full(len(reach), sid[lead]), reach]))
@@ -361,57 +218,26 @@ def _leaders(sid, bits, n, apart, num, den) -> np.ndarray:
     return np.concatenate(pairs, axis=1)
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    """Two bits of the filter for each key."""
-    h = _mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x5851F42D4C957F2D))
-    return np.stack([h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)]).astype(np.int64)
-
-
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of members to the words of a Bloom filter that they set, for their texts and for themselves."""
-    for batch in batches:
-        place = batch.column("rank").to_numpy()
-        bit = np.unique(np.concatenate([_slots(place >> UNIT_BITS).ravel(), _slots(~place).ravel()]))
-        word, at = bit >> 5, bit & 31
-        edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(word[edge]), pa.array(np.add.reduceat(1 << at, edge) if len(edge) else edge)], ["word", "bits"])
-
-
-def _filter(member: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the members' texts and places, in words of 32 bits."""
-    rows = member.select("rank").mapInArrow(_filter_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros(FILTER_BITS // 32, np.uint32)
-    words[rows.word.to_numpy(np.int64)] = rows.bits.to_numpy(np.int64).astype(np.uint32)
-    return words
-
-
-def _member_sets(k: int, lines: bool, least: int, passing):
-    """Texts to (rank, sid, tokens) of the units that the filter lets pass."""
-
-    def on(keys: np.ndarray) -> np.ndarray:
-        at = _slots(keys)
-        return ((passing.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=0)
+def _member_sets(k: int, passing):
+    """Texts to (id, sid, tokens) of those that the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(on(batch.column("id").to_numpy())))
-            place = batch.column("id").to_numpy() << UNIT_BITS
-            wanted = lambda row, no, place=place: on(~(place[row] + no))
-            for s in _sets(batch.column("text"), lines, k, least, wanted):
-                ends = np.cumsum(s.n) * 8
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            batch = batch.filter(pa.array(passes_bloom(passing.value, bloom_slots(batch.column("id").to_numpy()))))
+            for s in sets(batch.column("text"), False, k, 0):
+                offsets = pa.array(np.concatenate([[0], np.cumsum(s.n) * 8]).astype(np.int32))
                 tokens = pa.BinaryArray.from_buffers(pa.binary(), len(s.n), [None, offsets.buffers()[1], pa.py_buffer(s.tok.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(place[s.row] + s.no), pa.array(s.sid), tokens], ["rank", "sid", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(s.row)), pa.array(s.sid), tokens], ["id", "sid", "tokens"])
 
     return run
 
 
-def _answers(sets: list[np.ndarray], num: int, den: int, cross: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+def _answers(own_sets: list[np.ndarray], num: int, den: int, cross: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
     """For each set, the indices of the sets it links with (of the other block, where ``cross`` tells
     the blocks apart). Sets are answered in turn from the nearest answered one."""
-    g = len(sets)
-    n = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
+    g = len(own_sets)
+    n = np.array([len(s) for s in own_sets], np.int64)
+    flat = np.concatenate(own_sets)
     owner = np.repeat(np.arange(g, dtype=np.int32), n)
     order = np.argsort(flat, kind="stable")  # lists by token; within a list by index, that is by size
     toks, owner = flat[order], owner[order]
@@ -448,24 +274,23 @@ def _answers(sets: list[np.ndarray], num: int, den: int, cross: np.ndarray | Non
 
 
 def _verify(num: int, den: int):
-    """Families (or pairs of their blocks) to (sid, label, links, first): the smallest set id linked
-    within the block, the number of linked units, and the smallest rank among them. A set that repeated
-    rows give more than once comes back once."""
+    """Families (or pairs of their blocks) to (sid, label, links): the smallest set id linked within the block,
+    and the number of linked texts. A set that repeated rows give more than once comes back once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_key(batches, ("fam", "i", "j")):
-            fam, bi, bj, sid, own, rank, copies = (t.column(c).to_numpy() for c in ("fam", "i", "j", "sid", "own", "rank", "copies"))
+            fam, bi, bj, sid, own, copies = (t.column(c).to_numpy() for c in ("fam", "i", "j", "sid", "own", "copies"))
             tokens = t.column("tokens")
             edge = np.flatnonzero(np.concatenate([[True], (fam[1:] != fam[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
-            label, links, first = sid.copy(), np.zeros(len(sid), np.int64), np.full(len(sid), np.iinfo(np.int64).max)
+            label, links = sid.copy(), np.zeros(len(sid), np.int64)
             once = np.ones(len(sid), bool)
             for s, e in zip(edge, [*edge[1:], len(sid)]):
                 if e - s < 2:
                     continue
                 once[s + 1 : e] = sid[s + 1 : e] != sid[s : e - 1]
                 at = s + np.flatnonzero(once[s:e])  # by sid; a repeated row gives the same set again
-                sets = [np.frombuffer(tokens[int(x)].as_py(), np.uint64) for x in at]
-                at = at[by_size := np.argsort([len(x) for x in sets], kind="stable")]
+                own_sets = [np.frombuffer(tokens[int(x)].as_py(), np.uint64) for x in at]
+                at = at[by_size := np.argsort([len(x) for x in own_sets], kind="stable")]
                 root = np.arange(len(at))
 
                 def find(x: int, root=root) -> int:
@@ -475,10 +300,9 @@ def _verify(num: int, den: int):
                     return x
 
                 cross = own[at] if bi[s] != bj[s] else None
-                for x, linked in _answers([sets[y] for y in by_size], num, den, cross):
+                for x, linked in _answers([own_sets[y] for y in by_size], num, den, cross):
                     if len(linked):
                         links[at[x]] = copies[at[linked]].sum()
-                        first[at[x]] = rank[at[linked]].min()
                         for y in linked[linked > x] if len(linked) < 64 else [z for z in linked if root[z] != root[x]]:
                             a, b = find(x), find(int(y))
                             if a != b:
@@ -487,56 +311,46 @@ def _verify(num: int, den: int):
                 low = np.full(len(at), np.iinfo(np.int64).max)
                 np.minimum.at(low, top, sid[at])
                 label[at] = low[top]
-            yield pa.RecordBatch.from_arrays([pa.array(c[once]) for c in (sid, label, links, first)], ["sid", "label", "links", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[once]) for c in (sid, label, links)], ["sid", "label", "links"])
 
     return run
 
 
-def similarity_classes(docs: DataFrame, *, lines: bool, k: int, num: int, den: int, part: int, least: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Join all units of ``docs(id, text)`` at Jaccard >= num/den.
+def similarity_classes(docs: DataFrame, *, k: int, num: int, den: int, part: int) -> tuple[DataFrame, DataFrame]:
+    """Join the texts of ``docs(id, text)`` at Jaccard >= num/den.
 
-    Returns two written tables: units (id, unit, n, sid) with one row for each unit of at least
-    ``least`` words, and classes (sid, rank0, copies, label, links, first): for each distinct non-empty
-    set, the place id * 2^22 + unit of its first unit, its number of units, the smallest sid reachable by
-    links, how many units of other sets it links with, and the first place among those (null if none).
-    Null texts have no units. Ids are whole numbers below 2^40 in size; a text has at most 2^22 units."""
+    Returns two written tables: texts (id, n, sid) with one row for each text that is not null, and classes (sid,
+    id0, copies, label, links): for each distinct non-empty set, the smallest id of its texts, their number, the
+    smallest sid reachable by links, and how many texts of other sets it links with. Ids are whole numbers."""
     spark = docs.sparkSession
     docs = docs.select("id", "text")
-    seen = materialise(docs.mapInArrow(_unit_rows(k, lines, least), "id long, unit long, n long, sid long"), "units")
-    units = seen.where("unit is not null")
-    top = seen.where("unit is null").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(TOP_TOKENS).toPandas()
-    h = top.sid.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    level = np.minimum(np.log2(np.maximum(top.n.to_numpy(np.float64), 1)) + 1, 31).astype(np.uint64)
-    heavy = spark.sparkContext.broadcast((h[order], level[order]))
-
-    index = docs.mapInArrow(_index_rows(k, lines, least, num, den, part, heavy), "key long, sid long, bits long, meta long")
+    seen = materialise(docs.mapInArrow(unit_rows(k, False, 0), "id long, unit long, n long, sid long"), "texts")
+    texts = seen.where("unit is not null").select("id", "n", "sid")
+    heavy = spark.sparkContext.broadcast(heavy_tokens(seen.where("unit is null")))
+
+    index = docs.mapInArrow(_index_rows(k, num, den, part, heavy), "key long, sid long, bits long, meta long")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     lists = index.repartition(width, "key").sortWithinPartitions("key", "meta")
     pairs = lists.mapInArrow(_list_links(num, den), "a long, b long")
     family = connected_components(pairs)
 
-    place = F.col("id") * F.lit(1 << UNIT_BITS) + F.col("unit")
-    whole = units.where("n > 0").groupBy("sid").agg(F.min(place).alias("rank"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    whole = texts.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"))
     member = whole.join(family.select(F.col("node").alias("sid"), F.col("label").alias("fam")), "sid")
     size = member.groupBy("fam").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).cast("long").alias("nb"))
     member = materialise(member.join(size, "fam"), "members")
-    passing = spark.sparkContext.broadcast(_filter(member))
-    sets = docs.mapInArrow(_member_sets(k, lines, least, passing), "rank long, sid long, tokens binary").join(member, ["sid", "rank"])
+    passing = spark.sparkContext.broadcast(bloom_filter(member, "id"))
+    of_sets = docs.mapInArrow(_member_sets(k, passing), "id long, sid long, tokens binary").join(member, ["sid", "id"])
     own = F.pmod(F.xxhash64("sid"), F.col("nb")).alias("own")
-    dealt = sets.select("fam", "sid", "rank", "copies", "tokens", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
-    dealt = dealt.select("fam", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "own", "rank", "copies", "tokens")
+    dealt = of_sets.select("fam", "sid", "copies", "tokens", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
+    dealt = dealt.select("fam", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "own", "copies", "tokens")
     dealt = dealt.repartition(width, "fam", "i", "j").sortWithinPartitions("fam", "i", "j", "sid")
-    found = materialise(dealt.mapInArrow(_verify(num, den), "sid long, label long, links long, first long"), "links")
+    found = materialise(dealt.mapInArrow(_verify(num, den), "sid long, label long, links long"), "links")
     found = found.join(member.select("sid", "nb"), "sid")
-    single = found.where("nb = 1").select("sid", "label", "links", "first")
+    single = found.where("nb = 1").select("sid", "label", "links")
     several = found.where("nb > 1")
     if several.limit(1).count():
         joined = connected_components(several, "sid", "label").withColumnRenamed("node", "sid").withColumnRenamed("label", "root")
-        several = several.groupBy("sid").agg(F.sum("links").alias("links"), F.min("first").alias("first")).join(joined, "sid", "left")
-        single = single.union(several.select("sid", F.coalesce("root", "sid"), "links", "first"))
-    none = F.lit(np.iinfo(np.int64).max)
-    classes = whole.join(single, "sid", "left").select(
-        "sid", F.col("rank").alias("rank0"), "copies", F.coalesce("label", "sid").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("first") < none, F.col("first")).alias("first")
-    )
-    return units, materialise(classes, "classes")
+        several = several.groupBy("sid").agg(F.sum("links").alias("links")).join(joined, "sid", "left")
+        single = single.union(several.select("sid", F.coalesce("root", "sid"), "links"))
+    classes = whole.join(single, "sid", "left").select("sid", F.col("id").alias("id0"), "copies", F.coalesce("label", "sid").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    return texts, materialise(classes, "classes")

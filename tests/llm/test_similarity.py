@@ -5,6 +5,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql.functions import lit
+
 from snapdelta.llm.common import connected_components
 from snapdelta.llm.line_dedup import line_dedup
 from snapdelta.llm.ngram_join import ngram_jaccard, one_of_each
@@ -120,28 +122,62 @@ def test_components(spark):
     assert connected_components(edges.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("k", [1, 5])
-def test_lines_match_brute_force(spark, k):
+@pytest.mark.parametrize("limits", [{}, {"SHORT": 2, "FEW": 1, "MANY": 2}, {"COMMON_LEVEL": 0}, {"SHORT": 1, "FEW": 1, "MANY": 1, "COMMON_LEVEL": 2, "PART": 8, "_ROWS": 3, "_COLUMNS": 5}])
+def test_lines_match_brute_force(spark, monkeypatch, limits):
+    """Also where lists are cut short, tokens are common and sets are cut into many parts."""
+    from snapdelta.llm import line_dedup as module
+
+    for name, value in limits.items():
+        monkeypatch.setattr(module, name, value)
     r = random.Random(3)
     vocab = [f"w{i}" for i in range(60)]
-    lines = [" ".join(r.choice(vocab) for _ in range(r.choice([2, 5, 9, 30, 120]))) for _ in range(60)]
+    lines = [" ".join(r.choice(vocab) for _ in range(r.choice([1, 2, 4, 5, 9, 30, 120, 400]))) for _ in range(60)]
     rows = []
-    for i in range(80):
+    for i in range(120):
         own = []
         for _ in range(r.randrange(6)):
             w = r.choice(lines).split()
-            if r.random() < 0.5:
+            for _ in range(r.choice([0, 1, 1, 3])):
                 w[r.randrange(len(w))] = r.choice(vocab)
             own.append(" ".join(w))
-        rows.append((i * 7 % 80, "\n".join(own)))
-    flat = sorted((i, no, t) for i, x in rows for no, t in enumerate(x.split("\n")) if len(t.split()) >= 5)
-    gone = {flat[j][:2] for _, j in links([shingles(t, k) for _, _, t in flat], 4, 5)}
-    got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=k).collect()}
+        rows.append(((i * 7 % 120 - 60) * (1 << 56), "\n".join(own)))
+    flat = sorted((i, no, t) for i, x in rows for no, t in enumerate(x.split("\n")) if t.split())
+    gone = {flat[j][:2] for _, j in links([shingles(t, 1) for _, _, t in flat], 4, 5)}
+    got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     for i, text in rows:
         keep = [t for no, t in enumerate(text.split("\n")) if (i, no) not in gone]
         assert got[i] == ("\n".join(keep), len(text.split("\n")) - len(keep))
 
 
+def test_a_changed_word_in_twenty_and_a_very_long_line(spark):
+    words = [f"w{i}" for i in range(20)]
+    near = [*words[:9], "x", *words[10:]]
+    long = [f"l{i}" for i in range(30000)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(long)), (4, " ".join([*long[:-2000], *(f"m{i}" for i in range(2000))])), (5, " ".join(long[:15000]))]
+    got = {r.doc_id: r.n_removed for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+
+
+def test_lines_of_repeated_rows_and_clashing_columns(spark):
+    a, b = "one two three four five six", "one two three four five"
+    df = spark.createDataFrame([(1, f"{a}\nx"), (2, f"{b}\ny"), (2, f"{b}\ny"), (3, f"z\n{a}\n{b}")], "doc_id long, text string")
+    want = [(1, f"{a}\nx"), (2, "y"), (2, "y"), (3, "z")]
+    for more in ("_n_lines", "_n_removed", "_gone", "gone_id", "gone_lines", "sid", "unit", "id"):
+        df = df.withColumn(more, lit("own"))
+    out = line_dedup(df, keep_columns=True)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == want
+    assert {r.sid + r._gone + r.gone_id + r.gone_lines for r in out.collect()} == {"ownownownown"} and {r._n_removed for r in out.collect()} == {0, 1, 2}
+    again = line_dedup(out, keep_columns=True)
+    assert sorted(again.columns) == sorted(out.columns) and sorted((r.doc_id, r.text, r._n_removed) for r in again.collect()) == [(*x, 0) for x in want]
+
+
+def test_ids_of_sixty_four_bits(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    df = spark.createDataFrame([(high, "a b c d e f"), (low, "a b c d e f"), (1 << 45, "A B C D E F")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_jaccard(df).collect()} == {high: low, low: low, 1 << 45: low}
+    assert {r.doc_id: r.n_removed for r in line_dedup(df).collect()} == {high: 1, low: 0, 1 << 45: 1}
+
+
 def test_lines_edge_cases(spark):
     row = "one two three four five six"
     df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, f"{row}\n\n{row.upper()}", 3), (4, row, 4), (None, row, 5)], "doc_id long, text string, n_lines long")
@@ -159,6 +195,9 @@ def test_registered_line_queries_use_words_and_short_lines(spark, tmp_path):
     rows = [(1, f"{a}\nread more\n\n}}"), (2, f"{b}\n\nRead More\n}}\nown line"), (3, "read less")]
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows.append((4, f"{a}\n\n  \u00a0\t"))  # nothing but white space is left: kept by the operator, left out by the stage
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     want = {1: f"{a}\nread more\n\n}}", 2: "\nown line", 3: "read less"}
-    assert {r.doc_id: r.text for r in op5_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in op5_line_dedup(spark, str(tmp_path)).collect()} == want | {4: "\n  \u00a0\t"}
     assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()} == want

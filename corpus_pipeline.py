@@ -20,7 +20,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: lines that match an earlier one go; a document left without any text by that goes too."""
     ship_package(spark)
-    lines = line_dedup.line_dedup(docs, shingle=1, least=1, keep_columns=True).where(~F.coalesce((F.col("_n_removed") > 0) & (F.trim("text") == ""), F.lit(False)))
+    lines = line_dedup.line_dedup(docs, keep_columns=True)
+    emptied = (F.col("_n_removed") > 0) & ~F.col("text").rlike(r"[^\s\p{Z}]")
+    lines = lines.where(~F.coalesce(emptied, F.lit(False)))
     return lines.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

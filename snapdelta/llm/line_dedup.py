@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bloom_filter, bloom_slots, free_name, materialise, passes_bloom
-from .token_sets import TOKEN_BITS, Sets, hamming, heavy_tokens, levels_of, mix, most_apart, parts_of, sets, unit_rows
+from .token_sets import TOKEN_BITS, Sets, hamming, heavy_tokens, levels_of, mix, most_apart, order_of, parts_of, sets, unit_rows
 
 #: Tokens of a part of a long line's set.
 PART = 64
@@ -36,13 +36,17 @@ COMMON_LEVEL = 12
 SHORT = 32
 #: Candidates that a line names in a longer list: of those surely near, and of others.
 FEW, MANY = 4, 64
-#: Entries of a long list that are compared in one step.
-_ROWS, _COLUMNS = 256, 4096
+#: Entries of a long list that are compared in one step, and entries of short lists.
+_ROWS, _COLUMNS, _STEP = 256, 4096, 100_000
+#: Bits of a key that tell the size of a set.
+SIZE_BITS = 20
+_SIZE = np.uint64((1 << SIZE_BITS) - 1)
 
 
 def _entries(num: int, den: int, least: int, heavy):
-    """Texts to index entries (key, sid, id, bits, meta); meta packs the set's size, the log of its number of
-    parts, and the token's position."""
+    """Texts to index entries (key, sid, id, bits, meta). The last SIZE_BITS of a key are the set's size, so that one
+    sort gives lists in the order of sizes (two tokens of one key share a list, which costs time only); meta packs
+    the size, the log of the number of parts, and the token's position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,7 +56,7 @@ def _entries(num: int, den: int, least: int, heavy):
 
     def emit(s: Sets, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         use = np.zeros(len(s.n), bool)
-        use[np.unique(s.sid, return_index=True)[1]] = True  # copies within a batch need one entry
+        use[firsts(s.sid, ids)] = True  # copies within a batch need one entry, that of the smallest id
         use &= most_apart(s.n, num, den) > 0  # smaller sets match equal ones only
         tok, n, sid, ids = s.tok[np.repeat(use, s.n)], s.n[use], s.sid[use], ids[use]
         if not len(n):
@@ -70,7 +74,7 @@ def _entries(num: int, den: int, least: int, heavy):
         seg = base[unit] + ((tok >> np.uint64(17)).astype(np.int64) & (parts[unit] - 1))
         owner = np.repeat(np.arange(len(n)), parts)
         size = np.bincount(seg, minlength=base[-1])
-        order = np.argsort((seg << 5) | level, kind="stable")  # tokens of a unit come in order already
+        order = order_of((seg << 5) | level)  # tokens of a unit come in order already
         tok, seg, level = tok[order], seg[order], level[order]
         start = np.concatenate([[0], np.cumsum(size)])[:-1]
         pos = np.arange(len(tok)) - start[seg]
@@ -102,58 +106,71 @@ def _entries(num: int, den: int, least: int, heavy):
         key, seg, pos = map(np.concatenate, (keys, segs, places))
         at = owner[seg]
         meta = (n[at] << 24) | (np.log2(parts[at]).astype(np.int64) << 16) | np.minimum(pos, 65535)
-        cols = [key.view(np.int64), sid[at], ids[at], bits[seg].view(np.int64), meta]
+        sized = (key & ~_SIZE) | np.minimum(n[at], int(_SIZE)).astype(np.uint64)
+        cols = [sized.view(np.int64), sid[at], ids[at], bits[seg].view(np.int64), meta]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "sid", "id", "bits", "meta"])
 
     return run
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of a sorted partition, cut where the key changes; a list that spans batches comes whole."""
-    held: list[pa.RecordBatch] = []
+    """Columns of a sorted partition, some batches at once, cut where the list changes; a list comes whole."""
+    held, rows = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column("key").to_numpy()
-        if held and held[-1].column("key")[held[-1].num_rows - 1].as_py() != key[0]:
-            yield _columns(held)
-            held = []
-        change = np.flatnonzero(key[1:] != key[:-1])
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < _STEP or held[0].column("key")[0].as_py() >> SIZE_BITS == batch.column("key")[batch.num_rows - 1].as_py() >> SIZE_BITS:
+            continue
+        c = _columns(held)
+        change = np.flatnonzero(c["key"][1:] != c["key"][:-1])
         if len(change):
-            yield _columns([*held, batch.slice(0, int(change[-1]) + 1)])
-            held = []
-        held.append(batch.slice(int(change[-1]) + 1 if len(change) else 0))
-    if held:
+            cut = int(change[-1]) + 1
+            yield {k: v[:cut] for k, v in c.items()}
+            held, rows = [pa.Table.from_batches(held).slice(cut).combine_chunks().to_batches()[0]], rows - cut
+    if rows:
         yield _columns(held)
 
 
 def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     t = pa.Table.from_batches(batches)
-    return {c: t.column(c).to_numpy() for c in t.column_names}
+    c = {c: t.column(c).to_numpy() for c in t.column_names}
+    return c | {"key": c["key"] >> SIZE_BITS}
+
+
+def firsts(sid: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where each set stands first, by id."""
+    order = np.lexsort((ids, sid))
+    return order[np.concatenate([[True], sid[order][1:] != sid[order][:-1]])] if len(order) else order
+
+
+_FOUND = ["a", "b", "far", "bits", "meta"]
 
 
 def _candidates(num: int, den: int, again: bool):
     """Lists to pairs (a, b, far) of set ids, a < b, with the distance of their bitmaps; (a, a) notes that a was
-    cut short. ``again`` is the second time: long lists only, and only for entries that ask."""
+    cut short. Entries of long lists come back too, as (sid, id, key, bits, meta), so that they need not be made a
+    second time; in pairs meta is null. ``again`` is that second time: only entries that ask name candidates."""
 
     def bound(n, m, logp):
         return ((n + m) * (den - num) // (den + num)) >> logp
 
     def long(c: dict[str, np.ndarray], few: int, many: int) -> Iterator[np.ndarray]:
-        _, at = np.unique(c["sid"], return_index=True)
+        at = firsts(c["sid"], c["id"])
         at = at[np.argsort(c["id"][at], kind="stable")]
-        sid, bits, n, logp, pos = (c[x][at] for x in ("sid", "bits", "n", "logp", "pos"))
+        sid, id_, bits, n, logp, pos = (c[x][at] for x in ("sid", "id", "bits", "n", "logp", "pos"))
         asks = c["ask"][at] if again else np.ones(len(at), bool)
         for lo in range(0, len(at), _ROWS):
             rows = lo + np.flatnonzero(asks[lo : lo + _ROWS])
-            for left in range(0, min(lo + _ROWS, len(at)), _COLUMNS):
-                if not len(rows):
-                    break
-                cols = np.arange(left, min(left + _COLUMNS, rows[-1]))
+            left = 0
+            while len(rows) and left < (end := int(np.searchsorted(id_, id_[rows[-1]], "right"))):  # of one id: all
+                cols = np.arange(left, min(left + _COLUMNS, end))
+                left += _COLUMNS
                 r = rows[:, None]
                 most = bound(n[r], n[cols], logp[r])
                 far = hamming(bits[r], bits[cols])
-                ok = (far <= most) & (pos[r] + pos[cols] <= most) & (cols < r) & (n[r] * den >= n[cols] * num) & (n[cols] * den >= n[r] * num)
+                ok = (far <= most) & (pos[r] + pos[cols] <= most) & (id_[cols] <= id_[r]) & (cols != r) & (n[r] * den >= n[cols] * num) & (n[cols] * den >= n[r] * num)
                 i, j = np.nonzero(ok)
                 far, sure = far[i, j], 2 * far[i, j] <= most[i, j]
                 by = np.lexsort((far, i))
@@ -163,13 +180,13 @@ def _candidates(num: int, den: int, again: bool):
                 named = np.arange(len(i)) - (np.cumsum(all_) - all_)[i] < most_named[i]
                 yield np.stack([sid[rows[i[named]]], sid[cols[j[named]]], far[named]])
                 done = (near >= few) | (all_ >= many)
-                short = sid[rows[done & ((all_ > most_named) | (cols[-1:].max(initial=-1) + 1 < rows))]]
+                short = sid[rows[done & ((all_ > most_named) | (left < end))]]
                 yield np.stack([short, short, np.zeros_like(short)])
                 rows = rows[~done]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _lists(batches):
-            key, meta = c["key"], c.pop("meta")
+            key, meta = c["key"], c["meta"]
             c |= {"bits": c["bits"].view(np.uint64), "n": meta >> 24, "logp": (meta >> 16) & 255, "pos": meta & 65535}
             sid, n, pos, bits, logp = (c[x] for x in ("sid", "n", "pos", "bits", "logp"))
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -197,7 +214,12 @@ def _candidates(num: int, den: int, again: bool):
             if found.shape[1]:
                 found = found[:, np.lexsort(found[::-1])]
                 found = found[:, np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(axis=0)])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "far"])
+            none = pa.nulls(found.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in found), none, none], _FOUND)
+            if not again:
+                of = np.repeat(length > SHORT, length)
+                cols = [sid[of], c["id"][of], key[of], bits[of].view(np.int64), meta[of]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], _FOUND)
 
     return run
 
@@ -255,9 +277,12 @@ def later_matches(docs: DataFrame, num: int, den: int, least: int) -> DataFrame:
     whole = materialise(whole, "classes")
     index = docs.mapInArrow(_entries(num, den, least, heavy), "key long, sid long, id long, bits long, meta long")
 
-    def candidates(index: DataFrame, again: bool) -> DataFrame:
-        lists = index.repartition(width, "key").sortWithinPartitions("key", "meta")
-        return lists.mapInArrow(_candidates(num, den, again), "a long, b long, far long").groupBy("a", "b").agg(F.min("far").alias("far"))
+    def candidates(index: DataFrame, again: bool) -> tuple[DataFrame, DataFrame]:
+        lists = index.repartition(width, F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
+        found = materialise(lists.mapInArrow(_candidates(num, den, again), ", ".join(f"{c} long" for c in _FOUND)), "lists")
+        pairs = found.where("meta is null").groupBy("a", "b").agg(F.min("far").alias("far"))
+        entries = found.where("meta is not null").select(F.shiftleft("far", SIZE_BITS).alias("key"), F.col("a").alias("sid"), F.col("b").alias("id"), "bits", "meta")
+        return materialise(pairs, "candidates"), entries
 
     def matched(pairs: DataFrame) -> DataFrame:
         """The later sid of each pair that matches, once."""
@@ -283,13 +308,13 @@ def later_matches(docs: DataFrame, num: int, den: int, least: int) -> DataFrame:
         rest = todo.join(first, F.col("x") == F.col("sid"), "left_anti").join(nearest, ["x", "y"], "left_anti")
         return first.union(materialise(verified(rest), "matched"))
 
-    pairs = materialise(candidates(index, False), "candidates")
+    pairs, long = candidates(index, False)
     gone = matched(pairs.where("a <> b"))
     asking = pairs.where("a = b").select(F.col("a").alias("sid")).join(gone, "sid", "left_anti")
     asking = materialise(asking.withColumn("ask", F.lit(True)), "asking")
     if asking.limit(1).count():
-        more = index.join(asking, "sid", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-        gone = gone.union(matched(materialise(candidates(more, True), "candidates").where("a <> b"))).distinct()
+        more = long.join(asking, "sid", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        gone = gone.union(matched(candidates(more, True)[0].where("a <> b"))).distinct()
     doomed = whole.join(gone.withColumn("matched", F.lit(True)), "sid", "left").where("matched or copies > 1")
     return units.join(doomed, "sid").where(F.col("matched") | (_place("id", "unit") > F.col("place"))).select("id", "unit").distinct()
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bloom_filter, bloom_slots, connected_components, materialise, passes_bloom
-from .token_sets import Sets, hamming, heavy_tokens, levels_of, mix, most_apart, parts_of, sets, unit_rows
+from .token_sets import Sets, hamming, heavy_tokens, levels_of, mix, most_apart, order_of, parts_of, sets, unit_rows
 
 #: Index lists up to ``SHORT`` compare all neighbours at once, up to ``LONG`` block by block; longer ones use leaders.
 SHORT, LONG = 24, 512
@@ -68,7 +68,7 @@ def _index_rows(k: int, num: int, den: int, part: int, heavy):
         owner = np.repeat(np.arange(len(n)), parts)
         size = np.bincount(seg, minlength=base[-1])
         apart = most_apart(n, num, den)[owner] // parts[owner]
-        order = np.argsort((seg << 5) | rare, kind="stable")  # tokens of a unit come in order already
+        order = order_of((seg << 5) | rare)  # tokens of a unit come in order already
         tok, seg = tok[order], seg[order]
         start = np.concatenate([[0], np.cumsum(size)])[:-1]
         pos = np.arange(len(tok)) - start[seg]

@@ -158,22 +158,27 @@ def unit_rows(k: int, lines: bool, least: int):
     return run
 
 
-def heavy_tokens(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens of ``unit_rows`` in order of hash, and the logarithms of their counts."""
+def heavy_tokens(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent tokens of ``unit_rows`` in order of hash, the logarithms of their counts, and which leading
+    bits they have (so that few tokens are searched for)."""
     top = counts.groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(TOP_TOKENS).toPandas()
     h = top.sid.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     level = np.minimum(np.log2(np.maximum(top.n.to_numpy(np.float64), 1)) + 1, 31).astype(np.uint8)
-    return h[order], level[order]
+    near = np.zeros(1 << 22, bool)
+    near[(h >> np.uint64(TOKEN_BITS - 22)).astype(np.int64)] = True
+    return h[order], level[order], near
 
 
-def levels_of(tok: np.ndarray, heavy: np.ndarray, level: np.ndarray) -> np.ndarray:
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """Places of small keys in their order, equal ones as they come: one plain sort of key and place in one word."""
+    return np.sort((keys << 32) | np.arange(len(keys))) & 0xFFFFFFFF
+
+
+def levels_of(tok: np.ndarray, heavy: np.ndarray, level: np.ndarray, near: np.ndarray) -> np.ndarray:
     """The logarithm of each token's count, 0 for those that are not frequent."""
     out = np.zeros(len(tok), np.int64)
-    shift = np.uint64(TOKEN_BITS - 22)
-    near = np.zeros(1 << 22, bool)  # leading bits of frequent tokens: the search is for few
-    near[(heavy >> shift).astype(np.int64)] = True
-    maybe = np.flatnonzero(near[(tok >> shift).astype(np.int64)])
+    maybe = np.flatnonzero(near[(tok >> np.uint64(TOKEN_BITS - 22)).astype(np.int64)])
     if len(maybe):
         at = np.minimum(np.searchsorted(heavy, tok[maybe]), len(heavy) - 1)
         hit = heavy[at] == tok[maybe]

@@ -22,14 +22,15 @@ def quotation_links(messages: DataFrame, *, conv: str = "conv_id", turn: str = "
     passage. A passage is looked up by the hash of its normalised text among the unquoted passages of all
     messages, first as a whole, then line by line; passages and lines of fewer than ``least`` normalised
     characters name no message. The original is the first message with that passage in an earlier turn of
-    the same conversation, or else the first in any other conversation. The parent is the original in the
+    the same conversation, or else one in the first other conversation (by its id) that has the passage. The parent is the original in the
     same conversation with most quoted characters at the lowest level quoted (ties: the later turn).
 
     Columns: the ids, ``body`` (no quotes), ``max_level``, ``n_quoted`` passages, ``n_linked`` passages found,
     ``parent_turn``, ``other_conv`` (a conversation quoted from outside), ``thread_turn`` (the first message of
     the thread) and ``depth``. Ordering by (conv, thread_turn, depth, turn) puts each message after the one it
     answers; without quotes that is the order of turns. A null text has null body and no quotes; rows of null
-    conv or turn are kept and never linked; repeated rows are linked alike. Other columns are ignored."""
+    conv or turn are kept and never linked; repeated rows are linked alike. An empty table gives an empty result.
+    Other columns are ignored."""
     m = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(text).alias("text"))
     quoting = F.coalesce(F.col("text").rlike("(?m)" + _MARKS), F.lit(False))
     lines = F.split("text", "\n")
@@ -55,11 +56,14 @@ def quotation_links(messages: DataFrame, *, conv: str = "conv_id", turn: str = "
     said = pieces.where("level = 0")
     quoted = pieces.where("level > 0")
     here = said.groupBy("hash", "conv").agg(F.min("turn").alias("here_turn"))
-    first = said.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("first"))
-    hit = quoted.join(here, ["hash", "conv"], "left").join(first, "hash", "left")
+    asked = quoted.select("hash").distinct()
+    said_in = here.join(asked, "hash", "left_semi").select("hash", "conv")
+    first = said_in.groupBy("hash").agg(F.min("conv").alias("first"))
+    second = said_in.join(first, "hash").where("conv > first").groupBy("hash").agg(F.min("conv").alias("second"))
+    hit = quoted.join(here, ["hash", "conv"], "left").join(first, "hash", "left").join(second, "hash", "left")
     hit = hit.withColumn("same", F.coalesce(F.col("here_turn") < F.col("turn"), F.lit(False)))
-    hit = hit.withColumn("o_turn", F.when(F.col("same"), F.col("here_turn")).otherwise(F.col("first.turn"))).withColumn("o_conv", F.when(F.col("same"), F.col("conv")).otherwise(F.col("first.conv")))
-    hit = hit.withColumn("o_conv", F.when(F.col("same") | (F.col("o_conv") != F.col("conv")), F.col("o_conv")))
+    elsewhere = F.when(F.col("first") != F.col("conv"), F.col("first")).otherwise(F.col("second"))
+    hit = hit.withColumn("o_turn", F.when(F.col("same"), F.col("here_turn"))).withColumn("o_conv", F.when(F.col("same"), F.col("conv")).otherwise(elsewhere))
     found = hit.groupBy("conv", "turn", "no").agg(F.max(F.col("o_conv").isNotNull() & (F.col("line") == -1)).alias("as_whole"))
     hit = hit.join(found, ["conv", "turn", "no"]).where("line = -1 or not as_whole")
     passages = hit.groupBy("conv", "turn", "no").agg(F.max(F.col("o_conv").isNotNull()).alias("linked"))

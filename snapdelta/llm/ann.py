@@ -33,8 +33,9 @@ def rotation(d: int, seed: int) -> np.ndarray:
 
 
 def _matrix(col: pa.Array, field: str) -> np.ndarray:
-    v = col.field(field)
-    return np.asarray(v.flatten(), np.float64).reshape(len(col), -1)
+    """Vectors as rows, each scaled by a power of two: its cosines stay the same, and no square over- or underflows."""
+    v = np.asarray(col.field(field).flatten(), np.float64).reshape(len(col), -1)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0))[1][:, None])
 
 
 def _pack(seed: int, as_code: bool):
@@ -108,13 +109,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
 
     Scores are exact cosines of the original vectors in double precision; equal scores go by the smaller id.
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do vectors
-    of null id; a query meets only vectors of its own length. Of rows repeated with one id, one takes part.
+    of null id; a query meets only vectors of its own length. Of rows repeated with one id, the one of
+    the smallest vector (component by component) takes part, as query and as candidate.
     Queries are dealt in blocks against blocks of all vectors; ``width`` scales the error bound. An empty
     table gives an empty result; other columns are ignored."""
 
     def blocks(df: DataFrame, each: int, as_code: bool) -> DataFrame:
-        v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-        v = v.dropDuplicates(["id"]).select(F.size("v").cast("long").alias("d"), "id", "v")
+        v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+        v = v.groupBy("id").agg(F.min("v").alias("v")).select(F.size("v").cast("long").alias("d"), "id", "v")
         n = max(1, -(-df.count() // each))
         packed = v.groupBy("d", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
         return packed.mapInArrow(_pack(seed, as_code), _PACKED)

@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import free_name, materialise
 
+#: Up to so many sites are broadcast.
+MOST_SENT = 200_000
 _SYMBOLS = re.compile(r"[^\w\s]{2,}")
 
 
@@ -163,28 +165,28 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     ``evidence`` is the classifier's chance that the text is low or toxic, ``site`` the posterior rate of its
     path, ``p_bad`` both together; ``keep`` is p_bad < ``cut``. A null host or path is a site of its own. Null and
     empty texts have the feature of emptiness only. Without labels, or with an empty table, all is kept.
-    Repeated rows are scored alike."""
+    Repeated rows are scored alike. Columns of ``docs`` that have the names of the new ones are replaced. Sites are
+    sent to all tasks up to MOST_SENT of them (a few tens of MB); beyond that they are joined."""
     spark = docs.sparkSession
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     sent = spark.sparkContext.broadcast(model)
-    sites_of = list(dict.fromkeys((host, path)))
-    narrow = docs.select(text_col, id_col, *sites_of)
+    docs = docs.drop("_evidence", "_site", "_p_bad", "_keep")
+    own = docs if keep_columns else docs.select(id_col, text_col, *dict.fromkeys(c for c in (host, path) if c not in (id_col, text_col)))
     extra = T.StructField("_evidence", T.DoubleType())
-    rows = narrow.mapInArrow(_score(sent, 0), T.StructType([*narrow.schema.fields, extra])).drop(text_col)
-    rows = materialise(rows, "evidence")
-    if keep_columns:  # reading the texts again is cheaper than moving them to their scores
-        scored = docs.mapInArrow(_score(sent, docs.columns.index(text_col)), T.StructType([*docs.schema.fields, extra]))
-    else:
-        scored = rows
-    paths = materialise(rows.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.count("*").alias("n"), F.sum("_evidence").alias("s")), "sites")
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    whole = hosts.agg(F.sum("n"), F.sum("s")).first()
+    scored = own.mapInArrow(_score(sent, own.columns.index(text_col)), T.StructType([*own.schema.fields, extra]))
+    scored = materialise(scored if keep_columns else scored.drop(text_col), "evidence")  # each text is scored once
+    paths = scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count("*").alias("n"), F.sum("_evidence").alias("s"))
+    paths = materialise(paths, "sites")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    whole = hosts.agg(F.sum("n"), F.sum("s"), F.count("*")).first()
     mean = min(max(whole[1] / whole[0], 1e-6), 1 - 1e-6) if whole[0] else 0.5
     a, b = _strength(hosts, mean), _strength(paths, mean)
-    hosts = hosts.select(F.col("_host").alias("_h"), ((F.col("s") + a * mean) / (F.col("n") + a)).alias("_host_rate"))
-    sites = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).select("_host", "_path", ((F.col("s") + b * F.col("_host_rate")) / (F.col("n") + b)).alias("_site"))
+    h, p, site = (free_name(x, own.columns) for x in ("host", "path", "_site"))
+    rates = hosts.select(F.col("host").alias("h"), ((F.col("s") + a * mean) / (F.col("n") + a)).alias("host_rate"))
+    sites = paths.join(rates, F.col("host").eqNullSafe(F.col("h"))).select(F.col("host").alias(h), F.col("path").alias(p), ((F.col("s") + b * F.col("host_rate")) / (F.col("n") + b)).alias(site))
+    sites = F.broadcast(sites) if paths.count() <= MOST_SENT else sites
     logit = lambda c: F.log(c / (1 - c))
-    joined = scored.join(sites, scored[host].eqNullSafe(F.col("_host")) & scored[path].eqNullSafe(F.col("_path")), "left")
+    joined = scored.join(sites, scored[host].eqNullSafe(F.col(h)) & scored[path].eqNullSafe(F.col(p)), "left")
     joined = joined.withColumn("_p_bad", 1 / (1 + F.exp(-(logit(F.col("_evidence")) + logit(F.col("_site")) - math.log(mean / (1 - mean))))))
     joined = joined.withColumn("_keep", F.lit(True) if not model["heads"] else F.col("_p_bad") < cut)
     if keep_columns:

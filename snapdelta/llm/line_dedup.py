@@ -37,24 +37,37 @@ SHORT = 32
 #: Candidates that a line names in a longer list: of those surely near, and of others.
 FEW, MANY = 4, 64
 #: Entries of a long list that are compared in one step, and entries of short lists.
-_ROWS, _COLUMNS, _STEP = 256, 4096, 100_000
+_ROWS, _COLUMNS, _STEP = 256, 1024, 50_000
+#: Parts of the index for each shuffle partition: a worker holds one part at a time.
+GROUPS = 16
 #: Bits of a key that tell the size of a set.
 SIZE_BITS = 20
 _SIZE = np.uint64((1 << SIZE_BITS) - 1)
 
 
-def _entries(num: int, den: int, least: int, heavy):
+def _entries(num: int, den: int, least: int, heavy, groups: int):
     """Texts to index entries (key, sid, id, bits, meta). The last SIZE_BITS of a key are the set's size, so that one
     sort gives lists in the order of sizes (two tokens of one key share a list, which costs time only); meta packs
-    the size, the log of the number of parts, and the token's position."""
+    the size, the log of the number of parts, and the token's position.
+
+    Entries travel in blocks (part, block): those of a batch whose keys fall in one of ``groups`` parts, column after
+    column, since rows of five numbers each cost several times what their bytes cost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            for s in sets(batch.column("text"), True, 1, least):
-                yield from emit(s, ids[s.row])
-
-    def emit(s: Sets, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+            some = [e for s in sets(batch.column("text"), True, 1, least) for e in emit(s, ids[s.row])]
+            if not some:
+                continue
+            entries = np.concatenate(some, axis=1)
+            part = (mix((entries[0] >> SIZE_BITS).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            order = order_of(part)
+            entries, part = entries[:, order], part[order]
+            edge = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+            blocks = [entries[:, a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(blocks, pa.binary())], ["part", "block"])
+
+    def emit(s: Sets, ids: np.ndarray) -> Iterator[np.ndarray]:
         use = np.zeros(len(s.n), bool)
         use[firsts(s.sid, ids)] = True  # copies within a batch need one entry, that of the smallest id
         use &= most_apart(s.n, num, den) > 0  # smaller sets match equal ones only
@@ -62,14 +75,14 @@ def _entries(num: int, den: int, least: int, heavy):
         if not len(n):
             return
         unit = np.repeat(np.arange(len(n)), n)
-        level = levels_of(tok, *heavy.value)
+        level = levels_of(tok, heavy.value)
         own, low = parts_of(n, PART), parts_of((n * num + den - 1) // den, PART)
         yield one(tok, unit, level, n, sid, ids, own)
         if (on := low != own).any():  # a smaller partner may be cut into fewer parts
             at = on[unit]
             yield one(tok[at], (np.cumsum(on) - 1)[unit[at]], level[at], n[on], sid[on], ids[on], low[on])
 
-    def one(tok, unit, level, n, sid, ids, parts) -> pa.RecordBatch:
+    def one(tok, unit, level, n, sid, ids, parts) -> np.ndarray:
         base = np.concatenate([[0], np.cumsum(parts)])
         seg = base[unit] + ((tok >> np.uint64(17)).astype(np.int64) & (parts[unit] - 1))
         owner = np.repeat(np.arange(len(n)), parts)
@@ -107,12 +120,34 @@ def _entries(num: int, den: int, least: int, heavy):
         at = owner[seg]
         meta = (n[at] << 24) | (np.log2(parts[at]).astype(np.int64) << 16) | np.minimum(pos, 65535)
         sized = (key & ~_SIZE) | np.minimum(n[at], int(_SIZE)).astype(np.uint64)
-        cols = [sized.view(np.int64), sid[at], ids[at], bits[seg].view(np.int64), meta]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "sid", "id", "bits", "meta"])
+        return np.stack([sized.view(np.int64), sid[at], ids[at], bits[seg].view(np.int64), meta])
 
     return run
 
 
+_ENTRY = ["key", "sid", "id", "bits", "meta"]
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Blocks that come by part to the columns of each part, its lists in order."""
+    held, last = [], None
+
+    def columns() -> dict[str, np.ndarray]:
+        entries = np.concatenate([np.frombuffer(b, np.int64).reshape(5, -1) for b in held], axis=1)
+        c = dict(zip(_ENTRY, entries[:, np.argsort(entries[0])]))
+        return c | {"key": c["key"] >> SIZE_BITS}
+
+    for batch in batches:
+        for part, block in zip(batch.column("part").to_pylist(), batch.column("block")):
+            if held and part != last:
+                yield columns()
+                held = []
+            held.append(block.as_py())
+            last = part
+    if held:
+        yield columns()
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """Columns of a sorted partition, some batches at once, cut where the list changes; a list comes whole."""
     held, rows = [], 0
@@ -185,7 +220,7 @@ def _candidates(num: int, den: int, again: bool):
                 rows = rows[~done]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _lists(batches):
+        for c in _lists(batches) if again else _unpacked(batches):
             key, meta = c["key"], c["meta"]
             c |= {"bits": c["bits"].view(np.uint64), "n": meta >> 24, "logp": (meta >> 16) & 255, "pos": meta & 65535}
             sid, n, pos, bits, logp = (c[x] for x in ("sid", "n", "pos", "bits", "logp"))
@@ -275,10 +310,9 @@ def later_matches(docs: DataFrame, num: int, den: int, least: int) -> DataFrame:
     heavy = spark.sparkContext.broadcast(heavy_tokens(seen.where("unit is null")))
     whole = units.groupBy("sid").agg(F.min(_place("id", "unit")).alias("place"), F.count("*").alias("copies"))
     whole = materialise(whole, "classes")
-    index = docs.mapInArrow(_entries(num, den, least, heavy), "key long, sid long, id long, bits long, meta long")
+    index = docs.mapInArrow(_entries(num, den, least, heavy, GROUPS * width), "part long, block binary")
 
-    def candidates(index: DataFrame, again: bool) -> tuple[DataFrame, DataFrame]:
-        lists = index.repartition(width, F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
+    def candidates(lists: DataFrame, again: bool) -> tuple[DataFrame, DataFrame]:
         found = materialise(lists.mapInArrow(_candidates(num, den, again), ", ".join(f"{c} long" for c in _FOUND)), "lists")
         pairs = found.where("meta is null").groupBy("a", "b").agg(F.min("far").alias("far"))
         entries = found.where("meta is not null").select(F.shiftleft("far", SIZE_BITS).alias("key"), F.col("a").alias("sid"), F.col("b").alias("id"), "bits", "meta")
@@ -308,12 +342,13 @@ def later_matches(docs: DataFrame, num: int, den: int, least: int) -> DataFrame:
         rest = todo.join(first, F.col("x") == F.col("sid"), "left_anti").join(nearest, ["x", "y"], "left_anti")
         return first.union(materialise(verified(rest), "matched"))
 
-    pairs, long = candidates(index, False)
+    pairs, long = candidates(index.repartition(width, "part").sortWithinPartitions("part"), False)
     gone = matched(pairs.where("a <> b"))
     asking = pairs.where("a = b").select(F.col("a").alias("sid")).join(gone, "sid", "left_anti")
     asking = materialise(asking.withColumn("ask", F.lit(True)), "asking")
     if asking.limit(1).count():
         more = long.join(asking, "sid", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        more = more.repartition(width, F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
         gone = gone.union(matched(candidates(more, True)[0].where("a <> b"))).distinct()
     doomed = whole.join(gone.withColumn("matched", F.lit(True)), "sid", "left").where("matched or copies > 1")
     return units.join(doomed, "sid").where(F.col("matched") | (_place("id", "unit") > F.col("place"))).select("id", "unit").distinct()
@@ -323,7 +358,7 @@ def _rebuild(at: int):
     """Texts without their gone lines; the last column gives the gone lines and makes way for the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, max(b.num_rows, 1), 500)):
             out, count, less = [], [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 lines = [] if text is None else text.split("\n")
@@ -357,7 +392,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     own = docs.drop("_n_lines", "_n_removed") if keep_columns else docs.select(id_col, text_col)
     key, numbers = (free_name(x, own.columns) for x in ("gone_id", "gone_lines"))
     gone = gone.groupBy(F.col("id").alias(key)).agg(F.collect_set("unit").alias(numbers))
-    whole = own.join(gone, own[id_col] == gone[key], "left").drop(key)
+    # gone lines are a small part of the texts: each partition's are kept in memory, so that no text is sorted
+    whole = own.join(gone.hint("shuffle_hash"), own[id_col] == gone[key], "left").drop(key)
     counts = [T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())]
     out = whole.mapInArrow(_rebuild(own.columns.index(text_col)), T.StructType([*own.schema.fields, *counts]))
     return out if keep_columns else out.withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})

@@ -52,7 +52,7 @@ def _index_rows(k: int, num: int, den: int, part: int, heavy):
         if not len(n):
             return
         unit = np.repeat(np.arange(len(n)), n)
-        rare = levels_of(tok, *heavy.value)
+        rare = levels_of(tok, heavy.value)
         k_own, k_low = parts_of(n, part), parts_of((n * num + den - 1) // den, part)
         yield from one(tok, unit, rare, n, sid, k_own, np.ones(len(n), bool))
         if (low := k_low != k_own).any():

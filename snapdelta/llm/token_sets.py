@@ -18,6 +18,10 @@ _TOKEN = np.uint64((1 << TOKEN_BITS) - 1)
 TOP_TOKENS = 1 << 17
 #: Bytes and units of one vectorised step (a longer text is a step of its own).
 _BYTES, _UNITS = 1_000_000, 1 << 16
+#: Leading bits of a token's hash by which its frequency is looked up.
+_LEADING = 22
+#: Tokens that a worker counts at once.
+_COUNTED = 4_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -131,43 +135,45 @@ def sets(texts: pa.StringArray, lines: bool, k: int, least: int, wanted=None) ->
 def unit_rows(k: int, lines: bool, least: int):
     """Texts to (id, unit, n, sid) of each unit, and to counts of frequent tokens: n of token sid, in rows without a unit."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
-
-        def counts() -> pa.RecordBatch:
-            v, n = np.unique(np.concatenate(held), return_counts=True)
-            v, n = v[n > 2], n[n > 2]
-            if len(v) > TOP_TOKENS:
-                at = np.argpartition(n, -TOP_TOKENS)[-TOP_TOKENS:]
-                v, n = v[at], n[at]
-            none = pa.nulls(len(v), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(n), pa.array(v.view(np.int64))], ["id", "unit", "n", "sid"])
+    def counts(tok: np.ndarray) -> pa.RecordBatch:
+        tok.sort()  # in place: the buffer is the largest thing a worker holds
+        edge = np.flatnonzero(tok[1:] != tok[:-1]) + 1
+        first = np.concatenate([[0], edge])
+        n = np.diff(np.concatenate([first, [len(tok)]]))
+        often = np.flatnonzero(n > 2)
+        if len(often) > TOP_TOKENS:
+            often = often[np.argpartition(n[often], -TOP_TOKENS)[-TOP_TOKENS:]]
+        none = pa.nulls(len(often), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(n[often]), pa.array(tok[first[often]].view(np.int64))], ["id", "unit", "n", "sid"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = np.empty(_COUNTED, np.uint64), 0
         for batch in batches:
             for s in sets(batch.column("text"), lines, k, least):
                 ids = batch.column("id").take(pa.array(s.row))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(s.no), pa.array(s.n), pa.array(s.sid)], ["id", "unit", "n", "sid"])
-                held.append(s.tok)
-                n_held += len(s.tok)
-                if n_held > 4_000_000:
-                    yield counts()
-                    held, n_held = [], 0
-        if held:
-            yield counts()
+                for lo in range(0, len(s.tok), _COUNTED):
+                    tok = s.tok[lo : lo + _COUNTED]
+                    if n_held + len(tok) > _COUNTED:
+                        yield counts(held[:n_held])
+                        n_held = 0
+                    held[n_held : n_held + len(tok)] = tok
+                    n_held += len(tok)
+        if n_held:
+            yield counts(held[:n_held])
 
     return run
 
 
-def heavy_tokens(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent tokens of ``unit_rows`` in order of hash, the logarithms of their counts, and which leading
-    bits they have (so that few tokens are searched for)."""
+def heavy_tokens(counts: DataFrame) -> np.ndarray:
+    """The logarithms of the counts of the most frequent tokens of ``unit_rows``, by the leading bits of their hash. A
+    rare token that shares its bits with a frequent one passes for frequent: any order of tokens that all sets keep
+    gives the same links."""
     top = counts.groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(TOP_TOKENS).toPandas()
-    h = top.sid.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
+    table = np.zeros(1 << _LEADING, np.uint8)
     level = np.minimum(np.log2(np.maximum(top.n.to_numpy(np.float64), 1)) + 1, 31).astype(np.uint8)
-    near = np.zeros(1 << 22, bool)
-    near[(h >> np.uint64(TOKEN_BITS - 22)).astype(np.int64)] = True
-    return h[order], level[order], near
+    np.maximum.at(table, (top.sid.to_numpy(np.int64).view(np.uint64) >> np.uint64(TOKEN_BITS - _LEADING)).astype(np.int64), level)
+    return table
 
 
 def order_of(keys: np.ndarray) -> np.ndarray:
@@ -175,15 +181,9 @@ def order_of(keys: np.ndarray) -> np.ndarray:
     return np.sort((keys << 32) | np.arange(len(keys))) & 0xFFFFFFFF
 
 
-def levels_of(tok: np.ndarray, heavy: np.ndarray, level: np.ndarray, near: np.ndarray) -> np.ndarray:
+def levels_of(tok: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The logarithm of each token's count, 0 for those that are not frequent."""
-    out = np.zeros(len(tok), np.int64)
-    maybe = np.flatnonzero(near[(tok >> np.uint64(TOKEN_BITS - 22)).astype(np.int64)])
-    if len(maybe):
-        at = np.minimum(np.searchsorted(heavy, tok[maybe]), len(heavy) - 1)
-        hit = heavy[at] == tok[maybe]
-        out[maybe[hit]] = level[at[hit]]
-    return out
+    return table[(tok >> np.uint64(TOKEN_BITS - _LEADING)).astype(np.int64)].astype(np.int64)
 
 
 def most_apart(n: np.ndarray, num: int, den: int) -> np.ndarray:

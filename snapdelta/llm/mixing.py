@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
+
+#: Up to so many cells are broadcast.
+MOST_SENT = 200_000
 
 
 def token_count(text: Column) -> Column:
@@ -44,26 +47,53 @@ def _factor(of: dict, key: Column) -> Column:
     return F.when(key.isNull(), F.lit(float(of.get(None, 0.0)))).otherwise(got)
 
 
-def rake(cells: DataFrame, alpha: float, *, rounds: int = 60, tolerance: float = 1e-7) -> DataFrame:
+def reachable(goal: dict, tokens: dict) -> dict:
+    """Given shares over the values that have tokens, made to sum to 1; a value without a goal gets none."""
+    kept = {k: max(float(goal.get(k, 0.0)), 0.0) if v else 0.0 for k, v in tokens.items()}
+    whole = sum(kept.values())
+    if tokens and not whole:
+        raise ValueError("no value with tokens has a target")
+    return {k: v / whole for k, v in kept.items()}
+
+
+def rake(cells: DataFrame, alpha: float, *, targets: dict | None = None, rounds: int = 200, tolerance: float = 1e-7) -> tuple[DataFrame, float]:
     """``cells`` (_s, _l, _t, tokens) with ``weight``: tokens scaled until the sums by each dimension meet their
-    targets (iterative proportional fitting).
+    targets (iterative proportional fitting); and the largest difference that is left.
 
-    Sources may be many: a source's cells are one row, and its factor is worked out in that row, so that the
-    source step moves no data. Languages and topics are few by nature: each round sums the weights by
+    ``targets`` may give tables (value, share) or dicts for ``source``, ``lang`` and ``topic``; what it does not give is
+    worked out by ``shares``. Sources may be many: a source's cells are one row, and its factor is worked out in that
+    row, so that the source step moves no data. Languages and topics are few by nature: each round sums the weights by
     language and topic, one small aggregation, from which both their factors follow."""
+    spark, targets = cells.sparkSession, targets or {}
     packed = cells.groupBy("_s").agg(F.collect_list(F.struct("_l", "_t", "tokens")).alias("own"), F.sum("tokens").cast("double").alias("all"))
+    aim = targets.get("source")
+    if aim is None:
+        packed = packed.withColumn("aim", F.when(F.col("all") > 0, F.pow("all", F.lit(float(alpha)))).otherwise(0.0))
+    else:
+        if isinstance(aim, dict):
+            aim = spark.createDataFrame([(k, float(v)) for k, v in aim.items()], "value string, share double")
+        aim = aim.groupBy(F.col("value").alias("_v")).agg(F.sum("share").alias("_share"))
+        packed = packed.join(aim, F.col("_s").eqNullSafe(F.col("_v")), "left").drop("_v")
+        packed = packed.withColumn("aim", F.when(F.col("all") > 0, F.greatest(F.coalesce("_share", F.lit(0.0)), F.lit(0.0))).otherwise(0.0)).drop("_share")
     packed = materialise(packed, "cells")
-    powered = F.when(F.col("all") > 0, F.pow("all", F.lit(float(alpha)))).otherwise(0.0)
-    whole = packed.agg(F.sum(powered)).first()[0] or 1.0
-    by_lang = {r[0]: r[1] for r in cells.groupBy("_l").agg(F.sum("tokens")).collect()}
-    by_topic = {r[0]: r[1] for r in cells.groupBy("_t").agg(F.sum("tokens")).collect()}
-    goal_l, goal_t = shares(by_lang, alpha), shares(by_topic, alpha)
-    f_l, f_t = dict.fromkeys(goal_l, 1.0), dict.fromkeys(goal_t, 1.0)
+    n, whole = packed.agg(F.count("*"), F.sum("aim")).first()
+    if n and aim is not None and not whole:
+        raise ValueError("no source with tokens has a target")
+
+    def goals(name: str, column: str) -> dict:
+        tokens = {r[0]: r[1] for r in cells.groupBy(column).agg(F.sum("tokens")).collect()}
+        given = targets.get(name)
+        if given is None:
+            return shares(tokens, alpha)
+        return reachable(given if isinstance(given, dict) else {r["value"]: r["share"] for r in given.collect()}, tokens)
+
+    goal_l, goal_t = goals("lang", "_l"), goals("topic", "_t")
+    f_l, f_t, gap = dict.fromkeys(goal_l, 1.0), dict.fromkeys(goal_t, 1.0), 0.0
 
     def weighed() -> DataFrame:
         scaled = packed.withColumn("own", F.transform("own", lambda c: c.withField("w", c["tokens"] * _factor(f_l, c["_l"]) * _factor(f_t, c["_t"]))))
         scaled = scaled.withColumn("z", F.aggregate("own", F.lit(0.0), lambda a, c: a + c["w"]))
-        each = scaled.select("_s", (powered / F.lit(float(whole))).alias("goal"), "z", F.explode("own").alias("c"))
+        each = scaled.select("_s", (F.col("aim") / F.lit(float(whole or 1.0))).alias("goal"), "z", F.explode("own").alias("c"))
         weight = F.when(F.col("z") > 0, F.col("c.w") * F.col("goal") / F.col("z")).otherwise(0.0)
         return each.select("_s", "c._l", "c._t", "c.tokens", weight.alias("weight"))
 
@@ -71,39 +101,63 @@ def rake(cells: DataFrame, alpha: float, *, rounds: int = 60, tolerance: float =
         m = {(r["_l"], r["_t"]): r["w"] for r in weighed().groupBy("_l", "_t").agg(F.sum("weight").alias("w")).collect()}
         sum_l = {x: sum(w for (a, _), w in m.items() if a == x) for x in goal_l}
         sum_t = {x: sum(w for (_, b), w in m.items() if b == x) for x in goal_t}
-        if max([0.0, *(abs(sum_l[x] - goal_l[x]) for x in goal_l), *(abs(sum_t[x] - goal_t[x]) for x in goal_t)]) < tolerance:
+        gap = max([0.0, *(abs(sum_l[x] - goal_l[x]) for x in goal_l), *(abs(sum_t[x] - goal_t[x]) for x in goal_t)])
+        if gap < tolerance:
             break
         step = {x: goal_l[x] / sum_l[x] if sum_l[x] > 0 else 0.0 for x in goal_l}
         after = {x: sum(w * step[a] for (a, b), w in m.items() if b == x) for x in goal_t}
         f_l = {x: f_l[x] * step[x] for x in f_l}
         f_t = {x: f_t[x] * (goal_t[x] / after[x] if after[x] > 0 else 0.0) for x in f_t}
-    return weighed()
-
-
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source: str = "source", lang: str = "lang", alpha: float = 0.7, share: float = 0.8, seed: int = 9, rounds: int = 60) -> DataFrame:
-    """All columns of ``docs`` and ``_topic``, ``_tokens``, ``_weight``, ``_p``, ``_take`` for each row.
-
-    Token weights by source, language and topic are raked to the targets. A row is taken with chance
-    ``_p`` = min(1, c * weight / tokens) of its cell; c is such that the tokens expected are ``share`` of all (a
-    cell that would need more than it has gives all). The draw is the hash of the id, so it can be repeated;
-    ``_weight`` / _p corrects what the bound of 1 leaves. Null sources and languages are values of their own.
-    Null and blank texts have no tokens and are not taken, and rows of null id draw by the hash of null.
-    Repeated rows are drawn alike. An empty table gives an empty result."""
+    return weighed(), gap
+
+
+def mix(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source: str = "source", lang: str = "lang", targets: dict | None = None, topic_col: str | None = None, tokens_col: str | None = None,
+    alpha: float = 0.7, share: float = 0.8, seed: int = 9, rounds: int = 200, most_gap: float = 0.01,
+) -> DataFrame:
+    """All columns of ``docs`` and ``_topic``, ``_tokens``, ``_weight``, ``_p``, ``_take``, ``_gap`` for each row (in place
+    of columns of these names that ``docs`` has).
+
+    Token weights by source, language and topic are raked to the targets: ``targets`` gives tables (value, share) or
+    dicts for any of ``source``, ``lang`` and ``topic``; the others weigh by their share of tokens to the power ``alpha``.
+    Topics and tokens are taken from ``topic_col`` and ``tokens_col`` if these are given (clusters, or counts of a
+    tokenizer), else from ``topic`` and ``token_count``. ``_gap`` is the largest difference of a marginal from its
+    target; where targets are given and cannot be met within ``most_gap``, that is an error.
+
+    A row is taken with chance ``_p`` = min(1, c * weight / tokens) of its cell; c is such that the tokens expected are
+    ``share`` of all (a cell that would need more than it has gives all). The draw is the hash of the id, or of the
+    text where the id is null, so it can be repeated; ``_weight`` / _p corrects what the bound of 1 leaves. Null sources
+    and languages are values of their own. Null and blank texts have no tokens and are not taken. Repeated rows are
+    drawn alike. An empty table gives an empty result. Cells are sent to all tasks up to MOST_SENT of them (a few
+    tens of MB); beyond that they are joined."""
     t = F.col(text_col)
-    own = docs.withColumn("_topic", topic(t)).withColumn("_tokens", token_count(t))
-    narrow = docs.select(F.col(source).alias("_s"), F.col(lang).alias("_l"), topic(t).alias("_t"), token_count(t).alias("_n"))
+    docs = docs.drop(*(c for c in ("_topic", "_tokens", "_weight", "_p", "_take", "_gap") if c not in (topic_col, tokens_col)))
+    about = F.col(topic_col).cast("string") if topic_col else topic(t)
+    size = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)) if tokens_col else token_count(t)
+    narrow = docs.select(F.col(source).alias("_s"), F.col(lang).alias("_l"), about.alias("_t"), size.alias("_n"))
     cells = materialise(narrow.groupBy("_s", "_l", "_t").agg(F.sum("_n").alias("tokens")), "cells")
-    raked = materialise(rake(cells, alpha, rounds=rounds), "raked")
+    raked, gap = rake(cells, alpha, targets=targets, rounds=rounds)
+    if targets and gap > most_gap:
+        raise ValueError(f"the targets cannot be met: a marginal is off by {gap:.4f}")
+    raked = materialise(raked, "raked")
     raked = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
-    whole, fit = cells.agg(F.sum("tokens")).first()[0] or 0, 1.0
-    c = share * whole
-    for _ in range(40):  # cells at their bound pass what is missing on to the others
+    whole = cells.agg(F.sum("tokens")).first()[0] or 0
+    c, settled = share * whole, False
+    for _ in range(200):  # cells at their bound pass what is missing on to the others
         full, rest = raked.agg(F.sum(F.when(F.col("ratio") * c >= 1, F.col("tokens"))), F.sum(F.when(F.col("ratio") * c < 1, F.col("weight")))).first()
         fit = (share * whole - (full or 0)) / rest if rest else c
         if fit <= c * (1 + 1e-9):
+            settled = True
             break
         c = fit
-    raked = raked.select("_s", "_l", "_t", F.col("weight").alias("_weight"), F.when(F.col("ratio").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("ratio") * F.lit(float(c)))).alias("_p"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    joined = own.join(raked, own[source].eqNullSafe(raked["_s"]) & own[lang].eqNullSafe(raked["_l"]) & (own["_topic"] == raked["_t"]), "left")
-    return joined.select(*(own[c] for c in own.columns), "_weight", "_p", (draw < F.col("_p")).alias("_take"))
+    if not settled:
+        raise RuntimeError("the chances did not settle")
+    s, l_, t_ = (free_name(x, docs.columns) for x in ("_s", "_l", "_t"))
+    chance = F.when(F.col("ratio").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("ratio") * F.lit(float(c))))
+    sent = raked.select(F.col("_s").alias(s), F.col("_l").alias(l_), F.col("_t").alias(t_), F.col("weight").alias("_weight"), chance.alias("_p"))
+    sent = F.broadcast(sent) if cells.count() <= MOST_SENT else sent
+    own = docs.withColumn("_topic", about).withColumn("_tokens", size)
+    key = F.xxhash64(F.lit(seed), F.col(id_col))
+    draw = F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), t)).otherwise(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    joined = own.join(sent, own[source].eqNullSafe(sent[s]) & own[lang].eqNullSafe(sent[l_]) & own["_topic"].eqNullSafe(sent[t_]), "left")
+    return joined.select(*(own[c] for c in own.columns), "_weight", "_p", (draw < F.col("_p")).alias("_take"), F.lit(gap).alias("_gap"))

@@ -33,13 +33,13 @@ PART = 64
 #: Tokens of more lines than 2^COMMON_LEVEL have no lists of their own.
 COMMON_LEVEL = 12
 #: Lists up to this length give all their candidates.
-SHORT = 32
+SHORT = 128
 #: Candidates that a line names in a longer list: of those surely near, and of others.
-FEW, MANY = 4, 64
+FEW, MANY = 8, 256
 #: Entries of a long list that are compared in one step, and entries of short lists.
 _ROWS, _COLUMNS, _STEP = 256, 1024, 50_000
 #: Parts of the index for each shuffle partition: a worker holds one part at a time.
-GROUPS = 16
+GROUPS = 8
 #: Bits of a key that tell the size of a set.
 SIZE_BITS = 20
 _SIZE = np.uint64((1 << SIZE_BITS) - 1)
@@ -185,7 +185,7 @@ _FOUND = ["a", "b", "far", "bits", "meta"]
 
 def _candidates(num: int, den: int, again: bool):
     """Lists to pairs (a, b, far) of set ids, a < b, with the distance of their bitmaps; (a, a) notes that a was
-    cut short. Entries of long lists come back too, as (sid, id, key, bits, meta), so that they need not be made a
+    cut short. The entries of such lists come back too, as (sid, id, key, bits, meta), so that they need not be made a
     second time; in pairs meta is null. ``again`` is that second time: only entries that ask name candidates."""
 
     def bound(n, m, logp):
@@ -241,9 +241,12 @@ def _candidates(num: int, den: int, again: bool):
                     far = hamming(bits[x], bits[y])
                     ok = far <= most
                     out.append(np.stack([sid[x[ok]], sid[y[ok]], far[ok]]))
+            cut_short = np.zeros(len(key), bool)
             for s, g in zip(edge[length > SHORT], length[length > SHORT]):
                 part = {k: v[s : s + g] for k, v in c.items()}
-                out += long(part, *((len(key), len(key)) if again else (FEW, MANY)))
+                found = list(long(part, *((len(key), len(key)) if again else (FEW, MANY))))
+                cut_short[s : s + g] = any((x[0] == x[1]).any() for x in found)
+                out += found
             found = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
             found[:2].sort(axis=0)
             if found.shape[1]:
@@ -251,8 +254,8 @@ def _candidates(num: int, den: int, again: bool):
                 found = found[:, np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(axis=0)])]
             none = pa.nulls(found.shape[1], pa.int64())
             yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in found), none, none], _FOUND)
-            if not again:
-                of = np.repeat(length > SHORT, length)
+            if cut_short.any() and not again:
+                of = cut_short
                 cols = [sid[of], c["id"][of], key[of], bits[of].view(np.int64), meta[of]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], _FOUND)
 

@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.quotation_links(_table(spark, sf_dir, "conversations"))
+    return quotes.in_reply_order(quotes.quotation_links(_table(spark, sf_dir, "conversations")))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 # Path segments that mark tests and examples.
 TEST_SEGMENTS = ("tests", "__tests__", "spec")
 EXAMPLE_SEGMENTS = ("examples", "example", "demos", "demo")
-# Substrings of an error message, in the order in which they are tried, and what they are called.
-ERROR_RULES = (("rate limit", "rate-limited"), ("timeout", "timed-out"), ("timed out", "timed-out"), ("not found", "not-found"), ("unauthorized", "unauthorised"), ("permission", "unauthorised"), ("parse", "unreadable"))
+# What an error message may say (alternatives of substrings that must all be there), in the order in
+# which it is tried, the title that this gets, and the hint for the user.
+ERROR_RULES = (
+    ((("401",), ("sign in",)), "Not signed in", "Sign in with GitHub so we can read the PR and clone its refs."),
+    ((("403",),), "GitHub denied access", "The stored token may be expired. Sign out + back in, then retry."),
+    ((("404",), ("not a pr url",)), "PR not found", "Double-check the URL — this worked in my browser: https://github.com/owner/repo/pull/123."),
+    ((("rate", "limit"),), "GitHub rate-limited us", "Wait a minute and retry — the client-hour budget is shared across signed-in sessions."),
+    ((("git ", "fatal"), ("git ", "failed")), "Clone failed", "The repo or SHA isn't reachable with the current scopes. Public repos only for now."),
+    ((("invalid url",), ("not a github",), ("not a pr url",)), "Invalid PR URL", "Expected `https://github.com/<owner>/<repo>/pull/<n>`."),
+    ((("networkerror",), ("failed to fetch",)), "Can't reach the backend", "The server isn't responding on :8787. Check it's running."),
+)
+OTHER_ERROR = "Something went wrong"
 
 
 def qualified_name(kind: Column, name: Column, method: Column, path: Column) -> Column:
@@ -50,12 +60,133 @@ def truncated(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n - 1)), F.lit("…"))).otherwise(text)
 
 
+def preview(text: Column, most: int = 80, kept: int = 77) -> Column:
+    """A trimmed text, or if that is longer than ``most`` its beginning and an ellipsis."""
+    t = F.trim(text)
+    return F.when(F.length(t) > most, F.concat(F.left(t, F.lit(kept)), F.lit("…"))).otherwise(t)
+
+
 def line_of(text: Column, offset: Column) -> Column:
     """The 1-based line of a 0-based character offset."""
     before = F.left(text, offset)
     return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
 
 
+def utf16_length(text: Column) -> Column:
+    """Code units in UTF-16: characters beyond the basic plane count twice."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def position_of(text: Column, offset: Column) -> Column:
+    """(line, col), both from 1, the column in UTF-16, of a 0-based character offset; (1, 1) beyond the end."""
+    inside = (offset >= 0) & (offset <= F.length(text))
+    col = utf16_length(F.substring_index(F.left(text, offset), "\n", -1)) + 1
+    one = F.lit(1)
+    return F.struct(F.when(inside, line_of(text, offset)).otherwise(one).alias("line"), F.when(inside, col).otherwise(one).alias("col"))
+
+
+def name_position(text: Column, start: Column, end: Column, name: Column) -> Column:
+    """(line, col), both from 0, of the first ``name`` within the characters start to end; null if it isn't there."""
+    at = F.instr(F.substr(text, start + 1, end - start), name)
+    where = position_of(text, start + at - 1)
+    return F.when(at > 0, F.struct((where["line"] - 1).alias("line"), (where["col"] - 1).alias("col")))
+
+
+def last_segment(name: Column) -> Column:
+    """What follows the last dot."""
+    return F.substring_index(name, ".", -1)
+
+
+def highlight_length(name: Column) -> Column:
+    return utf16_length(last_segment(name))
+
+
+def is_path_id(sha: Column) -> Column:
+    """Whether what stands for a commit is a path: a drive letter, a slash or a network share."""
+    return sha.rlike(r"^[a-zA-Z]:") | sha.startswith("/") | sha.startswith("\\\\") | sha.startswith("\\?\\")
+
+
+def short_id(sha: Column) -> Column:
+    """The last part of a path or commit, cut after twelve characters."""
+    part = F.substring_index(F.replace(sha, F.lit("\\"), F.lit("/")), "/", -1)
+    return F.when(F.length(part) > 12, F.concat(F.left(part, F.lit(12)), F.lit("…"))).otherwise(part)
+
+
+def flow_label(name: Column) -> Column:
+    """A flow's name without the wrapper of structural ones, its first letter large."""
+    inner = F.nullif(F.regexp_extract(name, r"^<structural:\s*(.+?)>$", 1), F.lit(""))
+    raw = F.coalesce(inner, name)
+    return F.when(raw.rlike("^[a-z]"), F.concat(F.upper(F.left(raw, F.lit(1))), F.substring(raw, 2, 1 << 20))).otherwise(raw)
+
+
+def row_label(repo: Column, sha: Column) -> Column:
+    """``owner/name`` with or without a number, as it is; anything else is local, with eight characters of the commit."""
+    r = F.trim(repo)
+    return F.when(r.rlike(r"^[\w.-]+/[\w.-]+(\s+#\d+)?$"), r).otherwise(F.concat(F.lit("local · "), F.left(sha, F.lit(8))))
+
+
+def pair_slug(base: Column, head: Column) -> Column:
+    """``x-base-y`` and ``x-head-y`` to ``x #y`` (``x`` if nothing follows); null if the pair isn't of that form."""
+    places = F.filter(F.sequence(F.lit(1), F.length(base)), lambda i: (F.substr(base, i, F.lit(4)) == "base") & (head == F.concat(F.left(base, i - 1), F.lit("head"), F.substr(base, i + 4))))
+    at = F.try_element_at(F.when(F.length(base) > 0, places), F.lit(1))
+    before = F.regexp_replace(F.left(base, at - 1), r"[-_]+$", "")
+    after = F.regexp_replace(F.substr(base, at + 4), r"^[-_]+", "")
+    return F.when(before != "", F.when(after != "", F.concat(before, F.lit(" #"), after)).otherwise(before))
+
+
+def without_comments(text: Column) -> Column:
+    """JSON with line comments to JSON: ``//`` and what follows on the line goes, but not inside strings."""
+    return F.regexp_replace(text, r'("(?:\\.|[^"\\])*(?:"|$))|//[^\n]*', "$1")
+
+
+def canonical_tool(name: Column, prefix: str, older: tuple[str, ...] = ()) -> Column:
+    """``prefix:x``, and ``old.x`` and ``old:x`` of older prefixes, as ``prefix.x``."""
+    forms = [f"{prefix}:", *(f"{o}{c}" for o in older for c in ".:")]
+    out = F.when(F.lit(False), name)
+    for f in forms:
+        out = out.when(name.startswith(f), F.concat(F.lit(f"{prefix}."), F.substring(name, len(f) + 1, 1 << 20)))
+    return out.otherwise(name)
+
+
+def error_envelope(code: Column, message: Column) -> Column:
+    """(text, is_error) of a tool's answer: the code on a line of its own, then code and message as JSON."""
+    body = F.to_json(F.struct(code.alias("code"), message.alias("message")))
+    return F.struct(F.concat(F.lit("ERROR: "), code, F.lit("\n"), body).alias("text"), code.isNotNull().alias("is_error"))
+
+
+def provider_model(setting: Column) -> Column:
+    """``provider:model`` in its two parts; the model keeps further colons. Null without a colon or with an empty part."""
+    rx = r"^([^:]+):(.+)$"
+    ok = setting.rlike(rx)
+    return F.struct(F.when(ok, F.lower(F.trim(F.regexp_extract(setting, rx, 1)))).alias("provider"), F.when(ok, F.trim(F.regexp_extract(setting, rx, 2))).alias("model"))
+
+
+def stored_path(*parts: Column) -> Column:
+    """A folder of the parts in turn, in each of which : / and \\ are two underscores."""
+    return F.concat_ws("/", *(F.regexp_replace(p, r"[:/\\]", "__") for p in parts))
+
+
+def intent_text(title: Column, url: Column, body: Column) -> Column:
+    """Title, address and body of a pull request as one text; null if all are blank."""
+    t, u, b = (F.trim(F.coalesce(c, F.lit(""))) for c in (title, url, body))
+    text = F.concat(F.when(t != "", F.concat(F.lit("# "), t, F.lit("\n\n"))).otherwise(""), F.when(u != "", F.concat(F.lit("<"), u, F.lit(">\n\n"))).otherwise(""), b)
+    return F.when(F.trim(text) != "", text)
+
+
+def intent_inputs(log: Column, readme: Column, changed: Column, most_log: int = 8000, lines: int = 40, files: int = 60) -> Column:
+    """The prompt of commit messages (so many characters), the first lines of a readme, and changed files (so many,
+    then how many more); parts that are missing are left out."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    head = F.array_join(F.slice(F.split(readme, "\n"), 1, lines), "\n")
+    listed = F.array_join(F.transform(F.slice(changed, 1, files), lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x, F.lit("\n"))), "")
+    more = F.when(F.size(changed) > files, F.concat(F.lit("  … ("), (F.size(changed) - files).cast("string"), F.lit(" more)\n"))).otherwise("")
+    return F.concat(
+        text(F.when(F.trim(log) != "", F.concat(F.lit("Commit messages between base and head:\n"), F.left(F.trim(log), F.lit(most_log)), F.lit("\n\n")))),
+        text(F.when(readme.isNotNull(), F.concat(F.lit("README excerpt (for project vocabulary):\n"), head, F.lit("\n\n")))),
+        text(F.when(F.size(changed) > 0, F.concat(F.lit("Changed files:\n"), listed, more))),
+    )
+
+
 def normalised_signature(x: Column) -> Column:
     return F.regexp_replace(F.trim(x), r"\s+", " ")
 
@@ -70,11 +201,19 @@ def relative_time(ts: Column, now: Column) -> Column:
     return F.when(s < 60, part(s, "s")).when(m < 60, part(m, "m")).when(h < 48, part(h, "h")).otherwise(part(d, "d"))
 
 
-def error_class(message: Column) -> Column:
-    out = F.when(F.lit(False), "")
-    for needle, name in ERROR_RULES:
-        out = out.when(F.contains(F.lower(message), F.lit(needle)), name)
-    return out.otherwise("unknown")
+def error_title(message: Column) -> Column:
+    """What an error message is called, and a hint (null if no rule holds): the first rule that holds decides."""
+    low = F.lower(message)
+    title, hint = F.when(message.isNull(), OTHER_ERROR), F.when(message.isNull(), F.lit(None).cast("string"))
+    for options, name, advice in ERROR_RULES:
+        holds = F.lit(False)
+        for needles in options:
+            every = F.lit(True)
+            for needle in needles:
+                every = every & F.contains(low, F.lit(needle))
+            holds = holds | every
+        title, hint = title.when(holds, name), hint.when(holds, advice)
+    return F.struct(title.otherwise(OTHER_ERROR).alias("title"), hint.alias("hint"))
 
 
 def slug_title(slug: Column) -> Column:

@@ -8,32 +8,31 @@ from pyspark.sql import functions as F
 
 from ..plans.written import written
 
-# Names that a flow may not have.
-RESERVED = ("misc", "various", "other", "cleanup", "refactor", "updates", "changes", "structural", "top-level")
+# Names that a flow may not have, and the least and most bytes of a name and of a rationale.
+RESERVED = ("misc", "various", "other", "unknown", "cluster", "group")
+NAME_BYTES, RATIONALE_BYTES = (3, 48), (1, 240)
 TOP_LEVEL = "top-level"
 
 
-def bucket(entities: Column) -> Column:
-    """The part before the first dot of the first entity that has one; else top-level."""
-    dotted = F.filter(F.array_sort(entities), lambda e: F.contains(e, F.lit(".")))
-    return F.coalesce(F.split_part(F.try_element_at(dotted, F.lit(1)), F.lit("."), F.lit(1)), F.lit(TOP_LEVEL))
+def membership(hunk_entities: DataFrame) -> DataFrame:
+    """(hunk_id, entity) to (flow, hunk_id): a hunk's flow is the part before the first dot of its first entity, by
+    name, that has one; else top-level. A plain minimum, so that a hunk of any number of entities is one small state."""
+    dotted = F.min(F.when(F.contains("entity", F.lit(".")), F.col("entity")))
+    by_hunk = hunk_entities.groupBy("hunk_id").agg(dotted.alias("first"))
+    return by_hunk.select(F.coalesce(F.split_part("first", F.lit("."), F.lit(1)), F.lit(TOP_LEVEL)).alias("flow"), "hunk_id")
 
 
 def structural(hunk_entities: DataFrame) -> DataFrame:
     """(hunk_id, entity) to flows (flow, n_hunks, hunks, entities, position), hunks grouped by their bucket.
 
-    Flows are numbered by name order. The numbering is a sort of the flows, not of the hunks."""
-    by_hunk = hunk_entities.groupBy("hunk_id").agg(F.collect_set("entity").alias("e")).select("hunk_id", "e", bucket(F.col("e")).alias("flow"))
-    hunks = by_hunk.groupBy("flow").agg(F.count("*").alias("n_hunks"), F.array_sort(F.collect_list("hunk_id")).alias("hunks"))
-    entities = by_hunk.select("flow", F.explode("e").alias("entity")).distinct().groupBy("flow").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
-    flows = hunks.join(entities, "flow")
-    return flows.withColumn("position", F.row_number().over(W.orderBy("flow")) - 1)
-
-
-def membership(hunk_entities: DataFrame) -> DataFrame:
-    """(flow, hunk_id): the flow of each hunk."""
-    by_hunk = hunk_entities.groupBy("hunk_id").agg(F.collect_set("entity").alias("e"))
-    return by_hunk.select(bucket(F.col("e")).alias("flow"), "hunk_id")
+    Flows are numbered by name order: only their names are sorted in one task, and joined back."""
+    member = membership(hunk_entities)
+    hunks = member.groupBy("flow").agg(F.count("*").alias("n_hunks"), F.array_sort(F.collect_list("hunk_id")).alias("hunks"))
+    pairs = hunk_entities.select("hunk_id", "entity").join(member, "hunk_id").select("flow", "entity").distinct()
+    entities = pairs.groupBy("flow").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
+    names = member.select("flow").distinct()
+    place = names.withColumn("position", F.row_number().over(W.orderBy("flow")) - 1)  # a row for each flow, its name alone
+    return hunks.join(entities, "flow").join(place, "flow")
 
 
 def weight(n_hunks: Column, n_entities: Column) -> Column:
@@ -54,21 +53,46 @@ def orphaned_by_removal(flow_hunks: DataFrame) -> DataFrame:
 
 
 def name_error(name: Column) -> Column:
-    """The error code of a flow name, or null: 3 to 48 bytes, not reserved."""
-    return F.when(~F.octet_length(name).between(3, 48), "NAME_LENGTH").when(F.lower(name).isin(*RESERVED), "NAME_RESERVED")
+    """The error code of a flow name, or null."""
+    size = F.octet_length(name)
+    return F.when(size < NAME_BYTES[0], "NAME_TOO_SHORT").when(size > NAME_BYTES[1], "NAME_TOO_LONG").when(F.lower(name).isin(*RESERVED), "NAME_RESERVED")
+
+
+def rationale_error(text: Column) -> Column:
+    size = F.octet_length(text)
+    return F.when(size < RATIONALE_BYTES[0], "RATIONALE_TOO_SHORT").when(size > RATIONALE_BYTES[1], "RATIONALE_TOO_LONG")
+
+
+def proposal_errors(proposals: DataFrame, hunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """(flow, name, rationale, hunk_ids, extra_entities) with ``error``: the first of name, rationale, hunks and
+    entities that does not pass (null: accepted). hunks has hunk_id, entities has entity."""
+    missing = lambda c, known, key: proposals.select("flow", F.explode(c).alias(key)).join(known.select(key).distinct(), key, "left_anti").select("flow").distinct()
+    no_hunk = missing("hunk_ids", hunks, "hunk_id").withColumn("_h", F.lit("HUNK_NOT_FOUND"))
+    no_entity = missing("extra_entities", entities, "entity").withColumn("_e", F.lit("ENTITY_NOT_FOUND"))
+    both = proposals.join(no_hunk, "flow", "left").join(no_entity, "flow", "left")
+    return both.withColumn("error", F.coalesce(name_error(F.col("name")), rationale_error(F.col("rationale")), "_h", "_e")).drop("_h", "_e")
+
+
+def removal_errors(flow_hunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each asked flow: FLOW_NOT_FOUND, COVERAGE_BROKEN if a hunk would be in no flow, or null, and how many."""
+    lost = orphaned_by_removal(flow_hunks)
+    error = F.when(F.col("orphans").isNull(), "FLOW_NOT_FOUND").when(F.col("orphans") > 0, "COVERAGE_BROKEN")
+    return asked.select("flow").distinct().join(lost, "flow", "left").select("flow", error.alias("error"), F.coalesce("orphans", F.lit(0)).alias("orphans"))
 
 
 def finalize_violation(hunks: DataFrame, flow_hunks: DataFrame, flow_entities: DataFrame, names: DataFrame, known: DataFrame, calls: int, most_calls: int = 200) -> DataFrame:
     """Counts of violations by rule, in the order in which they are reported: coverage, names, unknown entities,
-    calls. The first rule with a violation decides; ``first`` marks it."""
+    unknown hunks, calls. The first rule with a violation decides; ``first`` marks it."""
     spark = hunks.sparkSession
+    foreign = flow_hunks.select("flow", "hunk_id").distinct().join(hunks.select("hunk_id").distinct(), "hunk_id", "left_anti")
     rules = (
-        uncovered(hunks, flow_hunks).agg(F.count("*").alias("n")).select(F.lit(1).alias("rank"), F.lit("uncovered-hunk").alias("rule"), "n")
+        uncovered(hunks, flow_hunks).agg(F.count("*").alias("n")).select(F.lit(1).alias("rank"), F.lit("coverage").alias("rule"), "n")
         .union(names.where(name_error(F.col("flow")) == "NAME_RESERVED").agg(F.count("*")).select(F.lit(2), F.lit("reserved-name"), "*"))
-        .union(flow_entities.join(known.select("entity").distinct(), "entity", "left_anti").agg(F.count("*")).select(F.lit(3), F.lit("unknown-entity"), "*"))
-        .union(spark.range(1).select(F.lit(4), F.lit("call-budget"), F.lit(max(calls - most_calls, 0)).cast("long")))
+        .union(flow_entities.join(known.select("entity").distinct(), "entity", "left_anti").agg(F.count("*")).select(F.lit(3), F.lit("entity-not-found"), "*"))
+        .union(foreign.agg(F.count("*")).select(F.lit(4), F.lit("hunk-not-found"), "*"))
+        .union(spark.range(1).select(F.lit(5), F.lit("call-budget"), F.lit(max(calls - most_calls, 0)).cast("long")))
     )
-    least = F.min(F.when(F.col("n") > 0, F.col("rank"))).over(W.partitionBy(F.lit(1)))  # four rows
+    least = F.min(F.when(F.col("n") > 0, F.col("rank"))).over(W.partitionBy(F.lit(1)))  # five rows
     return rules.withColumn("first", F.coalesce(F.col("rank") == least, F.lit(False)))
 
 
@@ -107,21 +131,24 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, group: str = "flow", item: str = "
 
 
 def greedy_pairs(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairing of flows by similarity: each round pairs flows that are each other's best (by jaccard,
-    then names) among those left. Rounds end when no pair is left; mutual best pairs of a total order are those
-    that a greedy walk over all pairs by that order takes. The best pair of all is one, so each round takes some."""
-    left = pairs.select("flow_a", "flow_b", "jaccard").where("flow_a is not null and flow_b is not null")
+    """One-to-one pairing: flows of A by falling number of hunks (ties: name) each take the most similar flow of B
+    that is left (ties: name). ``pairs`` comes from ``jaccard_pairs``; flows that share nothing are never paired.
+
+    The walk is done in rounds: of those left, every flow of A names its best B, and every B accepts the first A in
+    the order among those that name it, if no earlier A could still come to it; such pairs are what the walk takes.
+    The first A of all is always accepted, so each round takes some, and rounds end when no pair is left."""
+    left = pairs.select("flow_a", "flow_b", "jaccard", (F.col("shared") + F.col("a_only")).alias("size")).where("flow_a is not null and flow_b is not null")
+    first = F.struct(-F.col("size"), "flow_a")
     out, parts = None, 0
     while True:
-        order = F.struct(-F.col("jaccard"), "flow_a", "flow_b")
-        best_a = left.groupBy("flow_a").agg(F.min(order).alias("m")).select("m.flow_a", "m.flow_b")
-        best_b = left.groupBy("flow_b").agg(F.min(order).alias("m")).select("m.flow_a", "m.flow_b")
-        mutual = written(left.join(best_a, ["flow_a", "flow_b"], "left_semi").join(best_b, ["flow_a", "flow_b"], "left_semi"), "pairs")
-        out, parts = (mutual, 1) if out is None else (out.union(mutual), parts + 1)
-        left = written(left.join(mutual, "flow_a", "left_anti").join(mutual.select("flow_b"), "flow_b", "left_anti"), "left")
+        best = left.groupBy("flow_a").agg(F.min(F.struct(-F.col("jaccard"), "flow_b")).alias("m")).select("flow_a", F.col("m.flow_b").alias("flow_b"))
+        turn = left.groupBy("flow_b").agg(F.min(first).alias("m")).select("flow_b", F.col("m.flow_a").alias("flow_a"))
+        taken = written(left.join(best, ["flow_a", "flow_b"], "left_semi").join(turn, ["flow_a", "flow_b"], "left_semi").select("flow_a", "flow_b", "jaccard"), "pairs")
+        out, parts = (taken, 1) if out is None else (out.union(taken), parts + 1)
+        left = written(left.join(taken, "flow_a", "left_anti").join(taken.select("flow_b"), "flow_b", "left_anti"), "left")
         if left.limit(1).count() == 0:
             return out
-        if mutual.limit(1).count() == 0:
+        if taken.limit(1).count() == 0:
             raise RuntimeError("pairs are left but none was taken")
         if parts >= 32:  # few tables to read in the plan, however many rounds
             out, parts = written(out, "pairs"), 1

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.written import written
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
@@ -16,7 +18,7 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     distance. ``hops`` is at most 3."""
     if not 0 <= hops <= 3:
         raise ValueError("hops must be 0 to 3")
-    both = undirected(edges)
+    both = written(undirected(edges), "undirected") if hops > 1 else undirected(edges)
     seen = seeds.select("node").distinct().withColumn("hop", F.lit(0))
     for h in range(1, hops + 1):
         step = seen.where(F.col("hop") == h - 1).join(both, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
@@ -35,7 +37,7 @@ def propagation(edges: DataFrame, seeds: DataFrame, extra: int = 20, hops: int =
 
     ``seeds`` is (flow, node). Reach grows by calls in either direction, and is kept to the seeds and the first
     ``extra`` others by (hop, node)."""
-    both = undirected(edges)
+    both = written(undirected(edges), "undirected")
     seen = seeds.select("flow", "node").distinct().withColumn("hop", F.lit(0))
     for h in range(1, hops + 1):
         step = seen.where(F.col("hop") == h - 1).join(both, F.col("node") == F.col("src")).select("flow", F.col("dst").alias("node")).distinct()
@@ -62,14 +64,40 @@ def chain_connected(flow_edges: DataFrame) -> DataFrame:
     return e.join(s, ["flow", "src"]).join(t, ["flow", "dst"]).groupBy("flow").agg(F.count("*").alias("edges"), F.bool_and(F.greatest("ds", "dt") >= 2).alias("connected"))
 
 
-def levels(edges: DataFrame, nodes: DataFrame, most: int = 8) -> DataFrame:
-    """(node, level): the longest way from a root (a node without callers), up to ``most`` steps; an edge back to
-    a smaller or equal node is cut, so cycles end. Nodes without a way from a root are at 0."""
-    forward = edges.where("src < dst").select("src", "dst").distinct()
-    roots = nodes.select("node").join(forward.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-    at, all_ = roots, roots.withColumn("level", F.lit(0))
-    for h in range(1, most + 1):
-        at = at.join(forward, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        all_ = all_.union(at.withColumn("level", F.lit(h)))
-    found = all_.groupBy("node").agg(F.max("level").alias("level"))
-    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
+def levels(edges: DataFrame, nodes: DataFrame, group: str | None = None) -> DataFrame:
+    """(node, level): the longest way to a node from one without callers, along ``edges`` (src, dst); with ``group``
+    a column of both, in each group by itself.
+
+    Rounds take away the nodes all of whose callers are done, each at one more than the highest of them. Where a
+    group has none such, its nodes left are on cycles or behind them: the smallest is taken as done, which cuts its
+    cycle. Loops and edges from outside ``nodes`` do not count. A round writes what is left, so that plans stay
+    short; there are as many rounds as levels, and one more for each cut of a group."""
+    g = group or "_all"
+    node = (nodes if group else nodes.withColumn(g, F.lit(0))).select(g, "node").distinct()
+    keep = (edges if group else edges.withColumn(g, F.lit(0))).where("src <> dst").select(g, "src", "dst").distinct()
+    keep = keep.join(node.withColumnRenamed("node", "src"), [g, "src"], "left_semi").join(node.withColumnRenamed("node", "dst"), [g, "dst"], "left_semi")
+    to_do, left = written(keep, "edges"), written(node.withColumn("level", F.lit(0)), "left")
+    out, parts = left.limit(0), 0
+    while left.limit(1).count():
+        free = left.join(to_do.select(g, F.col("dst").alias("node")).distinct(), [g, "node"], "left_anti")
+        stuck = left.join(free.select(g).distinct(), g, "left_anti").groupBy(g).agg(F.min("node").alias("node"))
+        done = written(free.union(left.join(stuck, [g, "node"], "left_semi").select(free.columns)), "done")
+        out, parts = out.union(done), parts + 1
+        if parts >= 32:  # few tables to read in the plan, however many rounds
+            out, parts = written(out, "levels"), 0
+        src, dst = (done.select(g, F.col("node").alias(c)) for c in ("src", "dst"))
+        above = to_do.join(done.select(g, F.col("node").alias("src"), "level"), [g, "src"]).groupBy(g, F.col("dst").alias("node")).agg((F.max("level") + 1).alias("least"))
+        left = left.join(done.select(g, "node"), [g, "node"], "left_anti").join(above, [g, "node"], "left")
+        left = written(left.select(g, "node", F.greatest("level", F.coalesce("least", "level")).alias("level")), "left")
+        to_do = written(to_do.join(src, [g, "src"], "left_anti").join(dst, [g, "dst"], "left_anti"), "edges")
+    return out if group else out.drop(g)
+
+
+def edges_from(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges that leave one of ``nodes`` (column node)."""
+    return edges.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+
+
+def by_id(rows: DataFrame, ids: DataFrame, key: str = "node_id") -> DataFrame:
+    """The rows of the given ids; an id that is not there gives a row of nulls."""
+    return ids.select(key).distinct().join(rows, key, "left")

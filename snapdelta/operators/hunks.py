@@ -59,6 +59,52 @@ def data_delta(base: DataFrame, head: DataFrame) -> DataFrame:
     return renamed(set_delta(base, head, ["file", "type_name"], "fields"))
 
 
+def described(parts: dict[str, DataFrame]) -> DataFrame:
+    """The deltas of each kind in one form: (kind, kind_rank, hunk_id, file, name, callee, added, removed, renamed, note).
+
+    All calls that changed are one hunk, of a row for each changed call; of the other kinds each row is a hunk.
+    ``added``, ``removed`` and ``renamed`` count what a row says was; ``note`` is the kind of drift of docs, and
+    whether a deleted declaration was exported."""
+    zero, one, none = F.lit(0), F.lit(1), F.lit(None).cast("string")
+    yes = lambda c: c.cast("int")
+    size = lambda c: F.size(c)
+    form = {
+        "call": ("caller_file", "caller_name", F.col("callee_name"), lambda c: yes(c("change") == "added"), lambda c: yes(c("change") == "removed"), lambda c: zero, none),
+        "state": ("file", "name", none, lambda c: size("added"), lambda c: size("removed"), lambda c: zero, none),
+        "api": ("file", "name", none, lambda c: yes(c("after_signature").isNotNull()), lambda c: yes(c("before_signature").isNotNull()), lambda c: zero, none),
+        "lock": ("file", "primitive", none, lambda c: yes(c("after").isNotNull()), lambda c: yes(c("before").isNotNull()), lambda c: zero, none),
+        "data": ("file", "type_name", none, lambda c: size("added"), lambda c: size("removed"), lambda c: yes(c("renamed_to").isNotNull()), none),
+        "docs": ("file", "fn", none, lambda c: zero, lambda c: zero, lambda c: zero, F.col("drift")),
+        "deletion": ("file", "name", none, lambda c: zero, lambda c: one, lambda c: zero, F.when(F.col("was_exported"), "exported ").otherwise("")),
+    }
+    out = {}
+    for kind, df in parts.items():
+        file, name, callee, added, removed, renamed_, note = form[kind]
+        hunk = F.lit(kind) if kind == "call" else F.concat_ws("|", F.lit(kind), file, name)
+        out[kind] = df.select(hunk.alias("hunk_id"), F.col(file).alias("file"), F.col(name).alias("name"), callee.alias("callee"), added(F.col).alias("added"), removed(F.col).alias("removed"), renamed_(F.col).alias("renamed"), note.alias("note"))
+    return union_of_kinds(out)
+
+
+def summaries(hunks: DataFrame) -> DataFrame:
+    """``described`` rows to one row for each hunk: (hunk_id, kind, side, summary). The side is added or removed if all
+    that a hunk says is of that kind, else both."""
+    by = hunks.groupBy("hunk_id", "kind").agg(*(F.sum(c).alias(c) for c in ("added", "removed", "renamed")), *(F.first(c).alias(c) for c in ("file", "name", "note")))
+    side = F.when(F.col("kind") == "docs", "both").when((F.col("added") > 0) & (F.col("removed") == 0), "added").when((F.col("added") == 0) & (F.col("removed") > 0), "removed").otherwise("both")
+    text = {
+        "call": F.format_string("call edges: +%d / -%d", "added", "removed"),
+        "state": F.format_string("state `%s`: +%d / -%d variant(s)", "name", "added", "removed"),
+        "api": F.format_string("api `%s` signature changed", "name"),
+        "lock": F.format_string("lock `%s` in %s", "name", "file"),
+        "data": F.format_string("data `%s` in %s: +%d/-%d fields, %d renamed", "name", "file", "added", "removed", "renamed"),
+        "docs": F.format_string("docs drift (%s) on `%s` in %s", "note", "name", "file"),
+        "deletion": F.format_string("deletion: %s`%s` in %s", "note", "name", "file"),
+    }
+    summary = F.when(F.lit(False), "")
+    for kind, said in text.items():
+        summary = summary.when(F.col("kind") == kind, said)
+    return by.select("hunk_id", "kind", side.alias("side"), summary.alias("summary"))
+
+
 def docs_drift(docs: DataFrame) -> DataFrame:
     """(file, fn, doc_params, sig_params): where they disagree; nothing is said if one is empty."""
     drift = F.when(F.size("doc_params") != F.size("sig_params"), "param-count").when(F.array_sort(F.array_distinct("doc_params")) != F.array_sort(F.array_distinct("sig_params")), "param-names")

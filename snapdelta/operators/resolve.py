@@ -2,24 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from bisect import bisect_left
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hunk_entities(api: DataFrame, named: DataFrame) -> DataFrame:
-    """(hunk_id, entity): the declaration a delta is about, and what it calls."""
-    called = api.select("hunk_id", "file", F.col("entity").alias("caller")).join(named, (F.col("file") == F.col("caller_file")) & (F.col("caller") == F.col("caller_name")))
-    return api.select("hunk_id", "entity").union(called.select("hunk_id", "callee_name")).distinct()
+def hunk_entities(hunks: DataFrame) -> DataFrame:
+    """(hunk_id, entity) of ``described`` deltas: both ends of changed calls, the part after the last dot of a lock's
+    primitive, else the declaration that a delta is about."""
+    own = F.when(F.col("kind") == "lock", F.substring_index("name", ".", -1)).otherwise(F.col("name"))
+    return hunks.select("hunk_id", F.explode(F.array_compact(F.array(own, F.col("callee")))).alias("entity")).distinct()
 
 
-def hunk_files(api: DataFrame, named: DataFrame) -> DataFrame:
-    """(hunk_id, file): the file of the declaration and those of what it calls."""
-    called = api.select("hunk_id", "file", F.col("entity").alias("caller")).join(named, (F.col("file") == F.col("caller_file")) & (F.col("caller") == F.col("caller_name")))
-    return api.select("hunk_id", "file").union(called.select("hunk_id", "callee_file")).distinct()
+def session_entities(hunks: DataFrame) -> DataFrame:
+    """(hunk_id, entity) as a session names them: locks, data shapes and docs by file and name; not made distinct."""
+    own = F.when(F.col("kind").isin("lock", "data", "docs"), F.concat_ws(":", "file", "name")).otherwise(F.col("name"))
+    return hunks.select("hunk_id", F.explode(F.array_compact(F.array(own, F.col("callee")))).alias("entity"))
+
+
+def hunk_files(hunks: DataFrame) -> DataFrame:
+    """(hunk_id, file) of ``described`` deltas: the file of the declaration, and of a changed call the caller's."""
+    return hunks.select("hunk_id", "file").distinct()
+
+
+def per_file(hunk_files_: DataFrame, flow_hunks: DataFrame) -> DataFrame:
+    """(file, hunks, flows): how many hunks touch a file, each once, and how many flows hold one of them."""
+    n = hunk_files_.groupBy("file").agg(F.count("*").alias("hunks"))
+    flows = hunk_files_.join(flow_hunks.select("flow", "hunk_id").distinct(), "hunk_id").groupBy("file").agg(F.countDistinct("flow").alias("flows"))
+    return n.join(flows, "file", "left").select("file", "hunks", F.coalesce("flows", F.lit(0)).alias("flows"))
+
+
+def flows_touching(flow_entities: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(flow, file): flows with an entity that is the name of a head declaration in one of ``files``."""
+    named = nodes.select(F.col("name").alias("entity"), "file").distinct().join(files.select("file").distinct(), "file", "left_semi")
+    return flow_entities.select("flow", "entity").distinct().join(named, "entity").select("flow", "file").distinct()
+
+
+def flows_of_failures(flow_entities: DataFrame, nodes: DataFrame, failing: DataFrame) -> DataFrame:
+    """The flows that a failed run concerns: those that touch a failing file, or all of them if no file is named."""
+    every = flow_entities.select("flow").distinct()
+    none = failing.select("file").agg(F.count("*").alias("n"))
+    touched = flows_touching(flow_entities, nodes, failing).select("flow", F.lit(True).alias("touched")).distinct()
+    return every.join(touched, "flow", "left").crossJoin(F.broadcast(none)).where("touched or n = 0").select("flow")  # one row
 
 
 def touched_lines(spans: DataFrame) -> DataFrame:
@@ -33,8 +60,13 @@ def flow_hits(flow_files: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def claim_proof(claims: DataFrame, proofs: DataFrame) -> DataFrame:
-    """Claims with the proof of the same index; ``matched`` tells whether there is one."""
-    return claims.join(proofs, ["analysis_id", "claim_index"], "left").withColumn("matched", F.col("proof").isNotNull()).select("analysis_id", "claim_index", "flow_id", "proof", "matched")
+    """Claims (analysis_id, claim_index, …) with the proof of the same index, or else the proof at that place among the
+    analysis' proofs (by ``position``, from 0); ``by_index`` tells which. Other columns of ``claims`` stay."""
+    rest = [c for c in claims.columns if c not in ("analysis_id", "claim_index")]
+    own = proofs.groupBy("analysis_id", "claim_index").agg(F.min_by("proof", "position").alias("own"))
+    placed = proofs.select("analysis_id", F.col("position").alias("claim_index"), F.col("proof").alias("placed"))
+    both = claims.join(own, ["analysis_id", "claim_index"], "left").join(placed, ["analysis_id", "claim_index"], "left")
+    return both.select("analysis_id", "claim_index", *rest, F.coalesce("own", "placed").alias("proof"), F.col("own").isNotNull().alias("by_index"))
 
 
 def passages_found(passages: DataFrame, docs: DataFrame, width: int = 16) -> DataFrame:
@@ -73,6 +105,34 @@ def passages_found(passages: DataFrame, docs: DataFrame, width: int = 16) -> Dat
     return found.distinct()
 
 
+def longest_common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, so that what is left is a shortest edit script. Chains of matches are
+    grown by their last place (Hunt and Szymanski); the work grows with the number of equal pairs of lines."""
+    lo = 0
+    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
+        lo += 1
+    end = 0
+    while end < len(a) - lo and end < len(b) - lo and a[-1 - end] == b[-1 - end]:
+        end += 1
+    places = defaultdict(list)
+    for j in range(lo, len(b) - end):
+        places[b[j]].append(j)
+    last, chains = [], []  # of the chains of each length: the least last place in b, and the chain
+    for i in range(lo, len(a) - end):
+        for j in reversed(places.get(a[i], ())):
+            k = bisect_left(last, j)
+            chain = (i, j, chains[k - 1] if k else None)
+            if k == len(last):
+                last.append(j), chains.append(chain)
+            elif j < last[k]:
+                last[k], chains[k] = j, chain
+    middle, chain = [], chains[-1] if chains else None
+    while chain:
+        middle.append(chain[:2])
+        chain = chain[2]
+    return [(i, i) for i in range(lo)] + middle[::-1] + [(len(a) - x, len(b) - x) for x in range(end, 0, -1)]
+
+
 _DIFF = "{key} long, op string, base_line long, head_line long, text string"
 
 
@@ -80,12 +140,12 @@ def _diff(key: str):
     def run(k, base: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
         a = [] if base.empty else base.sort_values("base_line")["base_text"].tolist()
         b = [] if head.empty else head.sort_values("head_line")["head_text"].tolist()
-        rows = []
-        for op, a0, a1, b0, b1 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if op == "equal":
-                rows += [("keep", i + 1, j + 1, a[i]) for i, j in zip(range(a0, a1), range(b0, b1))]
-            else:
-                rows += [("remove", i + 1, None, a[i]) for i in range(a0, a1)] + [("add", None, j + 1, b[j]) for j in range(b0, b1)]
+        rows, i, j = [], 0, 0
+        for x, y in [*longest_common(a, b), (len(a), len(b))]:
+            rows += [("remove", n + 1, None, a[n]) for n in range(i, x)] + [("add", None, n + 1, b[n]) for n in range(j, y)]
+            if x < len(a) and y < len(b):
+                rows.append(("keep", x + 1, y + 1, a[x]))
+            i, j = x + 1, y + 1
         out = pd.DataFrame(rows, columns=["op", "base_line", "head_line", "text"]).astype({"base_line": "Int64", "head_line": "Int64"})
         out.insert(0, key, k[0])
         return out
@@ -94,7 +154,8 @@ def _diff(key: str):
 
 
 def line_diff(base: DataFrame, head: DataFrame, key: str) -> DataFrame:
-    """Line by line: kept, removed and added lines of each pair of files, with their numbers on both sides."""
+    """Line by line: kept, removed and added lines of each pair of files, a shortest edit script, with their numbers on both
+    sides. A pair of files is compared in one task; null keys are files too."""
     b = base.select(F.col(key).alias("base_key"), F.col("line").alias("base_line"), F.col("content").alias("base_text"))
     h = head.select(F.col(key).alias("head_key"), F.col("line").alias("head_line"), F.col("content").alias("head_text"))
     return b.groupBy("base_key").cogroup(h.groupBy("head_key")).applyInPandas(_diff(key), _DIFF.format(key=key))

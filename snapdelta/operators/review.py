@@ -73,9 +73,51 @@ def note_context(notes: DataFrame, lines: DataFrame, n: int = 5) -> DataFrame:
 
 
 def deliverers(flow_entities: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Flow entities named as a word in an evidence text (flow, detail): an equi join on the words."""
-    words = evidence.select("flow", F.explode(F.array_distinct(F.split("detail", r"[^A-Za-z0-9_.#]+"))).alias("entity"))
-    return flow_entities.select("flow", "entity").distinct().join(words, ["flow", "entity"], "left_semi")
+    """Flow entities whose name occurs anywhere in a detail or a path of the flow's evidence (flow, detail, path).
+
+    Texts and names meet within a flow only, each text against the flow's own names."""
+    names = flow_entities.select("flow", "entity").distinct()
+    texts = evidence.select("flow", F.concat_ws("\n", "detail", "path").alias("text"))
+    return texts.join(names, "flow").where(F.contains("text", "entity")).select("flow", "entity").distinct()
+
+
+def notes_by_line(rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """Rows of a diff (file, base_line, head_line) with the notes on either line: (note_id, file, line_side, line)."""
+    sides = F.array(F.struct(F.lit("base").alias("line_side"), F.col("base_line").alias("line")), F.struct(F.lit("head").alias("line_side"), F.col("head_line").alias("line")))
+    at = rows.select("file", "base_line", "head_line", F.explode(sides).alias("s")).select("file", "base_line", "head_line", "s.*").where("line is not null")
+    return at.join(notes.select("note_id", "file", "line_side", "line"), ["file", "line_side", "line"]).select("file", "base_line", "head_line", "note_id")
+
+
+def note_targets(notes: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """Notes (note_id, anchor, target) with what they are about: ``targets`` gives (target, label) for each kind of
+    anchor. A target that is gone, or a kind without a table, is marked as missing."""
+    all_ = None
+    for anchor, df in targets.items():
+        one = df.select(F.lit(anchor).alias("anchor"), F.col("target").cast("string").alias("target"), "label")
+        all_ = one if all_ is None else all_.union(one)
+    known = all_.groupBy("anchor", "target").agg(F.min("label").alias("label"))
+    return notes.join(known, ["anchor", "target"], "left").withColumn("missing", F.col("label").isNull())
+
+
+def export_document(context: DataFrame, key: str) -> DataFrame:
+    """One JSON document of notes for each ``key``: its notes in order of note_id, null fields left out."""
+    fields = [c for c in context.columns if c != key]
+    notes = F.array_sort(F.collect_list(F.struct("note_id", *(c for c in fields if c != "note_id"))))
+    return context.groupBy(key).agg(F.count("*").alias("n"), F.to_json(F.struct(F.col(key), notes.alias("notes"))).alias("json"))
+
+
+def searched(rows: DataFrame, query: str, text: str = "text") -> DataFrame:
+    """Rows of a diff whose text holds the query, whatever its case; all rows if it is blank. Skipped blocks have none."""
+    q = query.strip().lower()
+    return rows.where(F.contains(F.lower(text), F.lit(q))) if q else rows
+
+
+def relabelled(rows: DataFrame, gone: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Statuses that are still being worked out, of rows whose job is gone, as errored; others stay."""
+    lost = rows.join(gone.select(*keys).distinct().withColumn("_lost", F.lit(True)), keys, "left")
+    for c in columns:
+        lost = lost.withColumn(c, F.when(F.col("_lost") & (F.col(c) == "analyzing"), "errored").otherwise(F.col(c)))
+    return lost.drop("_lost")
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

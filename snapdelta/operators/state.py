@@ -50,6 +50,42 @@ def merge_passes(flows: DataFrame, passes: dict[str, tuple[DataFrame, list[str]]
     return out
 
 
+def find_key(analyses: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The artifact key of a ready analysis of each wanted combination of keys (ties: the newest, then the larger id);
+    null if there is none."""
+    ready = analyses.where("status = 'ready'").groupBy(*keys).agg(F.max(F.struct("updated_at", "id", "artifact_key")).getField("artifact_key").alias("artifact_key"))
+    return wanted.select(*keys).distinct().join(ready, keys, "left")
+
+
+def deleted(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows without those of the given keys."""
+    return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def set_or_cleared(table: DataFrame, changes: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """The latest value of each key over a table and its changes, by ``order``; a null value clears the key."""
+    both = table.select(*keys, value, order).unionByName(changes.select(*keys, value, order))
+    return both.groupBy(*keys).agg(F.max_by(F.struct(value), order).alias("_v")).select(*keys, F.col("_v")[value].alias(value)).where(F.col(value).isNotNull())
+
+
+def resolved_settings(settings: DataFrame, chains: dict[str, list[str]]) -> DataFrame:
+    """(scope, name, value) settings to (scope, pass, value): for each pass the first of its names that has a value."""
+    order = F.array(*(F.struct(F.lit(p).alias("pass"), F.lit(n).alias("name"), F.lit(i).alias("rank")) for p, names in chains.items() for i, n in enumerate(names)))
+    scopes = settings.select("scope").distinct().select("scope", F.explode(order).alias("o")).select("scope", "o.*")
+    hit = scopes.join(settings.where("value is not null"), ["scope", "name"])
+    return hit.groupBy("scope", "pass").agg(F.min_by("value", "rank").alias("value"))
+
+
+def put_documents(rows: DataFrame, folder: str, key: str = "key", text: str = "json") -> None:
+    """Write documents into a cache folder by key; documents of the same key are replaced."""
+    rows.select(key, text).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(folder)
+
+
+def get_documents(spark, folder: str, wanted: DataFrame, key: str = "key") -> DataFrame:
+    """The documents of the wanted keys in a cache folder; null where there is none."""
+    return wanted.select(key).distinct().join(spark.read.parquet(folder).withColumn(key, F.col(key).cast("string")), key, "left")
+
+
 def running_budget(calls: DataFrame, session: str, order: list[str], amount: Column, most: float) -> DataFrame:
     """The running amount of each session, and the first call that goes beyond ``most``.
 
@@ -64,14 +100,15 @@ def hash_of(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("none")) for p in parts)), 256)
 
 
-def snapshot_hash(rows: DataFrame, keys: list[str], row: Column, buckets: int = 256) -> DataFrame:
-    """One hash for each key over all its rows, in an order-free way that needs no list of them: rows are hashed,
-    summed by bucket, and the bucket sums hashed in order."""
-    h = rows.select(*keys, F.sha2(row, 256).alias("h"))
-    part = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
-    by = h.groupBy(*keys, F.pmod(part, F.lit(buckets)).alias("b")).agg(F.sum(F.conv(F.substring("h", 9, 12), 16, 10).cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
-    text = F.concat_ws(":", F.col("b").cast("string"), F.col("n").cast("string"), F.col("s").cast("string"))
-    return by.groupBy(*keys).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", text.alias("t")))), lambda x: x["t"]), "\n"), 256).alias("sha"))
+def snapshot_hash(rows: DataFrame, row: Column, digits: int = 2) -> DataFrame:
+    """One hash over all rows, whatever their order: sha256 of the sorted row hashes by their first ``digits``
+    hexadecimal digits, then sha256 of those in order. ``digits`` is chosen so that a bucket fits a task (2 gives
+    256 buckets, 5 a million, whose hashes still are one array of 64 MB)."""
+    h = rows.select(F.sha2(row, 256).alias("h"))
+    line = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\n")
+    by = h.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.count("*").alias("n"), F.sha2(line("h"), 256).alias("x"))
+    text = F.concat_ws(":", F.col("b"), F.col("x"))
+    return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(line(text), 256).alias("sha"))
 
 
 def baseline_status(wanted: DataFrame, stored: DataFrame, keys: list[str], now: str, days: int = 60) -> DataFrame:

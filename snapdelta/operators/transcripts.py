@@ -31,6 +31,15 @@ def intent_claims(raw: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, "claim_index", F.col("c.statement").alias("statement"), kind.alias("evidence_type"))
 
 
+def intent_source(files: DataFrame) -> DataFrame:
+    """(…, path, text) of intent files: JSON files are structured and say their title, others are raw text as it is;
+    no text, or JSON without a title, gives nulls."""
+    structured = F.lower("path").endswith(".json")
+    said = F.when(structured, F.get_json_object("text", "$.title")).otherwise(F.col("text"))
+    shape = F.when(said.isNotNull(), F.when(structured, "structured").otherwise("raw"))
+    return files.select(*[c for c in files.columns if c not in ("path", "text")], shape.alias("shape"), said.alias("said"))
+
+
 def touched_entities(results: DataFrame, key: str) -> DataFrame:
     """(key, tool, argument, result): the entities that a tool call touched; unreadable results touch none."""
     v = F.try_parse_json("result")

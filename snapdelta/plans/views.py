@@ -39,9 +39,9 @@ class Tables:
         return a.where(when).join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst").select("src", "dst").distinct()
 
     def variants(self, side: str) -> DataFrame:
-        when = "ts < timestamp_ntz'2024-01-02'" if side == "base" else "ts >= timestamp_ntz'2024-01-02' and ts < timestamp_ntz'2024-01-03'"
+        when = "ts < timestamp_ntz'2024-01-16'" if side == "base" else "ts >= timestamp_ntz'2024-01-16'"
         u = F.col("user_id")
-        rows = self.events.where(when).select(F.concat(F.lit("u"), (u % 10).cast("string")).alias("file"), F.concat(F.lit("S"), u.cast("string")).alias("name"), "event_type").distinct()
+        rows = self.events.where(when).select(F.concat(F.lit("u"), (u % 10).cast("string")).alias("file"), F.concat(F.lit("S"), u.cast("string")).alias("name"), F.concat("event_type", F.hour("ts").cast("string")).alias("event_type")).distinct()
         return rows.groupBy("file", "name").agg(F.array_sort(F.collect_list("event_type")).alias("variants"))
 
     def files(self, side: str) -> DataFrame:
@@ -106,8 +106,8 @@ SQL: dict[str, str] = {
     "edges_head": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey AND a.l_shipdate >= TIMESTAMP '1996-01-01'",
     "named_base": "SELECT e.src, e.dst, s.file AS caller_file, s.name AS caller_name, t.name AS callee_name FROM edges_base e JOIN nodes_base s ON s.node_id = e.src JOIN nodes_base t ON t.node_id = e.dst",
     "named_head": "SELECT e.src, e.dst, s.file AS caller_file, s.name AS caller_name, t.name AS callee_name FROM edges_head e JOIN nodes_head s ON s.node_id = e.src JOIN nodes_head t ON t.node_id = e.dst",
-    "var_base": "SELECT DISTINCT 'u' || (user_id % 10) AS file, 'S' || user_id AS name, event_type AS item FROM events WHERE ts < TIMESTAMP '2024-01-02'",
-    "var_head": "SELECT DISTINCT 'u' || (user_id % 10) AS file, 'S' || user_id AS name, event_type AS item FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-03'",
+    "var_base": "SELECT DISTINCT 'u' || (user_id % 10) AS file, 'S' || user_id AS name, event_type || extract(hour FROM ts) AS item FROM events WHERE ts < TIMESTAMP '2024-01-16'",
+    "var_head": "SELECT DISTINCT 'u' || (user_id % 10) AS file, 'S' || user_id AS name, event_type || extract(hour FROM ts) AS item FROM events WHERE ts >= TIMESTAMP '2024-01-16'",
     "needles": "SELECT * FROM (VALUES ('script', '<script'), ('track', 'track('), ('ad', 'class=\"ad\"'), ('table', '<table')) v(primitive, needle)",
     "hits_base": "SELECT 'p' || page_id AS file, primitive FROM pages, needles WHERE page_id % 3 <> 0 AND contains(html, needle)",
     "hits_head": "SELECT 'p' || page_id AS file, primitive FROM pages, needles WHERE page_id % 3 <> 1 AND contains(html, needle)",

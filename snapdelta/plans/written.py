@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write to the folder that spark.checkpoint.dir names (under the warehouse if unset) and read again."""
+    """Write to the folder that spark.checkpoint.dir names and read again. Only a local master may leave that unset:
+    then a folder under the warehouse is used."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/_steps"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/_steps"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -30,6 +30,16 @@ def coverage_json(reports: DataFrame, text_col: str = "text") -> DataFrame:
     return whole.select(*keys, F.explode("e").alias("x")).select(*keys, F.col("x.key").alias("file"), F.round(F.col("x.value.lines.pct") * 10).cast("long").alias("permille"))
 
 
+def coverage_files(present: DataFrame, named: str | None = None) -> DataFrame:
+    """(root, side, path) of files that exist to the report each root reads on each side: the named one, else LCOV, else
+    the summary; roots without a report on both sides are left out."""
+    options = [p for p in (named, "coverage/lcov.info", "coverage/coverage-summary.json") if p]
+    rank = F.array_position(F.array(*map(F.lit, options)), F.col("path"))
+    best = present.withColumn("_r", rank).where("_r > 0").groupBy("root", "side").agg(F.min_by("path", "_r").alias("path"))
+    both = best.groupBy("root").agg(F.countDistinct("side").alias("n")).where("n = 2").select("root")
+    return best.join(both, "root", "left_semi")
+
+
 def compiler_lines(lines: DataFrame, text_col: str = "line") -> DataFrame:
     """``file(line,col): error|warning CODE: message`` as columns; other lines are dropped."""
     rx = r"^(.+?)\((\d+),(\d+)\): (error|warning) ([A-Za-z]+\d+): (.*)$"

@@ -80,5 +80,71 @@ def grep(lines: DataFrame, pattern: Column | str, key: str = "file", before: int
     return rows.withColumn("near", F.max(F.col("hit").cast("int")).over(w)).where("near = 1").drop("near")
 
 
+def local_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Calls (file, caller, callee, receiver) within a file as edges (src, dst): a bare name means the file's function
+    of that name, ``this.x`` within a member of a class that class' ``x``. Calls of oneself are dropped; each call
+    site is a row. Of several functions of one name the first counts."""
+    functions = nodes.where("kind = 'function'").groupBy("file", "name").agg(F.min("node_id").alias("id"))
+    member = F.concat_ws(".", F.substring_index("caller", ".", 1), "callee")
+    meant = F.when(F.col("receiver").isNull(), F.col("callee")).when((F.col("receiver") == "this") & F.contains("caller", F.lit(".")), member)
+    src, dst = (functions.select("file", F.col("name").alias(c), F.col("id").alias(i)) for c, i in (("caller", "src"), ("meant", "dst")))
+    return calls.withColumn("meant", meant).join(src, ["file", "caller"]).join(dst, ["file", "meant"]).where("src <> dst").select("src", "dst")
+
+
+def replaced_calls(edges: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Edges (src, dst, kind) with all calls replaced by the distinct ones of a language server; without any answer
+    (``resolved`` is empty) the edges stay as they are."""
+    some = resolved.select("src", "dst").distinct()
+    any_ = some.limit(1).select(F.lit(True).alias("_any"))
+    kept = edges.crossJoin(F.broadcast(resolved.agg(F.count("*").alias("_n")))).where("_n = 0 or kind <> 'calls'").drop("_n")  # one row
+    return kept.unionByName(some.withColumn("kind", F.lit("calls")).join(any_, F.lit(True), "left_semi"))
+
+
+def call_targets(answers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Answers (file, name) of a language server with the first function of that file whose last part is the name."""
+    first = nodes.where("kind = 'function'").groupBy("file", F.substring_index("name", ".", -1).alias("name")).agg(F.min("node_id").alias("node_id"))
+    return answers.join(first, ["file", "name"])
+
+
+def transition_literals(files: DataFrame) -> DataFrame:
+    """(file, from, to): ``if (x === "a") … return "b"`` or ``= "b"`` in one block, read by a pattern."""
+    rx = r"if\s*\(\s*[\w.$]+\s*===?\s*[\"']([^\"']+)[\"']\s*\)\s*\{?[^{}]*?(?:return|=)\s*[\"']([^\"']+)[\"']"
+    found = files.select("file", F.arrays_zip(F.regexp_extract_all("content", F.lit(rx), F.lit(1)).alias("from"), F.regexp_extract_all("content", F.lit(rx), F.lit(2)).alias("to")).alias("x"))
+    return found.select("file", F.explode("x").alias("x")).select("file", F.col("x.from").alias("from"), F.col("x.to").alias("to"))
+
+
+def samples(paths: DataFrame, meta: DataFrame) -> DataFrame:
+    """Sample folders ``pr-…/base/…`` and ``pr-…/head/…`` among (path): (id, title, description, has_intent) of those
+    that have both sides; a title or description in ``meta`` (id, title, description) wins over the one of the name."""
+    from ..functions.text import slug_title
+
+    part = F.split("path", "/")
+    by = paths.select(part[0].alias("id"), part[1].alias("side")).where(F.col("id").startswith("pr-")).groupBy("id")
+    by = by.agg(F.bool_or(F.col("side") == "base").alias("b"), F.bool_or(F.col("side") == "head").alias("h"), F.bool_or(F.col("side") == "intent.json").alias("has_intent")).where("b and h")
+    own = meta.select("id", F.col("title").alias("t"), F.col("description").alias("d"))
+    told = F.coalesce("d", F.concat(F.lit("Sample PR from "), F.col("id"), F.lit(".")))
+    return by.join(own, "id", "left").select("id", F.coalesce("t", slug_title(F.col("id"))).alias("title"), told.alias("description"), "has_intent")
+
+
+def matching(files: DataFrame, glob: str, file: str = "file") -> DataFrame:
+    """Files of a glob: ``*`` and ``?`` within a folder, ``**/`` over any number of them, ``{a,b}`` either."""
+    rx = "".join({"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|"}.get(c, re.escape(c)) if c != "\0" else "(?:.*/)?" for c in glob.replace("**/", "\0"))
+    return files.where(F.col(file).rlike(f"^(?:{rx})$"))
+
+
+def grep_files(lines: DataFrame, pattern: str, key: str = "file", head: int | None = None, offset: int = 0) -> DataFrame:
+    """The files that match, in order; from ``offset`` on, ``head`` of them if it is given."""
+    found = grep(lines, pattern, key).select(key).distinct()
+    if head is None and not offset:
+        return found
+    found = found.orderBy(key).offset(offset)
+    return found if head is None else found.limit(head)
+
+
+def read_lines(lines: DataFrame, first: int = 1, most: int | None = None) -> DataFrame:
+    """Lines from ``first`` on (counted from 1), ``most`` of each file if it is given."""
+    return lines.where(F.col("line") >= first) if most is None else lines.where(F.col("line").between(first, first + most - 1))
+
+
 def grep_counts(lines: DataFrame, pattern: str, key: str = "file") -> DataFrame:
     return grep(lines, pattern, key).groupBy(key).agg(F.count("*").alias("matches"))

@@ -76,7 +76,13 @@ def test_graph(spark):
     chain = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 1, 2), ("b", 5, 6), ("c", 1, 2)], "flow string, src long, dst long")
     assert {(r.flow, r.strength) for r in evidence.call_chain(graph.chain_connected(chain)).collect()} == {("a", "high"), ("b", "low"), ("c", "medium")}
     n = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 9)], "node long")
-    assert pairs(graph.levels(e, n)) == {(1, 0), (2, 1), (3, 2), (4, 3), (9, 0)}
+    assert pairs(graph.levels(e, n)) == {(9, 0), (1, 1), (2, 2), (3, 3), (4, 4)}
+    back = spark.createDataFrame([(3, 2), (2, 1), (1, 1), (2, 8)], "src long, dst long")  # larger to smaller, a loop, an end outside
+    assert pairs(graph.levels(back, n)) == {(3, 0), (2, 1), (1, 2), (4, 0), (9, 0)}
+    ring = spark.createDataFrame([("f", 1, 2), ("f", 2, 3), ("f", 3, 1), ("f", 3, 4), ("g", 4, 3)], "flow string, src long, dst long")
+    own = ring.select("flow", F.explode(F.array("src", "dst")).alias("node"))
+    assert pairs(graph.levels(ring, own, "flow").select("flow", "node", "level")) == {("f", 1, 0), ("f", 2, 1), ("f", 3, 2), ("f", 4, 3), ("g", 4, 0), ("g", 3, 1)}
+    assert graph.levels(e, n.limit(0)).collect() == []
 
 
 def test_flows(spark):
@@ -87,12 +93,14 @@ def test_flows(spark):
     assert flows.uncovered(he, fh).count() == 0 and flows.uncovered(he, fh.where("flow <> 'Queue'")).count() == 2
     assert pairs(flows.orphaned_by_removal(fh)) == {("Queue", 2), ("top-level", 1)}
     names = spark.createDataFrame([("ok-name",), ("Misc",), ("ab",), ("x" * 49,)], "n string")
-    assert [r[0] for r in names.select(flows.name_error(F.col("n"))).collect()] == [None, "NAME_RESERVED", "NAME_LENGTH", "NAME_LENGTH"]
+    assert [r[0] for r in names.select(flows.name_error(F.col("n"))).collect()] == [None, "NAME_RESERVED", "NAME_TOO_SHORT", "NAME_TOO_LONG"]
     a = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "3")], "flow string, hunk_id string")
     b = spark.createDataFrame([("p", "1"), ("p", "2"), ("q", "2"), ("q", "3")], "flow string, hunk_id string")
     j = flows.jaccard_pairs(a, b)
     assert {(r.flow_a, r.flow_b): r.jaccard for r in j.collect()} == {("x", "p"): 1.0, ("x", "q"): 0.333333, ("y", "q"): 0.5}
     assert {(r.flow_a, r.flow_b) for r in flows.greedy_pairs(j).collect()} == {("x", "p"), ("y", "q")}
+    large_first = spark.createDataFrame([("a1", "b1", 0.3, 3, 6), ("a2", "b1", 0.5, 2, 0)], "flow_a string, flow_b string, jaccard double, shared long, a_only long")
+    assert [(r.flow_a, r.flow_b) for r in flows.greedy_pairs(large_first).collect()] == [("a1", "b1")]
     assert flows.agreement(j, a, b).first().agreement == 1.0
 
 
@@ -129,7 +137,7 @@ def test_state_tables(spark):
     got = {r.key: (r.status, r.created) for r in state.upsert(t, u, ["key"], "at", ["created"]).collect()}
     assert got == {"k": ("ready", 1), "m": ("ready", 1)}
     a, b = (spark.createDataFrame(x, "file string, r string") for x in ([("f", "1"), ("f", "2")], [("f", "2"), ("f", "1")]))
-    sha = lambda df: state.snapshot_hash(df, ["file"], F.col("r")).first().sha
+    sha = lambda df: state.snapshot_hash(df, F.concat_ws("|", "file", "r")).first().sha
     assert sha(a) == sha(b) != sha(a.where("r = '1'"))
     merged = state.merge_passes(a.select(F.col("r").alias("flow")), {"cost": (spark.createDataFrame([("1", 5), ("9", 7)], "flow string, net int"), ["net"])})
     assert pairs(merged.select("flow", "net")) == {("1", 5), ("2", None), ("9", 7)}
@@ -219,9 +227,9 @@ def test_breaker_rules():
 
 
 def test_pairing_goes_on_until_no_pair_is_left(spark):
-    n = 52  # ties along a chain: one mutual best pair a round
-    chain = [(f"a{i:03}", f"b{j:03}", 0.5) for i in range(n) for j in (i, i + 1)]
-    df = spark.createDataFrame([*chain, (None, "b000", 0.9)], "flow_a string, flow_b string, jaccard double").coalesce(1)
+    n = 8  # ties along a chain: one pair a round
+    chain = [(f"a{i:03}", f"b{j:03}", 0.5, 1, 1) for i in range(n) for j in (i, i + 1)]
+    df = spark.createDataFrame([*chain, (None, "b000", 0.9, 1, 0)], "flow_a string, flow_b string, jaccard double, shared long, a_only long").coalesce(1)
     assert sorted((r.flow_a, r.flow_b) for r in flows.greedy_pairs(df).collect()) == [(f"a{i:03}", f"b{i:03}") for i in range(n)]
 
 
@@ -233,3 +241,60 @@ def test_all_short_passages_are_found(spark):
     got = resolve.passages_found(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert len(got) == len(want) and {(r.item_id, r.doc_id) for r in got} == want
     assert resolve.passages_found(spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")).collect() == []
+
+
+def test_pairing_is_the_walk_by_size(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(f"a{i}", f"b{j}", round(r.random(), 1), r.randrange(1, 3), 0) for i in range(9) for j in range(9) if r.random() < 0.5]
+    size = {a: 10 + r.randrange(4) for a, *_ in rows}
+    rows = [(a, b, j, s, size[a] - s) for a, b, j, s, _ in rows]
+    free, want = {b for _, b, *_ in rows}, set()
+    for a in sorted(size, key=lambda a: (-size[a], a)):
+        best = min(((-j, b) for x, b, j, *_ in rows if x == a and b in free), default=None)
+        if best:
+            free.discard(best[1])
+            want.add((a, best[1]))
+    df = spark.createDataFrame(rows, "flow_a string, flow_b string, jaccard double, shared long, a_only long")
+    assert {(x.flow_a, x.flow_b) for x in flows.greedy_pairs(df).collect()} == want
+
+
+def test_labels_positions_and_paths(spark):
+    one = lambda *cols: spark.range(1).select(*cols).first()
+    text = F.lit("ab\n\U0001f600xyz\nlast")
+    assert tuple(one(tx.position_of(text, F.lit(5)).alias("p")).p) == (2, 4) and tuple(one(tx.position_of(text, F.lit(99)).alias("p")).p) == (1, 1)
+    assert tuple(one(tx.name_position(text, F.lit(1), F.lit(9), F.lit("xyz")).alias("p")).p) == (1, 2) and one(tx.name_position(text, F.lit(0), F.lit(4), F.lit("xyz")).alias("p")).p is None
+    strings = "short_id is_path_id flow_label provider_model".split()
+    got = one(*(getattr(tx, f)(F.lit(x)).alias(f"{f}_{i}") for f in strings for i, x in enumerate(("<structural: x>", "\\\\host\\share", "pp: m:1"))))
+    assert got.flow_label_0 == "X" and got.is_path_id_1 and not got.is_path_id_0 and got.short_id_1 == "share" and tuple(got.provider_model_2) == ("pp", "m:1") and tuple(got.provider_model_0) == ("<structural", "x>")
+    assert one(tx.without_comments(F.lit('{"a": "b // c \\" //", // d\n"e": 1}')).alias("x")).x == '{"a": "b // c \\" //", \n"e": 1}'
+    assert one(tx.preview(F.lit(" " + "x" * 80 + " ")).alias("x")).x == "x" * 80 and one(tx.preview(F.lit("y" * 81)).alias("x")).x == "y" * 77 + "…"
+    assert tuple(one(tx.error_title(F.lit("fatal")).alias("x")).x) == ("Something went wrong", None)
+    files = spark.createDataFrame([("src/a.ts",), ("src/x/y/b.tsx",), ("lib/a.ts",), ("src/a.rs",)], "file string")
+    assert {r.file for r in tree.matching(files, "src/**/*.{ts,tsx}").collect()} == {"src/a.ts", "src/x/y/b.tsx"}
+    assert {r.file for r in tree.matching(files, "*/a.??").collect()} == {"src/a.ts", "lib/a.ts", "src/a.rs"}
+
+
+def test_listings_changes_and_stores(spark, tmp_path):
+    from snapdelta.operators import listing
+
+    n = spark.createDataFrame([("base", 1, "f", "a"), ("head", 2, "f", "a"), ("head", 3, "g", "b"), ("base", 4, "g", "c"), ("base", 5, "g", "d")], "side string, node_id long, file string, name string")
+    assert pairs(listing.listed(n, ["file"], most=2)) == {("f", "head", 2, "a", 1, None), ("f", "base", 1, "a", 2, None), ("g", None, None, None, 3, "RESULTS_TOO_LARGE")}
+    shown = listing.one_side({"nodes": n, "flows": n, "coverage": n}, "head")
+    assert [shown[x].count() for x in ("nodes", "flows", "coverage")] == [2, 0, 2]
+    listing.spilled(n, str(tmp_path / "spill"))
+    assert spark.read.json(str(tmp_path / "spill")).count() == 5
+    docs = spark.createDataFrame([("k1", "{}"), ("k2", "[1]")], "key string, json string")
+    state.put_documents(docs, str(tmp_path / "cache"))
+    state.put_documents(docs.where("key = 'k2'").withColumn("json", F.lit("[2]")), str(tmp_path / "cache"))
+    wanted = spark.createDataFrame([("k1",), ("k2",), ("k3",)], "key string")
+    assert pairs(state.get_documents(spark, str(tmp_path / "cache"), wanted).select("key", "json")) == {("k1", "{}"), ("k2", "[2]"), ("k3", None)}
+    edges = spark.createDataFrame([(1, 2, "calls"), (1, 3, "defines")], "src long, dst long, kind string")
+    none = edges.limit(0)
+    assert pairs(tree.replaced_calls(edges, none)) == {(1, 2, "calls"), (1, 3, "defines")}
+    assert pairs(tree.replaced_calls(edges, edges.where("dst = 3"))) == {(1, 3, "calls"), (1, 3, "defines")}
+    failing = spark.createDataFrame([("g",)], "file string")
+    fe = spark.createDataFrame([("x", "b"), ("y", "a")], "flow string, entity string")
+    assert pairs(resolve.flows_of_failures(fe, n.where("side = 'head'"), failing)) == {("x",)}
+    assert pairs(resolve.flows_of_failures(fe, n, failing.limit(0))) == {("x",), ("y",)}

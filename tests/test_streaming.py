@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from snapdelta.streaming import progress
+from snapdelta.streaming import merge, progress
 
 
 def drain(df, mode, name, spark, tmp_path):
@@ -34,3 +34,17 @@ def test_breaker_stream_equals_batch(spark, small, tmp_path):
     table = spark.read.parquet(f"{small}/events.parquet")
     got = drain(progress.breaker_stream(calls(progress.event_stream(spark, small, table.schema))), "update", "breakers", spark, tmp_path)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in progress.breaker_batch(calls(table)).collect()}
+
+
+def test_passes_merge_without_a_lock(spark, small, tmp_path):
+    table = spark.read.parquet(f"{small}/events.parquet")
+    folder = str(tmp_path / "passes")
+    for kind in ("view", "click"):
+        stream = progress.event_stream(spark, small, table.schema).where(F.col("event_type") == kind).select("user_id", "event_id", F.col("value").alias(kind))
+        q = merge.pass_writer(stream, folder, kind, str(tmp_path / f"checkpoint-{kind}")).start()
+        q.processAllAvailable()
+        q.stop()
+    got = merge.current(spark, folder, ["user_id"], ["view", "click"], "event_id")
+    said = table.select("user_id", "event_id", *(F.when(F.col("event_type") == k, F.col("value")).alias(k) for k in ("view", "click"))).where("event_type in ('view', 'click')")
+    want = merge.merged_rows(said, ["user_id"], ["view", "click"], "event_id")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}

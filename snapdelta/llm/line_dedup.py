@@ -8,9 +8,9 @@
    of parity bitmaps (a lower bound of the difference). A token of more than ``COMMON`` lines has no list: two
    sets whose rarest shared token is common also share the next one, within one place more, and meet in the list
    of both. No true link is lost.
-3. In a list longer than ``SHORT`` a line does not name all its candidates: ``FEW`` that are surely near are
-   enough, else ``MANY``. It is noted down as cut short, and if no candidate turns out to match, it alone is
-   taken through its lists again, without a limit.
+3. In a list a line does not name all its candidates: ``FEW`` that are surely near are enough, and in a list longer
+   than ``SHORT`` it names ``MANY`` at most. It is then noted down as cut short, and if no candidate turns out to
+   match, it alone is taken through its lists again, without a limit.
 4. Candidates are verified on the token sets, the nearest of each line first, the others only where that fails:
    one earlier match is enough for a line to go.
 """
@@ -32,12 +32,16 @@ from .token_sets import TOKEN_BITS, Sets, hamming, heavy_tokens, levels_of, mix,
 PART = 64
 #: Tokens of more lines than 2^COMMON_LEVEL have no lists of their own.
 COMMON_LEVEL = 12
-#: Lists up to this length give all their candidates.
+#: Lists up to this length are compared at once.
 SHORT = 128
-#: Candidates that a line names in a longer list: of those surely near, and of others.
+#: Candidates that a line names in a list: of those surely near, and in a longer list of others.
 FEW, MANY = 8, 256
+#: Texts of up to so many lines are picked by a broadcast of their ids (8 bytes each).
+MOST_SENT = 100_000
 #: Entries of a long list that are compared in one step, and entries of short lists.
 _ROWS, _COLUMNS, _STEP = 256, 1024, 50_000
+#: Entries that a worker packs at once.
+_PACKED = 250_000
 #: Parts of the index for each shuffle partition: a worker holds one part at a time.
 GROUPS = 8
 #: Bits of a key that tell the size of a set.
@@ -56,16 +60,25 @@ def _entries(num: int, den: int, least: int, heavy, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            some = [e for s in sets(batch.column("text"), True, 1, least) for e in emit(s, ids[s.row])]
-            if not some:
-                continue
-            entries = np.concatenate(some, axis=1)
-            part = (mix((entries[0] >> SIZE_BITS).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-            order = order_of(part)
-            entries, part = entries[:, order], part[order]
-            edge = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
-            blocks = [entries[:, a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(blocks, pa.binary())], ["part", "block"])
+            some, n = [], 0
+            for s in sets(batch.column("text"), True, 1, least):
+                for e in emit(s, ids[s.row]):
+                    some.append(e)
+                    n += e.shape[1]
+                if n > _PACKED:
+                    yield packed(some)
+                    some, n = [], 0
+            if some:
+                yield packed(some)
+
+    def packed(some: list[np.ndarray]) -> pa.RecordBatch:
+        entries = np.concatenate(some, axis=1)
+        part = (mix((entries[0] >> SIZE_BITS).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = order_of(part)
+        entries, part = entries[:, order], part[order]
+        edge = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+        blocks = [entries[:, a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(blocks, pa.binary())], ["part", "block"])
 
     def emit(s: Sets, ids: np.ndarray) -> Iterator[np.ndarray]:
         use = np.zeros(len(s.n), bool)
@@ -219,6 +232,28 @@ def _candidates(num: int, den: int, again: bool):
                 yield np.stack([short, short, np.zeros_like(short)])
                 rows = rows[~done]
 
+    def enough(logp):
+        """How many surely near candidates are enough: more of a set that is cut into parts, since a part says less."""
+        return FEW << (3 * (logp > 0))
+
+    def nearest(pairs: np.ndarray, ids: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (x, y, far, most) of entries as (later, earlier, far) by id, of one id both ways; of an entry's pairs the
+        nearest if enough are surely near. And the entries that were cut short."""
+        x, y, far, most = pairs
+        same = ids[x] == ids[y]
+        later, earlier = np.where(ids[x] > ids[y], x, y), np.where(ids[x] > ids[y], y, x)
+        later, earlier = np.concatenate([later, earlier[same]]), np.concatenate([earlier, later[same]])
+        far, most = np.concatenate([far, far[same]]), np.concatenate([most, most[same]])
+        by = np.lexsort((far, later))
+        later, earlier, far, most = later[by], earlier[by], far[by], most[by]
+        edge = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]])) if len(later) else np.empty(0, np.int64)
+        size = np.diff(np.concatenate([edge, [len(later)]]))
+        sure = np.add.reduceat((2 * far <= most).astype(np.int64), edge) if len(edge) else edge
+        few = enough(logp[later[edge]])
+        named = np.where(sure >= few, np.minimum(few, size), size)
+        keep = np.arange(len(later)) - np.repeat(edge, size) < np.repeat(named, size)
+        return np.stack([later[keep], earlier[keep], far[keep]]), later[edge[size > named]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _lists(batches) if again else _unpacked(batches):
             key, meta = c["key"], c["meta"]
@@ -226,8 +261,9 @@ def _candidates(num: int, den: int, again: bool):
             sid, n, pos, bits, logp = (c[x] for x in ("sid", "n", "pos", "bits", "logp"))
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             length = np.diff(np.concatenate([edge, [len(key)]]))
-            out = []
+            out, cut_short = [], np.zeros(len(key), bool)
             if not again:
+                near = []
                 i = np.flatnonzero(np.repeat((length > 1) & (length <= SHORT), length))
                 for step in range(1, SHORT):
                     i = i[i + step < len(key)]
@@ -240,11 +276,17 @@ def _candidates(num: int, den: int, again: bool):
                     x, y, most = i[ok], j[ok], most[ok]
                     far = hamming(bits[x], bits[y])
                     ok = far <= most
-                    out.append(np.stack([sid[x[ok]], sid[y[ok]], far[ok]]))
-            cut_short = np.zeros(len(key), bool)
-            for s, g in zip(edge[length > SHORT], length[length > SHORT]):
+                    near.append(np.stack([x[ok], y[ok], far[ok], most[ok]]))
+                if near:
+                    pairs, short = nearest(np.concatenate(near, axis=1), c["id"], logp)
+                    out += [np.stack([sid[pairs[0]], sid[pairs[1]], pairs[2]]), np.stack([sid[short], sid[short], np.zeros_like(short)])]
+                    lists = np.cumsum(np.isin(np.arange(len(key)), edge)) - 1
+                    cut_short = np.isin(lists, lists[short])
+            by_blocks = length > (1 if again else SHORT)
+            for s, g in zip(edge[by_blocks], length[by_blocks]):
                 part = {k: v[s : s + g] for k, v in c.items()}
-                found = list(long(part, *((len(key), len(key)) if again else (FEW, MANY))))
+                every = len(key) + 1
+                found = list(long(part, *((every, every) if again else (enough(part["logp"].max()), MANY))))
                 cut_short[s : s + g] = any((x[0] == x[1]).any() for x in found)
                 out += found
             found = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
@@ -328,7 +370,8 @@ def later_matches(docs: DataFrame, num: int, den: int, least: int) -> DataFrame:
         id_ = ((F.col("place") - unit) / F.lit(1 << 31).cast("decimal(10,0)")).cast("long")
         member = materialise(node.join(whole, "sid").select("sid", "place", id_.alias("id"), unit.cast("long").alias("unit")), "members")
         passing = spark.sparkContext.broadcast(bloom_filter(member, "id", "unit"))
-        of_sets = docs.mapInArrow(_member_sets(least, passing), "id long, unit long, sid long, tokens binary")
+        texts = docs.join(F.broadcast(member.select("id").distinct()), "id", "left_semi") if member.count() <= MOST_SENT else docs
+        of_sets = texts.mapInArrow(_member_sets(least, passing), "id long, unit long, sid long, tokens binary")
         of_sets = materialise(of_sets.join(member.select("sid", "id", "unit"), ["sid", "id", "unit"]).select("sid", "tokens"), "sets")
         a, b = (member.select(F.col("sid").alias(c), F.col("place").alias(f"p{c}")) for c in "ab")
         later = F.col("pa") > F.col("pb")

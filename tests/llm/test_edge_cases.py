@@ -198,7 +198,7 @@ def test_quality_keeps_columns_of_its_own_output(spark):
 
 
 def table(spark, n=1500):
-    rows = [(i, "word " * (5 + i * 7 % 60), ["a", "b", "c"][i * i % 3], ["x", "y"][i % 2], ["t", "u", None][i % 5 % 3]) for i in range(n)]
+    rows = [(i, "word " * (5 + i * 7 % 60), ["a", "b", "c"][i % 3], ["x", "y"][i % 2], ["t", "u", None][i // 7 % 3]) for i in range(n)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, about string"), rows
 
 

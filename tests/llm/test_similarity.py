@@ -122,7 +122,7 @@ def test_components(spark):
     assert connected_components(edges.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("limits", [{}, {"SHORT": 2, "FEW": 1, "MANY": 2}, {"COMMON_LEVEL": 0}, {"SHORT": 1, "FEW": 1, "MANY": 1, "COMMON_LEVEL": 2, "PART": 8, "_ROWS": 3, "_COLUMNS": 5}])
+@pytest.mark.parametrize("limits", [{}, {"SHORT": 2, "FEW": 1, "MANY": 2}, {"COMMON_LEVEL": 0}, {"FEW": 0}, {"SHORT": 1, "FEW": 1, "MANY": 1, "COMMON_LEVEL": 2, "PART": 8, "_ROWS": 3, "_COLUMNS": 5}])
 def test_lines_match_brute_force(spark, monkeypatch, limits):
     """Also where lists are cut short, tokens are common and sets are cut into many parts."""
     from snapdelta.llm import line_dedup as module

@@ -279,8 +279,12 @@ def _candidates(num: int, den: int, again: bool):
                     near.append(np.stack([x[ok], y[ok], far[ok], most[ok]]))
                 if near:
                     pairs, short = nearest(np.concatenate(near, axis=1), c["id"], logp)
-                    out += [np.stack([sid[pairs[0]], sid[pairs[1]], pairs[2]]), np.stack([sid[short], sid[short], np.zeros_like(short)])]
                     lists = np.cumsum(np.isin(np.arange(len(key)), edge)) - 1
+                    own = np.flatnonzero(np.isin(lists, lists[short]))  # a copy that is not the first of its set asks nothing
+                    own = own[np.lexsort((c["id"][own], sid[own], lists[own]))]
+                    again_ = (sid[own][1:] == sid[own][:-1]) & (lists[own][1:] == lists[own][:-1])
+                    short = np.setdiff1d(short, own[1:][again_])
+                    out += [np.stack([sid[pairs[0]], sid[pairs[1]], pairs[2]]), np.stack([sid[short], sid[short], np.zeros_like(short)])]
                     cut_short = np.isin(lists, lists[short])
             by_blocks = length > (1 if again else SHORT)
             for s, g in zip(edge[by_blocks], length[by_blocks]):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bloom_filter, bloom_slots, free_name, materialise, passes_bloom
-from .token_sets import TOKEN_BITS, Sets, hamming, heavy_tokens, levels_of, mix, most_apart, order_of, parts_of, sets, unit_rows
+from .token_sets import TOKEN_BITS, Sets, hamming, heavy_tokens, levels_of, mix, most_apart, order_of, parts_of, sets, tidied, unit_rows
 
 #: Tokens of a part of a long line's set.
 PART = 64
@@ -41,9 +41,9 @@ MOST_SENT = 100_000
 #: Entries of a long list that are compared in one step, and entries of short lists.
 _ROWS, _COLUMNS, _STEP = 256, 1024, 50_000
 #: Entries that a worker packs at once.
-_PACKED = 250_000
+_PACKED = 200_000
 #: Parts of the index for each shuffle partition: a worker holds one part at a time.
-GROUPS = 8
+GROUPS = 16
 #: Bits of a key that tell the size of a set.
 SIZE_BITS = 20
 _SIZE = np.uint64((1 << SIZE_BITS) - 1)
@@ -135,7 +135,7 @@ def _entries(num: int, den: int, least: int, heavy, groups: int):
         sized = (key & ~_SIZE) | np.minimum(n[at], int(_SIZE)).astype(np.uint64)
         return np.stack([sized.view(np.int64), sid[at], ids[at], bits[seg].view(np.int64), meta])
 
-    return run
+    return tidied(run)
 
 
 _ENTRY = ["key", "sid", "id", "bits", "meta"]
@@ -305,7 +305,7 @@ def _candidates(num: int, den: int, again: bool):
                 cols = [sid[of], c["id"][of], key[of], bits[of].view(np.int64), meta[of]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], _FOUND)
 
-    return run
+    return tidied(run)
 
 
 def _member_sets(least: int, passing):
@@ -321,7 +321,7 @@ def _member_sets(least: int, passing):
                 tokens = pa.BinaryArray.from_buffers(pa.binary(), len(s.n), [None, offsets.buffers()[1], pa.py_buffer(s.tok.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[s.row]), pa.array(s.no), pa.array(s.sid), tokens], ["id", "unit", "sid", "tokens"])
 
-    return run
+    return tidied(run)
 
 
 def _matching(num: int, den: int):
@@ -342,7 +342,7 @@ def _matching(num: int, den: int):
                 both = np.bincount((keys[1][hit] >> np.uint64(TOKEN_BITS)).astype(np.int64), minlength=part.num_rows)
                 yield part.select(["x", "y"]).filter(pa.array(den * both >= num * (sizes[0] + sizes[1] - both)))
 
-    return run
+    return tidied(run)
 
 
 def _place(id_: str, unit: str) -> Column:
@@ -420,7 +420,7 @@ def _rebuild(at: int):
             names = [*batch.schema.names[:-1], "_n_lines", "_n_removed"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(less, pa.int64())], names)
 
-    return run
+    return tidied(run)
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, least: int = 1, keep_columns: bool = False) -> DataFrame:

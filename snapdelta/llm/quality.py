@@ -30,7 +30,7 @@ class _Shapes(dict):
     """Words to (word without punctuation in lower case, loud, full of symbols, without a letter or digit)."""
 
     def __missing__(self, w: str) -> tuple[str, bool, bool, bool]:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         got = self[w] = (w.strip(".,;:!?\"'()").lower(), w.isupper(), bool(_SYMBOLS.search(w)), not any(c.isalnum() for c in w))
         return got

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bloom_filter, bloom_slots, connected_components, materialise, passes_bloom
-from .token_sets import Sets, hamming, heavy_tokens, levels_of, mix, most_apart, order_of, parts_of, sets, unit_rows
+from .token_sets import Sets, hamming, heavy_tokens, levels_of, mix, most_apart, order_of, parts_of, sets, tidied, unit_rows
 
 #: Index lists up to ``SHORT`` compare all neighbours at once, up to ``LONG`` block by block; longer ones use leaders.
 SHORT, LONG = 24, 512
@@ -89,7 +89,7 @@ def _index_rows(k: int, num: int, den: int, part: int, heavy):
         cols = [key.view(np.int64), sid[own], bits[seg].view(np.int64), meta]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "sid", "bits", "meta"])
 
-    return run
+    return tidied(run)
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -173,7 +173,7 @@ def _list_links(num: int, den: int):
             a, b = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return run
+    return tidied(run)
 
 
 def _blocks(sid, bits, n, apart, pos, num, den) -> Iterator[np.ndarray]:
@@ -229,7 +229,7 @@ def _member_sets(k: int, passing):
                 tokens = pa.BinaryArray.from_buffers(pa.binary(), len(s.n), [None, offsets.buffers()[1], pa.py_buffer(s.tok.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(s.row)), pa.array(s.sid), tokens], ["id", "sid", "tokens"])
 
-    return run
+    return tidied(run)
 
 
 def _answers(own_sets: list[np.ndarray], num: int, den: int, cross: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
@@ -313,7 +313,7 @@ def _verify(num: int, den: int):
                 label[at] = low[top]
             yield pa.RecordBatch.from_arrays([pa.array(c[once]) for c in (sid, label, links)], ["sid", "label", "links"])
 
-    return run
+    return tidied(run)
 
 
 def similarity_classes(docs: DataFrame, *, k: int, num: int, den: int, part: int) -> tuple[DataFrame, DataFrame]:

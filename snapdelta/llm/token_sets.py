@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,11 +19,23 @@ _TOKEN = np.uint64((1 << TOKEN_BITS) - 1)
 #: Frequent tokens kept for the rarity order (a bounded broadcast; only speed depends on it).
 TOP_TOKENS = 1 << 17
 #: Bytes and units of one vectorised step (a longer text is a step of its own).
-_BYTES, _UNITS = 1_000_000, 1 << 16
+_BYTES, _UNITS = 500_000, 1 << 16
 #: Leading bits of a token's hash by which its frequency is looked up.
 _LEADING = 22
 #: Tokens that a worker counts at once.
-_COUNTED = 4_000_000
+_COUNTED = 2_000_000
+
+
+def tidied(run):
+    """``run`` over batches, after which a worker that lives on gives freed memory back to the system."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps the memory
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -162,7 +176,7 @@ def unit_rows(k: int, lines: bool, least: int):
         if n_held:
             yield counts(held[:n_held])
 
-    return run
+    return tidied(run)
 
 
 def heavy_tokens(counts: DataFrame) -> np.ndarray:

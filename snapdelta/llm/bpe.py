@@ -20,7 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces of one generation of the memo, the longest piece it keeps, and pairs of tokens in the memo of pairs.
-_MEMO, _MEMO_LENGTH, _PAIRS = 1 << 17, 48, 1 << 18
+_MEMO, _MEMO_LENGTH, _PAIRS = 1 << 16, 48, 1 << 17
+
+
+#: Texts whose ids are held at once.
+_TEXTS = 500
 
 
 class _Pieces(dict):
@@ -180,7 +184,7 @@ def loaded(path: str, pattern: str) -> BytePairs:
 def _worker(path: str, pattern: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
-        for batch in batches:
+        for batch in (b.slice(lo, _TEXTS) for b in batches for lo in range(0, b.num_rows, _TEXTS)):
             n, ids, ids_hash, text_hash = [], [], [], []
             for text in batch.column("text"):
                 got = bpe.pieces(text.as_py() or "")

@@ -35,7 +35,7 @@ COMMON_LEVEL = 12
 #: Lists up to this length are compared at once.
 SHORT = 128
 #: Candidates that a line names in a list: of those surely near, and in a longer list of others.
-FEW, MANY = 8, 256
+FEW, MANY = 4, 256
 #: Texts of up to so many lines are picked by a broadcast of their ids (8 bytes each).
 MOST_SENT = 100_000
 #: Entries of a long list that are compared in one step, and entries of short lists.
@@ -234,7 +234,7 @@ def _candidates(num: int, den: int, again: bool):
 
     def enough(logp):
         """How many surely near candidates are enough: more of a set that is cut into parts, since a part says less."""
-        return FEW << (3 * (logp > 0))
+        return FEW << (logp > 0)
 
     def nearest(pairs: np.ndarray, ids: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (x, y, far, most) of entries as (later, earlier, far) by id, of one id both ways; of an entry's pairs the

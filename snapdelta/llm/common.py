@@ -1,4 +1,4 @@
-"""Shared pieces of the training-data operators: reliable materialisation, connected components, a Bloom filter."""
+"""Shared pieces of the training-data operators: reliable materialisation, ranks, connected components, a Bloom filter."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .token_sets import mix
@@ -44,6 +44,22 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with each row's place in ``order``, from 1. Rows are dealt out by ranges of the order and written; a range
+    is numbered by itself, and only the sizes of the ranges (one row a partition) are summed up in one place."""
+    width = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    part, before = (free_name(c, df.columns) for c in ("range_no", "range_before"))
+    dealt = materialise(df.repartitionByRange(width, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = {r[0]: r[1] for r in dealt.groupBy(part).count().collect()}
+    offset, starts = 0, []
+    for p in sorted(sizes):
+        starts.append((p, offset))
+        offset += sizes[p]
+    starts = df.sparkSession.createDataFrame(starts, f"{part} int, {before} long")
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return dealt.withColumn(name, place).join(F.broadcast(starts), part).withColumn(name, F.col(name) + F.col(before)).drop(part, before)
+
+
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, label): label is the smallest node of the component. Alternating large-star and
     small-star rounds; each is one aggregation and one join, and is written to the shared folder.

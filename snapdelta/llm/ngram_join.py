@@ -5,29 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simjoin import similarity_classes
+from .simjoin import components, similarity_classes
 
 
 def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """(id, n_shingles, component_id, n_links) for each row of ``docs``.
+    """(id, n_shingles, component_id) for each row of ``docs``.
 
     Two texts link when the Jaccard similarity of their sets of ``shingle``-word shingles is num/den or
     more. Words are runs of other than ASCII white space, ASCII letters in lower case; a shorter text is
-    one shingle. component_id is the smallest id reachable by links; n_links counts the texts that a text
-    links with, equal ones included. Null, empty and blank texts have no shingles, no links, and their own
-    id. Repeated rows come back as often as they are given; a row of null id comes back with null
-    component. Ids are whole numbers of up to 64 bits. An empty table gives an empty result. Other columns of
-    ``docs`` are ignored, whatever their names."""
+    one shingle. component_id is the smallest id reachable by links. Null, empty and blank texts have no
+    shingles, no links, and their own id. Repeated rows come back as often as they are given; a row of null id
+    comes back with null component. Ids are whole numbers of up to 64 bits. An empty table gives an empty result. A long
+    text is one step of a task, at about 60 bytes of memory a word. Other columns of ``docs`` are ignored,
+    whatever their names."""
     part = 96 if 10 * num >= 9 * den else 48
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units, classes = similarity_classes(base.where("id is not null"), k=shingle, num=num, den=den, part=part)
-    root = classes.groupBy("label").agg(F.min("id0").alias("component_id"))
-    of_set = classes.join(root, "label").select("sid", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    found = units.join(of_set, "sid", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
-    none = base.where("id is null or text is null").select("id", F.lit(0).cast("long"), "id", F.lit(0).cast("long"))
-    return found.union(none).withColumnRenamed("id", id_col)
+    texts, classes = similarity_classes(base.where("id is not null"), k=shingle, num=num, den=den, part=part)
+    return components(base, texts, classes, id_col)
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import ann, bpe, language, line_dedup, mixing, ngram_join, quality, quotes, secrets, winnow
+from . import ann, bpe, centroids, importance, language, line_dedup, mixing, ngram_join, quality, quotes, secrets, setsketch, winnow
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,30 +60,22 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, num=4, den=5)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(ship_package(spark), sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_ngram_jaccard_join, op3_secret_scan, op4_language_id, op5_line_dedup, op6_rotated_codes_search, op7_byte_bpe, op8_site_quality, op9_mixing, op10_winnowing, pipeline)}
-
-#: Operator 2 in SQL: all pairs that share a shingle, and components by a recursive search.
-_OP2 = r"""
-WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
-), s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM d
-), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 90 * (p.n + q.n - common)),
-e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-r(a, b) AS (SELECT x, y FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b),
-m AS (SELECT a, min(b) AS low FROM r GROUP BY a),
-deg AS (SELECT x, count(*) AS k FROM e GROUP BY x)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id, CAST(coalesce(deg.k, 0) AS BIGINT) AS n_links
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id LEFT JOIN deg ON deg.x = d.doc_id
-"""
-
-ORACLE_SQL = {"op2_ngram_jaccard_join": _OP2}
+QUERIES = {f.__name__: f for f in (op1_quotation_links, op2_ngram_jaccard_join, op3_secret_scan, op4_language_id, op5_line_dedup, op6_rotated_codes_search, op7_byte_bpe, op8_site_quality, op9_mixing, op10_winnowing, op11_setsketch, op12_importance, op13_centroids, pipeline)}

@@ -11,11 +11,13 @@ A text's set holds the hashes of its k-word shingles. The join runs in four Spar
    skipped by size and by the Hamming distance of parity bitmaps (a lower bound of the difference). No true link
    is lost. What a list gives are links that span its candidates, O(g) of g entries, never g^2. A list longer than
    ``LONG`` links its entries to a few leaders instead of to each other (triangle inequality).
-3. Components of the candidate rows are families. Each class goes to its family's task once; families
-   larger than a block are dealt out as pairs of blocks. Texts without a member are passed over by a Bloom
+3. Components of the candidate rows are families. Each class goes to its family's task once. Of families
+   larger than a block, links that span them are verified first, pair by pair; what is one component by then is
+   done, and only the others are dealt out as pairs of blocks. Texts without a member are passed over by a Bloom
    filter of fixed size, so that only members' sets are shuffled.
 4. ``_verify``: in a family, the overlaps of a set with all others are derived from those of the most
-   similar set already answered, by the posting lists of the tokens in which the two differ.
+   similar set already answered, by the posting lists of the tokens in which the two differ. Once a family is
+   one component, no further set is answered.
 
 Token hashes are 48 bits wide: a pair of sets of n tokens is misjudged with a chance of about n^2/2^48.
 """
@@ -274,15 +276,15 @@ def _answers(own_sets: list[np.ndarray], num: int, den: int, cross: np.ndarray |
 
 
 def _verify(num: int, den: int):
-    """Families (or pairs of their blocks) to (sid, label, links): the smallest set id linked within the block,
-    and the number of linked texts. A set that repeated rows give more than once comes back once."""
+    """Families (or pairs of their blocks) to (sid, label): the smallest set id linked within the block. A set that
+    repeated rows give more than once comes back once. A block that has become one component asks no further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_key(batches, ("fam", "i", "j")):
-            fam, bi, bj, sid, own, copies = (t.column(c).to_numpy() for c in ("fam", "i", "j", "sid", "own", "copies"))
+            fam, bi, bj, sid, own = (t.column(c).to_numpy() for c in ("fam", "i", "j", "sid", "own"))
             tokens = t.column("tokens")
             edge = np.flatnonzero(np.concatenate([[True], (fam[1:] != fam[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
-            label, links = sid.copy(), np.zeros(len(sid), np.int64)
+            label = sid.copy()
             once = np.ones(len(sid), bool)
             for s, e in zip(edge, [*edge[1:], len(sid)]):
                 if e - s < 2:
@@ -291,37 +293,119 @@ def _verify(num: int, den: int):
                 at = s + np.flatnonzero(once[s:e])  # by sid; a repeated row gives the same set again
                 own_sets = [np.frombuffer(tokens[int(x)].as_py(), np.uint64) for x in at]
                 at = at[by_size := np.argsort([len(x) for x in own_sets], kind="stable")]
-                root = np.arange(len(at))
-
-                def find(x: int, root=root) -> int:
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
                 cross = own[at] if bi[s] != bj[s] else None
+                top, left = np.arange(len(at)), len(at)
                 for x, linked in _answers([own_sets[y] for y in by_size], num, den, cross):
-                    if len(linked):
-                        links[at[x]] = copies[at[linked]].sum()
-                        for y in linked[linked > x] if len(linked) < 64 else [z for z in linked if root[z] != root[x]]:
-                            a, b = find(x), find(int(y))
-                            if a != b:
-                                root[max(a, b)] = min(a, b)
-                top = np.array([find(x) for x in range(len(at))])
+                    if len(others := np.setdiff1d(top[linked], top[x])):
+                        top[np.isin(top, others)] = top[x]
+                        left -= len(others)
+                        if left == 1:
+                            break
                 low = np.full(len(at), np.iinfo(np.int64).max)
                 np.minimum.at(low, top, sid[at])
                 label[at] = low[top]
-            yield pa.RecordBatch.from_arrays([pa.array(c[once]) for c in (sid, label, links)], ["sid", "label", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(sid[once]), pa.array(label[once])], ["sid", "label"])
+
+    return tidied(run)
+
+
+def matching(num: int, den: int):
+    """Rows (x, y, tx, ty) of sets and their tokens to the x and y that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(batch.column("tx"), batch.column("ty"))):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep[i] = den * both >= num * (len(a) + len(b) - both)
+            yield batch.select(["x", "y"]).filter(pa.array(keep))
 
     return tidied(run)
 
 
+def _settled(member: DataFrame, pairs: DataFrame, tokens: DataFrame, num: int, den: int, rounds: int = 3) -> DataFrame:
+    """(sid, fam, label) of the members of large families, after links that span them were verified one by one: in each
+    round every label asks for one link to another label. A family of near copies becomes one label this way, at two
+    token lists a member, and needs no comparison of its blocks."""
+    of = lambda c: tokens.select(F.col("sid").alias(c), F.col("tokens").alias(f"t{c}"))
+    label = member.select("sid", "fam", F.col("sid").alias("label"))
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
+    tried = links = None
+    for _ in range(rounds):
+        lx, ly = (label.select(F.col("sid").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
+        open_ = both.join(lx, "x").join(ly, "y").where("lx <> ly")
+        if tried is not None:
+            open_ = open_.join(tried, ["x", "y"], "left_anti")
+        ask = open_.groupBy("lx").agg(F.min(F.struct("y", "x")).alias("p")).select("p.x", "p.y")
+        ask = materialise(ask.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "asked")
+        if not ask.limit(1).count():
+            break
+        new = materialise(ask.join(of("x"), "x").join(of("y"), "y").select("x", "y", "tx", "ty").mapInArrow(matching(num, den), "x long, y long"), "spanning")
+        links = new if links is None else links.union(new)
+        back = ask.union(ask.select("y", "x"))
+        tried = back if tried is None else tried.union(back)
+        root = connected_components(links, "x", "y").withColumnRenamed("label", "root")
+        label = materialise(member.join(root, F.col("sid") == F.col("node"), "left").select("sid", "fam", F.coalesce("root", "sid").alias("label")), "labels")
+    return label
+
+
+def classes_of(docs: DataFrame, whole: DataFrame, pairs: DataFrame, *, k: int, num: int, den: int) -> DataFrame:
+    """(sid, id0, copies, label) of each distinct set of ``whole(sid, id, copies, n)``: the smallest sid reachable by true
+    links. ``pairs(a, b)`` are candidate links whose components, the families, hold every true link."""
+    spark = docs.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    pairs = materialise(pairs.distinct(), "candidates")
+    family = connected_components(pairs)
+    member = whole.join(family.select(F.col("node").alias("sid"), F.col("label").alias("fam")), "sid")
+    size = member.groupBy("fam").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).cast("long").alias("nb"))
+    member = materialise(member.join(size, "fam"), "members")
+    passing = spark.sparkContext.broadcast(bloom_filter(member, "id"))
+    of_sets = docs.mapInArrow(_member_sets(k, passing), "id long, sid long, tokens binary").join(member, ["sid", "id"])
+
+    def compared(of_sets: DataFrame) -> DataFrame:
+        own = F.pmod(F.xxhash64("sid"), F.col("nb")).alias("own")
+        dealt = of_sets.select("fam", "sid", "tokens", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
+        dealt = dealt.select("fam", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "own", "tokens")
+        dealt = dealt.repartition(width, "fam", "i", "j").sortWithinPartitions("fam", "i", "j", "sid")
+        return dealt.mapInArrow(_verify(num, den), "sid long, label long")
+
+    large = member.where("nb > 1")
+    if large.limit(1).count():
+        of_sets = materialise(of_sets.select("fam", "nb", "sid", "tokens").dropDuplicates(["sid"]), "sets")
+        of_large = large.select("sid")
+        label = _settled(large, pairs.join(of_large, F.col("a") == F.col("sid"), "left_semi"), of_sets.where("nb > 1"), num, den)
+        open_ = label.groupBy("fam").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("fam")
+        rest = of_sets.join(open_, "fam", "left_semi")
+        links = materialise(compared(rest).union(label.select("sid", "label")), "links")
+        joined = connected_components(links, "sid", "label").select(F.col("node").alias("sid"), "label")
+        found = joined.union(compared(of_sets.where("nb = 1")))
+    else:
+        found = compared(of_sets)
+    found = whole.join(found, "sid", "left").select("sid", F.col("id").alias("id0"), "copies", F.coalesce("label", "sid").alias("label"))
+    return materialise(found, "classes")
+
+
+def components(docs: DataFrame, texts: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, n_shingles, component_id) of each row of ``docs(id, text)``: from its set's class, or by itself."""
+    root = classes.groupBy("label").agg(F.min("id0").alias("component_id"))
+    of_set = classes.join(root, "label").select("sid", "component_id")
+    found = texts.join(of_set, "sid", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    none = docs.where("id is null or text is null").select("id", F.lit(0).cast("long"), "id")
+    return found.union(none).withColumnRenamed("id", id_col)
+
+
+def whole_sets(texts: DataFrame) -> DataFrame:
+    """(sid, id, copies, n): each distinct set that is not empty, under the smallest id of its texts."""
+    return texts.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"))
+
+
 def similarity_classes(docs: DataFrame, *, k: int, num: int, den: int, part: int) -> tuple[DataFrame, DataFrame]:
     """Join the texts of ``docs(id, text)`` at Jaccard >= num/den.
 
     Returns two written tables: texts (id, n, sid) with one row for each text that is not null, and classes (sid,
-    id0, copies, label, links): for each distinct non-empty set, the smallest id of its texts, their number, the
-    smallest sid reachable by links, and how many texts of other sets it links with. Ids are whole numbers."""
+    id0, copies, label): for each distinct non-empty set, the smallest id of its texts, their number, and the smallest
+    sid reachable by links. Ids are whole numbers."""
     spark = docs.sparkSession
     docs = docs.select("id", "text")
     seen = materialise(docs.mapInArrow(unit_rows(k, False, 0), "id long, unit long, n long, sid long"), "texts")
@@ -332,25 +416,4 @@ def similarity_classes(docs: DataFrame, *, k: int, num: int, den: int, part: int
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     lists = index.repartition(width, "key").sortWithinPartitions("key", "meta")
     pairs = lists.mapInArrow(_list_links(num, den), "a long, b long")
-    family = connected_components(pairs)
-
-    whole = texts.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    member = whole.join(family.select(F.col("node").alias("sid"), F.col("label").alias("fam")), "sid")
-    size = member.groupBy("fam").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).cast("long").alias("nb"))
-    member = materialise(member.join(size, "fam"), "members")
-    passing = spark.sparkContext.broadcast(bloom_filter(member, "id"))
-    of_sets = docs.mapInArrow(_member_sets(k, passing), "id long, sid long, tokens binary").join(member, ["sid", "id"])
-    own = F.pmod(F.xxhash64("sid"), F.col("nb")).alias("own")
-    dealt = of_sets.select("fam", "sid", "copies", "tokens", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
-    dealt = dealt.select("fam", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "own", "copies", "tokens")
-    dealt = dealt.repartition(width, "fam", "i", "j").sortWithinPartitions("fam", "i", "j", "sid")
-    found = materialise(dealt.mapInArrow(_verify(num, den), "sid long, label long, links long"), "links")
-    found = found.join(member.select("sid", "nb"), "sid")
-    single = found.where("nb = 1").select("sid", "label", "links")
-    several = found.where("nb > 1")
-    if several.limit(1).count():
-        joined = connected_components(several, "sid", "label").withColumnRenamed("node", "sid").withColumnRenamed("label", "root")
-        several = several.groupBy("sid").agg(F.sum("links").alias("links")).join(joined, "sid", "left")
-        single = single.union(several.select("sid", F.coalesce("root", "sid"), "links"))
-    classes = whole.join(single, "sid", "left").select("sid", F.col("id").alias("id0"), "copies", F.coalesce("label", "sid").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-    return texts, materialise(classes, "classes")
+    return texts, classes_of(docs, whole_sets(texts), pairs, k=k, num=num, den=den)

@@ -279,5 +279,9 @@ def clean_members(entities: Column, most: int = 10) -> Column:
 
 
 def doc_params(comment: Column) -> Column:
-    """Names after @param, types and brackets left out."""
-    return F.regexp_extract_all(comment, F.lit(r"@param\s+(?:\{[^}]*\}\s*)?\[?([A-Za-z_$][\w$]*)"), F.lit(1))
+    """Names after @param, in order: a type in braces is passed over, brackets, defaults and question marks are left out."""
+    lines = F.transform(F.split(comment, r"\r?\n"), lambda x: F.regexp_replace(x, r"^[/*\s]+", ""))
+    rest = F.transform(F.filter(lines, lambda x: x.startswith("@param")), lambda x: F.regexp_replace(x, r"^@param\s*", ""))
+    named = F.transform(F.filter(rest, lambda x: ~x.startswith("{") | F.contains(x, F.lit("}"))), lambda x: F.regexp_extract(F.regexp_replace(x, r"^\{[^}]*\}\s*", ""), r"^([^\s:-]*)", 1))
+    bare = F.transform(named, lambda x: F.substring_index(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\?+$", ""), r"^\[+", ""), r"\]+$", ""), "=", 1))
+    return F.filter(bare, lambda x: x != "")

@@ -13,7 +13,7 @@ token is done as soon as its next value cannot raise the lowest register. A larg
    more than ``BLOCK`` sets is dealt out as pairs of blocks.
 3. The candidates' components are verified on the full sets (simjoin.classes_of).
 
-Two sets of a similarity of just 0.8 share no band with a chance of (1 - 0.8^4)^32, 5 in 10^8, and are judged too far
+Two sets of a similarity of just 0.8 share no band with a chance of (1 - 0.8^5)^51, 2 in 10^9, and are judged too far
 apart with a chance of about e^-``SLACK``; more similar ones are safer still. Nothing is capped.
 """
 
@@ -31,7 +31,7 @@ from .simjoin import _by_key, _Forest, classes_of, components, whole_sets
 from .token_sets import Sets, mix, sets, tidied
 
 #: Registers (a power of two), registers of a band, base, and the rate of the values.
-M, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
+M, ROWS, BASE, RATE = 256, 5, 1.001, 20.0
 #: Largest register value: 16 bits.
 _TOP = 65535
 #: The natural logarithm of the likelihood ratio by which a pair is given up.
@@ -92,8 +92,10 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, sid) of each band of each set."""
     for batch in batches:
         if batch.num_rows:
-            own = np.ascontiguousarray(_registers(batch.column("sketch"))).view(np.uint64)  # four registers of 16 bits a word
-            key = mix(mix(own) + np.arange(own.shape[1], dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+            own = _registers(batch.column("sketch"))[:, : M // ROWS * ROWS].reshape(batch.num_rows, -1, ROWS).astype(np.uint64)
+            key = np.broadcast_to(np.arange(own.shape[1], dtype=np.uint64), own.shape[:2])
+            for i in range(ROWS):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + own[:, :, i])
             sid = np.repeat(batch.column("sid").to_numpy(), own.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(sid)], ["key", "sid"])
 
@@ -198,7 +200,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     whole = materialise(whole_sets(texts), "sets")
     of_set = seen.join(whole.select("sid", "id"), ["sid", "id"], "left_semi").dropDuplicates(["sid"]).select("sid", "n", "sketch")
     of_set = materialise(of_set, "distinct")
-    keys = materialise(of_set.select("sid", "sketch").mapInArrow(_bands, "key long, sid long"), "bands")
+    keys = of_set.select("sid", "sketch").mapInArrow(_bands, "key long, sid long")
     shared = keys.groupBy("key").count().where("count > 1").withColumn("nb", F.ceil(F.col("count") / BLOCK).cast("long"))
     met = keys.join(shared.select("key", "nb"), "key").join(of_set, "sid")
     block = F.pmod(F.xxhash64("sid"), F.col("nb")).alias("own")

@@ -11,10 +11,10 @@ A text's set holds the hashes of its k-word shingles. The join runs in four Spar
    skipped by size and by the Hamming distance of parity bitmaps (a lower bound of the difference). No true link
    is lost. What a list gives are links that span its candidates, O(g) of g entries, never g^2. A list longer than
    ``LONG`` links its entries to a few leaders instead of to each other (triangle inequality).
-3. Components of the candidate rows are families. Each class goes to its family's task once. Of families
-   larger than a block, links that span them are verified first, pair by pair; what is one component by then is
-   done, and only the others are dealt out as pairs of blocks. Texts without a member are passed over by a Bloom
-   filter of fixed size, so that only members' sets are shuffled.
+3. Components of the candidate rows are families. Each class goes to its family's task once. In families larger
+   than a block, every block meets the first one; what is one component by then is done, and only of the others
+   all pairs of blocks are dealt out. Texts without a member are passed over by a Bloom filter of fixed size, so
+   that only members' sets are shuffled.
 4. ``_verify``: in a family, the overlaps of a set with all others are derived from those of the most
    similar set already answered, by the posting lists of the tokens in which the two differ. Once a family is
    one component, no further set is answered.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bloom_filter, bloom_slots, connected_components, materialise, passes_bloom
@@ -275,9 +275,10 @@ def _answers(own_sets: list[np.ndarray], num: int, den: int, cross: np.ndarray |
         yield i, np.flatnonzero(both)
 
 
-def _verify(num: int, den: int):
-    """Families (or pairs of their blocks) to (sid, label): the smallest set id linked within the block. A set that
-    repeated rows give more than once comes back once. A block that has become one component asks no further."""
+def _verify(num: int, den: int, across: bool = False):
+    """Families (or pairs of their blocks) to (sid, label): the smallest set id linked within them; ``across`` looks for
+    links between two blocks only. A set that repeated rows give more than once comes back once. What has become one
+    component asks no further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_key(batches, ("fam", "i", "j")):
@@ -293,7 +294,7 @@ def _verify(num: int, den: int):
                 at = s + np.flatnonzero(once[s:e])  # by sid; a repeated row gives the same set again
                 own_sets = [np.frombuffer(tokens[int(x)].as_py(), np.uint64) for x in at]
                 at = at[by_size := np.argsort([len(x) for x in own_sets], kind="stable")]
-                cross = own[at] if bi[s] != bj[s] else None
+                cross = own[at] if across else None
                 top, left = np.arange(len(at)), len(at)
                 for x, linked in _answers([own_sets[y] for y in by_size], num, den, cross):
                     if len(others := np.setdiff1d(top[linked], top[x])):
@@ -309,47 +310,6 @@ def _verify(num: int, den: int):
     return tidied(run)
 
 
-def matching(num: int, den: int):
-    """Rows (x, y, tx, ty) of sets and their tokens to the x and y that link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column("tx"), batch.column("ty"))):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep[i] = den * both >= num * (len(a) + len(b) - both)
-            yield batch.select(["x", "y"]).filter(pa.array(keep))
-
-    return tidied(run)
-
-
-def _settled(member: DataFrame, pairs: DataFrame, tokens: DataFrame, num: int, den: int, rounds: int = 3) -> DataFrame:
-    """(sid, fam, label) of the members of large families, after links that span them were verified one by one: in each
-    round every label asks for one link to another label. A family of near copies becomes one label this way, at two
-    token lists a member, and needs no comparison of its blocks."""
-    of = lambda c: tokens.select(F.col("sid").alias(c), F.col("tokens").alias(f"t{c}"))
-    label = member.select("sid", "fam", F.col("sid").alias("label"))
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
-    tried = links = None
-    for _ in range(rounds):
-        lx, ly = (label.select(F.col("sid").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
-        open_ = both.join(lx, "x").join(ly, "y").where("lx <> ly")
-        if tried is not None:
-            open_ = open_.join(tried, ["x", "y"], "left_anti")
-        ask = open_.groupBy("lx").agg(F.min(F.struct("y", "x")).alias("p")).select("p.x", "p.y")
-        ask = materialise(ask.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "asked")
-        if not ask.limit(1).count():
-            break
-        new = materialise(ask.join(of("x"), "x").join(of("y"), "y").select("x", "y", "tx", "ty").mapInArrow(matching(num, den), "x long, y long"), "spanning")
-        links = new if links is None else links.union(new)
-        back = ask.union(ask.select("y", "x"))
-        tried = back if tried is None else tried.union(back)
-        root = connected_components(links, "x", "y").withColumnRenamed("label", "root")
-        label = materialise(member.join(root, F.col("sid") == F.col("node"), "left").select("sid", "fam", F.coalesce("root", "sid").alias("label")), "labels")
-    return label
-
-
 def classes_of(docs: DataFrame, whole: DataFrame, pairs: DataFrame, *, k: int, num: int, den: int) -> DataFrame:
     """(sid, id0, copies, label) of each distinct set of ``whole(sid, id, copies, n)``: the smallest sid reachable by true
     links. ``pairs(a, b)`` are candidate links whose components, the families, hold every true link."""
@@ -363,25 +323,32 @@ def classes_of(docs: DataFrame, whole: DataFrame, pairs: DataFrame, *, k: int, n
     passing = spark.sparkContext.broadcast(bloom_filter(member, "id"))
     of_sets = docs.mapInArrow(_member_sets(k, passing), "id long, sid long, tokens binary").join(member, ["sid", "id"])
 
-    def compared(of_sets: DataFrame) -> DataFrame:
-        own = F.pmod(F.xxhash64("sid"), F.col("nb")).alias("own")
-        dealt = of_sets.select("fam", "sid", "tokens", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
+    of_sets = of_sets.select("fam", "nb", "sid", "tokens", F.pmod(F.xxhash64("sid"), F.col("nb")).alias("own"))
+
+    def compared(rows: DataFrame, others: Column, across: bool = False) -> DataFrame:
+        """Members, each in the blocks that it forms with those of ``others``."""
+        dealt = rows.select("fam", "sid", "tokens", "own", F.explode(others).alias("other"))
         dealt = dealt.select("fam", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "own", "tokens")
         dealt = dealt.repartition(width, "fam", "i", "j").sortWithinPartitions("fam", "i", "j", "sid")
-        return dealt.mapInArrow(_verify(num, den), "sid long, label long")
-
-    large = member.where("nb > 1")
-    if large.limit(1).count():
-        of_sets = materialise(of_sets.select("fam", "nb", "sid", "tokens").dropDuplicates(["sid"]), "sets")
-        of_large = large.select("sid")
-        label = _settled(large, pairs.join(of_large, F.col("a") == F.col("sid"), "left_semi"), of_sets.where("nb > 1"), num, den)
-        open_ = label.groupBy("fam").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("fam")
-        rest = of_sets.join(open_, "fam", "left_semi")
-        links = materialise(compared(rest).union(label.select("sid", "label")), "links")
-        joined = connected_components(links, "sid", "label").select(F.col("node").alias("sid"), "label")
-        found = joined.union(compared(of_sets.where("nb = 1")))
+        return dealt.mapInArrow(_verify(num, den, across), "sid long, label long")
+
+    zero, one, last = F.lit(0).cast("long"), F.lit(1).cast("long"), F.col("nb") - 1
+    if member.where("nb > 1").limit(1).count():
+        of_sets = materialise(of_sets.dropDuplicates(["sid"]), "sets")
+        large = of_sets.where("nb > 1")
+        # each block meets the first one, links within it included: two token lists a member
+        first = materialise(compared(large, F.when(F.col("own") == 0, F.sequence(one, last)).otherwise(F.array(zero))), "first")
+        label = materialise(connected_components(first, "sid", "label").select(F.col("node").alias("sid"), "label"), "labels")
+        known = large.select("fam", "nb", "sid").join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        open_ = known.groupBy("fam").agg((F.min("label") != F.max("label")).alias("open"), F.max("nb").alias("nb")).where("open and nb > 2").select("fam")
+        if open_.limit(1).count():  # families that are not one component by now: all other pairs of blocks
+            rest = large.where("own > 0").join(open_, "fam", "left_semi")
+            more = compared(rest, F.filter(F.sequence(one, last), lambda j: j != F.col("own")), True)
+            links = materialise(more.union(label.select("sid", "label")), "links")
+            label = connected_components(links, "sid", "label").select(F.col("node").alias("sid"), "label")
+        found = label.union(compared(of_sets.where("nb = 1"), F.array(zero)))
     else:
-        found = compared(of_sets)
+        found = compared(of_sets, F.array(zero))
     found = whole.join(found, "sid", "left").select("sid", F.col("id").alias("id0"), "copies", F.coalesce("label", "sid").alias("label"))
     return materialise(found, "classes")
 

@@ -1,8 +1,11 @@
 """Streams give what their batch twins give."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
-from snapdelta.streaming import merge, progress
+from snapdelta.streaming import inflight, merge, progress
 
 
 def drain(df, mode, name, spark, tmp_path):
@@ -48,3 +51,52 @@ def test_passes_merge_without_a_lock(spark, small, tmp_path):
     said = table.select("user_id", "event_id", *(F.when(F.col("event_type") == k, F.col("value")).alias(k) for k in ("view", "click"))).where("event_type in ('view', 'click')")
     want = merge.merged_rows(said, ["user_id"], ["view", "click"], "event_id")
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+@pytest.fixture
+def rocks(spark):
+    before = spark.conf.get(inflight.STORE[0])
+    spark.conf.set(*inflight.STORE)
+    yield spark
+    spark.conf.set(inflight.STORE[0], before)
+
+
+def put(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+EVENTS = "key string, event_id long, at long, kind string, job string"
+
+
+def test_in_flight_ends_with_its_job(rocks, tmp_path):
+    folder = str(tmp_path / "asked")
+    first = [("k", 1, 1, "start", "a"), ("k", 2, 2, "start", "b"), ("k", 3, 3, "end", "b"), ("k", 4, 4, "start", "c"), ("other", 5, 4, "start", "d")]
+    later = [("k", 6, 5, "end", "a"), ("k", 7, 6, "start", "e"), ("k", 8, 6, "start", "f"), ("other", 9, 7, "start", "g")]
+    put(rocks, folder, first, EVENTS)
+    stream = inflight.in_flight(rocks.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder))
+    q = stream.writeStream.outputMode("append").format("memory").queryName("asked").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    put(rocks, folder, later, EVENTS)  # the state of the first batch meets the second
+    q.processAllAvailable()
+    q.stop()
+    got = {tuple(r) for r in rocks.table("asked").collect()}
+    want = {("k", 1, "a", True), ("k", 2, "a", False), ("k", 4, "a", False), ("other", 5, "d", True), ("k", 7, "e", True), ("k", 8, "e", False), ("other", 9, "d", False)}
+    assert got == want
+    assert {tuple(r) for r in inflight.in_flight_batch(rocks.createDataFrame(first + later, EVENTS)).collect()} == want
+
+
+PROGRESS = "key string, event_id long, at long, current long, complete boolean"
+
+
+def test_a_silent_session_is_told_without_a_further_event(rocks, tmp_path):
+    folder = str(tmp_path / "progress")
+    put(rocks, folder, [("silent", 1, 1, 3, False), ("done", 2, 1, 5, False), ("done", 3, 2, 6, True)], PROGRESS)
+    stream = inflight.stuck_sessions(rocks.readStream.schema(PROGRESS).parquet(folder), after=2.0)
+    q = stream.writeStream.outputMode("append").format("memory").queryName("stuck").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
+    until = time.time() + 90
+    while time.time() < until and not rocks.table("stuck").count():
+        time.sleep(0.5)
+    time.sleep(3)
+    q.stop()
+    told = rocks.table("stuck").collect()
+    assert [(r.key, r.current) for r in told] == [("silent", 3)] and told[0].still_ms >= 2000

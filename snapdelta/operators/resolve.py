@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,59 +99,3 @@ def passages_found(passages: DataFrame, docs: DataFrame, width: int = 16) -> Dat
     if found is None:
         return p.select("item_id").crossJoin(docs.select("doc_id")).limit(0)
     return found.distinct()
-
-
-def longest_common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence, so that what is left is a shortest edit script. Chains of matches are
-    grown by their last place (Hunt and Szymanski); the work grows with the number of equal pairs of lines."""
-    lo = 0
-    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
-        lo += 1
-    end = 0
-    while end < len(a) - lo and end < len(b) - lo and a[-1 - end] == b[-1 - end]:
-        end += 1
-    places = defaultdict(list)
-    for j in range(lo, len(b) - end):
-        places[b[j]].append(j)
-    last, chains = [], []  # of the chains of each length: the least last place in b, and the chain
-    for i in range(lo, len(a) - end):
-        for j in reversed(places.get(a[i], ())):
-            k = bisect_left(last, j)
-            chain = (i, j, chains[k - 1] if k else None)
-            if k == len(last):
-                last.append(j), chains.append(chain)
-            elif j < last[k]:
-                last[k], chains[k] = j, chain
-    middle, chain = [], chains[-1] if chains else None
-    while chain:
-        middle.append(chain[:2])
-        chain = chain[2]
-    return [(i, i) for i in range(lo)] + middle[::-1] + [(len(a) - x, len(b) - x) for x in range(end, 0, -1)]
-
-
-_DIFF = "{key} long, op string, base_line long, head_line long, text string"
-
-
-def _diff(key: str):
-    def run(k, base: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
-        a = [] if base.empty else base.sort_values("base_line")["base_text"].tolist()
-        b = [] if head.empty else head.sort_values("head_line")["head_text"].tolist()
-        rows, i, j = [], 0, 0
-        for x, y in [*longest_common(a, b), (len(a), len(b))]:
-            rows += [("remove", n + 1, None, a[n]) for n in range(i, x)] + [("add", None, n + 1, b[n]) for n in range(j, y)]
-            if x < len(a) and y < len(b):
-                rows.append(("keep", x + 1, y + 1, a[x]))
-            i, j = x + 1, y + 1
-        out = pd.DataFrame(rows, columns=["op", "base_line", "head_line", "text"]).astype({"base_line": "Int64", "head_line": "Int64"})
-        out.insert(0, key, k[0])
-        return out
-
-    return run
-
-
-def line_diff(base: DataFrame, head: DataFrame, key: str) -> DataFrame:
-    """Line by line: kept, removed and added lines of each pair of files, a shortest edit script, with their numbers on both
-    sides. A pair of files is compared in one task; null keys are files too."""
-    b = base.select(F.col(key).alias("base_key"), F.col("line").alias("base_line"), F.col("content").alias("base_text"))
-    h = head.select(F.col(key).alias("head_key"), F.col("line").alias("head_line"), F.col("content").alias("head_text"))
-    return b.groupBy("base_key").cogroup(h.groupBy("head_key")).applyInPandas(_diff(key), _DIFF.format(key=key))

@@ -108,24 +108,3 @@ def overlaps(a: DataFrame, b: DataFrame, key: str, width: int = 64) -> DataFrame
     y = b.where("b_to > b_from").withColumn("cell", F.explode(cells("b_from", "b_to")))
     both = x.join(y, [key, "cell"]).withColumn("from", F.greatest("a_from", "b_from")).withColumn("to", F.least("a_to", "b_to"))
     return both.where((F.col("from") < F.col("to")) & (F.expr(f"`from` div {width}") == F.col("cell"))).drop("cell")
-
-
-def word_pairs(diff: DataFrame, key: str) -> DataFrame:
-    """Removed and added lines of a diff (key, op, base_line, head_line, text) paired within each block of change:
-    the k-th removed with the k-th added. ``ratio`` is the share of their words that both have; under a quarter
-    the pair says nothing."""
-    kept = diff.where("op = 'keep'").select(key, "base_line", "head_line")
-    block = diff.where("op <> 'keep'")
-    # a change belongs to the last kept line before it, on its own side
-    marks = kept.select(key, F.lit("remove").alias("op"), F.col("base_line").alias("pos"), F.lit(0).alias("is_change"), F.col("base_line").alias("anchor"), F.lit(None).cast("string").alias("text"))
-    marks = marks.union(kept.select(key, F.lit("add"), F.col("head_line"), F.lit(0), F.col("base_line"), F.lit(None).cast("string")))
-    rows = block.select(key, "op", F.when(F.col("op") == "remove", F.col("base_line")).otherwise(F.col("head_line")).alias("pos"), F.lit(1).alias("is_change"), F.lit(None).cast("long").alias("anchor"), "text").union(marks.select(key, "op", "pos", "is_change", "anchor", "text"))
-    side = W.partitionBy(key, "op").orderBy("pos", "is_change").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("block", F.coalesce(F.last("anchor", True).over(side), F.lit(0).cast("long"))).where("is_change = 1")
-    rows = rows.withColumn("k", F.row_number().over(W.partitionBy(key, "op", "block").orderBy("pos")))
-    r = rows.where("op = 'remove'").select(key, "block", "k", F.col("text").alias("removed"))
-    a = rows.where("op = 'add'").select(key, "block", "k", F.col("text").alias("added"))
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
-    both = r.join(a, [key, "block", "k"])
-    ratio = F.size(F.array_intersect(words("removed"), words("added"))) / F.greatest(F.size(F.array_union(words("removed"), words("added"))), F.lit(1))
-    return both.withColumn("ratio", F.round(ratio, 6)).where("ratio >= 0.25")

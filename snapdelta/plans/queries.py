@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import cost, evidence, flows, graph, hunks, resolve, review, state, transcripts
+from ..operators import cost, evidence, flows, graph, hunks, lines, resolve, review, state, transcripts
 from ..operators.diff import keyed_diff, paired, row_classes
 from ..session import ship_package
 from ..sources import reports, tree
@@ -925,9 +925,9 @@ def q_breaker(t: Tables) -> DataFrame:
 
 def _edited_lines(t: Tables) -> DataFrame:
     """Each document against itself with a word more in every third line."""
-    lines = t.lines().withColumn("doc", F.substring("file", 2, 20).cast("long"))
-    head = lines.withColumn("content", F.when(F.col("line") % 3 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content")))
-    return resolve.line_diff(lines, head, "doc")
+    base = t.lines().withColumn("doc", F.substring("file", 2, 20).cast("long"))
+    head = base.withColumn("content", F.when(F.col("line") % 3 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content")))
+    return lines.line_diff(base, head, "doc")
 
 
 @query("lines", "SELECT doc, op, count(*) AS n FROM (SELECT CAST(substr(file, 2) AS BIGINT) AS doc, unnest(CASE WHEN line % 3 <> 0 THEN ['keep'] ELSE ['remove', 'add'] END) AS op FROM lines) GROUP BY ALL")
@@ -937,7 +937,8 @@ def q_line_diff(t: Tables) -> DataFrame:
 
 @query()
 def q_word_pairs(t: Tables) -> DataFrame:
-    return transcripts.word_pairs(_edited_lines(t), "doc").select("doc", "block", "k", "ratio")
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["kind"], F.lit("="), x["text"])), "|")
+    return lines.word_pairs(_edited_lines(t), "doc").select("doc", "block", big("k", "k"), "ratio", said("removed_segments").alias("removed"), said("added_segments").alias("added"))
 
 
 @query("flows_a flows_b", "SELECT f.flow_a, arg_max(flow_b, (jaccard, flow_b)) AS nearest, max(jaccard) AS jaccard FROM (SELECT DISTINCT flow AS flow_a FROM flows_a) f LEFT JOIN j USING (flow_a) WHERE f.flow_a NOT IN (SELECT flow_a FROM paired) GROUP BY f.flow_a", _GREEDY)

@@ -7,13 +7,13 @@ order, the j-th from the j-th of M equally likely intervals (a truncated exponen
 token is done as soon as its next value cannot raise the lowest register. A large set costs about one value a token.
 
 1. One pass over the texts: sketch, size and identity of each set. Equal sets are one class from here on.
-2. Bands of ``ROWS`` registers are keys. Sets alone under a key go; under the others, pairs are judged from the sketches
-   by their joint likelihood: where the registers say, beyond a likelihood ratio of e^``SLACK``, that the similarity is
-   below the bound, the pair is no candidate. A key gives links that span its candidates, never its pairs; a key of
-   more than ``BLOCK`` sets is dealt out as pairs of blocks.
+2. Bands of ``ROWS`` registers are keys. Sets alone under a key go, and of keys with the same sets all but one; then
+   pairs are judged from the sketches by their joint likelihood: where the registers say, beyond a likelihood ratio of
+   e^``SLACK``, that the similarity is below the bound, the pair is no candidate. A key gives links that span its
+   candidates, never its pairs; a key of more than ``BLOCK`` sets is dealt out as pairs of blocks.
 3. The candidates' components are verified on the full sets (simjoin.classes_of).
 
-Two sets of a similarity of just 0.8 share no band with a chance of (1 - 0.8^5)^51, 2 in 10^9, and are judged too far
+Two sets of a similarity of just 0.8 share no band with a chance of (1 - 0.8^4)^32, 5 in 10^8, and are judged too far
 apart with a chance of about e^-``SLACK``; more similar ones are safer still. Nothing is capped.
 """
 
@@ -31,7 +31,7 @@ from .simjoin import _by_key, _Forest, classes_of, components, whole_sets
 from .token_sets import Sets, mix, sets, tidied
 
 #: Registers (a power of two), registers of a band, base, and the rate of the values.
-M, ROWS, BASE, RATE = 256, 5, 1.001, 20.0
+M, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
 #: Largest register value: 16 bits.
 _TOP = 65535
 #: The natural logarithm of the likelihood ratio by which a pair is given up.
@@ -201,7 +201,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of_set = seen.join(whole.select("sid", "id"), ["sid", "id"], "left_semi").dropDuplicates(["sid"]).select("sid", "n", "sketch")
     of_set = materialise(of_set, "distinct")
     keys = of_set.select("sid", "sketch").mapInArrow(_bands, "key long, sid long")
-    shared = keys.groupBy("key").count().where("count > 1").withColumn("nb", F.ceil(F.col("count") / BLOCK).cast("long"))
+    # near copies share most of their keys: of keys with the same sets (by count and two hashes) one is enough
+    marks = F.count("*").alias("n_sets"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")
+    shared = keys.groupBy("key").agg(*marks).where("n_sets > 1").groupBy("n_sets", "x", "y").agg(F.min("key").alias("key"))
+    shared = shared.withColumn("nb", F.ceil(F.col("n_sets") / BLOCK).cast("long"))
     met = keys.join(shared.select("key", "nb"), "key").join(of_set, "sid")
     block = F.pmod(F.xxhash64("sid"), F.col("nb")).alias("own")
     met = met.select("key", "sid", "n", "sketch", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.written import written
+from .graph import components
 
 # Names that a flow may not have, and the least and most bytes of a name and of a rationale.
 RESERVED = ("misc", "various", "other", "unknown", "cluster", "group")
@@ -117,9 +121,46 @@ def assemble(flows: DataFrame, proposals: DataFrame) -> DataFrame:
 
 
 def edit(flow_hunks: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
-    """Apply (flow, hunk_id) additions and removals; an addition wins over a removal of the same pair."""
-    kept = flow_hunks.join(remove, ["flow", "hunk_id"], "left_anti")
-    return kept.select("flow", "hunk_id").union(add.select("flow", "hunk_id")).distinct()
+    """Apply (flow, hunk_id) additions, then removals: what is both added and removed is gone."""
+    both = flow_hunks.select("flow", "hunk_id").union(add.select("flow", "hunk_id")).distinct()
+    return both.join(remove.select("flow", "hunk_id").distinct(), ["flow", "hunk_id"], "left_anti")
+
+
+#: What a patch of a flow may hold; a null leaves things as they are.
+PATCH = "flow string, name string, rationale string, add_hunks array<string>, remove_hunks array<string>, add_entities array<string>, remove_entities array<string>"
+
+
+def patch_errors(patches: DataFrame, flows: DataFrame, hunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """Patches (see PATCH; one for each flow) with ``error``: the first of name, rationale, hunks, entities and the flow
+    itself that does not pass. Every id is looked up before anything changes, those to be removed included; a flow
+    that does not exist is told last. A patch with an error changes nothing."""
+
+    def missing(added: str, removed: str, known: DataFrame, key: str, code: str) -> DataFrame:
+        named = patches.select("flow", F.explode(F.array_union(F.coalesce(added, F.array().cast("array<string>")), F.coalesce(removed, F.array().cast("array<string>")))).alias(key))
+        return named.join(known.select(key).distinct(), key, "left_anti").select("flow").distinct().withColumn(code, F.lit(code))
+
+    checked = patches.join(missing("add_hunks", "remove_hunks", hunks, "hunk_id", "HUNK_NOT_FOUND"), "flow", "left")
+    checked = checked.join(missing("add_entities", "remove_entities", entities, "entity", "ENTITY_NOT_FOUND"), "flow", "left")
+    checked = checked.join(flows.select("flow", F.lit(True).alias("_is")).distinct(), "flow", "left")
+    error = F.coalesce(name_error(F.col("name")), rationale_error(F.col("rationale")), "HUNK_NOT_FOUND", "ENTITY_NOT_FOUND", F.when(F.col("_is").isNull(), "FLOW_NOT_FOUND"))
+    return checked.withColumn("error", error).select(*patches.columns, "error")
+
+
+def mutated(flows: DataFrame, flow_hunks: DataFrame, flow_entities: DataFrame, patches: DataFrame, hunk_entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(flow, name, rationale), (flow, hunk_id) and (flow, entity, extra) after patches without an error.
+
+    Additions come before removals. Of a patched flow the entities are derived again from its hunks; those named by hand
+    (``extra``) grow by what the flow did not have before, and lose what is removed. Other flows stay as they are."""
+    own = patches.select("flow", F.col("name").alias("_n"), F.col("rationale").alias("_r"))
+    named = flows.join(own, "flow", "left").select("flow", F.coalesce("_n", "name").alias("name"), F.coalesce("_r", "rationale").alias("rationale"))
+    listed = lambda c, key: patches.select("flow", F.explode(c).alias(key)).distinct()
+    hunks = edit(flow_hunks, listed("add_hunks", "hunk_id"), listed("remove_hunks", "hunk_id"))
+    touched = patches.select("flow").distinct()
+    new = listed("add_entities", "entity").join(flow_entities.select("flow", "entity"), ["flow", "entity"], "left_anti")
+    by_hand = flow_entities.where("extra").select("flow", "entity").union(new).distinct().join(listed("remove_entities", "entity"), ["flow", "entity"], "left_anti")
+    derived = hunks.join(touched, "flow", "left_semi").join(hunk_entities.select("hunk_id", "entity").distinct(), "hunk_id").select("flow", "entity").distinct()
+    kept = flow_entities.where("not extra").select("flow", "entity").join(touched, "flow", "left_anti")
+    return named, hunks, derived.union(kept).withColumn("extra", F.lit(False)).union(by_hand.withColumn("extra", F.lit(True)))
 
 
 def jaccard_pairs(a: DataFrame, b: DataFrame, group: str = "flow", item: str = "hunk_id") -> DataFrame:
@@ -130,28 +171,57 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, group: str = "flow", item: str = "
     return shared.select("flow_a", "flow_b", "shared", (F.col("na") - F.col("shared")).alias("a_only"), (F.col("nb") - F.col("shared")).alias("b_only"), F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))
 
 
+#: Pairs of one component that are walked in one task; larger components shrink in rounds first.
+WALKED = 1_000_000
+
+
 def greedy_pairs(pairs: DataFrame) -> DataFrame:
     """One-to-one pairing: flows of A by falling number of hunks (ties: name) each take the most similar flow of B
     that is left (ties: name). ``pairs`` comes from ``jaccard_pairs``; flows that share nothing are never paired.
 
-    The walk is done in rounds: of those left, every flow of A names its best B, and every B accepts the first A in
-    the order among those that name it, if no earlier A could still come to it; such pairs are what the walk takes.
-    The first A of all is always accepted, so each round takes some, and rounds end when no pair is left."""
+    Flows of different components of the pair graph never want the same, so each component is walked by itself, in one
+    pass over its sorted pairs that remembers only who is taken. Components of more than ``WALKED`` pairs shrink in
+    rounds before: every flow of A names its best B, and every B accepts the first A in the order among all that could
+    still come to it; such pairs are what the walk takes."""
     left = pairs.select("flow_a", "flow_b", "jaccard", (F.col("shared") + F.col("a_only")).alias("size")).where("flow_a is not null and flow_b is not null")
-    first = F.struct(-F.col("size"), "flow_a")
-    out, parts = None, 0
-    while True:
-        best = left.groupBy("flow_a").agg(F.min(F.struct(-F.col("jaccard"), "flow_b")).alias("m")).select("flow_a", F.col("m.flow_b").alias("flow_b"))
-        turn = left.groupBy("flow_b").agg(F.min(first).alias("m")).select("flow_b", F.col("m.flow_a").alias("flow_a"))
-        taken = written(left.join(best, ["flow_a", "flow_b"], "left_semi").join(turn, ["flow_a", "flow_b"], "left_semi").select("flow_a", "flow_b", "jaccard"), "pairs")
-        out, parts = (taken, 1) if out is None else (out.union(taken), parts + 1)
-        left = written(left.join(taken, "flow_a", "left_anti").join(taken.select("flow_b"), "flow_b", "left_anti"), "left")
-        if left.limit(1).count() == 0:
-            return out
-        if taken.limit(1).count() == 0:
-            raise RuntimeError("pairs are left but none was taken")
-        if parts >= 32:  # few tables to read in the plan, however many rounds
-            out, parts = written(out, "pairs"), 1
+    left = written(left, "left")
+    part = components(left.select(F.concat(F.lit("a "), "flow_a").alias("src"), F.concat(F.lit("b "), "flow_b").alias("dst")))
+    left = left.join(part.select(F.expr("substring(node, 3)").alias("flow_a"), "label", F.col("node").startswith("a ").alias("_a")).where("_a").drop("_a"), "flow_a")
+    left = written(left, "left")
+    huge = left.groupBy("label").count().where(F.col("count") > WALKED).select("label")
+    out = _walked(left.join(huge, "label", "left_anti"))
+    rest = left.join(huge, "label", "left_semi")
+    while rest.limit(1).count():
+        best = rest.groupBy("flow_a").agg(F.min(F.struct(-F.col("jaccard"), "flow_b")).alias("m")).select("flow_a", F.col("m.flow_b").alias("flow_b"))
+        turn = rest.groupBy("flow_b").agg(F.min(F.struct(-F.col("size"), "flow_a")).alias("m")).select("flow_b", F.col("m.flow_a").alias("flow_a"))
+        taken = written(rest.join(best, ["flow_a", "flow_b"], "left_semi").join(turn, ["flow_a", "flow_b"], "left_semi").select("flow_a", "flow_b", "jaccard"), "pairs")
+        out = written(out.union(taken), "pairs")
+        rest = written(rest.join(taken, "flow_a", "left_anti").join(taken.select("flow_b"), "flow_b", "left_anti"), "left")
+        small = rest.groupBy("label").count().where(F.col("count") <= WALKED).select("label")
+        out = out.union(_walked(rest.join(small, "label", "left_semi")))
+        rest = written(rest.join(small, "label", "left_anti"), "left")
+    return out
+
+
+def _walked(left: DataFrame) -> DataFrame:
+    """The plain walk over each component (label, flow_a, flow_b, jaccard, size)."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        label = served = None
+        taken: set[str] = set()
+        for rows in batches:
+            out = []
+            for of, a, b, jaccard in rows[["label", "flow_a", "flow_b", "jaccard"]].itertuples(index=False, name=None):
+                if of != label:
+                    label, served, taken = of, None, set()
+                if a != served and b not in taken:
+                    out.append((a, b, jaccard))
+                    taken.add(b)
+                    served = a
+            yield pd.DataFrame(out, columns=["flow_a", "flow_b", "jaccard"])
+
+    order = ["label", F.desc("size"), "flow_a", F.desc("jaccard"), "flow_b"]
+    return left.repartition("label").sortWithinPartitions(*order).mapInPandas(walk, "flow_a string, flow_b string, jaccard double")
 
 
 def agreement(pairs: DataFrame, a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
@@ -163,8 +233,16 @@ def agreement(pairs: DataFrame, a: DataFrame, b: DataFrame, least: float = 0.5)
     return agreed.crossJoin(total).select("agreed", "total", F.when(F.col("total") == 0, 1.0).otherwise(F.round(F.col("agreed") / F.col("total"), 6)).alias("agreement"))  # one row each
 
 
-def orphans(pairs: DataFrame, paired: DataFrame, flows_a: DataFrame) -> DataFrame:
-    """Flows of one side left without a partner, and the most similar flow of the other side (ties: the last name)."""
-    alone = flows_a.select(F.col("flow").alias("flow_a")).distinct().join(paired.select("flow_a"), "flow_a", "left_anti")
-    best = pairs.groupBy("flow_a").agg(F.max(F.struct("jaccard", "flow_b")).alias("m")).select("flow_a", F.col("m.flow_b").alias("nearest"), F.col("m.jaccard").alias("jaccard"))
-    return alone.join(best, "flow_a", "left")
+def orphans(pairs: DataFrame, paired: DataFrame, flows_a: DataFrame, flows_b: DataFrame) -> DataFrame:
+    """(side, flow, hunks, nearest, jaccard): flows of either side left without a partner, their number of hunks, and the most
+    similar flow of the other side (ties: the last name). Where nothing is shared that is the last flow of the other
+    side, at 0; null only if there is none."""
+
+    def side(own: DataFrame, other: DataFrame, mine: str, theirs: str) -> DataFrame:
+        alone = own.select("flow", "hunk_id").distinct().groupBy("flow").agg(F.count("*").alias("hunks")).join(paired.select(F.col(mine).alias("flow")), "flow", "left_anti")
+        best = pairs.groupBy(F.col(mine).alias("flow")).agg(F.max(F.struct("jaccard", theirs)).alias("m"))
+        last = other.agg(F.max("flow").alias("last"))  # one row
+        both = alone.join(best, "flow", "left").crossJoin(F.broadcast(last))
+        return both.select(F.lit(mine[-1]).alias("side"), "flow", "hunks", F.coalesce(F.col("m")[theirs], "last").alias("nearest"), F.coalesce("m.jaccard", F.lit(0.0)).alias("jaccard"))
+
+    return side(flows_a, flows_b, "flow_a", "flow_b").union(side(flows_b, flows_a, "flow_b", "flow_a"))

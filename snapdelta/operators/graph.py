@@ -36,19 +36,49 @@ def propagation(edges: DataFrame, seeds: DataFrame, extra: int = 20, hops: int =
     """For each flow: distinct edges of which both ends are within reach and not both are seeds.
 
     ``seeds`` is (flow, node). Reach grows by calls in either direction, and is kept to the seeds and the first
-    ``extra`` others by (hop, node)."""
+    ``extra`` others by (hop, node). So a hop keeps only as many nodes as its flow has room for (a top-k that starts
+    before the shuffle), and flows without room take no further step: the next one begins from fewer than ``extra``
+    nodes a flow, whatever a hub brought."""
     both = written(undirected(edges), "undirected")
-    seen = seeds.select("flow", "node").distinct().withColumn("hop", F.lit(0))
+    seeds = seeds.select("flow", "node").distinct()
+    seen = seeds.withColumn("hop", F.lit(0))
+    front, room = seeds.withColumn("room", F.lit(extra)), None
     for h in range(1, hops + 1):
-        step = seen.where(F.col("hop") == h - 1).join(both, F.col("node") == F.col("src")).select("flow", F.col("dst").alias("node")).distinct()
-        seen = seen.union(step.join(seen, ["flow", "node"], "left_anti").withColumn("hop", F.lit(h)))
-    rank = F.row_number().over(W.partitionBy("flow", F.col("hop") > 0).orderBy("hop", "node"))
-    reach = seen.withColumn("r", rank).where((F.col("hop") == 0) | (F.col("r") <= extra)).select("flow", "node", (F.col("hop") == 0).alias("seed"))
+        near = front.join(both, F.col("node") == F.col("src")).select("flow", F.col("dst").alias("node"), "room").distinct().join(seen.select("flow", "node"), ["flow", "node"], "left_anti")
+        ranked = near.withColumn("r", F.row_number().over(W.partitionBy("flow").orderBy("node"))).where(F.col("r") <= extra)
+        kept = written(ranked.where(F.col("r") <= F.col("room")).select("flow", "node", "room"), "reach")
+        seen = seen.union(kept.select("flow", "node", F.lit(h)))
+        room = kept.groupBy("flow").agg((F.max("room") - F.count("*")).alias("room")).where("room > 0")
+        front = kept.select("flow", "node").join(room, "flow")
+    reach = seen.select("flow", "node", (F.col("hop") == 0).alias("seed"))
     a = reach.select("flow", F.col("node").alias("src"), F.col("seed").alias("src_seed"))
     b = reach.select("flow", F.col("node").alias("dst"), F.col("seed").alias("dst_seed"))
     return edges.select("src", "dst").distinct().join(a, "src").join(b, ["flow", "dst"]).where("not (src_seed and dst_seed)").select("flow", "src", "dst", "src_seed", "dst_seed")
 
 
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
+    """(node, label): the smallest node of the component that each node of an edge lies in.
+
+    Alternating stars: every node is tied to the smallest of its neighbours, first the larger neighbours, then the
+    smaller ones; a round is two joins and is written. It is done when all that is left are stars. Null ends and
+    loops do not count."""
+    u, v = F.col(src), F.col(dst)
+    e = written(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "components")
+    for _ in range(most_rounds):
+        both = e.union(e.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        big = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        small = big.join(low, "u")
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
+        e = written(small, "components")
+        # stars: each node has one edge, and no centre has one
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("v", F.lit(0), F.lit(1)))
+        if not ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").limit(1).count():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select("v", "v").distinct())
+    raise RuntimeError("components did not settle")
+
+
 def split_in_out(reached: DataFrame) -> DataFrame:
     """Which way a propagation edge runs, as seen from the flow's own entities."""
     way = F.when(F.col("src_seed"), "out").when(F.col("dst_seed"), "in").otherwise("through")

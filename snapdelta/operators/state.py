@@ -76,14 +76,39 @@ def resolved_settings(settings: DataFrame, chains: dict[str, list[str]]) -> Data
     return hit.groupBy("scope", "pass").agg(F.min_by("value", "rank").alias("value"))
 
 
-def put_documents(rows: DataFrame, folder: str, key: str = "key", text: str = "json") -> None:
-    """Write documents into a cache folder by key; documents of the same key are replaced."""
-    rows.select(key, text).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(folder)
+#: Buckets of a document store; fixed once a store is written.
+BUCKETS = 64
 
 
-def get_documents(spark, folder: str, wanted: DataFrame, key: str = "key") -> DataFrame:
-    """The documents of the wanted keys in a cache folder; null where there is none."""
-    return wanted.select(key).distinct().join(spark.read.parquet(folder).withColumn(key, F.col(key).cast("string")), key, "left")
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def put_documents(rows: DataFrame, folder: str, version: int, key: str = "key", text: str = "json", buckets: int = BUCKETS) -> None:
+    """Add documents to a store. A bucket of keys is a folder, a put adds one file sorted by key to each bucket that it
+    touches, and of one key the highest ``version`` counts: nothing is rewritten, so puts may overlap."""
+    kept = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("json"), F.lit(version).cast("long").alias("version"), _bucket(F.col(key).cast("string"), buckets).alias("bucket"))
+    kept.repartition(buckets, "bucket").sortWithinPartitions("bucket", "key").write.mode("append").partitionBy("bucket").parquet(folder)
+
+
+_STORED = "key string, json string, version long, bucket int"
+
+
+def get_documents(spark, folder: str, wanted: DataFrame, key: str = "key", buckets: int = BUCKETS) -> DataFrame:
+    """(key, json) of the wanted keys in a store; null where there is none. Only the buckets of wanted keys are read, and
+    within them, by the statistics of sorted files, the rows around few keys."""
+    asked = wanted.select(F.col(key).cast("string").alias("key")).distinct().withColumn("bucket", _bucket(F.col("key"), buckets))
+    touched = sorted(r[0] for r in asked.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+    stored = spark.read.schema(_STORED).parquet(folder).where(F.col("bucket").isin(touched) if touched else F.lit(False))
+    found = stored.join(asked.select("bucket", "key"), ["bucket", "key"], "left_semi").groupBy("key").agg(F.max_by("json", "version").alias("json"))
+    return asked.select("key").join(found, "key", "left").withColumnRenamed("key", key)
+
+
+def compact_documents(spark, folder: str, to: str, buckets: int = BUCKETS) -> None:
+    """Copy a store to another folder, one file a bucket, the last version of each key only."""
+    stored = spark.read.schema(_STORED).parquet(folder)
+    last = stored.groupBy("bucket", "key").agg(F.max_by("json", "version").alias("json"), F.max("version").alias("version")).select("key", "json", "version", "bucket")
+    last.repartition(buckets, "bucket").sortWithinPartitions("bucket", "key").write.mode("error").partitionBy("bucket").parquet(to)
 
 
 def running_budget(calls: DataFrame, session: str, order: list[str], amount: Column, most: float) -> DataFrame:

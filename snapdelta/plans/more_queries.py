@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import flows, graph, listing, review, state, transcripts
 from ..sources import reports, tree
-from ..streaming import merge
+from ..streaming import inflight, merge
 from .queries import big, query
 from .views import Tables
+from .written import steps_folder
 
 # ---- listings ---------------------------------------------------------------------------------------------------
 
@@ -183,11 +187,18 @@ def q_call_targets(t: Tables) -> DataFrame:
     return tree.call_targets(asked, t.nodes("head")).select("asked", "node_id")
 
 
-@query("edges_base edges_head", "SELECT 'calls' AS kind, count(*) AS n, CAST(sum(src) AS BIGINT) AS s FROM edges_head UNION ALL SELECT 'defines', count(*), CAST(sum(src) AS BIGINT) FROM edges_base WHERE dst % 3 = 0")
+#: Four analyses: one whose server failed, one that had no answer, two that had; every ninth call is of oneself.
+_SERVER = """e AS (SELECT src % 4 AS analysis, src, dst, CASE WHEN dst % 3 = 0 THEN 'defines' ELSE 'calls' END AS kind FROM edges_base),
+a AS (SELECT src % 4 AS analysis, src, CASE WHEN dst % 9 = 0 THEN src ELSE dst END AS dst FROM edges_head WHERE src % 4 <> 1)"""
+
+
+@query("edges_base edges_head", "SELECT * FROM e WHERE kind = 'defines' OR analysis = 0 UNION ALL SELECT DISTINCT analysis, src, dst, 'calls' FROM a WHERE analysis <> 0 AND src <> dst", _SERVER)
 def q_replaced_calls(t: Tables) -> DataFrame:
-    edges = t.edges("base").withColumn("kind", F.when(F.col("dst") % 3 == 0, "defines").otherwise("calls"))
-    answers = t.edges("head")
-    return tree.replaced_calls(edges, answers.union(answers)).groupBy("kind").agg(F.count("*").alias("n"), F.sum("src").alias("s"))
+    of = F.col("src") % 4
+    edges = t.edges("base").select(of.alias("analysis"), "src", "dst", F.when(F.col("dst") % 3 == 0, "defines").otherwise("calls").alias("kind"))
+    answers = t.edges("head").where(of != 1).select(of.alias("analysis"), "src", F.when(F.col("dst") % 9 == 0, F.col("src")).otherwise(F.col("dst")).alias("dst"))
+    runs = t.region.where("r_regionkey < 4").select(F.col("r_regionkey").cast("long").alias("analysis"), (F.col("r_regionkey") != 0).alias("ok"))
+    return tree.replaced_calls(edges, answers.union(answers), runs)
 
 
 _LOCAL_CALLS = """f AS (SELECT file, name, min(node_id) AS id FROM nodes_head WHERE kind = 'function' GROUP BY ALL),
@@ -321,3 +332,52 @@ def q_background_merge(t: Tables) -> DataFrame:
     said = lambda kind, name: F.when(F.col("event_type") == kind, F.col("value")).alias(name)
     rows = t.events.select("user_id", "event_id", said("view", "viewed"), said("click", "clicked"))
     return merge.merged_rows(rows, ["user_id"], ["viewed", "clicked"], "event_id")
+
+
+# ---- jobs in flight, stores, workspaces -----------------------------------------------------------------------------
+
+#: Each user's views ask for a job, clicks end the one asked for last, whether it runs or not.
+_ASKED = """ev AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE event_type WHEN 'view' THEN 'start' ELSE 'end' END AS kind, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS job FROM events WHERE event_type IN ('view', 'click')),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM ev WHERE job IS NOT NULL),
+w(user_id, i, event_id, kind, running, answer, is_new) AS (SELECT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), FALSE FROM (SELECT DISTINCT user_id FROM o)
+UNION ALL SELECT o.user_id, o.i, o.event_id, o.kind, CASE WHEN o.kind = 'end' THEN CASE WHEN o.job = w.running THEN NULL ELSE w.running END ELSE coalesce(w.running, o.job) END, CASE WHEN o.kind = 'start' THEN coalesce(w.running, o.job) END, o.kind = 'start' AND w.running IS NULL FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)"""
+
+
+@query("", "SELECT CAST(user_id AS VARCHAR) AS key, event_id, CAST(answer AS VARCHAR) AS job, is_new FROM w WHERE kind = 'start'", _ASKED)
+def q_inflight(t: Tables) -> DataFrame:
+    order = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    job = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(order)
+    asked = t.events.where("event_type in ('view', 'click')").select("user_id", "event_id", "ts", F.when(F.col("event_type") == "view", "start").otherwise("end").alias("kind"), job.alias("job")).where("job is not null")
+    return inflight.in_flight_batch(asked.select(F.col("user_id").cast("string").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "kind", F.col("job").cast("string").alias("job")))
+
+
+@query("", """SELECT 'd' || x AS key, CASE WHEN quality IS NULL THEN NULL WHEN x % 3 = 0 THEN '{"doc_id":' || x || ',"toxic":' || toxic || '}' ELSE '{"doc_id":' || x || ',"quality":' || quality || '}' END AS json FROM (SELECT doc_id AS x FROM documents) LEFT JOIN labels ON doc_id = x""")
+def q_document_store(t: Tables) -> DataFrame:
+    key = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key")
+    folder = steps_folder(t.spark) + f"/store-{uuid.uuid4().hex}"
+    state.put_documents(t.labels.select(key, F.to_json(F.struct("doc_id", "quality")).alias("json")), folder, version=1)
+    state.put_documents(t.labels.where("doc_id % 3 = 0").select(key, F.to_json(F.struct("doc_id", "toxic")).alias("json")), folder, version=2)
+    return state.get_documents(t.spark, folder, t.documents.select(key))
+
+
+#: A workspace for each nation: suppliers and customers are packages of it, in folders that three kinds of manifest name.
+_WORKSPACE = """p AS (SELECT 'n' || s_nationkey AS root, 'packages/s' || s_suppkey AS folder, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'packages/s' || s_suppkey END AS package FROM supplier WHERE s_nationkey % 3 = 0
+UNION ALL SELECT 'n' || s_nationkey, 'apps/s' || s_suppkey || '/web', 'apps/s' || s_suppkey || '/web' FROM supplier WHERE s_nationkey % 3 = 1 AND s_suppkey % 4 <> 0
+UNION ALL SELECT 'n' || c_nationkey, 'libs/c' || c_custkey, 'libs/c' || c_custkey FROM customer WHERE c_nationkey % 3 = 2 AND c_custkey % 10 = 0)"""
+
+
+@query("", "SELECT DISTINCT root, folder, package FROM p", _WORKSPACE)
+def q_workspace_globs(t: Tables) -> DataFrame:
+    root = lambda c: F.concat(F.lit("n"), F.col(c).cast("string")).alias("root")
+    s, c = F.col("s_suppkey").cast("string"), F.col("c_custkey").cast("string")
+    own = t.supplier.where("s_nationkey % 3 = 0 and s_suppkey % 2 = 0").select(root("s_nationkey"), F.concat(F.lit("packages/s"), s, F.lit("/package.json")).alias("file"), F.to_json(F.struct(F.col("s_name").alias("name"))).alias("content"))
+    nations = t.nation.select(root("n_nationkey"), "n_nationkey")
+    kind = F.col("n_nationkey") % 3
+    yaml, listed = "packages:\n  # all of them\n  - 'packages/*'  # one folder each\nother:\n  - skipped/*\n", '{"workspaces": {"packages": ["apps/s*/w?b/", "none/*"]}}'
+    top = nations.where(kind < 2).select("root", F.when(kind == 0, "pnpm-workspace.yaml").otherwise("package.json"), F.when(kind == 0, yaml).otherwise(listed))
+    refs = t.customer.where("c_nationkey % 3 = 2 and c_custkey % 10 = 0").groupBy(root("c_nationkey")).agg(F.array_join(F.collect_list(F.concat(F.lit('{"path": "./libs/c'), c, F.lit('"}'))), ", // next\n").alias("r"))
+    config = refs.select("root", F.lit("tsconfig.json"), F.concat(F.lit('{"references": ['), "r", F.lit("]} // end")))
+    files = t.supplier.select(root("s_nationkey"), F.concat(F.lit("packages/s"), s, F.lit("/src/index.ts")).alias("file"))
+    files = files.union(t.supplier.where("s_suppkey % 4 <> 0").select(root("s_nationkey"), F.concat(F.lit("apps/s"), s, F.lit("/web/main.ts")))).union(t.customer.select(root("c_nationkey"), F.concat(F.lit("libs/c"), c, F.lit("/a/b.ts"))))
+    manifests = own.union(top).union(config)
+    return reports.workspace_packages(manifests, files)

@@ -527,7 +527,9 @@ def q_synth_assembly(t: Tables) -> DataFrame:
 def q_flow_edit(t: Tables) -> DataFrame:
     c = t.flows_a().select("flow", "hunk_id").distinct()
     gone = c.where(F.length("hunk_id") % 4 == 0)
-    return flows.edit(c, gone.select(F.lit("extra").alias("flow"), "hunk_id"), gone).groupBy("flow").agg(F.count("*").alias("hunks"))
+    # some of what goes is added, too: it goes all the same
+    both = gone.where(F.length("hunk_id") % 8 == 0)
+    return flows.edit(c, gone.select(F.lit("extra").alias("flow"), "hunk_id").union(both), gone).groupBy("flow").agg(F.count("*").alias("hunks"))
 
 
 _JACCARD = "SELECT a.flow AS flow_a, b.flow AS flow_b, count(*) AS shared, any_value(na) - count(*) AS a_only, any_value(nb) - count(*) AS b_only, round(count(*) / CAST(any_value(na) + any_value(nb) - count(*) AS DOUBLE), 6) AS jaccard FROM (SELECT DISTINCT flow, hunk_id FROM flows_a) a JOIN (SELECT DISTINCT flow, hunk_id FROM flows_b) b USING (hunk_id) JOIN (SELECT flow, count(DISTINCT hunk_id) AS na FROM flows_a GROUP BY flow) x ON x.flow = a.flow JOIN (SELECT flow, count(DISTINCT hunk_id) AS nb FROM flows_b GROUP BY flow) y ON y.flow = b.flow GROUP BY a.flow, b.flow"
@@ -941,10 +943,58 @@ def q_word_pairs(t: Tables) -> DataFrame:
     return lines.word_pairs(_edited_lines(t), "doc").select("doc", "block", big("k", "k"), "ratio", said("removed_segments").alias("removed"), said("added_segments").alias("added"))
 
 
-@query("flows_a flows_b", "SELECT f.flow_a, arg_max(flow_b, (jaccard, flow_b)) AS nearest, max(jaccard) AS jaccard FROM (SELECT DISTINCT flow AS flow_a FROM flows_a) f LEFT JOIN j USING (flow_a) WHERE f.flow_a NOT IN (SELECT flow_a FROM paired) GROUP BY f.flow_a", _GREEDY)
+@query("flows_a flows_b", """SELECT 'a' AS side, f.flow, hunks, coalesce(arg_max(j.flow_b, (jaccard, j.flow_b)), (SELECT max(flow) FROM ob)) AS nearest, coalesce(max(jaccard), 0) AS jaccard FROM oa f LEFT JOIN oj j ON j.flow_a = f.flow WHERE f.flow NOT IN (SELECT flow_a FROM paired) GROUP BY f.flow, hunks
+UNION ALL SELECT 'b', f.flow, hunks, coalesce(arg_max(j.flow_a, (jaccard, j.flow_a)), (SELECT max(flow) FROM oa)), coalesce(max(jaccard), 0) FROM ob f LEFT JOIN oj j ON j.flow_b = f.flow WHERE f.flow NOT IN (SELECT flow_b FROM paired) GROUP BY f.flow, hunks""", _GREEDY.replace("j AS (", "j AS (SELECT * FROM (", 1).replace("), w AS", ") WHERE a_only > 0 OR shared > 3), w AS", 1) + """, oj AS (SELECT * FROM j), oa AS (SELECT flow, count(DISTINCT hunk_id) AS hunks FROM flows_a GROUP BY flow), ob AS (SELECT flow, count(DISTINCT hunk_id) AS hunks FROM flows_b GROUP BY flow)""")
 def q_orphans(t: Tables) -> DataFrame:
-    pairs = flows.jaccard_pairs(t.flows_a(), t.flows_b())
-    return flows.orphans(pairs, flows.greedy_pairs(pairs), t.flows_a())
+    # small flows that lie within another one are left alone, so that both sides have flows that share nothing
+    pairs = flows.jaccard_pairs(t.flows_a(), t.flows_b()).where("a_only > 0 or shared > 3")
+    return flows.orphans(pairs, flows.greedy_pairs(pairs), t.flows_a(), t.flows_b())
+
+
+#: Patches of every flow: hunks and entities by their lengths, the one of the name's length in turn wrong in each way.
+_PATCHES = """ho AS (SELECT DISTINCT flow, hunk_id, entity FROM flows_a), fl AS (SELECT DISTINCT flow, length(flow) AS n, CAST(string_split(flow, '#')[-1] AS BIGINT) AS k FROM flows_a),
+pe AS (SELECT flow, k, CASE WHEN k % 7 = 1 THEN 'Misc' ELSE 'Flow ' || flow END AS name, CASE WHEN k % 7 = 2 THEN '' ELSE 'because' END AS rationale FROM fl),
+er AS (SELECT flow, k, CASE k % 7 WHEN 1 THEN 'NAME_RESERVED' WHEN 2 THEN 'RATIONALE_TOO_SHORT' WHEN 3 THEN 'HUNK_NOT_FOUND' WHEN 4 THEN 'ENTITY_NOT_FOUND' END AS error FROM pe UNION ALL SELECT 'no such flow', 0, 'FLOW_NOT_FOUND')"""
+
+
+def _patches(t: Tables) -> DataFrame:
+    own = t.flows_a().groupBy("flow").agg(F.array_sort(F.collect_set("hunk_id")).alias("hs"), F.array_sort(F.collect_set("entity")).alias("es"))
+    own = own.withColumn("k", F.element_at(F.split("flow", "#"), -1).cast("long"))
+    k = F.col("k") % 7
+    by = lambda c, n, r: F.filter(c, lambda x: F.length(x) % n == r)
+    patch = own.select(
+        "flow", F.when(k == 1, "Misc").otherwise(F.concat(F.lit("Flow "), "flow")).alias("name"), F.when(k == 2, "").otherwise("because").alias("rationale"),
+        by("hs", 4, 0).alias("add_hunks"), F.when(k == 3, F.array(F.lit("no such hunk"))).otherwise(by("hs", 2, 0)).alias("remove_hunks"),
+        F.when(k == 4, F.array(F.lit("no such entity"))).otherwise(F.array(F.lit("top"), F.lit("low"))).alias("add_entities"), F.array(F.lit("low")).alias("remove_entities"),
+    )
+    none = F.array().cast("array<string>")
+    return patch.union(t.region.where("r_regionkey = 0").select(F.lit("no such flow"), F.lit("A name"), F.lit("because"), none, none, none, none))
+
+
+def _checked_patches(t: Tables) -> DataFrame:
+    a = t.flows_a()
+    entities = a.select("entity").union(t.region.where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "top").otherwise("low")))
+    return flows.patch_errors(_patches(t), a.select("flow"), a.select("hunk_id"), entities)
+
+
+@query("flows_a", "SELECT flow, error FROM er", _PATCHES)
+def q_patch_errors(t: Tables) -> DataFrame:
+    return _checked_patches(t).select("flow", "error")
+
+
+@query("flows_a", """SELECT flow, 'name' AS part, CASE WHEN error IS NULL THEN 'Flow ' || flow ELSE flow END AS item FROM fl JOIN er USING (flow) UNION ALL
+SELECT DISTINCT flow, 'hunk', hunk_id FROM ho JOIN er USING (flow) WHERE error IS NOT NULL OR length(hunk_id) % 2 = 1 UNION ALL
+SELECT DISTINCT flow, 'entity', entity FROM ho JOIN er USING (flow) WHERE error IS NULL AND length(hunk_id) % 2 = 1 UNION ALL
+SELECT DISTINCT flow, 'entity', entity FROM ho JOIN er USING (flow) WHERE error IS NOT NULL UNION ALL
+SELECT flow, 'extra', 'top' FROM fl JOIN er USING (flow) WHERE error IS NULL""", _PATCHES)
+def q_mutated_flows(t: Tables) -> DataFrame:
+    a = t.flows_a()
+    names = a.select("flow").distinct().select("flow", F.col("flow").alias("name"), F.lit("").alias("rationale"))
+    own = a.select("flow", "entity").distinct().withColumn("extra", F.lit(False))
+    accepted = _checked_patches(t).where("error is null").drop("error")
+    named, kept, entities = flows.mutated(names, a.select("flow", "hunk_id").distinct(), own, accepted, a.select("hunk_id", "entity"))
+    parts = [named.select("flow", F.lit("name").alias("part"), F.col("name").alias("item")), kept.select("flow", F.lit("hunk"), "hunk_id"), entities.select("flow", F.when(F.col("extra"), "extra").otherwise("entity"), "entity")]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 # ---- recorded model output, sessions, rendering ---------------------------------------------------------------------

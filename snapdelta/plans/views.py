@@ -69,7 +69,7 @@ class Tables:
         return by.select("file", F.expr("hit * 1000 div `all`").alias("permille"))
 
     def visits(self) -> DataFrame:
-        rows = self.events.where("event_type in ('view', 'click', 'purchase') and user_id % 5 <> 0")
+        rows = self.events.where("event_type in ('view', 'click', 'purchase')")
         side = F.when(F.expr("ts < timestamp_ntz'2024-01-16'"), "base").otherwise("head")
         return rows.select(side.alias("side"), F.col("event_type").alias("probe"), F.col("props").alias("entity"), "value")
 
@@ -117,7 +117,7 @@ SQL: dict[str, str] = {
     "diag_head": "SELECT 'f' || user_id AS file, CAST(hour(ts) + 1 AS BIGINT) AS line, CAST(json_extract_string(props, '$.k') AS BIGINT) AS col, 'E' || (event_id % 7) AS code FROM events WHERE event_type = 'error' AND event_id % 3 <> 1",
     "cov_base": "SELECT source AS file, CAST(sum(quality) * 1000 // count(*) AS BIGINT) AS permille FROM documents JOIN labels USING (doc_id) WHERE (doc_id // 20) % 2 = 0 GROUP BY source",
     "cov_head": "SELECT source AS file, CAST(sum(quality) * 1000 // count(*) AS BIGINT) AS permille FROM documents JOIN labels USING (doc_id) WHERE (doc_id // 20) % 2 = 1 GROUP BY source",
-    "raw_visits": "SELECT CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'base' ELSE 'head' END AS side, event_type AS probe, props AS entity, value FROM events WHERE event_type IN ('view', 'click', 'purchase') AND user_id % 5 <> 0",
+    "raw_visits": "SELECT CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'base' ELSE 'head' END AS side, event_type AS probe, props AS entity, value FROM events WHERE event_type IN ('view', 'click', 'purchase')",
     "probe_e": """SELECT v.side, v.probe, v.entity, v.visits, CAST(floor(v.visits * t.tokens_out / CAST(t.all_visits AS DOUBLE) + 0.5) AS BIGINT) AS tokens,
         CAST(round(v.visits + 0.001 * CAST(floor(v.visits * t.tokens_out / CAST(t.all_visits AS DOUBLE) + 0.5) AS BIGINT) + 2, 6) AS DOUBLE) AS cost
         FROM (SELECT side, probe, entity, count(*) AS visits FROM raw_visits GROUP BY ALL) v

@@ -62,9 +62,57 @@ def kept_output(text: str):
 
 
 def workspace_globs(manifests: DataFrame) -> DataFrame:
-    """(root, content) of pnpm workspace files to (root, glob): the items of the packages list."""
-    items = F.regexp_extract_all("content", F.lit(r"(?m)^\s*-\s*['\"]?([^'\"\s#]+)"), F.lit(1))
-    return manifests.select("root", F.explode(items).alias("glob"))
+    """(root, file, content) of workspace manifests to (root, glob), without a slash at the end: the packages of
+    pnpm-workspace.yaml (as a list of lines or in brackets), the workspaces of package.json (a list, or an object's
+    packages), and the paths that tsconfig.json refers to (comments allowed)."""
+    from ..functions.text import without_comments
+
+    name, text = F.substring_index("file", "/", -1), F.col("content")
+    listed = F.regexp_extract(text, r"(?m)^packages:[ \t]*(?:#[^\n]*)?\n((?:[ \t]*(?:-[^\n]*|#[^\n]*)?(?:\n|$))*)", 1)
+    in_line = F.regexp_extract(text, r"(?m)^packages:[ \t]*\[([^\]]*)\]", 1)
+    items = lambda c, rx: F.transform(F.regexp_extract_all(c, F.lit(rx), F.lit(1)), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s#.*$", "")), r"^['\"]|['\"]$", ""))
+    yaml = F.concat(items(listed, r"(?m)^[ \t]*-[ \t]+([^\n]*)$"), items(in_line, r"([^,\s][^,]*)"))
+    strings = lambda path, shape: F.from_json(F.get_json_object(text, path), shape)
+    workspaces = F.coalesce(strings("$.workspaces", "array<string>"), strings("$.workspaces.packages", "array<string>"))
+    paths = F.transform(F.from_json(F.get_json_object(without_comments(text), "$.references"), "array<struct<path: string>>"), lambda r: r["path"])
+    globs = F.when(name == "pnpm-workspace.yaml", yaml).when(name == "package.json", workspaces).when(name == "tsconfig.json", paths)
+    found = manifests.select("root", F.explode(globs).alias("glob")).where("glob is not null")
+    return found.select("root", F.regexp_replace(F.regexp_replace("glob", r"^\./", ""), "/+$", "").alias("glob")).where("glob <> ''").distinct()
+
+
+def glob_pattern(glob: Column) -> Column:
+    """A glob of folders as a pattern: ``*`` and ``?`` within a name, ``**`` over any number of them, ``{a,b}`` either."""
+    quoted = F.regexp_replace(glob, r"([.+()|^$\\\[\]])", r"\\$1")
+    either = F.replace(F.translate(F.regexp_replace(quoted, r"\{([^}]*)\}", "(?:\u0003$1)"), ",", "|"), F.lit("\u0003"), F.lit(""))
+    some = F.replace(F.replace(F.replace(either, F.lit("**/"), F.lit("\u0001")), F.lit("**"), F.lit("\u0002")), F.lit("*"), F.lit("[^/]*"))
+    some = F.regexp_replace(some, r"(?<!\()\?", "[^/]")
+    return F.concat(F.lit("^"), F.replace(F.replace(some, F.lit("\u0001"), F.lit("(?:.*/)?")), F.lit("\u0002"), F.lit(".*")), F.lit("$"))
+
+
+def workspace_folders(globs: DataFrame, files: DataFrame) -> DataFrame:
+    """(root, folder): the folders of (root, file) that the globs of a workspace mean, at the depth of the glob.
+
+    A glob's literal beginning, the names before its first wildcard, and its depth are a key: folders of that depth meet
+    it by equality, under their first names, and only those are tried against its pattern."""
+    parts = F.split("file", "/")
+    folders = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
+    folder = files.select("root", F.explode(folders).alias("folder")).distinct().withColumn("depth", F.size(F.split("folder", "/")))
+    names = F.split("glob", "/")
+    wild = F.filter(F.transform(names, lambda x, i: F.when(x.rlike(r"[*?{\[]"), i)), lambda i: i.isNotNull())
+    lead = F.when(F.size(wild) > 0, wild[0]).otherwise(F.size(names))
+    g = globs.select("root", "glob", F.size(names).alias("depth"), lead.alias("k"), F.array_join(F.slice(names, 1, lead), "/").alias("lead"))
+    wanted = g.select("root", "depth", "k").distinct()  # as many keys a folder as its workspace has kinds of globs
+    met = folder.join(wanted, ["root", "depth"]).withColumn("lead", F.array_join(F.slice(F.split("folder", "/"), F.lit(1), F.col("k")), "/"))
+    hit = met.join(g, ["root", "depth", "k", "lead"]).where(F.rlike("folder", glob_pattern(F.col("glob"))))
+    return hit.select("root", "folder").distinct()
+
+
+def workspace_packages(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """(root, folder, package): the packages of workspaces from their manifests (root, file, content) and all files (root,
+    file); a package is called by the name in its package.json, or by its folder."""
+    folders = workspace_folders(workspace_globs(manifests), files)
+    own = manifests.where(F.col("file").endswith("/package.json")).select("root", F.regexp_replace("file", "/package\\.json$", "").alias("folder"), F.get_json_object("content", "$.name").alias("name"))
+    return folders.join(own.dropDuplicates(["root", "folder"]), ["root", "folder"], "left").select("root", "folder", F.coalesce("name", "folder").alias("package"))
 
 
 def packages(files: DataFrame, roots: DataFrame) -> DataFrame:

@@ -91,13 +91,14 @@ def local_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return calls.withColumn("meant", meant).join(src, ["file", "caller"]).join(dst, ["file", "meant"]).where("src <> dst").select("src", "dst")
 
 
-def replaced_calls(edges: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Edges (src, dst, kind) with all calls replaced by the distinct ones of a language server; without any answer
-    (``resolved`` is empty) the edges stay as they are."""
-    some = resolved.select("src", "dst").distinct()
-    any_ = some.limit(1).select(F.lit(True).alias("_any"))
-    kept = edges.crossJoin(F.broadcast(resolved.agg(F.count("*").alias("_n")))).where("_n = 0 or kind <> 'calls'").drop("_n")  # one row
-    return kept.unionByName(some.withColumn("kind", F.lit("calls")).join(any_, F.lit(True), "left_semi"))
+def replaced_calls(edges: DataFrame, answers: DataFrame, runs: DataFrame, key: str = "analysis") -> DataFrame:
+    """Edges (key, src, dst, kind) with the calls of each analysis replaced by the distinct answers (key, src, dst) of its
+    language server, where ``runs`` (key, ok) says that the server ran: then all old calls go, even if no answer came,
+    and answers that a function calls itself do not count. Where it failed, or is not listed, the old calls stay."""
+    ran = runs.where("ok").select(key).distinct()
+    kept = edges.where("kind <> 'calls'").unionByName(edges.where("kind = 'calls'").join(ran, key, "left_anti").select(*edges.columns))
+    new = answers.where("src <> dst").join(ran, key, "left_semi").select(key, "src", "dst").distinct().withColumn("kind", F.lit("calls"))
+    return kept.select(key, "src", "dst", "kind").unionByName(new)
 
 
 def call_targets(answers: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on small literal inputs, and properties that must hold."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from snapdelta.functions import text as tx
@@ -174,7 +176,7 @@ def test_reports(spark):
     roots = spark.createDataFrame([("packages/core", "@x/core"), ("packages/core/sub", "@x/sub")], "root string, package string")
     files = spark.createDataFrame([("packages/core/a.ts",), ("packages/core/sub/b.ts",), ("else/c.ts",)], "file string")
     assert pairs(reports.packages(files, roots)) == {("packages/core/a.ts", "@x/core"), ("packages/core/sub/b.ts", "@x/sub"), ("else/c.ts", None)}
-    y = spark.createDataFrame([(".", "packages:\n  - 'packages/*'\n  - apps/*\n")], "root string, content string")
+    y = spark.createDataFrame([(".", "pnpm-workspace.yaml", "packages:\n  - 'packages/*'\n  - apps/*\n")], "root string, file string, content string")
     assert pairs(reports.workspace_globs(y)) == {(".", "packages/*"), (".", "apps/*")}
 
 
@@ -286,15 +288,99 @@ def test_listings_changes_and_stores(spark, tmp_path):
     listing.spilled(n, str(tmp_path / "spill"))
     assert spark.read.json(str(tmp_path / "spill")).count() == 5
     docs = spark.createDataFrame([("k1", "{}"), ("k2", "[1]")], "key string, json string")
-    state.put_documents(docs, str(tmp_path / "cache"))
-    state.put_documents(docs.where("key = 'k2'").withColumn("json", F.lit("[2]")), str(tmp_path / "cache"))
+    folder = str(tmp_path / "cache")
+    state.put_documents(docs, folder, version=1)
+    state.put_documents(docs.where("key = 'k2'").withColumn("json", F.lit("[2]")), folder, version=2)
     wanted = spark.createDataFrame([("k1",), ("k2",), ("k3",)], "key string")
-    assert pairs(state.get_documents(spark, str(tmp_path / "cache"), wanted).select("key", "json")) == {("k1", "{}"), ("k2", "[2]"), ("k3", None)}
-    edges = spark.createDataFrame([(1, 2, "calls"), (1, 3, "defines")], "src long, dst long, kind string")
-    none = edges.limit(0)
-    assert pairs(tree.replaced_calls(edges, none)) == {(1, 2, "calls"), (1, 3, "defines")}
-    assert pairs(tree.replaced_calls(edges, edges.where("dst = 3"))) == {(1, 3, "calls"), (1, 3, "defines")}
+    assert pairs(state.get_documents(spark, folder, wanted).select("key", "json")) == {("k1", "{}"), ("k2", "[2]"), ("k3", None)}
+    state.compact_documents(spark, folder, folder + "-2")
+    assert pairs(state.get_documents(spark, folder + "-2", wanted).select("key", "json")) == {("k1", "{}"), ("k2", "[2]"), ("k3", None)}
+    assert state.get_documents(spark, folder, wanted.limit(0)).count() == 0
+    edges = spark.createDataFrame([(0, 1, 2, "calls"), (0, 1, 3, "defines"), (1, 1, 2, "calls")], "analysis long, src long, dst long, kind string")
+    answers = spark.createDataFrame([(0, 1, 3), (0, 1, 3), (0, 1, 1)], "analysis long, src long, dst long")
+    runs = lambda *rows: spark.createDataFrame(rows, "analysis long, ok boolean")
+    failed, some = (1, 1, 2, "calls"), {(0, 1, 3, "defines")}
+    assert pairs(tree.replaced_calls(edges, answers, runs((0, True), (1, False)))) == some | {(0, 1, 3, "calls"), failed}
+    assert pairs(tree.replaced_calls(edges, answers.limit(0), runs((0, True)))) == some | {failed}  # no answer: no calls
+    assert pairs(tree.replaced_calls(edges, answers, runs((0, False)))) == some | {(0, 1, 2, "calls"), failed}
     failing = spark.createDataFrame([("g",)], "file string")
     fe = spark.createDataFrame([("x", "b"), ("y", "a")], "flow string, entity string")
     assert pairs(resolve.flows_of_failures(fe, n.where("side = 'head'"), failing)) == {("x",)}
     assert pairs(resolve.flows_of_failures(fe, n, failing.limit(0))) == {("x",), ("y",)}
+
+
+def test_a_store_of_many_keys(spark, tmp_path):
+    folder = str(tmp_path / "many")
+    state.put_documents(spark.range(100_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.lit("{}").alias("json")), folder, version=1)
+    files = spark.read.parquet(folder).inputFiles()
+    assert len(files) <= state.BUCKETS
+    one = spark.createDataFrame([("k77",)], "key string")
+    got = state.get_documents(spark, folder, one)
+    assert [tuple(r) for r in got.collect()] == [("k77", "{}")]
+    scan = next(x for x in got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).split("\n") if "PartitionFilters" in x and "bucket" in x)
+    assert re.search(r"bucket#\d+ = \d+", scan)  # one folder of 64
+
+
+def test_patches(spark):
+    flow = spark.createDataFrame([("f", "Name", "why"), ("g", "Other name", "why")], "flow string, name string, rationale string")
+    hunks = spark.createDataFrame([("f", "h1"), ("f", "h2"), ("g", "h3")], "flow string, hunk_id string")
+    known = spark.createDataFrame([("h1", "a.x"), ("h2", "b"), ("h3", "c"), ("h3", "a.x")], "hunk_id string, entity string")
+    own = spark.createDataFrame([("f", "a.x", False), ("f", "b", False), ("f", "by hand", True), ("g", "c", False)], "flow string, entity string, extra boolean")
+    names = spark.createDataFrame([("a.x",), ("b",), ("c",), ("by hand",), ("new",)], "entity string")
+    rows = [
+        ("f", None, None, ["h3", "h2"], ["h2"], ["b", "new"], ["by hand", "c"]),
+        ("g", "misc", None, None, None, None, None), ("x", None, None, None, None, None, None), ("y", None, None, None, ["h9"], ["zzz"], None), ("z", None, "r" * 241, None, None, None, None),
+    ]
+    checked = flows.patch_errors(spark.createDataFrame(rows, flows.PATCH), flow, hunks, names)
+    assert {r.flow: r.error for r in checked.collect()} == {"f": None, "g": "NAME_RESERVED", "x": "FLOW_NOT_FOUND", "y": "HUNK_NOT_FOUND", "z": "RATIONALE_TOO_LONG"}
+    named, kept, entities = flows.mutated(flow, hunks, own, checked.where("error is null").drop("error"), known)
+    assert pairs(named) == {("f", "Name", "why"), ("g", "Other name", "why")}
+    assert pairs(kept) == {("f", "h1"), ("f", "h3"), ("g", "h3")}  # h2 was added and removed: gone
+    # b was an entity of the flow when it was named by hand, so it is no extra one; now no hunk has it
+    assert pairs(entities) == {("f", "a.x", False), ("f", "c", False), ("f", "new", True), ("g", "c", False)}
+
+
+def test_greedy_pairs_of_chains(spark, monkeypatch):
+    rows = []
+    for n in range(30):  # a chain in which each pairing hangs on the one before
+        rows += [(f"a{n:02}", f"b{n:02}", 5, 0, 1, 0.5), (f"a{n:02}", f"b{n + 1:02}", 5, 0, 1, 0.5)]
+    rows += [("lone", "b99", 1, 1, 1, 0.3), ("late", "b99", 1, 0, 1, 0.9)]
+    t = spark.createDataFrame(rows, "flow_a string, flow_b string, shared long, a_only long, b_only long, jaccard double")
+    want = {(f"a{n:02}", f"b{n:02}", 0.5) for n in range(30)} | {("lone", "b99", 0.3)}
+    assert pairs(flows.greedy_pairs(t)) == want
+    monkeypatch.setattr(flows, "WALKED", 55)  # the chain shrinks in rounds before it is walked
+    assert pairs(flows.greedy_pairs(t)) == want
+
+
+def test_orphans_of_both_sides(spark):
+    a = spark.createDataFrame([("x", "h1"), ("y", "h2"), ("y", "h3")], "flow string, hunk_id string")
+    b = spark.createDataFrame([("p", "h1"), ("q", "h8"), ("r", "h9")], "flow string, hunk_id string")
+    jac = flows.jaccard_pairs(a, b)
+    got = pairs(flows.orphans(jac, flows.greedy_pairs(jac), a, b))
+    assert got == {("a", "y", 2, "r", 0.0), ("b", "q", 1, "y", 0.0), ("b", "r", 1, "y", 0.0)}
+    got = pairs(flows.orphans(jac, jac.limit(0), a, b.limit(0)))
+    assert got == {("a", "x", 1, "p", 1.0), ("a", "y", 2, None, 0.0)}
+
+
+def test_propagation_keeps_the_first(spark):
+    edges = spark.createDataFrame([(1, n) for n in range(10, 40)] + [(10, 100), (39, 101), (2, 50), (50, 60), (60, 61)], "src long, dst long")
+    seeds = spark.createDataFrame([("hub", 1), ("thin", 2)], "flow string, node long")
+    got = {(r.flow, r.src, r.dst) for r in graph.propagation(edges, seeds).collect()}
+    assert got == {("hub", 1, n) for n in range(10, 30)} | {("thin", 2, 50), ("thin", 50, 60)}
+    got = {(r.flow, r.dst) for r in graph.propagation(edges, seeds, extra=31).collect() if r.flow == "hub"}
+    assert got == {("hub", n) for n in range(10, 40)} | {("hub", 100)}
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (7, 7), (None, 1), (3, 1), (20, 21), (21, 22), (22, 23), (23, 20)], "src long, dst long")
+    assert pairs(graph.components(edges)) == {(1, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8), (20, 20), (21, 20), (22, 20), (23, 20)}
+    assert graph.components(edges.limit(0)).count() == 0
+
+
+def test_globs(spark):
+    globs = {"packages/*": ("packages/a", True), "packages/**": ("packages/a/b", True), "a.b/*": ("axb/c", False), "{x,y}/z?": ("y/z1", True), "x/z?": ("x/z", False), "**/t": ("a/b/t", True), "apps/web": ("apps/web", True), "a*b/c": ("a/b/c", False)}
+    rows = spark.createDataFrame([(g, p, w) for g, (p, w) in globs.items()], "glob string, path string, want boolean")
+    for r in rows.select("*", F.rlike("path", reports.glob_pattern(F.col("glob"))).alias("got")).collect():
+        assert r.got == r.want, r
+    m = spark.createDataFrame([("r", "pnpm-workspace.yaml", "packages: ['x/*', \"y\"]\n"), ("s", "package.json", '{"workspaces": ["a/*/"]}'), ("t", "package.json", "{}"), ("u", "tsconfig.json", "not json")], "root string, file string, content string")
+    assert pairs(reports.workspace_globs(m)) == {("r", "x/*"), ("r", "y"), ("s", "a/*")}

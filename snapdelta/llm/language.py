@@ -9,13 +9,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
+#: Words by which a language's frequencies lean on the average of all.
+LEAN = 1000.0
 _MEMO = 1 << 19
 
 
@@ -41,18 +43,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by language of known words and n-grams."""
+    """Log frequencies by language of known words and n-grams.
 
-    def __init__(self, rows: list[tuple[str, int, str, int]], langs: list[str]):
+    A frequency leans on what all languages have on average, by as much as ``LEAN`` more words would weigh: a language of
+    few words has no higher floor than one of many, so that the rare words of a large language don't fall to a small one."""
+
+    def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int], langs: list[str]):
         self.langs = langs
         at = {x: i for i, x in enumerate(langs)}
         count: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
         for lang, n, gram, c in rows:
             count[n].setdefault(gram, np.zeros(len(langs)))[at[lang]] += c
         tables = []
-        for table in count:
-            total = sum(table.values(), np.zeros(len(langs)))
-            tables.append({g: np.log(c + 0.5) - np.log(total + 0.5 * (len(table) + 1)) for g, c in table.items()})
+        for n, table in enumerate(count):
+            total = np.array([float(totals.get((x, n), 0)) for x in langs])
+            logs = {}
+            for g, c in table.items():
+                mean = (c / np.maximum(total, 1.0)).mean()
+                logs[g] = np.log(c + LEAN * mean) - np.log(total + LEAN)
+            tables.append(logs)
         self.words = tables[0]
         grams = [(g, v) for t in tables[1:] for g, v in t.items()]
         self.gram_row = {g: i for i, (g, _) in enumerate(grams)}
@@ -101,23 +110,26 @@ class _Rows(dict):
         return self.table[rows].sum(axis=0)
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most_docs: int = 20_000, most_words: int = 60_000, most_grams: int = 20_000) -> Model:
-    """Learn from rows with a language. The sample is bounded: about ``most_docs`` rows chosen by the hash of
-    their text, and the most frequent ``most_words`` words and ``most_grams`` n-grams of each length."""
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    share = 1 << 20
-    n = rows.count()
-    if n > most_docs:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) < math.ceil(share * most_docs / n))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    counts = rows.mapInArrow(_counts, "lang string, n long, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 5_000, most_words: int = 20_000, most_grams: int = 8_000) -> Model:
+    """Learn from the rows that have a language and a text; every language among them is learned.
+
+    The sample is bounded for each language: about ``most_docs`` of its rows, chosen by the hash of id and text (all of
+    a smaller language), and its most frequent ``most_words`` words and ``most_grams`` n-grams of each length. Languages
+    are few by nature; the driver holds their tables. An empty table gives a model without languages, of which all texts
+    are ``und``."""
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    spark, share = docs.sparkSession, 1 << 20
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    kept = spark.createDataFrame([(x, min(share, math.ceil(share * most_docs / n))) for x, n in sizes.items()], "lang string, kept long")
+    sample = rows.join(F.broadcast(kept), "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(share)) < F.col("kept"))  # one row a language
+    counts = sample.select("lang", "text").mapInArrow(_counts, "lang string, n long, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     counts = materialise(counts, "grams")
-    total = counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("by_lang"))
-    got = []
-    for order in range(LONGEST + 1):
-        best = total.where(f"n = {order} and total > 1").orderBy(F.desc("total"), "gram").limit(most_grams if order else most_words)
-        got += [(x["lang"], order, r["gram"], x["count"]) for r in best.collect() for x in r["by_lang"]]
-    return Model(got, langs)
+    totals = {(r["lang"], r["n"]): r["t"] for r in counts.groupBy("lang", "n").agg(F.sum("count").alias("t")).collect()}
+    place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram"))
+    often = counts.withColumn("place", place).where(F.col("place") <= F.when(F.col("n") == 0, most_words).otherwise(most_grams)).select("n", "gram").distinct()
+    got = counts.join(often, ["n", "gram"]).select("lang", "n", "gram", "count").toPandas()
+    return Model(list(got.itertuples(index=False, name=None)), totals, langs)
 
 
 def _predict(model):
@@ -137,7 +149,8 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     A known word counts by its log frequency in each language, an unseen one by the mean log frequency of the
     longest known n-grams at its characters, up to four long, down to one. Null texts and texts without a
     letter are ``und`` with score 0, and so is all if nothing was learned. Repeated rows come back as often as
-    given; other columns are ignored."""
+    given; other columns are ignored. An empty table gives an empty result. A long text is scored as a whole, at about a
+    hundred bytes of memory a word."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +11,13 @@ from .common import free_name, materialise
 
 #: Up to so many cells are broadcast.
 MOST_SENT = 200_000
+#: Pairs of a language and a topic that the driver may hold; sources may be many.
+MOST_PAIRS = 100_000
 
 
 def token_count(text: Column) -> Column:
-    """Tokens of a text: runs between single white space characters, at least one for a text that is not blank."""
-    spaces = F.length(text) - F.length(F.translate(text, " \t\n\r", ""))
-    return F.when(text.isNull() | (F.trim(text) == ""), F.lit(0)).otherwise(spaces + 1).cast("long")
+    """Tokens of a text: runs of other than white space."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
 def topic(text: Column) -> Column:
@@ -22,7 +25,7 @@ def topic(text: Column) -> Column:
     low = F.lower(text)
     says = lambda *cues: F.lit(False) if not cues else F.contains(low, F.lit(cues[0])) | says(*cues[1:])
     return (
-        F.when(text.isNull() | (F.trim(text) == ""), "none")
+        F.when(~F.coalesce(text.rlike(r"\S"), F.lit(False)), "none")
         .when(says("licensed", "all rights reserved", "copyright"), "legal")
         .when(F.contains(text, F.lit("@")) & text.rlike(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[A-Za-z]"), "contact")
         .when(F.length(text) < 1000, "short")
@@ -51,9 +54,9 @@ def reachable(goal: dict, tokens: dict) -> dict:
     """Given shares over the values that have tokens, made to sum to 1; a value without a goal gets none."""
     kept = {k: max(float(goal.get(k, 0.0)), 0.0) if v else 0.0 for k, v in tokens.items()}
     whole = sum(kept.values())
-    if tokens and not whole:
+    if not whole and any(tokens.values()):
         raise ValueError("no value with tokens has a target")
-    return {k: v / whole for k, v in kept.items()}
+    return {k: v / whole if whole else 0.0 for k, v in kept.items()}
 
 
 def rake(cells: DataFrame, alpha: float, *, targets: dict | None = None, rounds: int = 200, tolerance: float = 1e-7) -> tuple[DataFrame, float]:
@@ -62,8 +65,9 @@ def rake(cells: DataFrame, alpha: float, *, targets: dict | None = None, rounds:
 
     ``targets`` may give tables (value, share) or dicts for ``source``, ``lang`` and ``topic``; what it does not give is
     worked out by ``shares``. Sources may be many: a source's cells are one row, and its factor is worked out in that
-    row, so that the source step moves no data. Languages and topics are few by nature: each round sums the weights by
-    language and topic, one small aggregation, from which both their factors follow."""
+    row, so that the source step moves no data. Languages and topics are few by nature (more than MOST_PAIRS pairs are an
+    error): each round sums the weights by language and topic, one small aggregation, from which both their factors
+    follow."""
     spark, targets = cells.sparkSession, targets or {}
     packed = cells.groupBy("_s").agg(F.collect_list(F.struct("_l", "_t", "tokens")).alias("own"), F.sum("tokens").cast("double").alias("all"))
     aim = targets.get("source")
@@ -76,8 +80,8 @@ def rake(cells: DataFrame, alpha: float, *, targets: dict | None = None, rounds:
         packed = packed.join(aim, F.col("_s").eqNullSafe(F.col("_v")), "left").drop("_v")
         packed = packed.withColumn("aim", F.when(F.col("all") > 0, F.greatest(F.coalesce("_share", F.lit(0.0)), F.lit(0.0))).otherwise(0.0)).drop("_share")
     packed = materialise(packed, "cells")
-    n, whole = packed.agg(F.count("*"), F.sum("aim")).first()
-    if n and aim is not None and not whole:
+    tokens, whole = packed.agg(F.sum("all"), F.sum("aim")).first()
+    if tokens and aim is not None and not whole:
         raise ValueError("no source with tokens has a target")
 
     def goals(name: str, column: str) -> dict:
@@ -88,6 +92,8 @@ def rake(cells: DataFrame, alpha: float, *, targets: dict | None = None, rounds:
         return reachable(given if isinstance(given, dict) else {r["value"]: r["share"] for r in given.collect()}, tokens)
 
     goal_l, goal_t = goals("lang", "_l"), goals("topic", "_t")
+    if len(goal_l) * len(goal_t) > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} pairs of a language and a topic")
     f_l, f_t, gap = dict.fromkeys(goal_l, 1.0), dict.fromkeys(goal_t, 1.0), 0.0
 
     def weighed() -> DataFrame:
@@ -99,13 +105,16 @@ def rake(cells: DataFrame, alpha: float, *, targets: dict | None = None, rounds:
 
     for _ in range(rounds):
         m = {(r["_l"], r["_t"]): r["w"] for r in weighed().groupBy("_l", "_t").agg(F.sum("weight").alias("w")).collect()}
-        sum_l = {x: sum(w for (a, _), w in m.items() if a == x) for x in goal_l}
-        sum_t = {x: sum(w for (_, b), w in m.items() if b == x) for x in goal_t}
+        sum_l, sum_t, after = dict.fromkeys(goal_l, 0.0), dict.fromkeys(goal_t, 0.0), dict.fromkeys(goal_t, 0.0)
+        for (a, b), w in m.items():
+            sum_l[a] += w
+            sum_t[b] += w
         gap = max([0.0, *(abs(sum_l[x] - goal_l[x]) for x in goal_l), *(abs(sum_t[x] - goal_t[x]) for x in goal_t)])
         if gap < tolerance:
             break
         step = {x: goal_l[x] / sum_l[x] if sum_l[x] > 0 else 0.0 for x in goal_l}
-        after = {x: sum(w * step[a] for (a, b), w in m.items() if b == x) for x in goal_t}
+        for (a, b), w in m.items():
+            after[b] += w * step[a]
         f_l = {x: f_l[x] * step[x] for x in f_l}
         f_t = {x: f_t[x] * (goal_t[x] / after[x] if after[x] > 0 else 0.0) for x in f_t}
     return weighed(), gap
@@ -113,7 +122,7 @@ def rake(cells: DataFrame, alpha: float, *, targets: dict | None = None, rounds:
 
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source: str = "source", lang: str = "lang", targets: dict | None = None, topic_col: str | None = None, tokens_col: str | None = None,
-    alpha: float = 0.7, share: float = 0.8, seed: int = 9, rounds: int = 200, most_gap: float = 0.01,
+    alpha: float = 0.7, share: float = 0.8, seed: int = 9, rounds: int = 200, most_gap: float | None = 0.01,
 ) -> DataFrame:
     """All columns of ``docs`` and ``_topic``, ``_tokens``, ``_weight``, ``_p``, ``_take``, ``_gap`` for each row (in place
     of columns of these names that ``docs`` has).
@@ -122,7 +131,7 @@ def mix(
     dicts for any of ``source``, ``lang`` and ``topic``; the others weigh by their share of tokens to the power ``alpha``.
     Topics and tokens are taken from ``topic_col`` and ``tokens_col`` if these are given (clusters, or counts of a
     tokenizer), else from ``topic`` and ``token_count``. ``_gap`` is the largest difference of a marginal from its
-    target; where targets are given and cannot be met within ``most_gap``, that is an error.
+    target; where it is more than ``most_gap``, that is an error if targets are given, else a warning (None: neither).
 
     A row is taken with chance ``_p`` = min(1, c * weight / tokens) of its cell; c is such that the tokens expected are
     ``share`` of all (a cell that would need more than it has gives all). The draw is the hash of the id, or of the
@@ -137,8 +146,10 @@ def mix(
     narrow = docs.select(F.col(source).alias("_s"), F.col(lang).alias("_l"), about.alias("_t"), size.alias("_n"))
     cells = materialise(narrow.groupBy("_s", "_l", "_t").agg(F.sum("_n").alias("tokens")), "cells")
     raked, gap = rake(cells, alpha, targets=targets, rounds=rounds)
-    if targets and gap > most_gap:
-        raise ValueError(f"the targets cannot be met: a marginal is off by {gap:.4f}")
+    if most_gap is not None and gap > most_gap:
+        if targets:
+            raise ValueError(f"the targets cannot be met: a marginal is off by {gap:.4f}")
+        warnings.warn(f"the mix did not settle: a marginal is off by {gap:.4f}", stacklevel=2)
     raked = materialise(raked, "raked")
     raked = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
     whole = cells.agg(F.sum("tokens")).first()[0] or 0

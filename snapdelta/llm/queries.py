@@ -52,8 +52,12 @@ def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_p").alias("p"), F.col("_take").alias("taken"))
+    docs = _table(spark, sf_dir, "documents")
+    # languages alike, sources by their number of documents, topics by a flattened share of tokens
+    langs = docs.select(F.col("lang").alias("value")).distinct().withColumn("share", F.lit(1.0))
+    sources = docs.groupBy(F.col("source").alias("value")).agg(F.count("*").cast("double").alias("share"))
+    mixed = mixing.mix(docs, targets={"lang": langs, "source": sources}, most_gap=None)
+    return mixed.select("doc_id", "source", "lang", *(F.col(f"_{c}").alias(c) for c in ("topic", "tokens", "weight", "p")), F.col("_take").alias("taken"), F.col("_gap").alias("gap"))
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -28,7 +30,9 @@ RUN = re.compile(r"[A-Za-z0-9]+")
 WORD = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+")
 
 
+@lru_cache(maxsize=2)
 def _encoding(path: str) -> tiktoken.Encoding:
+    """The vocabulary of a file; a worker keeps it from task to task."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -69,14 +73,30 @@ def _pieces(s: str) -> Iterator[tuple[int, int]]:
         at = max(at, b)
 
 
+def covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what spans cover together, in order and apart from each other."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a), ends.append(b)
+    return starts, ends
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding: tiktoken.Encoding, most: float) -> list[tuple[int, int, int]]:
     """Spans of strings that take many tokens for their length: letters with digits or in mixed case, no known
     digest or identifier, not touching a fixed span. A candidate that does not pass whole is tried in pieces."""
     out = []
+    starts, ends = covered(taken)
 
     def passes(a: int, b: int) -> bool:
+        last = bisect_left(starts, b) - 1  # the last fixed span that begins before the end
+        if last >= 0 and ends[last] > a:
+            return False
         s = text[a:b]
-        if not _mixed(s) or known(s) or any(x < b and a < y for x, _, y in taken):
+        if not _mixed(s) or known(s):
             return False
         return len(s) <= most * len(encoding.encode_ordinary(s))
 
@@ -128,7 +148,8 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     worker can read) and hold letters with digits or in mixed case; where a whole string has more, what lies
     between its readable words, and each run between separators, is tried by itself. Digests of known lengths,
     UUIDs, numbers and joined words are left out, and so is what a fixed span covers. A null text counts as empty: no spans. Repeated rows
-    come back as often as given; other columns are ignored."""
+    come back as often as given; other columns are ignored. An empty table gives an empty result. Long texts, and
+    texts of very many spans, take time in proportion to their length."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -130,11 +130,12 @@ def test_language_scores_match_a_plain_version(spark):
             for n in range(1, 5):
                 for i in range(len(w) + 3 - n):
                     count[n][f"^{w}$"[i : i + n]][lang] += 1
-    known = {n: {g: c for g, c in t.items() if sum(c.values()) > 1} for n, t in count.items()}
+    known = count
+    total = {(n, x): sum(c[x] for c in t.values()) for n, t in count.items() for x in ("de", "en")}
 
     def log(n, g, lang):
-        total = sum(c[lang] for c in known[n].values())
-        return math.log(known[n][g][lang] + 0.5) - math.log(total + 0.5 * (len(known[n]) + 1))
+        mean = sum(known[n][g][x] / total[n, x] for x in ("de", "en")) / 2
+        return math.log(known[n][g][lang] + 1000 * mean) - math.log(total[n, lang] + 1000)
 
     def word(w, lang):
         if w in known[0]:
@@ -210,7 +211,7 @@ def test_raking_to_given_targets_matches_numpy(spark):
     cell = np.zeros((3, 2, 3))
     at = lambda r: ("abc".index(r[2]), "xy".index(r[3]), ["t", "u", None].index(r[4]))
     for r in rows:
-        cell[at(r)] += r[1].count(" ") + 1  # token_count: runs between single spaces
+        cell[at(r)] += len(r[1].split())
     w = cell.copy()
     for _ in range(500):
         for axis, goal in enumerate(([0.2, 0.5, 0.3], [0.25, 0.75], [0.6, 0.1, 0.3])):
@@ -308,3 +309,58 @@ def test_pipeline_query_equals_its_stages(spark, small):
     key = lambda df: Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in df.collect())
     assert key(corpus_pipeline.run(spark, small)) == key(docs)
     assert public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def test_every_language_is_learned(spark):
+    """One text may fill most of the table, and a language may have few rows or words."""
+    from snapdelta.llm import language
+
+    words = {"en": "the house and river went over hills quickly", "fr": "la maison avec des fleurs rouges dans jardin", "xx": "zorb qwyx vlim torq"}
+    rows = [(i, words["en"], "en") for i in range(2000)] + [(2000 + i, words["fr"] + f" mot{i}", "fr") for i in range(1000)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_docs=100)
+    assert model.langs == ["en", "fr"]
+    rows = [(i, f"{words['en']} rare{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}", "en") for i in range(3000)] + [(5000 + i, words["xx"], "xx") for i in range(3)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_docs=1000, most_words=200)
+    assert model.langs == ["en", "xx"]
+    asked = [(1, "the river"), (2, "torq zorb"), (3, "rareakz rarejtd"), (4, "housing"), (5, "vlimmy")]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got == {1: "en", 2: "xx", 3: "en", 4: "en", 5: "xx"}  # rare words of the large language stay with it
+
+
+def test_many_secrets_take_linear_time():
+    import time
+
+    from snapdelta.llm import secrets
+    import public_tokenizers
+
+    encoding = secrets._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    line = "0123456789abcdef" * 3 + " key-7fQzT1xW9vBn3Kd8 " + "\n"
+    text = line * (5_000_000 // len(line))
+    began = time.time()
+    base = secrets.base_spans(text)
+    more = secrets.random_spans(text, base, encoding, 2.0)
+    assert len(base) == len(text) // len(line) and len(more) == len(base) and time.time() - began < 60
+    plain = [(a, b) for a, k, b in more if not any(x < b and a < y for x, _, y in base[:50])]
+    assert len(plain) == len(more)
+    assert secrets.covered([(5, 0, 9), (1, 2, 3), (8, 1, 12), (2, 0, 3)]) == ([1, 5], [3, 12])
+
+
+def test_blank_texts_have_no_tokens(spark):
+    from snapdelta.llm import mixing
+
+    rows = [(1, "\n\n"), (2, "\t \n"), (3, " a  b\nc "), (4, None), (5, "")]
+    got = {r.doc_id: (r._tokens, r._topic, r._take) for r in mixing.mix(spark.createDataFrame([(i, t, "s", "l") for i, t in rows], "doc_id long, text string, source string, lang string"), share=1.0).collect()}
+    assert got[1] == (0, "none", False) and got[2] == (0, "none", False) and got[3][0] == 3 and got[3][2] and got[4][0] == got[5][0] == 0
+    blank = spark.createDataFrame([(1, "\n", "s", "l")], "doc_id long, text string, source string, lang string")
+    assert not mixing.mix(blank, targets={"source": {"s": 1.0}, "lang": {"l": 1.0}}).first()._take
+
+
+def test_a_mix_that_does_not_settle_is_told(spark):
+    import pytest as pt
+
+    from snapdelta.llm import mixing
+
+    docs = spark.createDataFrame([(i, "w " * (i + 1) ** 2, f"s{i % 3}", f"l{i % 4 % 3}") for i in range(30)], "doc_id long, text string, source string, lang string")
+    with pt.warns(UserWarning, match="did not settle"):
+        out = mixing.mix(docs, targets=None, alpha=0.2, rounds=1, most_gap=1e-9)
+    assert out.first()._gap > 1e-9

@@ -22,8 +22,11 @@ ERROR_RULES = (
 OTHER_ERROR = "Something went wrong"
 
 
-def qualified_name(kind: Column, name: Column, method: Column, path: Column) -> Column:
-    return F.when(kind == "api-endpoint", F.concat_ws(" ", method, path)).when(kind == "file", path).otherwise(name)
+def qualified_name(kind: Column, name: Column, method: Column, path: Column, variant: str = "full") -> Column:
+    """What a declaration is called: an endpoint by method and path, a file by its path, others by name. ``no-files``
+    gives files no name; ``paths`` calls an endpoint by its path alone."""
+    endpoint = path if variant == "paths" else F.concat_ws(" ", method, path)
+    return F.when(kind == "api-endpoint", endpoint).when(kind == "file", F.lit(None) if variant == "no-files" else path).otherwise(name)
 
 
 def basename(path: Column) -> Column:
@@ -273,9 +276,32 @@ def inline_calls(text: Column) -> Column:
     return F.transform(blocks, lambda b: F.struct(F.trim(F.regexp_extract(b, r"^([^<]*)", 1)).alias("name"), F.map_from_arrays(F.transform(keys(b), lambda x: F.trim(x)), F.transform(values(b), lambda x: F.trim(x))).alias("arguments")))
 
 
+def is_file_like(x: Column) -> Column:
+    return F.contains(x, F.lit("/")) | x.rlike(r"\.(ts|tsx|js|jsx|rs)$")
+
+
+def _said(x: Column) -> Column:
+    return F.coalesce(x.rlike(r"\S"), F.lit(False))
+
+
 def clean_members(entities: Column, most: int = 10) -> Column:
     """Entities without blanks and file-like ones, ``most`` at most."""
-    return F.slice(F.filter(entities, lambda e: (F.trim(e) != "") & ~F.contains(e, F.lit("/")) & ~e.rlike(r"\.(ts|tsx|js|jsx|rs)$")), 1, most)
+    return F.slice(F.filter(entities, lambda e: _said(e) & ~is_file_like(e)), 1, most)
+
+
+def clean_groups(groups: Column, most: int = 10) -> Column:
+    """Groups (label, sample_entities) with a label, ``most`` at most, their samples without blanks and file-like ones."""
+    own = F.transform(groups, lambda g: g.withField("sample_entities", F.filter(g["sample_entities"], lambda e: _said(e) & ~is_file_like(e))))
+    return F.slice(F.filter(own, lambda g: _said(g["label"])), 1, most)
+
+
+def clean_edges(edges: Column) -> Column:
+    """Edges (from, to) of which neither end is blank or file-like."""
+    return F.filter(edges, lambda e: _said(e["from"]) & _said(e["to"]) & ~is_file_like(e["from"]) & ~is_file_like(e["to"]))
+
+
+def clean_shapes(shapes: Column) -> Column:
+    return F.filter(shapes, lambda x: _said(x["kind"]))
 
 
 def doc_params(comment: Column) -> Column:

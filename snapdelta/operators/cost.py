@@ -87,3 +87,15 @@ def share_of_baseline(costs: DataFrame, baseline: DataFrame) -> DataFrame:
 def contributions(costs: DataFrame) -> DataFrame:
     """Flows by the size of their net."""
     return costs.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.abs("net")), "flow"))).select("rank", "flow", "net")
+
+
+def baseline_summary(totals: DataFrame, flows: DataFrame, axes: dict[str, str]) -> DataFrame:
+    """One row of an analysis' baseline: tokens of both sides, the base cost of the probe that each of ``axes`` names, and,
+    by the order of flows (position, source_model, proof_model), the first model that proposed a flow and the first
+    that gave a proof; null where none did."""
+    of = lambda c, cond: F.sum(F.when(cond, F.col(c)))
+    on = lambda s: F.col("side") == s
+    sums = totals.agg(of("tokens", on("base")).alias("tokens_base"), of("tokens", on("head")).alias("tokens_head"), *(of("cost", on("base") & (F.col("probe") == p)).alias(axis) for axis, p in axes.items()))
+    first = lambda c, name: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("position"))).alias(name)
+    models = flows.agg(first("source_model", "synthesis_model"), first("proof_model", "proof_model"))
+    return sums.crossJoin(models)  # one row each

@@ -42,6 +42,13 @@ def row_classes(base: DataFrame, head: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def compared_runs(base: DataFrame, head: DataFrame, keys: list[str], runs: DataFrame, key: str = "analysis") -> DataFrame:
+    """``row_classes`` of each analysis by itself, where ``runs`` (key, side, ok) says that both sides ran: a side that
+    failed tells nothing, so neither are its errors resolved nor the others new."""
+    both = runs.where("ok").groupBy(key).agg(F.countDistinct("side").alias("n")).where("n = 2").select(key)
+    return row_classes(*(df.join(both, key, "left_semi") for df in (base, head)), [key, *keys])
+
+
 def set_delta(base: DataFrame, head: DataFrame, keys: list[str], items: str) -> DataFrame:
     """Array columns compared by key: ``added`` and ``removed`` items in order of declaration; rows that differ."""
     none = F.array().cast("array<string>")

@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import qualified_name
+
 
 def descriptors(nodes: DataFrame, side: str) -> DataFrame:
-    """(id, kind, name, file, side, signature) of declarations; only functions show a signature."""
-    signature = F.when(F.col("kind") == "function", F.col("signature"))
-    return nodes.select(F.col("name").alias("id"), "kind", "name", "file", F.lit(side).alias("side"), signature.alias("signature"))
+    """(id, kind, name, file, side, signature, span) of declarations: endpoints are called by method and path, files by their
+    path; only functions show a signature. Method, path and span (start, end) are optional columns."""
+    has = lambda c, kind="string": F.col(c) if c in nodes.columns else F.lit(None).cast(kind)
+    name = qualified_name(F.col("kind"), F.col("name"), has("method"), F.coalesce(has("path"), F.col("file")))
+    span = has("span", "struct<start: long, end: long>")
+    return nodes.select(name.alias("id"), "kind", name.alias("name"), "file", F.lit(side).alias("side"), F.when(F.col("kind") == "function", F.col("signature")).alias("signature"), span.alias("span"))
 
 
 def one_side(document: dict[str, DataFrame], side: str, kept: tuple[str, ...] = ("nodes", "edges", "cfg", "coverage", "notices")) -> dict[str, DataFrame]:

@@ -82,11 +82,32 @@ def render(template: str, values: dict[str, Column]) -> Column:
     return out
 
 
-def rendered_flows(flow_hunks: DataFrame) -> DataFrame:
-    """(flow, hunk_id, label) to one text for each flow, a line for each hunk in order."""
-    line = F.concat(F.lit("- "), "hunk_id", F.lit(" "), F.coalesce("label", F.lit("(missing)")))
-    by = flow_hunks.groupBy("flow").agg(F.array_sort(F.collect_list(F.struct("hunk_id", line.alias("line")))).alias("x"))
-    return by.select("flow", F.concat("flow", F.lit(":\n"), F.array_join(F.transform("x", lambda r: r["line"]), "\n")).alias("text"))
+def rendered_flows(flows: DataFrame, flow_entities: DataFrame, flow_hunks: DataFrame, hunks: DataFrame) -> DataFrame:
+    """(flow, text) of flows (flow, name, rationale): id, name and rationale, the entities and those named by hand
+    (flow, entity, extra), and the hunks (flow, hunk_id) in order with their kind, or marked as missing where
+    ``hunks`` (hunk_id, kind) has none. What a flow has none of is left out."""
+    kind = flow_hunks.select("flow", "hunk_id").distinct().join(hunks.select("hunk_id", "kind").dropDuplicates(["hunk_id"]), "hunk_id", "left")
+    line = F.concat(F.lit("    - "), "hunk_id", F.lit(" ("), F.coalesce("kind", F.lit("missing")), F.lit(")\n"))
+    listed = kind.groupBy("flow").agg(F.array_sort(F.collect_list(F.struct("hunk_id", line.alias("line")))).alias("h"))
+    named = flow_entities.groupBy("flow").agg(*(F.array_sort(F.collect_set(F.when(F.col("extra") == x, F.col("entity")))).alias(c) for x, c in ((False, "e"), (True, "x"))))
+    part = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(title), F.array_join(c, ", "), F.lit("\n"))).otherwise("")
+    said = F.when(F.size("h") > 0, F.concat(F.lit("  hunks:\n"), F.array_join(F.transform("h", lambda r: r["line"]), ""))).otherwise("")
+    head = F.concat(F.lit("  id: "), "flow", F.lit("\n  name: "), "name", F.lit("\n  rationale: "), "rationale", F.lit("\n"))
+    both = flows.join(named, "flow", "left").join(listed, "flow", "left")
+    return both.select("flow", F.concat(head, part("  entities: ", "e"), part("  extra_entities: ", "x"), said).alias("text"))
+
+
+def rendered_intent(title: Column, summary: Column, claims: Column) -> Column:
+    """A structured intent as text: title, summary, and the claims (evidence_type, statement, detail) by number; empty parts
+    are left out."""
+    detail = lambda c: F.when(F.coalesce(c["detail"], F.lit("")) != "", F.concat(F.lit(" — "), c["detail"])).otherwise("")
+    line = lambda c, i: F.concat(F.lit("    "), i.cast("string"), F.lit(". ["), c["evidence_type"], F.lit("] "), c["statement"], detail(c), F.lit("\n"))
+    told = F.when(F.size(claims) > 0, F.concat(F.lit("  claims:\n"), F.array_join(F.transform(claims, line), ""))).otherwise("")
+    return F.concat(F.lit("  title: "), title, F.lit("\n"), F.when(F.coalesce(summary, F.lit("")) != "", F.concat(F.lit("  summary: "), summary, F.lit("\n"))).otherwise(""), told)
+
+
+def raw_intent(text: Column) -> Column:
+    return F.concat(F.lit("(raw text intent — synthesise claims if no structure below)\n"), F.regexp_replace(text, r"^\s+|\s+$", ""))
 
 
 def by_longest_prefix(rows: DataFrame, defaults: DataFrame, column: str) -> DataFrame:

@@ -23,9 +23,13 @@ def _both(t: Tables) -> DataFrame:
     return t.nodes("base").withColumn("side", F.lit("base")).unionByName(t.nodes("head").withColumn("side", F.lit("head")))
 
 
-@query("nodes_head", "SELECT name AS id, kind, name, file, 'head' AS side, CASE WHEN kind = 'function' THEN signature END AS signature FROM nodes_head")
+@query("nodes_head", """SELECT name AS id, kind, name, file, 'head' AS side, CASE WHEN kind = 'function' THEN signature END AS signature, node_id * 10 AS span_start, node_id * 10 + 5 AS span_end FROM nodes_head UNION ALL
+SELECT DISTINCT 'GET /' || file, 'api-endpoint', 'GET /' || file, file, 'head', NULL, NULL, NULL FROM nodes_head UNION ALL SELECT DISTINCT file, 'file', file, file, 'head', NULL, NULL, NULL FROM nodes_head""")
 def q_descriptors(t: Tables) -> DataFrame:
-    return listing.descriptors(t.nodes("head"), "head")
+    own = t.nodes("head").withColumn("span", F.struct((F.col("node_id") * 10).alias("start"), (F.col("node_id") * 10 + 5).alias("end")))
+    files = own.select("file").distinct()
+    other = files.select("file", F.lit("api-endpoint").alias("kind"), F.lit("GET").alias("method"), F.concat(F.lit("/"), "file").alias("path")).unionByName(files.select("file", F.lit("file").alias("kind")), allowMissingColumns=True)
+    return listing.descriptors(own.unionByName(other, allowMissingColumns=True), "head").select("id", "kind", "name", "file", "side", "signature", F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"))
 
 
 @query("nodes_base nodes_head", """SELECT file, side, node_id, name, CAST(row_number() OVER (PARTITION BY file ORDER BY side <> 'head', node_id) AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS error FROM n WHERE file IN (SELECT file FROM n GROUP BY file HAVING count(*) <= 25)

@@ -1051,11 +1051,6 @@ def q_prompt(t: Tables) -> DataFrame:
     return by.select("flow", transcripts.render("Review {{hunk_count}} hunks of {{flow}}; at most {{max_tool_calls}} calls.", {"hunk_count": F.col("n"), "flow": F.col("flow"), "max_tool_calls": F.lit(40)}).alias("prompt"))
 
 
-@query("flows_a", "SELECT flow, flow || ':' || chr(10) || string_agg('- ' || hunk_id || ' ' || signature, chr(10) ORDER BY hunk_id) AS text FROM flows_a GROUP BY flow")
-def q_flow_text(t: Tables) -> DataFrame:
-    return transcripts.rendered_flows(t.flows_a().select("flow", "hunk_id", F.col("signature").alias("label")))
-
-
 @query("", "SELECT p_partkey, arg_max(v, length(prefix)) AS value FROM (SELECT p_partkey, p_type || '-' || p_size AS model FROM part) LEFT JOIN (SELECT DISTINCT substr(p_type, 1, 3) AS prefix, 1 AS v FROM part WHERE p_type < 'N' UNION ALL SELECT DISTINCT p_type || '-1', 2 FROM part) d ON starts_with(model, prefix) GROUP BY p_partkey")
 def q_model_defaults(t: Tables) -> DataFrame:
     models = t.part.select("p_partkey", F.concat("p_type", F.lit("-"), F.col("p_size").cast("string")).alias("model"))

@@ -281,3 +281,24 @@ def containment_edges(declared: DataFrame) -> DataFrame:
     """(src, dst, kind): a file defines each of its declarations (file, name, exported), and exports those marked so."""
     end = declared.select(F.col("file").alias("src"), F.concat_ws("#", "file", "name").alias("dst"), "exported")
     return end.select("src", "dst", F.lit("defines").alias("kind")).union(end.where("exported").select("src", "dst", F.lit("exports")))
+
+
+def transition_literals(files: DataFrame) -> DataFrame:
+    """(file, at, from, to): ``if (x === "a")``, either way round and behind ``else`` too, and each literal that its block or
+    its one statement returns or assigns, in nested blocks as well. Declarations with a value are no assignments."""
+    literal = r"[\"'][^\"'\n]*[\"']"
+    test = rf"(?<![A-Za-z0-9_$.])if\s*\(\s*(?:[\w.$\[\]]+\s*===?\s*{literal}|{literal}\s*===?\s*[\w.$\[\]]+)\s*\)"
+    code = files.select("file", code_only(F.col("content")).alias("content"))
+    stream = tokens(code, rf"{test}|{STRINGS}|[{{}}]").where("i > 0")
+    t = F.col("token")
+    stream = levelled(stream.withColumn("step", F.when(t == "{", 1).when(t == "}", -1).otherwise(0)))
+    after = F.col("at") + F.length(t) + F.length("tail")
+    brace = next_of(stream, F.when(t.isin("{", "}") | t.startswith("if"), F.struct("at", "close_at", (t == "{").alias("opens"))), ("file",))
+    tests = stream.select("file", "at", "token", "tail", after.alias("next"), brace.alias("b")).where(t.startswith("if"))
+    is_block = F.coalesce(F.col("b.opens") & (F.col("b.at") == F.col("next")) & ~F.col("tail").rlike(r"\S"), F.lit(False))
+    end = F.when(is_block, F.col("b.close_at")).otherwise(F.coalesce(F.col("b.at") - 1, F.lit(1 << 30)))
+    spans = tests.select("file", F.col("at").alias("test_at"), F.regexp_extract("token", r"[\"']([^\"'\n]*)[\"']", 1).alias("from"), is_block.alias("block"), (F.col("at") + F.length("token")).alias("a"), end.cast("int").alias("z")).where("z is not null")
+    met = cut(code, spans, {"body": ("a", "z")})
+    body = F.when(F.col("block"), F.col("body")).otherwise(F.regexp_extract("body", rf"(?s)^((?:{STRINGS}|[^;])*+;?)", 1))
+    target = r"(?:const|let|var)\s+[\w$]+\s*(?::[^=;]*)?=\s*[\"'][^\"'\n]*[\"']|(?:(?<![\w$.])return\s+|[\w$\])]\s*=\s*)[\"']([^\"'\n]*)[\"'](?=\s*(?:[;,)}\n]|$))"
+    return met.select("file", F.col("test_at").alias("at"), "from", F.explode(F.regexp_extract_all(body, F.lit(target), F.lit(1))).alias("to")).where("to <> ''")

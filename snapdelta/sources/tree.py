@@ -108,10 +108,10 @@ def call_targets(answers: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def transition_literals(files: DataFrame) -> DataFrame:
-    """(file, from, to): ``if (x === "a") … return "b"`` or ``= "b"`` in one block, read by a pattern."""
-    rx = r"if\s*\(\s*[\w.$]+\s*===?\s*[\"']([^\"']+)[\"']\s*\)\s*\{?[^{}]*?(?:return|=)\s*[\"']([^\"']+)[\"']"
-    found = files.select("file", F.arrays_zip(F.regexp_extract_all("content", F.lit(rx), F.lit(1)).alias("from"), F.regexp_extract_all("content", F.lit(rx), F.lit(2)).alias("to")).alias("x"))
-    return found.select("file", F.explode("x").alias("x")).select("file", F.col("x.from").alias("from"), F.col("x.to").alias("to"))
+    """(file, from, to): ``if (x === "a") … return "b"`` or ``x = "b"`` in its block (see ``blocks.transition_literals``)."""
+    from . import blocks
+
+    return blocks.transition_literals(files).select("file", "from", "to")
 
 
 def samples(paths: DataFrame, meta: DataFrame) -> DataFrame:
@@ -149,3 +149,46 @@ def read_lines(lines: DataFrame, first: int = 1, most: int | None = None) -> Dat
 
 def grep_counts(lines: DataFrame, pattern: str, key: str = "file") -> DataFrame:
     return grep(lines, pattern, key).groupBy(key).agg(F.count("*").alias("matches"))
+
+
+#: Endings of some kinds of files (fixed values).
+FILE_TYPES = {
+    "ts": ("ts", "tsx", "cts", "mts"), "js": ("js", "jsx", "cjs", "mjs", "vue"), "rust": ("rs",), "py": ("py", "pyi"), "json": ("json",), "md": ("md", "markdown", "mdown", "mkdn"),
+    "yaml": ("yaml", "yml"), "toml": ("toml",), "html": ("html", "htm", "ejs"), "css": ("css", "scss"), "txt": ("txt",),
+}
+
+
+def scoped(files: DataFrame, path: str | None = None, glob: str | None = None, kind: str | None = None, file: str = "file") -> DataFrame:
+    """The rows of files below a path (or of the file itself), of a glob, of a kind of file; a glob without a slash is one
+    of names, at any depth."""
+    out, of = files, F.col(file)
+    if path:
+        below = path.strip("/")
+        out = out if below in ("", ".") else out.where((of == below) | of.startswith(below + "/"))
+    if glob:
+        out = matching(out, glob if "/" in glob else "**/" + glob, file)
+    if kind:
+        out = out.where(F.lower(of).rlike(r"\.(?:" + "|".join(FILE_TYPES[kind]) + ")$"))
+    return out
+
+
+def any_case(pattern: str) -> str:
+    return f"(?i){pattern}"
+
+
+def grep_multiline(files: DataFrame, pattern: str, key: str = "file", text: str = "content") -> DataFrame:
+    """(key, line, last_line, text) of matches that may span lines, a dot standing for any character: the lines on which a
+    match begins and ends, and what it matched."""
+    from . import blocks
+
+    found = blocks.tokens(files, f"(?s:{pattern})", (key,), text)
+    breaks = lambda c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit("\n"))
+    before = F.sum(breaks(F.col("token")) + breaks(F.col("tail"))).over(W.partitionBy(key).orderBy("i").rowsBetween(W.unboundedPreceding, -1))
+    at = found.withColumn("line", F.coalesce(before, F.lit(0)) + 1).where("i > 0")
+    return at.select(key, "line", (F.col("line") + breaks(F.col("token"))).alias("last_line"), F.col("token").alias("text"))
+
+
+def glob_page(files: DataFrame, glob: str, path: str | None = None, head: int | None = None, offset: int = 0) -> DataFrame:
+    """The files of a glob below a path, in order; from ``offset`` on, ``head`` of them if it is given."""
+    found = matching(scoped(files, path).select("file"), glob).distinct().orderBy("file").offset(offset)
+    return found if head is None else found.limit(head)

@@ -197,3 +197,9 @@ def test_no_rows(spark):
     none = spark.createDataFrame([("a.ts", None), ("b.ts", "")], "file string, content string")
     for f in (blocks.shapes, blocks.documented_parameters, blocks.members, blocks.functions, blocks.unions, blocks.all_declarations):
         assert f(none).count() == 0
+
+
+def test_transition_literals(spark):
+    src = 'if (a.b === "x") { if (q) { r("}"); s = "y"; } const t = "no"; return "z" }\nelse if ("y" == a) return "x"; return "w";\nif (a === "x" && b) { return "n"; }\nif (a == "z") {\n // return "c"\n u["k"] = "y", v == "n";\n}\nif (a === "last") return "one"'
+    got = sorted((r["from"], r["to"]) for r in blocks.transition_literals(_files(spark, a_ts=src)).collect())
+    assert got == [("last", "one"), ("x", "y"), ("x", "z"), ("y", "x"), ("z", "y")]

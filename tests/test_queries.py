@@ -3,6 +3,8 @@
 import pytest
 
 import snapdelta.plans.more_queries  # noqa: F401
+import snapdelta.plans.source_queries  # noqa: F401
+import snapdelta.plans.text_queries  # noqa: F401
 from snapdelta.plans.queries import ORACLE, QUERIES
 
 from oracle import connect, rows

@@ -31,6 +31,23 @@ def first_in_window(events: DataFrame, keys: list[str], delay: str = "10 minutes
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
+def publish(events: DataFrame, folder: str, checkpoint: str):
+    """A writer that appends a stream of events to a feed, a folder for each micro-batch with the time of publication. A
+    batch that runs again after a failure replaces what it wrote, so a feed holds every event once."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("published_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def subscribe(spark: SparkSession, folder: str, schema: str, since: str | None = None) -> DataFrame:
+    """The events of a feed as a stream, from a time of publication on: a late subscriber gets no replay of what came
+    before. Without ``since`` all of it is read. ``schema`` is that of the published events."""
+    rows = spark.readStream.schema(f"{schema}, published_at timestamp").option("recursiveFileLookup", True).parquet(folder)
+    return rows if since is None else rows.where(F.col("published_at") >= F.to_timestamp(F.lit(since)))
+
+
 def percent(current, most):
     """Progress in percent: 3 before the first turn, a little short of the turn's end, 100 at most."""
     return F.when(current.isNull() | (most <= 0), 3.0).otherwise(F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), (current - 0.08) / most * 100)), 6))

@@ -100,3 +100,21 @@ def test_a_silent_session_is_told_without_a_further_event(rocks, tmp_path):
     q.stop()
     told = rocks.table("stuck").collect()
     assert [(r.key, r.current) for r in told] == [("silent", 3)] and told[0].still_ms >= 2000
+
+
+def test_a_late_subscriber_gets_no_replay(spark, tmp_path):
+    source, feed, schema = str(tmp_path / "source"), str(tmp_path / "feed"), "job string, turn long"
+
+    def publish(rows):
+        put(spark, source, rows, schema)
+        q = progress.publish(spark.readStream.schema(schema).parquet(source), feed, str(tmp_path / "published")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    publish([("a", 1), ("a", 2)])
+    late = spark.sql("select cast(current_timestamp() as string)").first()[0]
+    publish([("a", 3), ("b", 1)])
+    early = drain(progress.subscribe(spark, feed, schema).select("job", "turn"), "append", "early", spark, tmp_path)
+    assert {tuple(r) for r in early.collect()} == {("a", 1), ("a", 2), ("a", 3), ("b", 1)} and early.count() == 4
+    after = drain(progress.subscribe(spark, feed, schema, late).select("job", "turn"), "append", "late", spark, tmp_path)
+    assert {tuple(r) for r in after.collect()} == {("a", 3), ("b", 1)}

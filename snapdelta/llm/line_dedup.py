@@ -35,7 +35,7 @@ COMMON_LEVEL = 12
 #: Lists up to this length are compared at once.
 SHORT = 128
 #: Candidates that a line names in a list: of those surely near, and in a longer list of others.
-FEW, MANY = 4, 256
+FEW, MANY = 2, 256
 #: Texts of up to so many lines are picked by a broadcast of their ids (8 bytes each).
 MOST_SENT = 100_000
 #: Entries of a long list that are compared in one step, and entries of short lists.

@@ -62,30 +62,32 @@ def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, label): label is the smallest node of the component. Alternating large-star and
-    small-star rounds; each is one aggregation and one join, and is written to the shared folder.
+    small-star rounds; each is two windows over the neighbours of a node, and is written to the shared folder.
     Null ends and self loops are ignored; an empty table gives an empty result."""
     e = (
         edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
         .where("u is not null and v is not null and u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
     )
-    e = materialise(e, "cc")
+    of = Window.partitionBy("u")
+    again = F.coalesce(F.lag("v").over(of.orderBy("v")) == F.col("v"), F.lit(False)).alias("again")  # an edge that came twice
     for _ in range(max_rounds):
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        big = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small, "cc")
+        ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(F.inline(ends)).select("u", "v", again, F.least(F.min("v").over(of), "u").alias("m"))
+        big = both.where("not again and v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # the edge to the smallest neighbour stays, the others go on from there
+        small = big.select("u", "v", again, F.min("v").over(of).alias("m")).where("not again")
+        e = materialise(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), "cc")
         # done where all are stars: each node has one edge, and no centre has one
-        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("v", F.lit(0), F.lit(1)))
-        if not ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").limit(1).count():
+        none = F.lit(None).cast(e.schema["v"].dataType)
+        ends = F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("to")), F.struct(F.col("v").alias("x"), none.alias("to")))
+        to = e.select(F.inline(ends))
+        to = to.groupBy("x").agg(F.min("to").alias("low"), F.max("to").alias("top"), F.max(F.col("to").isNull()).alias("centre"))
+        if not to.where("low <> top or (centre and low is not null)").limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select("v", "v").distinct())
+    return e.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("label")), F.struct(F.col("v").alias("node"), F.col("v").alias("label"))))).distinct()
 
 
 def bloom_slots(ids: np.ndarray, units: np.ndarray | None = None) -> np.ndarray:

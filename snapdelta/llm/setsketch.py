@@ -38,6 +38,8 @@ _TOP = 65535
 SLACK = 16.0
 #: Keys of up to so many sets are compared by steps; longer ones set by set; beyond BLOCK in pairs of blocks.
 SHORT, BLOCK = 24, 4096
+#: Pairs of a longer key that are compared at once.
+_PAIRS = 4096
 
 
 def _register(j: int, seed: np.ndarray) -> np.ndarray:
@@ -129,11 +131,27 @@ def _plausible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, num:
     ok &= equal >= M * share - 8 * np.sqrt(M * share * (1 - share))  # far outside whatever the likelihood lets pass
     at = np.flatnonzero(ok)
     if len(at):
-        one = len(a) == 1
-        more = np.count_nonzero((a if one else a[at]) > b[at], axis=1)
-        nn, mm = np.broadcast_to(n, len(b))[at].astype(np.float64), m[at].astype(np.float64)
-        best, likelihood = estimate(more, M - more - equal[at], equal[at], nn, mm)
-        ok[at] = (best >= share) | (likelihood(np.minimum(share, np.minimum(nn / mm, mm / nn))) >= likelihood(best) - SLACK)
+        more = np.count_nonzero(a[at] > b[at], axis=1)
+        nn, mm = n[at].astype(np.float64), m[at].astype(np.float64)
+        ok[at] = _near_enough(more, M - more - equal[at], equal[at], nn, mm, share)
+    return ok
+
+
+def _near_enough(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n: np.ndarray, m: np.ndarray, share: float) -> np.ndarray:
+    """Whether the likeliest similarity reaches ``share``, or is likelier than it by a ratio of e^``SLACK`` at most. The
+    likelihood has one peak: where the share of equal registers is likelier than the bound, the peak is on that side of it,
+    and at least as high; it is searched for only where that does not tell."""
+    _, likelihood = estimate(more, less, equal, n, m, 0)
+    largest = np.minimum(n / m, m / n)
+    bound, guess = np.minimum(share, largest), np.minimum(equal / M, largest)
+    least, guessed = likelihood(bound) + SLACK, likelihood(guess)
+    most = sum(c * np.log(np.maximum(c, 1) / M) for c in (more, less, equal))  # no similarity is likelier
+    ok = (most <= least) | ((guess >= share) & (guessed > least - SLACK))
+    at = np.flatnonzero(~ok & ((guess >= bound) | (guessed <= least)))
+    if len(at):
+        more, less, equal, n, m = (x[at] for x in (more, less, equal, n, m))
+        best, likelihood = estimate(more, less, equal, n, m)
+        ok[at] = (best >= share) | (likelihood(best) <= least[at])
     return ok
 
 
@@ -165,19 +183,22 @@ def _key_links(num: int, den: int):
 
 
 def _spanning(rest: np.ndarray, own: np.ndarray, n: np.ndarray, sid: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
-    """Links that span the candidates of one key: what a set reaches is reached once, so near copies cost one comparison each."""
+    """Links that span the candidates of one key: what a set reaches is reached once, so near copies cost one comparison
+    each. A few sets that are reached look for the rest at once."""
     todo: list[int] = []
     while len(rest):
-        if todo:
-            x = todo.pop()
-        else:
-            x, rest = int(rest[0]), rest[1:]
-        near = np.concatenate([_plausible(own[x : x + 1], own[p], n[x : x + 1], n[p], num, den) for p in np.array_split(rest, len(rest) // 8192 + 1)]) if len(rest) else np.zeros(0, bool)
-        reached = rest[near]
-        if len(reached):
-            yield np.stack([np.full(len(reached), sid[x]), sid[reached]])
-            todo += reached.tolist()
-            rest = rest[~near]
+        if not todo:
+            todo, rest = [int(rest[0])], rest[1:]
+        some, todo = todo[-(at_once := max(_PAIRS // max(len(rest), 1), 1)) :], todo[:-at_once]
+        for part in np.array_split(rest, len(rest) // _PAIRS + 1):
+            x, y = np.repeat(some, len(part)), np.tile(part, len(some))
+            near = _plausible(own[x], own[y], n[x], n[y], num, den).reshape(len(some), -1)
+            reached = near.any(axis=0)
+            if reached.any():
+                by = np.asarray(some)[near[:, reached].argmax(axis=0)]
+                yield np.stack([sid[by], sid[part[reached]]])
+                todo += part[reached].tolist()
+                rest = np.setdiff1d(rest, part[reached], assume_unique=True)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -197,9 +218,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = base.where("id is not null")
     seen = materialise(known.mapInArrow(_sketch_rows(shingle), "id long, n long, sid long, sketch binary"), "sketches")
     texts = seen.select("id", "n", "sid")
-    whole = materialise(whole_sets(texts), "sets")
-    of_set = seen.join(whole.select("sid", "id"), ["sid", "id"], "left_semi").dropDuplicates(["sid"]).select("sid", "n", "sketch")
-    of_set = materialise(of_set, "distinct")
+    # copies have the same sketch: any of them will do
+    of_set = materialise(whole_sets(seen, F.first("sketch").alias("sketch")), "distinct")
+    whole, of_set = of_set.drop("sketch"), of_set.select("sid", "n", "sketch")
     keys = of_set.select("sid", "sketch").mapInArrow(_bands, "key long, sid long")
     # near copies share most of their keys: of keys with the same sets (by count and two hashes) one is enough
     marks = F.count("*").alias("n_sets"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")

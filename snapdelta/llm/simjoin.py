@@ -362,9 +362,9 @@ def components(docs: DataFrame, texts: DataFrame, classes: DataFrame, id_col: st
     return found.union(none).withColumnRenamed("id", id_col)
 
 
-def whole_sets(texts: DataFrame) -> DataFrame:
-    """(sid, id, copies, n): each distinct set that is not empty, under the smallest id of its texts."""
-    return texts.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"))
+def whole_sets(texts: DataFrame, *more: Column) -> DataFrame:
+    """(sid, id, copies, n) and what else is asked for: each distinct set that is not empty, under the smallest id of its texts."""
+    return texts.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), *more)
 
 
 def similarity_classes(docs: DataFrame, *, k: int, num: int, den: int, part: int) -> tuple[DataFrame, DataFrame]:

@@ -119,6 +119,34 @@ def test_sketch_join_odd_tables(spark):
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in got.collect()), key=str) == [(1, 1, True), (1, 1, True), (2, 2, True), (3, 3, True), (None, None, None)]
 
 
+def test_pairs_are_judged_as_by_the_likeliest_similarity(monkeypatch):
+    """Without a search for the peak where the registers tell already."""
+    rng = np.random.default_rng(8)
+    n = rng.integers(40, 400, 4000).astype(float)
+    m = np.round(n * rng.uniform(0.8, 1.25, 4000))
+    similar = rng.uniform(0.4, 1, 4000) * np.minimum(n / m, m / n)
+    equal = rng.binomial(setsketch.M, similar)
+    more = rng.binomial(setsketch.M - equal, 0.5)
+    a, b = (np.zeros((4000, setsketch.M), np.uint16) for _ in "ab")
+    a[np.arange(setsketch.M) < more[:, None]] = 1
+    b[(np.arange(setsketch.M) >= more[:, None]) & (np.arange(setsketch.M) < setsketch.M - equal[:, None])] = 1
+    fits = (n * 5 >= m * 4) & (m * 5 >= n * 4) & (equal >= setsketch.M * 0.8 - 8 * np.sqrt(setsketch.M * 0.16))
+    search, searched = setsketch.estimate, []
+    best, likelihood = search(more, setsketch.M - more - equal, equal, n, m)
+    want = fits & ((best >= 0.8) | (likelihood(np.minimum(0.8, np.minimum(n / m, m / n))) >= likelihood(best) - setsketch.SLACK))
+    monkeypatch.setattr(setsketch, "estimate", lambda *of: searched.append(len(of[0]) * (of[5:] != (0,))) or search(*of))
+    assert (setsketch._plausible(a, b, n, m, 4, 5) == want).all() and 0.2 < want.mean() < 0.8
+    assert sum(searched) < 0.1 * fits.sum()
+
+
+def test_a_round_of_components_deals_twice(spark, monkeypatch):
+    plans, write = [], common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, *name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *name))
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 1), (3, 2), (9, 4)], "a long, b long")
+    assert {tuple(r) for r in common.connected_components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (9, 4)}
+    assert max(p.count("Exchange") for p in plans) == 2
+
+
 def test_components_settle(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     assert {tuple(r) for r in common.connected_components(chain).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}

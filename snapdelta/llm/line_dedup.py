@@ -11,8 +11,8 @@
 3. In a list a line does not name all its candidates: ``FEW`` that are surely near are enough, and in a list longer
    than ``SHORT`` it names ``MANY`` at most. It is then noted down as cut short, and if no candidate turns out to
    match, it alone is taken through its lists again, without a limit.
-4. Candidates are verified on the token sets, the nearest of each line first, the others only where that fails:
-   one earlier match is enough for a line to go.
+4. Candidates are verified on the token sets, the nearest of each line first. The others are met, and their places
+   looked up, only where that fails: one earlier match is enough for a line to go.
 """
 
 from __future__ import annotations
@@ -197,8 +197,8 @@ _FOUND = ["a", "b", "far", "bits", "meta"]
 
 
 def _candidates(num: int, den: int, again: bool):
-    """Lists to pairs (a, b, far) of set ids, a < b, with the distance of their bitmaps; (a, a) notes that a was
-    cut short. The entries of such lists come back too, as (sid, id, key, bits, meta), so that they need not be made a
+    """Lists to pairs (a, b, far) of set ids, b of a smaller id than a (of one id: both ways), with the distance of their
+    bitmaps; (a, a) notes that a was cut short. The entries of such lists come back too, as (sid, id, key, bits, meta), so that they need not be made a
     second time; in pairs meta is null. ``again`` is that second time: only entries that ask name candidates."""
 
     def bound(n, m, logp):
@@ -236,10 +236,15 @@ def _candidates(num: int, den: int, again: bool):
         """How many surely near candidates are enough: more of a set that is cut into parts, since a part says less."""
         return FEW << (logp > 0)
 
-    def nearest(pairs: np.ndarray, ids: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(pairs: np.ndarray, key: np.ndarray, sid: np.ndarray, ids: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (x, y, far, most) of entries as (later, earlier, far) by id, of one id both ways; of an entry's pairs the
-        nearest if enough are surely near. And the entries that were cut short."""
-        x, y, far, most = pairs
+        nearest if enough are surely near. And the entries that were cut short. Of copies in a list only the first
+        counts: what one of them meets, all do."""
+        at = np.unique(pairs[:2])
+        at = at[np.lexsort((ids[at], sid[at], key[at]))]
+        first = np.zeros(len(key), bool)
+        first[at] = np.concatenate([[True], (sid[at][1:] != sid[at][:-1]) | (key[at][1:] != key[at][:-1])])[: len(at)]
+        x, y, far, most = pairs[:, first[pairs[0]] & first[pairs[1]]]
         same = ids[x] == ids[y]
         later, earlier = np.where(ids[x] > ids[y], x, y), np.where(ids[x] > ids[y], y, x)
         later, earlier = np.concatenate([later, earlier[same]]), np.concatenate([earlier, later[same]])
@@ -278,12 +283,8 @@ def _candidates(num: int, den: int, again: bool):
                     ok = far <= most
                     near.append(np.stack([x[ok], y[ok], far[ok], most[ok]]))
                 if near:
-                    pairs, short = nearest(np.concatenate(near, axis=1), c["id"], logp)
+                    pairs, short = nearest(np.concatenate(near, axis=1), key, sid, c["id"], logp)
                     lists = np.cumsum(np.isin(np.arange(len(key)), edge)) - 1
-                    own = np.flatnonzero(np.isin(lists, lists[short]))  # a copy that is not the first of its set asks nothing
-                    own = own[np.lexsort((c["id"][own], sid[own], lists[own]))]
-                    again_ = (sid[own][1:] == sid[own][:-1]) & (lists[own][1:] == lists[own][:-1])
-                    short = np.setdiff1d(short, own[1:][again_])
                     out += [np.stack([sid[pairs[0]], sid[pairs[1]], pairs[2]]), np.stack([sid[short], sid[short], np.zeros_like(short)])]
                     cut_short = np.isin(lists, lists[short])
             by_blocks = length > (1 if again else SHORT)
@@ -294,7 +295,6 @@ def _candidates(num: int, den: int, again: bool):
                 cut_short[s : s + g] = any((x[0] == x[1]).any() for x in found)
                 out += found
             found = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
-            found[:2].sort(axis=0)
             if found.shape[1]:
                 found = found[:, np.lexsort(found[::-1])]
                 found = found[:, np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(axis=0)])]
@@ -368,7 +368,7 @@ def later_matches(docs: DataFrame, num: int, den: int, least: int) -> DataFrame:
         return materialise(pairs, "candidates"), entries
 
     def matched(pairs: DataFrame) -> DataFrame:
-        """The later sid of each pair that matches, once."""
+        """The later sid of each pair that matches."""
         node = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         unit = F.pmod("place", F.lit(1 << 31).cast("decimal(10,0)"))
         id_ = ((F.col("place") - unit) / F.lit(1 << 31).cast("decimal(10,0)")).cast("long")
@@ -376,21 +376,19 @@ def later_matches(docs: DataFrame, num: int, den: int, least: int) -> DataFrame:
         passing = spark.sparkContext.broadcast(bloom_filter(member, "id", "unit"))
         texts = docs.join(F.broadcast(member.select("id").distinct()), "id", "left_semi") if member.count() <= MOST_SENT else docs
         of_sets = texts.mapInArrow(_member_sets(least, passing), "id long, unit long, sid long, tokens binary")
-        of_sets = materialise(of_sets.join(member.select("sid", "id", "unit"), ["sid", "id", "unit"]).select("sid", "tokens"), "sets")
-        a, b = (member.select(F.col("sid").alias(c), F.col("place").alias(f"p{c}")) for c in "ab")
-        later = F.col("pa") > F.col("pb")
-        todo = pairs.join(a, "a").join(b, "b").select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("y"), "far")
-        todo = materialise(todo, "pairs")
+        of_sets = materialise(of_sets.join(member, ["sid", "id", "unit"]).select("sid", "place", "tokens"), "sets")
 
         def verified(pairs: DataFrame) -> DataFrame:
-            of = lambda c: of_sets.select(F.col("sid").alias(c), F.col("tokens").alias(f"t{c}"))
-            met = pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "tx", "ty")
-            return met.mapInArrow(_matching(num, den), "x long, y long").select(F.col("x").alias("sid")).distinct()
-
-        nearest = todo.groupBy("x").agg(F.min_by("y", "far").alias("y"))
-        first = materialise(verified(nearest), "matched")
-        rest = todo.join(first, F.col("x") == F.col("sid"), "left_anti").join(nearest, ["x", "y"], "left_anti")
-        return first.union(materialise(verified(rest), "matched"))
+            """Each x that matches its y, which must come earlier: pairs of one id stand there both ways."""
+            x, y = (of_sets.select(F.col("sid").alias(c), F.col("place").alias(f"p{c}"), F.col("tokens").alias(f"t{c}")) for c in "xy")
+            met = pairs.join(x, "x").join(y, "y").where("px > py").select("x", "y", "tx", "ty")
+            return materialise(met.mapInArrow(_matching(num, den), "x long, y long").select(F.col("x").alias("sid")).distinct(), "matched")
+
+        pairs = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "far")
+        nearest = materialise(pairs.groupBy("x").agg(F.min_by("y", "far").alias("y")), "nearest")
+        first = verified(nearest)
+        rest = pairs.join(first, F.col("x") == F.col("sid"), "left_anti").join(nearest, ["x", "y"], "left_anti")
+        return first.union(verified(rest.select("x", "y")))
 
     pairs, long = candidates(index.repartition(width, "part").sortWithinPartitions("part"), False)
     gone = matched(pairs.where("a <> b"))

@@ -148,6 +148,20 @@ def test_lines_match_brute_force(spark, monkeypatch, limits):
         assert got[i] == ("\n".join(keep), len(text.split("\n")) - len(keep))
 
 
+def test_a_line_that_goes_meets_one_candidate(spark, monkeypatch):
+    """Near copies of a line, each near all others: the places of one candidate a line are looked up, not of every pair."""
+    from snapdelta.llm import line_dedup as module
+
+    met, write = [], module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name="step": (met.append(out.count()) if (out := write(df, name)) and name in ("nearest", "pairs", "matched") else None) or out)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(f"x{i}y{j}" if j in (i % 39, i % 39 + 1) and i else w for j, w in enumerate(words))) for i in range(60)]
+    rows += [(100, f"{rows[7][1]}\n{rows[3][1]} z\nq r s t u\nq r s t u v"), (101, rows[9][1])]
+    got = {r.doc_id: r.n_removed for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: 0 if i == 0 else 3 if i == 100 else 1 for i, _ in rows}
+    assert met and max(met) <= len(rows)
+
+
 def test_a_changed_word_in_twenty_and_a_very_long_line(spark):
     words = [f"w{i}" for i in range(20)]
     near = [*words[:9], "x", *words[10:]]
